@@ -105,7 +105,7 @@ def ingest_pyflakes(reports: DataFrame, keys: list[str], report: str = "report")
     lines = lines.filter(F.col("l") != "")
     parts = F.split(F.col("l"), ":", 3)
     d = lines.filter(F.size(parts) >= 3).select(
-        *keys, "mi", F.try_cast(py_strip(parts[1]), "long").alias("line"),
+        *keys, "mi", py_strip(parts[1]).try_cast("long").alias("line"),
         py_strip(parts[2]).alias("message"))
     d = d.filter(F.col("line").isNotNull())
     msg = F.col("message")

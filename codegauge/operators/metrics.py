@@ -158,7 +158,8 @@ def file_metrics(lines: DataFrame, keys: list[str], long_fns: DataFrame | None =
              .withColumn("technical_debt_minutes", debt.cast("long")))
 
 
-def quality_issues(metrics: DataFrame, long_fns: DataFrame, dups: DataFrame, keys: list[str]) -> DataFrame:
+def quality_issues(metrics: DataFrame, long_fns: DataFrame | None, dups: DataFrame | None,
+                   keys: list[str]) -> DataFrame:
     """Issues derived from metrics: one row each, ordinal gives the analyser's order.
 
     Order: cyclomatic (0), cognitive (1), each long function (2, by start), each duplicate
@@ -177,14 +178,17 @@ def quality_issues(metrics: DataFrame, long_fns: DataFrame, dups: DataFrame, key
                       F.concat(F.lit("Cognitive complexity is "), F.col("cognitive").cast("string"),
                                F.lit(" (threshold: 25)")).alias("message"),
                       F.lit("Reduce nesting depth and simplify logic flow").alias("suggestion")))
-    lf = long_fns.select(*keys, F.lit(2).alias("kind"), F.col("start_pos").alias("seq"),
+    parts = [cc, cg]
+    if long_fns is not None:
+        parts.append(long_fns.select(*keys, F.lit(2).alias("kind"), F.col("start_pos").alias("seq"),
                          F.lit("info").alias("severity"), F.lit("style").alias("category"),
                          F.concat(F.lit("Long function detected: "), F.col("label")).alias("message"),
-                         F.lit("Consider extracting smaller functions for better readability").alias("suggestion"))
-    dp = dups.select(*keys, F.lit(3).alias("kind"), F.col("dup_rank").alias("seq"),
+                         F.lit("Consider extracting smaller functions for better readability").alias("suggestion")))
+    if dups is not None:
+        parts.append(dups.select(*keys, F.lit(3).alias("kind"), F.col("dup_rank").alias("seq"),
                      F.lit("warning").alias("severity"), F.lit("style").alias("category"),
                      F.concat(F.lit("Duplicated code: "), F.col("label")).alias("message"),
-                     F.lit("Extract common code into reusable functions").alias("suggestion"))
+                     F.lit("Extract common code into reusable functions").alias("suggestion")))
     # one decimal, rounded half-even on the exact binary value (DecimalFormat), as printf in C/Python
     mi_text = F.format_number(F.col("maintainability_index"), 1)
     mi = (base.filter(F.col("maintainability_index") < 30)
@@ -192,7 +196,10 @@ def quality_issues(metrics: DataFrame, long_fns: DataFrame, dups: DataFrame, key
                       F.lit("error").alias("severity"), F.lit("maintainability").alias("category"),
                       F.concat(F.lit("Low maintainability index: "), mi_text).alias("message"),
                       F.lit("Refactor to improve code structure and reduce complexity").alias("suggestion")))
-    out = cc.unionByName(cg).unionByName(lf).unionByName(dp).unionByName(mi)
+    parts.append(mi)
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
     return out.select(*keys, F.col("kind").cast("long").alias("kind"), "seq",
                       F.lit(1).cast("long").alias("line"), F.lit(1).cast("long").alias("col"),
                       "severity", "category", "message", "suggestion",

@@ -72,7 +72,8 @@ _REPORTS = """SELECT path, tool, chunk,
         WHEN 'Bandit' THEN '{"results":[' || items || ']}'
         ELSE items END AS report
     FROM (SELECT path, tool, chunk,
-            string_agg(item, CASE WHEN tool = 'PyFlakes' THEN chr(10) ELSE ',' END ORDER BY event_id) AS items
+            CASE WHEN tool = 'PyFlakes' THEN string_agg(item, chr(10) ORDER BY event_id)
+                 ELSE string_agg(item, ',' ORDER BY event_id) END AS items
           FROM report_items GROUP BY path, tool, chunk) t"""
 
 _GRID = """SELECT 'f' || CAST(o_orderkey AS STRING) AS path,

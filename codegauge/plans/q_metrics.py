@@ -81,8 +81,8 @@ def _dups(src: str) -> str:
 
 
 def _fm(v: str) -> str:
-    mi = ("least(100.0, greatest(0.0, 100.0 - (0.23 * lines_of_code + 3.2 * cyclomatic + 2.5 * cognitive "
-          "+ n_long * 5 + n_dup * 10)))")
+    mi = ("least(100.0::DOUBLE, greatest(0.0::DOUBLE, 100.0::DOUBLE - (0.23::DOUBLE * lines_of_code "
+          "+ 3.2::DOUBLE * cyclomatic + 2.5::DOUBLE * cognitive + n_long * 5 + n_dup * 10)))")
     debt = ("greatest(0, cyclomatic - 10) * 15 + n_long * 30 + n_dup * 45 + greatest(0, max_nesting - 4) * 20")
     return f"""SELECT *, {mi} AS maintainability_index, CAST({debt} AS BIGINT) AS technical_debt_minutes
       FROM (SELECT c.*, f.cognitive, f.max_nesting,
