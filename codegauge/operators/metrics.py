@@ -18,6 +18,7 @@ from codegauge.functions import rules as R
 from codegauge.functions.text import (by_language, contains_any, count_any, ends_with_any,
                                       leading_ws, py_strip)
 from codegauge.operators.ordered import BLOCK, clamped_scan, first_k, next_marker, ordinal
+from codegauge.session import materialize
 
 
 def with_line_features(lines: DataFrame) -> DataFrame:
@@ -102,12 +103,12 @@ def duplicate_blocks(lines: DataFrame, keys: list[str], limit: int = R.DUPLICATE
     closer than three lines, so the first five partners of every occurrence are among them.
     """
     nb = (lines.select(*keys, "pos", py_strip("line").alias("s")).filter(F.col("s") != ""))
-    nb = ordinal(nb, keys, ["pos"], F.floor(F.col("pos") / BLOCK), out="r", start=1).drop("pos")
+    nb = materialize(ordinal(nb, keys, ["pos"], F.floor(F.col("pos") / BLOCK), out="r", start=1).drop("pos"))
     n1 = nb.select(*keys, (F.col("r") - 1).alias("r"), F.col("s").alias("s2"))
     n2 = nb.select(*keys, (F.col("r") - 2).alias("r"), F.col("s").alias("s3"))
     sh = nb.join(n1, [*keys, "r"]).join(n2, [*keys, "r"])
     sh = sh.withColumn("h", F.xxhash64("s", "s2", "s3"))
-    sh = ordinal(sh, [*keys, "h", "s", "s2", "s3"], ["r"], F.floor(F.col("r") / BLOCK), out="g")
+    sh = materialize(ordinal(sh, [*keys, "h", "s", "s2", "s3"], ["r"], F.floor(F.col("r") / BLOCK), out="g"))
     left = sh.select(*keys, "h", "s", "s2", "s3", "r",
                      F.explode(F.sequence(F.col("g") + 1, F.col("g") + 7)).alias("g"))
     right = sh.select(*keys, "h", F.col("g"), F.col("r").alias("rj"),

@@ -1 +1,252 @@
-"""placeholder"""
+"""Knowledge-graph queries (E1-E5, J1-J3, J7-J9, P12, P13, A3-A5, K1, F2, F3) over the file view."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codegauge.functions import rules as R
+from codegauge.operators import extract as E
+from codegauge.operators import graph as G
+from codegauge.plans import q_metrics  # noqa: F401  (shared views)
+from codegauge.plans.oracle_fixtures import register, with_views
+from codegauge.plans.registry import query
+from codegauge.plans.sqlgen import q, strip
+from codegauge.session import materialize
+from codegauge.sources import fixtures as FX
+
+P = ["project_id"]
+
+
+def build_graph(spark, sf):
+    """All graph tables of the file view; the extraction output is written once and shared."""
+    files = FX.code_files(spark, sf).withColumn("lang", G.graph_language("path"))
+    files = materialize(files, "files")
+    ext = materialize(E.analyze_files(files), "extract")
+    ents, imps = E.entities(ext), E.imports(ext)
+    nodes = G.file_nodes(files)
+    resolved = G.resolve_imports(imps, files.select(*P, "path"))
+    ie = G.import_edges(resolved, nodes)
+    ce = G.contains_edges(ents)
+    return {"files": files, "nodes": nodes, "entities": ents, "imports": imps, "resolved": resolved,
+            "import_edges": ie, "contains_edges": ce, "edges": G.all_edges(ie, ce)}
+
+
+# ---------------------------------------------------------------- DuckDB twins
+_JS = "lang IN ('javascript', 'typescript')"
+_ENT_SQL = f"""
+  SELECT project_id, path, name, 'function' AS entity_type, CAST(pos + 1 AS BIGINT) AS line_number,
+         'def ' || name || '(...)' AS signature
+  FROM (SELECT project_id, path, pos, regexp_extract(line, '^def (\\w+)\\(', 1) AS name FROM source_lines
+        WHERE lang = 'python' AND regexp_matches(line, '^def \\w+\\(')) a
+  WHERE (project_id, path) IN (SELECT project_id, path FROM py_ok)
+  UNION ALL
+  SELECT project_id, path, name, 'class', CAST(pos + 1 AS BIGINT), 'class ' || name || '(...)'
+  FROM (SELECT project_id, path, pos, regexp_extract(line, '^class (\\w+)', 1) AS name FROM source_lines
+        WHERE lang = 'python' AND regexp_matches(line, '^class \\w+')) b
+  WHERE (project_id, path) IN (SELECT project_id, path FROM py_ok)
+""" + "".join(f"""  UNION ALL
+  SELECT project_id, path, name, '{t}', CAST(pos + 1 AS BIGINT), sig
+  FROM (SELECT project_id, path, pos, unnest(regexp_extract_all(line, {q(p)}, 1)) AS name,
+               unnest(regexp_extract_all(line, {q(p)}, 0)) AS sig
+        FROM source_lines WHERE {_JS}) j{i}
+""" for i, (p, t) in enumerate([(x, "function") for x in E.JS_FUNCTION_PATTERNS] + [(E.JS_CLASS_PATTERN, "class")]))
+
+_IMP_SQL = f"""
+  SELECT project_id, path, regexp_extract(line, '^import (.+)$', 1) AS specifier FROM source_lines
+  WHERE lang = 'python' AND prefix(line, 'import ') AND (project_id, path) IN (SELECT project_id, path FROM py_ok)
+  UNION ALL
+  SELECT project_id, path, regexp_extract(line, '^from ([^ ]+) import', 1) FROM source_lines
+  WHERE lang = 'python' AND prefix(line, 'from ') AND NOT prefix(line, 'from . ')
+    AND (project_id, path) IN (SELECT project_id, path FROM py_ok)
+""" + "".join(f"""  UNION ALL
+  SELECT project_id, path, unnest(regexp_extract_all(line, {q(p)}, 1)) FROM source_lines WHERE {_JS}
+""" for p in E.JS_IMPORT_PATTERNS)
+
+_EXTS = ", ".join(f"({i}, {q(e)})" for i, e in enumerate(R.GRAPH_LANGUAGES))
+_RESOLVE_SQL = f"""SELECT r.project_id, r.path, r.specifier, arg_min(f.path, e.rank) AS target
+  FROM (SELECT DISTINCT project_id, path, specifier,
+          regexp_replace(
+            regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+              CASE WHEN dir = '.' THEN rest ELSE dir || '/' || rest END, '/+', '/', 'g'),
+              '(^|/)\\.(/|$)', '\\1', 'g'), '(^|/)\\.(/|$)', '\\1', 'g'), '(.)/$', '\\1'),
+            '([^/])\\.[^./]*$', '\\1') AS stem
+        FROM (SELECT *, CASE WHEN prefix(specifier, './') THEN substr(specifier, 3)
+                             WHEN prefix(specifier, '../') THEN specifier ELSE substr(specifier, 2) END AS rest,
+                        CASE WHEN strpos(path, '/') > 0 THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS dir
+              FROM imports_all WHERE prefix(specifier, '.')) a) r
+  CROSS JOIN (VALUES {_EXTS}) e(rank, ext)
+  JOIN code_files f ON f.project_id = r.project_id AND f.path = r.stem || e.ext
+  GROUP BY r.project_id, r.path, r.specifier"""
+
+register("py_ok", "SELECT project_id, path FROM source_lines WHERE lang = 'python' GROUP BY project_id, path "
+                  "HAVING bool_and(line <> 'def (:')", ["source_lines"])
+register("entities_all", _ENT_SQL, ["source_lines", "py_ok"])
+register("imports_all", _IMP_SQL, ["source_lines", "py_ok"])
+register("resolved", _RESOLVE_SQL, ["imports_all", "code_files"])
+register("import_edges", """SELECT i.project_id, i.path AS src, r.target AS dst, CAST(count(*) AS BIGINT) AS occurrences
+  FROM imports_all i JOIN resolved r USING (project_id, path, specifier)
+  GROUP BY i.project_id, i.path, r.target""", ["imports_all", "resolved"])
+register("edges_all", """SELECT project_id, src, dst FROM import_edges
+  UNION SELECT DISTINCT project_id, path, path || ':' || name FROM entities_all""", ["import_edges", "entities_all"])
+register("nodes", f"""SELECT f.project_id, f.path, f.size_bytes,
+    CAST((SELECT count(*) FROM source_lines s WHERE s.project_id = f.project_id AND s.path = f.path
+          AND {strip('s.line')} <> '') AS BIGINT) AS line_count
+  FROM code_files f""", ["code_files", "source_lines"])
+register("risk", """SELECT *, risk_tenths / 10.0 AS risk_score,
+    CASE WHEN risk_tenths < 3 THEN 'low' WHEN risk_tenths < 6 THEN 'medium' WHEN risk_tenths < 8 THEN 'high'
+         ELSE 'extreme' END AS complexity_level
+  FROM (SELECT n.*, CAST(coalesce(e.c, 0) AS BIGINT) AS n_entities, CAST(coalesce(i.c, 0) AS BIGINT) AS n_imports,
+          CAST(least(10, (CASE WHEN size_bytes > 10000 THEN 3 ELSE 0 END) + (CASE WHEN line_count > 500 THEN 4 ELSE 0 END)
+            + (CASE WHEN coalesce(e.c, 0) > 20 THEN 3 ELSE 0 END) + (CASE WHEN coalesce(i.c, 0) > 15 THEN 2 ELSE 0 END)) AS BIGINT)
+            AS risk_tenths
+        FROM nodes n
+        LEFT JOIN (SELECT project_id, path, count(*) AS c FROM entities_all GROUP BY 1, 2) e USING (project_id, path)
+        LEFT JOIN (SELECT project_id, path, count(*) AS c FROM imports_all GROUP BY 1, 2) i USING (project_id, path)) t""",
+         ["nodes", "entities_all", "imports_all"])
+
+
+# ---------------------------------------------------------------- queries
+@query("extract_entities", with_views(
+    "SELECT project_id, path, name, entity_type, line_number, signature FROM entities_all", ["entities_all"]))
+def extract_entities(spark, sf):
+    g = build_graph(spark, sf)
+    return g["entities"].select(*P, "path", "name", "entity_type", "line_number", "signature")
+
+
+@query("extract_imports", with_views(
+    "SELECT project_id, path, specifier, CAST(count(*) AS BIGINT) AS n FROM imports_all GROUP BY 1, 2, 3",
+    ["imports_all"]))
+def extract_imports(spark, sf):
+    g = build_graph(spark, sf)
+    return g["imports"].groupBy(*P, "path", "specifier").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@query("resolve_imports", with_views(
+    """SELECT i.project_id, i.path, i.specifier, r.target, CAST(count(*) AS BIGINT) AS n
+       FROM imports_all i JOIN resolved r USING (project_id, path, specifier) GROUP BY 1, 2, 3, 4""",
+    ["imports_all", "resolved"]))
+def resolve_imports(spark, sf):
+    g = build_graph(spark, sf)
+    return g["resolved"].groupBy(*P, "path", "specifier", "target").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@query("import_edges", with_views("SELECT * FROM import_edges", ["import_edges"]))
+def import_edges(spark, sf):
+    return build_graph(spark, sf)["import_edges"].select(*P, "src", "dst", "occurrences")
+
+
+@query("dependents", with_views("SELECT project_id, dst AS node, src AS dependent FROM edges_all", ["edges_all"]))
+def dependents(spark, sf):
+    return G.dependents(build_graph(spark, sf)["edges"])
+
+
+@query("change_impact", with_views("""SELECT project_id, target, direct_impact, indirect_impact,
+      direct_impact + indirect_impact AS total_impact_files,
+      CASE WHEN direct_impact + indirect_impact > 20 THEN 'extreme' WHEN direct_impact + indirect_impact > 10 THEN 'high'
+           WHEN direct_impact + indirect_impact > 5 THEN 'medium' ELSE 'low' END AS risk_level
+    FROM (SELECT f.project_id, f.path AS target,
+            CAST((SELECT count(*) FROM edges_all e WHERE e.project_id = f.project_id AND e.dst = f.path) AS BIGINT) AS direct_impact,
+            CAST((SELECT count(DISTINCT e2.src) FROM edges_all e1 JOIN edges_all e2
+                    ON e2.project_id = e1.project_id AND e2.dst = e1.src
+                  WHERE e1.project_id = f.project_id AND e1.dst = f.path) AS BIGINT) AS indirect_impact
+          FROM code_files f) t""", ["edges_all", "code_files"]))
+def change_impact(spark, sf):
+    g = build_graph(spark, sf)
+    return G.change_impact(g["files"], g["edges"])
+
+
+def _risk(spark, sf):
+    g = build_graph(spark, sf)
+    return g, G.risk_scores(g["nodes"], g["entities"], g["imports"])
+
+
+@query("risk_scores", with_views(
+    "SELECT project_id, path, size_bytes, line_count, n_entities, n_imports, risk_score, complexity_level FROM risk",
+    ["risk"]))
+def risk_scores(spark, sf):
+    _, r = _risk(spark, sf)
+    return r.select(*P, "path", "size_bytes", "line_count", "n_entities", "n_imports", "risk_score",
+                    "complexity_level")
+
+
+@query("complexity_distribution", with_views(
+    "SELECT project_id, " + ", ".join(f"CAST(count(*) FILTER (WHERE complexity_level = '{b}') AS BIGINT) AS {b}"
+                                      for b in ["low", "medium", "high", "extreme"])
+    + " FROM risk GROUP BY project_id", ["risk"]))
+def complexity_distribution(spark, sf):
+    _, r = _risk(spark, sf)
+    return G.complexity_distribution(r)
+
+
+@query("project_statistics", with_views("""SELECT project_id, CAST(count(*) AS BIGINT) AS total_files,
+      CAST(sum(line_count) AS BIGINT) AS total_lines,
+      CAST(count(*) FILTER (WHERE risk_tenths > 7) AS BIGINT) AS high_risk_files,
+      CAST(coalesce(max(e.c), 0) AS BIGINT) AS total_entities, CAST(coalesce(max(g.c), 0) AS BIGINT) AS dependency_relationships,
+      CAST(coalesce(max(o.c), 0) AS BIGINT) AS import_occurrences
+    FROM risk
+    LEFT JOIN (SELECT project_id, count(*) AS c FROM (SELECT DISTINCT project_id, path, name FROM entities_all) x
+               GROUP BY 1) e USING (project_id)
+    LEFT JOIN (SELECT project_id, count(*) AS c FROM edges_all GROUP BY 1) g USING (project_id)
+    LEFT JOIN (SELECT project_id, sum(occurrences) AS c FROM import_edges GROUP BY 1) o USING (project_id)
+    GROUP BY project_id""", ["risk", "entities_all", "edges_all", "import_edges"]))
+def project_statistics(spark, sf):
+    g, r = _risk(spark, sf)
+    return G.project_statistics(r, g["entities"], g["edges"], g["import_edges"])
+
+
+@query("most_complex_files", with_views("""SELECT project_id, CAST(rank AS BIGINT) AS rank, path, risk_score, line_count
+    FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY risk_tenths DESC, path) AS rank FROM risk) t
+    WHERE rank <= 10""", ["risk"]))
+def most_complex_files(spark, sf):
+    _, r = _risk(spark, sf)
+    return G.most_complex_files(r)
+
+
+@query("high_risk_files", with_views("""SELECT project_id, CAST(rank AS BIGINT) AS rank, path, risk_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path) AS rank FROM risk WHERE risk_tenths > 7) t
+    WHERE rank <= 10""", ["risk"]))
+def high_risk_files(spark, sf):
+    _, r = _risk(spark, sf)
+    return G.high_risk_files(r)
+
+
+SEARCH = "f1"
+
+
+@query("search_entities", with_views(f"""SELECT project_id, CAST(rank AS BIGINT) AS rank, path, name, entity_type,
+      line_number, total_found
+    FROM (SELECT *, count(*) OVER (PARTITION BY project_id) AS total_found,
+                 row_number() OVER (PARTITION BY project_id ORDER BY path, name) AS rank
+          FROM (SELECT project_id, path, name, arg_max(entity_type, line_number) AS entity_type, max(line_number) AS line_number
+                FROM entities_all WHERE strpos(name, '{SEARCH}') > 0 GROUP BY 1, 2, 3) a) t
+    WHERE rank <= 10""", ["entities_all"]))
+def search_entities(spark, sf):
+    g = build_graph(spark, sf)
+    last = G.last_entities(g["entities"])
+    out = G.search_entities(last, SEARCH, limit=10)
+    return out.select(*P, F.col("rank").cast("long"), "path", "name", "entity_type", "line_number", "total_found")
+
+
+@query("main_language", with_views("""SELECT project_id, language AS main_language, CAST(n AS BIGINT) AS n_files
+    FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, language) AS r
+          FROM (SELECT project_id, CASE WHEN suffix(path, '.py') THEN 'python' WHEN suffix(path, '.js') THEN 'javascript'
+                       WHEN suffix(path, '.ts') THEN 'typescript' ELSE 'java' END AS language, count(*) AS n
+                FROM code_files GROUP BY 1, 2) t) u WHERE r = 1""", ["code_files"]))
+def main_language(spark, sf):
+    from codegauge.operators import project as PR
+    files = FX.code_files(spark, sf).select(*P, "path")
+    return PR.main_language(files)
+
+
+@query("file_context", with_views("""SELECT r.project_id, r.path, r.line_count,
+      CAST(coalesce(e.c, 0) AS BIGINT) AS n_entities, CAST(coalesce(s.c, 0) AS BIGINT) AS n_dependencies,
+      CAST(coalesce(d.c, 0) AS BIGINT) AS n_dependents, r.n_imports, r.risk_score
+    FROM risk r
+    LEFT JOIN (SELECT project_id, path, count(*) AS c
+               FROM (SELECT DISTINCT project_id, path, name FROM entities_all) x GROUP BY 1, 2) e USING (project_id, path)
+    LEFT JOIN (SELECT project_id, src AS path, count(*) AS c FROM edges_all GROUP BY 1, 2) s USING (project_id, path)
+    LEFT JOIN (SELECT project_id, dst AS path, count(*) AS c FROM edges_all GROUP BY 1, 2) d USING (project_id, path)""",
+    ["risk", "entities_all", "edges_all"]))
+def file_context(spark, sf):
+    g, r = _risk(spark, sf)
+    return G.file_context(r, g["entities"], g["edges"])

@@ -49,3 +49,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df, name: str = "stage"):
+    """Cut the lineage of a frame that several branches read: write it once as a table.
+
+    The table goes under the cluster's shared ``spark.checkpoint.dir`` (never a machine-local
+    temp dir on a cluster), so it survives the loss of any executor, and is read back as
+    Parquet: one job, columnar, splittable, with statistics for the planner.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.operators.ordered import ordinal
+from codegauge.session import materialize
 from codegauge.plans import shared_sql as S
 from codegauge.sources.tables import table
 
@@ -30,7 +31,8 @@ def code_rows(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     )
     # pos = row_number - 1 per file; buckets of 2^14 order keys bound every window partition
     d = ordinal(d, ["file_id"], _LINE_ORDER, F.shiftright(F.col("l_orderkey"), 14), out="pos")
-    return d.select("file_id", "lang", "pos", "n", "k")
+    # every metric branch reads these rows: write them once instead of re-planning the window
+    return materialize(d.select("file_id", "lang", "pos", "n", "k"))
 
 
 def code_lines(spark: SparkSession, sf_dir: str, key: str = "l_partkey") -> DataFrame:
