@@ -178,21 +178,28 @@ def tool_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str):
-    """two snapshots of file rows (path, file_hash, risk) and their entity rows (path, name)."""
+    """two snapshots of file rows (project_id, path, file_hash, risk, mtime) and their entities.
+
+    A keeps parts whose key is not a multiple of 7, B those not a multiple of 5; in B the hash
+    and mtime change when p_size > 25. Each file has two entities per snapshot.
+    """
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     path = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".ts"))
-    a = p.filter(F.col("p_partkey") % 7 != 0).select(
-        path.alias("path"), F.md5("p_name").alias("file_hash"),
-        (F.col("p_size") / 50.0).alias("risk"))
-    b = p.filter(F.col("p_partkey") % 5 != 0).select(
-        path.alias("path"),
-        F.when(F.col("p_size") > 25, F.md5(F.concat("p_name", F.lit("#2")))).otherwise(F.md5("p_name"))
-         .alias("file_hash"),
-        (F.col("p_size") % 17 / 16.0).alias("risk"))
-    ent_a = p.filter(F.col("p_partkey") % 7 != 0).select(
-        path.alias("path"), F.concat(F.lit("f"), (F.col("p_size") % 10).cast("string")).alias("name"))
-    ent_b = p.filter(F.col("p_partkey") % 5 != 0).select(
-        path.alias("path"), F.concat(F.lit("f"), (F.col("p_size") % 7).cast("string")).alias("name"))
+    proj = (F.col("p_partkey") % 5).alias("project_id")
+    big = F.col("p_size") > 25
+    pa = p.filter(F.col("p_partkey") % 7 != 0)
+    pb = p.filter(F.col("p_partkey") % 5 != 0)
+    a = pa.select(proj, path.alias("path"), F.md5("p_name").alias("file_hash"),
+                  (F.col("p_size") / 50.0).alias("risk"), (F.lit(1700000000) + F.col("p_partkey")).alias("mtime"))
+    b = pb.select(proj, path.alias("path"),
+                  F.when(big, F.md5(F.concat("p_name", F.lit("#2")))).otherwise(F.md5("p_name")).alias("file_hash"),
+                  (F.col("p_size") % 17 / 16.0).alias("risk"),
+                  (F.lit(1700000000) + F.col("p_partkey") + F.when(big, 60).otherwise(0)).alias("mtime"))
+    ent = lambda d, n1, n2: d.select(proj, path.alias("path"), F.explode(F.array(n1, n2)).alias("name"))
+    ent_a = ent(pa, F.concat(F.lit("f"), (F.col("p_size") % 10).cast("string")),
+                F.concat(F.lit("c"), (F.col("p_partkey") % 3).cast("string")))
+    ent_b = ent(pb, F.concat(F.lit("f"), (F.col("p_size") % 7).cast("string")),
+                F.concat(F.lit("c"), ((F.col("p_partkey") + 1) % 3).cast("string")))
     return a, b, ent_a, ent_b
 
 
