@@ -115,3 +115,42 @@ def first_k(df: DataFrame, keys: list[str], order_cols: list, lead_pos: str | No
               .filter(F.col("__r") <= k).drop("__r"))
     d = d.withColumn(out, F.row_number().over(_w(keys).orderBy(*order_cols))).filter(F.col(out) <= k)
     return d.drop("__h") if lead_pos is None else d
+
+
+def prefix_sum(df: DataFrame, keys: list[str], bucket: Column, order_cols: list, col: str, out: str) -> DataFrame:
+    """Inclusive running sum of ``col`` per key in ``order_cols`` order, two-level like ``ordinal``.
+
+    ``bucket`` is a coarse non-decreasing function of the order that bounds each window partition.
+    """
+    b = "__pb"
+    d = df.withColumn(b, bucket)
+    d = d.withColumn("__ls", F.sum(col).over(_w(keys, F.col(b)).orderBy(*order_cols)
+                                            .rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = d.groupBy(*keys, b).agg(F.sum(col).alias("__bs"))
+    blocks = blocks.withColumn("__off", F.coalesce(F.sum("__bs").over(
+        _w(keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__bs")
+    return (d.join(blocks, [*keys, b]).withColumn(out, (F.col("__off") + F.col("__ls")).cast("long"))
+             .drop(b, "__ls", "__off"))
+
+
+def sessionize(df: DataFrame, keys: list[str], ts: str, gap_seconds: int, tiebreak: list[str],
+               bucket_seconds: int = 60, out: str = "session_no") -> DataFrame:
+    """Gap sessions per key: a row opens a new session when its time is at least ``gap`` after the
+    previous row's (in (ts, tiebreak) order). Adds ``out`` (1-based session number per key).
+
+    Unlike a session-window aggregate (which clusters a whole key in one task), the previous
+    row is found inside time buckets plus the last time of the previous non-empty bucket, and
+    the session number is a two-level prefix sum, so a key with a third of all rows spreads out.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    d = df.withColumn("__us", us).withColumn("__b", F.floor(F.col("__us") / F.lit(bucket_seconds * 1_000_000)))
+    order = [F.col("__us"), *[F.col(c) for c in tiebreak]]
+    d = d.withColumn("__prev", F.lag("__us").over(_w(keys, F.col("__b")).orderBy(*order)))
+    bl = d.groupBy(*keys, "__b").agg(F.max("__us").alias("__bmax"))
+    bl = bl.withColumn("__pmax", F.lag("__bmax").over(_w(keys).orderBy("__b"))).drop("__bmax")
+    d = d.join(bl, [*keys, "__b"])
+    prev = F.coalesce(F.col("__prev"), F.col("__pmax"))
+    d = d.withColumn("__start", F.when(prev.isNull() | (F.col("__us") >= prev + F.lit(gap_seconds * 1_000_000)), 1)
+                                 .otherwise(0))
+    d = prefix_sum(d, keys, F.col("__b"), order, "__start", out)
+    return d.drop("__us", "__b", "__prev", "__pmax", "__start")

@@ -85,3 +85,6 @@ COMMIT_BRANCH = ("CASE o_orderkey % 6 WHEN 0 THEN 'main' WHEN 1 THEN 'develop' W
 
 CHANGE_TYPE = ("CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'modified' "
                "WHEN 'click' THEN 'modified' WHEN 'error' THEN 'deleted' ELSE 'moved' END")
+
+# Directory of a change event's path (FIXTURES F11): some land in ignored directories.
+CHANGE_DIR = "CASE event_id % 17 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'build/x/' ELSE 'src/' END"

@@ -218,7 +218,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file change events (project_id, path, dest_path, change_type, ts, event_id)."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    path = F.concat(F.lit("src/p"), F.col("user_id").cast("string"),
+    path = F.concat(F.expr(S.CHANGE_DIR), F.lit("p"), F.col("user_id").cast("string"),
                     F.when(F.col("event_id") % 13 == 0, F.lit(".log")).otherwise(F.lit(".py")))
     return ev.select(
         (F.col("user_id") % 5).alias("project_id"), path.alias("path"),
