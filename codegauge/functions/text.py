@@ -23,13 +23,18 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same characters listed one by one, for the (non-regex) trim functions.
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()`` of a string column."""
-    return F.regexp_replace(col_(c), f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+$", "")
+    """Python ``str.strip()`` of a string column: ``trim`` with Python's whitespace set (no regex)."""
+    return F.trim(col_(c), F.lit(PY_WS_CHARS))
 
 
 def py_lstrip(c) -> Column:
-    return F.regexp_replace(col_(c), f"^{PY_WS_CLASS}+", "")
+    return F.ltrim(col_(c), F.lit(PY_WS_CHARS))
 
 
 def leading_ws(c) -> Column:

@@ -11,7 +11,7 @@ many tasks instead of one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
@@ -67,7 +67,7 @@ def fold_metrics(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def long_functions(lines: DataFrame, keys: list[str]) -> DataFrame:
+def long_functions(lines: DataFrame, keys: list[str], block_size: int = BLOCK) -> DataFrame:
     """One row per function longer than the limit: distance to the next function start.
 
     Python starts are lines whose stripped text starts with ``def ``; JavaScript/TypeScript
@@ -84,7 +84,7 @@ def long_functions(lines: DataFrame, keys: list[str]) -> DataFrame:
     after = F.substring(st, F.instr(st, "function ") + 9, 1 << 30)
     js_name = py_strip(F.substring_index(F.substring_index(after, "function ", 1), "(", 1))
     starts = starts.select(*keys, "lang", "pos", F.when(is_py, py_name).otherwise(js_name).alias("name"))
-    nxt = next_marker(starts, keys, "pos")
+    nxt = next_marker(starts, keys, "pos", block_size=block_size)
     gap = F.col("next_pos") - F.col("pos")
     return (nxt.filter(F.col("next_pos").isNotNull() & (F.col("name") != "")
                        & (gap > R.LONG_FUNCTION_LINES))
@@ -94,7 +94,8 @@ def long_functions(lines: DataFrame, keys: list[str]) -> DataFrame:
                         .alias("label")))
 
 
-def duplicate_blocks(lines: DataFrame, keys: list[str], limit: int = R.DUPLICATE_LIMIT) -> DataFrame:
+def duplicate_blocks(lines: DataFrame, keys: list[str], limit: int = R.DUPLICATE_LIMIT,
+                     block_size: int = BLOCK) -> DataFrame:
     """First ``limit`` pairs of equal 3-line blocks per file, in (i, j) order, j >= i + 3.
 
     Lines are the stripped non-blank lines renumbered from 1. Instead of pairing every two
@@ -103,12 +104,22 @@ def duplicate_blocks(lines: DataFrame, keys: list[str], limit: int = R.DUPLICATE
     closer than three lines, so the first five partners of every occurrence are among them.
     """
     nb = (lines.select(*keys, "pos", py_strip("line").alias("s")).filter(F.col("s") != ""))
-    nb = materialize(ordinal(nb, keys, ["pos"], F.floor(F.col("pos") / BLOCK), out="r", start=1).drop("pos"))
-    n1 = nb.select(*keys, (F.col("r") - 1).alias("r"), F.col("s").alias("s2"))
-    n2 = nb.select(*keys, (F.col("r") - 2).alias("r"), F.col("s").alias("s3"))
-    sh = nb.join(n1, [*keys, "r"]).join(n2, [*keys, "r"])
+    nb = ordinal(nb, keys, ["pos"], F.floor(F.col("pos") / block_size), out="r", start=1).drop("pos")
+    # shingle = lines r, r+1, r+2: a lead window inside blocks of r, and for the last two rows
+    # of a block the first two rows of the next block (a join on 2/block_size of the rows)
+    nb = materialize(nb.withColumn("b", F.floor((F.col("r") - 1) / block_size)))
+    wb = Window.partitionBy(*keys, "b").orderBy("r")
+    sh = nb.withColumn("s2", F.lead("s", 1).over(wb)).withColumn("s3", F.lead("s", 2).over(wb))
+    off = (F.col("r") - 1) % block_size
+    heads = nb.filter(off < 2).select(*keys, "r", "s")
+    fix = (sh.filter(off >= block_size - 2).select(*keys, "r", "s", "s2")
+             .join(heads.select(*keys, (F.col("r") - 1).alias("r"), F.col("s").alias("n1")), [*keys, "r"], "left")
+             .join(heads.select(*keys, (F.col("r") - 2).alias("r"), F.col("s").alias("n2")), [*keys, "r"], "left")
+             .select(*keys, "r", "s", F.coalesce("s2", "n1").alias("s2"), F.col("n2").alias("s3")))
+    sh = (sh.filter(off < block_size - 2).select(*keys, "r", "s", "s2", "s3").unionByName(fix)
+            .filter(F.col("s3").isNotNull()))
     sh = sh.withColumn("h", F.xxhash64("s", "s2", "s3"))
-    sh = materialize(ordinal(sh, [*keys, "h", "s", "s2", "s3"], ["r"], F.floor(F.col("r") / BLOCK), out="g"))
+    sh = materialize(ordinal(sh, [*keys, "h", "s", "s2", "s3"], ["r"], F.floor(F.col("r") / block_size), out="g"))
     left = sh.select(*keys, "h", "s", "s2", "s3", "r",
                      F.explode(F.sequence(F.col("g") + 1, F.col("g") + 7)).alias("g"))
     right = sh.select(*keys, "h", F.col("g"), F.col("r").alias("rj"),

@@ -9,6 +9,7 @@ from codegauge.operators import metrics as M
 from codegauge.plans.oracle_fixtures import register, with_views
 from codegauge.plans.registry import query
 from codegauge.plans.sqlgen import by_lang, cnt_any, contains_any, ends_any, in_list, lstrip, q, strip
+from codegauge.session import materialize
 from codegauge.sources import fixtures as FX
 
 K = ["file_id"]
@@ -173,7 +174,9 @@ def maintainability_and_debt(spark, sf):
     ["code_lines_long_issues"]))
 def quality_issues(spark, sf):
     lines = FX.code_lines_long(spark, sf)
-    lf, dups = M.long_functions(lines, K), M.duplicate_blocks(lines, K)
+    # both results feed the metrics and the issue rows: write them once (they are small)
+    lf = materialize(M.long_functions(lines, K), "long_functions")
+    dups = materialize(M.duplicate_blocks(lines, K), "duplicate_blocks")
     m = M.file_metrics(lines, K, lf, dups)
     iss = M.quality_issues(m, lf, dups, K)
     return iss.select("file_id", "kind", "seq", "severity", "category", "message")

@@ -11,6 +11,7 @@ from codegauge.operators import scoring as SC
 from codegauge.plans import q_findings, q_metrics  # noqa: F401  (their views are used here)
 from codegauge.plans.oracle_fixtures import register, with_views
 from codegauge.plans.registry import query
+from codegauge.session import materialize
 from codegauge.sources import fixtures as FX
 
 W = R.ScoringWeights()
@@ -190,7 +191,8 @@ _PROJECT_SQL = ("SELECT project_id, CAST(count(*) AS BIGINT) AS files_evaluated,
 
 def project_scores_frame(spark, sf):
     lines = FX.code_lines(spark, sf)
-    lf, dups = M.long_functions(lines, ["file_id"]), M.duplicate_blocks(lines, ["file_id"])
+    lf = materialize(M.long_functions(lines, ["file_id"]), "long_functions")
+    dups = materialize(M.duplicate_blocks(lines, ["file_id"]), "duplicate_blocks")
     m = M.file_metrics(lines, ["file_id"], lf, dups)
     issues = M.quality_issues(m, lf, dups, ["file_id"])
     pen = SC.issue_penalty(issues, ["file_id"])

@@ -102,8 +102,8 @@ def test_duplicates_and_long_functions_match_loop(spark):
         files[i] = (rng.choice(["python", "javascript", "typescript"]), text)
     files[99] = ("python", "\n".join(["same"] * 200))  # one hot block: a file of identical lines
     lines = lines_df(spark, files)
-    dups = M.duplicate_blocks(lines, ["file_id"]).collect()
-    lf = M.long_functions(lines, ["file_id"]).collect()
+    dups = M.duplicate_blocks(lines, ["file_id"], block_size=8).collect()   # tiny blocks: boundaries everywhere
+    lf = M.long_functions(lines, ["file_id"], block_size=16).collect()
     for i, (lang, text) in files.items():
         want = brute.duplicates(text)
         got = sorted((r.dup_rank, r.first_line, r.second_line) for r in dups if r.file_id == i)
