@@ -88,3 +88,28 @@ CHANGE_TYPE = ("CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'm
 
 # Directory of a change event's path (FIXTURES F11): some land in ignored directories.
 CHANGE_DIR = "CASE event_id % 17 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'build/x/' ELSE 'src/' END"
+
+# Listing of project trees (FIXTURES F7): marker files, top-level directories and source files.
+LISTING_KIND = "(p_partkey * 7 + p_size) % 211"
+MARKER_NAME = ("CASE kind WHEN 0 THEN 'package.json' WHEN 1 THEN 'requirements.txt' WHEN 2 THEN 'pyproject.toml' "
+               "WHEN 3 THEN 'pom.xml' WHEN 4 THEN 'go.mod' WHEN 5 THEN 'webpack.config.js' WHEN 6 THEN 'vite.config.ts' "
+               "WHEN 7 THEN 'build.gradle' WHEN 8 THEN 'Makefile' WHEN 9 THEN 'yarn.lock' WHEN 10 THEN 'package-lock.json' "
+               "WHEN 11 THEN 'pnpm-lock.yaml' WHEN 12 THEN 'Pipfile' WHEN 13 THEN 'vite.config.js' END")
+TOP_DIR = ("CASE kind WHEN 14 THEN 'packages' WHEN 15 THEN 'apps' WHEN 16 THEN 'src' WHEN 17 THEN 'components' "
+           "WHEN 18 THEN 'views' WHEN 19 THEN 'controllers' WHEN 20 THEN 'models' WHEN 21 THEN 'services' "
+           "ELSE 'repositories' END")
+PACKAGE_DEP = ("CASE p_size % 7 WHEN 0 THEN 'next' WHEN 1 THEN 'react' WHEN 2 THEN 'vue' WHEN 3 THEN '@angular/core' "
+               "WHEN 4 THEN 'express' WHEN 5 THEN 'lodash' ELSE '@vue/core' END")
+SOURCE_EXT = "CASE p_size % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.ts' WHEN 3 THEN '.go' ELSE '.md' END"
+# One row per part; the first part of a (project, marker kind) puts its marker at the root,
+# later ones nest it under their own folder. Columns used: p_partkey, p_size, kind, first_of_kind.
+LISTING_PATH = f"""CASE WHEN kind < 14 THEN CASE WHEN first_of_kind THEN {MARKER_NAME}
+                                  ELSE 'sub' || CAST(p_partkey AS STRING) || '/' || {MARKER_NAME} END
+         WHEN kind < 23 THEN CASE WHEN p_size % 2 = 0 THEN upper({TOP_DIR}) ELSE {TOP_DIR} END
+                             || '/f' || CAST(p_partkey AS STRING) || '.js'
+         ELSE 'src/p' || CAST(p_partkey AS STRING) || {SOURCE_EXT} END"""
+LISTING_CONTENT = f"""CASE WHEN kind = 0 THEN CASE WHEN p_size % 11 = 0 THEN '{{"dependencies": '
+           ELSE '{{"name":"p","version":"1.' || CAST(p_size AS STRING) || '.0","dependencies":{{"' || {PACKAGE_DEP}
+                || '":"^1.0.0"}},"devDependencies":{{"jest":"1"}}}}' END
+         WHEN kind = 2 THEN '[project]' || chr(10) || 'name = "x"' || chr(10) || 'version = "0.' || CAST(p_size AS STRING) || '"'
+         ELSE '' END"""

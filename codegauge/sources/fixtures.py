@@ -238,3 +238,16 @@ def numstat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("long").alias("line_no"),
         F.when(binary, "-").otherwise(F.col("l_quantity").cast("long").cast("string")).alias("added"),
         F.when(binary, "-").otherwise(F.col("l_linenumber").cast("string")).alias("deleted"))
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project trees (project_id, path, content) with marker files and top-level folders.
+
+    The first part of each (project, marker kind) holds the root marker; the min over that group
+    is a hash aggregate joined back (no window over a whole group).
+    """
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    d = p.withColumn("project_id", F.col("p_partkey") % 20).withColumn("kind", F.expr(S.LISTING_KIND))
+    firsts = d.groupBy("project_id", "kind").agg(F.min("p_partkey").alias("__first"))
+    d = d.join(firsts, ["project_id", "kind"]).withColumn("first_of_kind", F.col("p_partkey") == F.col("__first"))
+    return d.select("project_id", F.expr(S.LISTING_PATH).alias("path"), F.expr(S.LISTING_CONTENT).alias("content"))
