@@ -210,3 +210,48 @@ def storage_stats(projects: DataFrame, files: DataFrame, entities: DataFrame, ed
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ------------------------------------------------------------------ exported tool output
+def ingest_git_log(lines: DataFrame, text: str = "line") -> DataFrame:
+    """``hash|epoch|author`` lines → commit columns; any other shape, or a non-integer time,
+    gives no row. Time is UTC."""
+    parts = F.split(F.trim(F.col(text)), r"\|")
+    epoch = parts[1].try_cast("long")
+    ok = (F.size(parts) == 3) & epoch.isNotNull()
+    return (lines.filter(ok)
+                 .withColumn("commit_hash", parts[0])
+                 .withColumn("commit_time", F.timestamp_seconds(epoch).cast("timestamp_ntz"))
+                 .withColumn("author", parts[2]))
+
+
+def ingest_numstat(lines: DataFrame, text: str = "line") -> DataFrame:
+    """S9 + P36: ``added\\tdeleted\\tpath``; '-' counts as 0; lines_changed = added + deleted.
+
+    A count that is not an integer leaves lines_changed at 0 and the risk at low.
+    """
+    parts = F.split(F.col(text), "\t")
+    val = lambda c: F.when(c == "-", F.lit(0)).otherwise(c.try_cast("long"))
+    added, deleted = val(parts[0]), val(parts[1])
+    lines_changed = F.when((F.size(parts) >= 2) & added.isNotNull() & deleted.isNotNull(), added + deleted) \
+                     .otherwise(F.lit(0))
+    return (lines.withColumn("lines_changed", lines_changed.cast("long"))
+                 .withColumn("risk_level", change_risk_level(F.col("lines_changed"))))
+
+
+def change_risk_level(n: Column) -> Column:
+    """>100 high, >20 medium, else low."""
+    return F.when(n > 100, "high").when(n > 20, "medium").otherwise("low")
+
+
+def check_rollup(checks: DataFrame, keys=("project_id",)) -> DataFrame:
+    """Per project, any failed check → error; else any warning → warning; else healthy.
+
+    (A check whose status is 'error' is not counted, as in the rule being reproduced.)
+    """
+    st = F.col("status")
+    return checks.groupBy(*keys).agg(
+        F.when(F.bool_or(st == "failed"), "error").when(F.bool_or(st == "warning"), "warning")
+         .otherwise("healthy").alias("overall"),
+        F.count_if(st == "failed").cast("long").alias("n_failed"),
+        F.count_if(st == "warning").cast("long").alias("n_warning"))
