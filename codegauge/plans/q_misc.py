@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from codegauge.operators import findings as FD
 from codegauge.operators import graph as G
 from codegauge.operators import metrics as M
 from codegauge.operators import scoring as SC
@@ -114,9 +115,16 @@ SCORE_FILE = "f42"
         + n_long + n_dup + (CASE WHEN maintainability_index < 30 THEN 1 ELSE 0 END) AS BIGINT) AS n_issues
     FROM grid_scores WHERE path = '{SCORE_FILE}'""", ["grid_scores"]))
 def score_file(spark, sf):
-    """one file's full diagnostics (scores, metrics, finding and issue counts)."""
-    s = q_scoring.grid_scores(spark, sf).filter(F.col("path") == SCORE_FILE)
-    iss = M.quality_issues(q_scoring.grid_metrics(spark, sf).filter(F.col("path") == SCORE_FILE), None, None, ["path"])
+    """one file's full diagnostics (scores, metrics, finding and issue counts).
+
+    The fixture path is derived ('f' || key), so the lookup is stated on the source keys; the
+    equality then reaches the Parquet scans as pushed filters instead of a full scan.
+    """
+    key = int(SCORE_FILE[1:])
+    grid = q_scoring.grid_metrics(spark, sf, key_filter=F.col("o_orderkey") == key)
+    finds = FX.findings(spark, sf, key_filter=(F.col("user_id") == key // 10) & (F.col("event_id") % 10 == key % 10))
+    s = SC.score_files(grid, FD.finding_counts(finds, ["path"]), SC.derived_issue_penalty(grid, ["path"]), ["path"])
+    iss = M.quality_issues(grid, None, None, ["path"])
     n_iss = iss.groupBy("path").agg(F.count(F.lit(1)).alias("__n"))
     s = s.join(n_iss, "path", "left").withColumn(
         "n_issues", (F.coalesce(F.col("__n"), F.lit(0)) + F.col("n_long") + F.col("n_dup")).cast("long"))

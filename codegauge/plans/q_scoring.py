@@ -93,8 +93,8 @@ register("grid_in", _GRID_IN, ["metrics_grid", "finding_counts"])
 register("grid_scores", score_sql("grid_in"), ["grid_in"])
 
 
-def grid_metrics(spark, sf):
-    g = FX.metrics_grid(spark, sf)
+def grid_metrics(spark, sf, key_filter=None):
+    g = FX.metrics_grid(spark, sf, key_filter)
     c = F.col
     return (g.withColumn("maintainability_index",
                          M.maintainability_index(c("lines_of_code"), c("cyclomatic"), c("cognitive"), c("n_long"), c("n_dup")))

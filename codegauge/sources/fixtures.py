@@ -73,9 +73,14 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.withColumn("size_bytes", F.octet_length("content").cast("long"))
 
 
-def metrics_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """synthetic per-file metrics covering every threshold branch of the score."""
+def metrics_grid(spark: SparkSession, sf_dir: str, key_filter=None) -> DataFrame:
+    """synthetic per-file metrics covering every threshold branch of the score.
+
+    ``key_filter`` (on o_orderkey / o_custkey) is applied before the derivation so it reaches the scan.
+    """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    if key_filter is not None:
+        o = o.filter(key_filter)
     lang = F.expr("CASE o_orderkey % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'typescript' "
                   "WHEN 3 THEN 'java' WHEN 4 THEN 'go' ELSE 'rust' END")
     return o.select(
@@ -91,17 +96,19 @@ def metrics_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events_k(spark: SparkSession, sf_dir: str, key_filter=None) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props", "ts")
+    if key_filter is not None:
+        ev = ev.filter(key_filter)
     return ev.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("long"))
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def findings(spark: SparkSession, sf_dir: str, key_filter=None) -> DataFrame:
     """linter findings, one per event (tool, severity, rule, category by the event's number)."""
     from codegauge.functions import rules as R
     from codegauge.operators.findings import eslint_category, eslint_suggestion, bandit_severity, \
         bandit_suggestion, pyflakes_severity, pyflakes_category, pyflakes_suggestion
-    ev = _events_k(spark, sf_dir)
+    ev = _events_k(spark, sf_dir, key_filter)
     d = ev.select(
         "event_id", "event_type", "k",
         F.concat(F.lit("f"), (F.col("user_id") * 10 + F.col("event_id") % 10).cast("string")).alias("path"),
