@@ -119,11 +119,14 @@ def duplicate_blocks(lines: DataFrame, keys: list[str], limit: int = R.DUPLICATE
     sh = (sh.filter(off < block_size - 2).select(*keys, "r", "s", "s2", "s3").unionByName(fix)
             .filter(F.col("s3").isNotNull()))
     sh = sh.withColumn("h", F.xxhash64("s", "s2", "s3"))
-    sh = materialize(ordinal(sh, [*keys, "h", "s", "s2", "s3"], ["r"], F.floor(F.col("r") / block_size), out="g"))
-    left = sh.select(*keys, "h", "s", "s2", "s3", "r",
-                     F.explode(F.sequence(F.col("g") + 1, F.col("g") + 7)).alias("g"))
-    right = sh.select(*keys, "h", F.col("g"), F.col("r").alias("rj"),
-                      F.col("s").alias("t"), F.col("s2").alias("t2"), F.col("s3").alias("t3"))
+    sh = materialize(ordinal(sh, [*keys, "h", "s", "s2", "s3"], ["r"], F.floor(F.col("r") / block_size),
+                             out="g", total="n_occ").filter(F.col("n_occ") > 1))
+    # only ranks that exist: an occurrence with no later occurrence yields no candidate
+    left = sh.filter(F.col("g") < F.col("n_occ") - 1).select(
+        *keys, "h", "s", "s2", "s3", "r",
+        F.explode(F.sequence(F.col("g") + 1, F.least(F.col("g") + 7, F.col("n_occ") - 1))).alias("g"))
+    right = sh.filter(F.col("g") > 0).select(*keys, "h", F.col("g"), F.col("r").alias("rj"),
+                                             F.col("s").alias("t"), F.col("s2").alias("t2"), F.col("s3").alias("t3"))
     pairs = (left.join(right, [*keys, "h", "g"])
                  .filter((F.col("s") == F.col("t")) & (F.col("s2") == F.col("t2"))
                          & (F.col("s3") == F.col("t3")) & (F.col("rj") >= F.col("r") + 3))

@@ -24,11 +24,12 @@ def _w(keys, *more):
 
 
 def ordinal(df: DataFrame, keys: list[str], order_cols: list, bucket: Column, out: str = "ordinal",
-            start: int = 0) -> DataFrame:
+            start: int = 0, total: str | None = None) -> DataFrame:
     """``row_number() - 1 + start`` per ``keys`` in ``order_cols`` order, without one task per key.
 
     ``bucket`` must be a coarse, non-decreasing function of the order (e.g. the first order column
-    divided by a constant); it bounds the size of every window partition.
+    divided by a constant); it bounds the size of every window partition. With ``total`` the
+    key's row count is added too (summed over its buckets, not counted in one task).
     """
     b = "__bucket"
     d = df.withColumn(b, bucket)
@@ -38,7 +39,10 @@ def ordinal(df: DataFrame, keys: list[str], order_cols: list, bucket: Column, ou
         "__off",
         F.coalesce(F.sum("__n").over(_w(keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)),
-    ).drop("__n")
+    )
+    if total:
+        sizes = sizes.withColumn(total, F.sum("__n").over(_w(keys)).cast("long"))
+    sizes = sizes.drop("__n")
     return (local.join(sizes, [*keys, b])
             .withColumn(out, (F.col("__off") + F.col("__rn") - 1 + start).cast("long"))
             .drop("__off", "__rn", b))

@@ -20,7 +20,6 @@ P = ["project_id"]
 def build_graph(spark, sf):
     """All graph tables of the file view; the extraction output is written once and shared."""
     files = FX.code_files(spark, sf).withColumn("lang", G.graph_language("path"))
-    files = materialize(files, "files")
     ext = materialize(E.analyze_files(files), "extract")
     ents, imps = E.entities(ext), E.imports(ext)
     nodes = G.file_nodes(files)

@@ -177,6 +177,7 @@ def quality_issues(spark, sf):
     # both results feed the metrics and the issue rows: write them once (they are small)
     lf = materialize(M.long_functions(lines, K), "long_functions")
     dups = materialize(M.duplicate_blocks(lines, K), "duplicate_blocks")
-    m = M.file_metrics(lines, K, lf, dups)
+    # one row per file, read by several branches below
+    m = materialize(M.file_metrics(lines, K, lf, dups), "file_metrics")
     iss = M.quality_issues(m, lf, dups, K)
     return iss.select("file_id", "kind", "seq", "severity", "category", "message")

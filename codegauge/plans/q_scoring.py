@@ -193,7 +193,8 @@ def project_scores_frame(spark, sf):
     lines = FX.code_lines(spark, sf)
     lf = materialize(M.long_functions(lines, ["file_id"]), "long_functions")
     dups = materialize(M.duplicate_blocks(lines, ["file_id"]), "duplicate_blocks")
-    m = M.file_metrics(lines, ["file_id"], lf, dups)
+    # one row per file, read by several branches below
+    m = materialize(M.file_metrics(lines, ["file_id"], lf, dups), "file_metrics")
     issues = M.quality_issues(m, lf, dups, ["file_id"])
     pen = SC.issue_penalty(issues, ["file_id"])
     m = (m.withColumn("path", F.concat(F.lit("f"), F.col("file_id").cast("string")))

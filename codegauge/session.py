@@ -63,3 +63,20 @@ def materialize(df, name: str = "stage"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def stored_table(spark, key: str, build):
+    """A derived table written once under the checkpoint folder and reused by later jobs.
+
+    ``key`` must identify the inputs and the derivation (e.g. input path + a hash of the
+    defining expressions). The table is complete only when the committer's ``_SUCCESS`` marker
+    exists, so an interrupted write is rebuilt rather than read.
+    """
+    import hashlib
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stored/{hashlib.sha1(key.encode()).hexdigest()}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

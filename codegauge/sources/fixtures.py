@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.operators.ordered import ordinal
-from codegauge.session import materialize
+from codegauge.session import stored_table
 from codegauge.plans import shared_sql as S
 from codegauge.sources.tables import table
 
@@ -19,20 +19,30 @@ _LINE_ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipda
                "l_extendedprice"]
 
 
+def _fixture_key(sf_dir: str, *parts: str) -> str:
+    import hashlib
+    return sf_dir.rstrip("/") + "|" + hashlib.sha1("|".join(parts).encode()).hexdigest()
+
+
 def code_rows(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    """(file_id, lang, pos, n, k) for one generated line per lineitem row, grouped by ``key``."""
-    li = table(spark, sf_dir, "lineitem").select(*_LINE_ORDER)
-    d = li.select(
-        F.col(key).alias("file_id"),
-        F.expr(S.LANG_OF_KEY.format(key=key)).alias("lang"),
-        F.col("l_orderkey").alias("n"),
-        F.expr(S.KIND_OF_ROW.format(key=key)).alias("k"),
-        *_LINE_ORDER,
-    )
-    # pos = row_number - 1 per file; buckets of 2^14 order keys bound every window partition
-    d = ordinal(d, ["file_id"], _LINE_ORDER, F.shiftright(F.col("l_orderkey"), 14), out="pos")
-    # every metric branch reads these rows: write them once instead of re-planning the window
-    return materialize(d.select("file_id", "lang", "pos", "n", "k"))
+    """(file_id, lang, pos, n, k) for one generated line per lineitem row, grouped by ``key``.
+
+    Every metric branch reads these rows, so they are written once per input directory (a
+    table in the shared folder) instead of re-planning the ordered numbering in each branch.
+    """
+    def build():
+        li = table(spark, sf_dir, "lineitem").select(*_LINE_ORDER)
+        d = li.select(
+            F.col(key).alias("file_id"),
+            F.expr(S.LANG_OF_KEY.format(key=key)).alias("lang"),
+            F.col("l_orderkey").alias("n"),
+            F.expr(S.KIND_OF_ROW.format(key=key)).alias("k"),
+            *_LINE_ORDER,
+        )
+        # pos = row_number - 1 per file; buckets of 2^14 order keys bound every window partition
+        d = ordinal(d, ["file_id"], _LINE_ORDER, F.shiftright(F.col("l_orderkey"), 14), out="pos")
+        return d.select("file_id", "lang", "pos", "n", "k")
+    return stored_table(spark, _fixture_key(sf_dir, "code_rows-v1", key, S.LANG_OF_KEY, S.KIND_OF_ROW), build)
 
 
 def code_lines(spark: SparkSession, sf_dir: str, key: str = "l_partkey") -> DataFrame:
@@ -64,13 +74,16 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one row per file with its text (lines joined by newline in pos order).
 
     A file is one row, as a ``binaryFile`` scan gives it; the size of one row is the size of one
-    source file.
+    source file. Written once per input directory, like ``code_rows``.
     """
-    lines = source_lines(spark, sf_dir)
-    content = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    files = lines.groupBy("project_id", "path", "lang").agg(content.alias("content"))
-    return files.withColumn("size_bytes", F.octet_length("content").cast("long"))
+    def build():
+        lines = source_lines(spark, sf_dir)
+        content = F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+        files = lines.groupBy("project_id", "path", "lang").agg(content.alias("content"))
+        return files.withColumn("size_bytes", F.octet_length("content").cast("long"))
+    return stored_table(spark, _fixture_key(sf_dir, "code_files-v1", S.RENDER_LINE, S.RENDER_PY_FILE_LINE,
+                                            S.EXT_OF_LANG), build)
 
 
 def metrics_grid(spark: SparkSession, sf_dir: str, key_filter=None) -> DataFrame:
