@@ -6,15 +6,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from codegauge.functions import rules as R
 from codegauge.operators import findings as FD
 from codegauge.operators import graph as G
 from codegauge.operators import metrics as M
 from codegauge.operators import scoring as SC
 from codegauge.operators import snapshots as SN
 from codegauge.operators.ordered import first_k, ordinal
-from codegauge.plans import q_changes, q_graph, q_scoring, q_snapshots  # noqa: F401  (shared views)
+from codegauge.plans import q_changes, q_graph, q_project, q_scoring, q_snapshots  # noqa: F401  (shared views)
 from codegauge.plans.oracle_fixtures import register, with_views
 from codegauge.plans.registry import query
+from codegauge.plans.sqlgen import q
 from codegauge.session import checkpoint_dir
 from codegauge.sources import fixtures as FX
 from codegauge.sources.tables import table
@@ -359,3 +361,29 @@ def impact_advice(spark, sf):
                .when(lvl == "high", " | ".join(IMPACT_ADVICE["high"]))
                .when(lvl == "medium", " | ".join(IMPACT_ADVICE["medium"])).otherwise(" | ".join(IMPACT_ADVICE["low"])))
     return ci.select(*P, "target", "risk_level", advice.alias("advice"))
+
+
+# ------------------------------------------------------------------ P1, P2, P3, P10 as their own queries
+def _lang_case(table: dict, x: str) -> str:
+    return "CASE " + x + " " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items()) + " ELSE NULL END"
+
+
+_SFX = "regexp_extract(path, '[^/]([.][^./]*)$', 1)"
+
+
+@query("language_maps", with_views(f"""SELECT project_id, path, {_lang_case(R.GRAPH_LANGUAGES, _SFX)} AS graph_language,
+      {_lang_case(R.METRIC_LANGUAGES, 'lower(' + _SFX + ')')} AS metric_language
+    FROM listing""", ["listing"]))
+def language_maps(spark, sf):
+    """The graph map (case-sensitive suffix, has .h/.hpp) and the metric map (lower-cased,
+    has .cc/.cxx) over every listed path; null when unsupported."""
+    lst = FX.listing(spark, sf)
+    return lst.select(*P, "path", G.graph_language("path").alias("graph_language"),
+                      G.metric_language("path").alias("metric_language"))
+
+
+@query("file_nodes", with_views("""SELECT f.project_id, f.path, f.size_bytes, n.line_count, md5(f.content) AS file_hash
+    FROM code_files f JOIN nodes n USING (project_id, path)""", ["code_files", "nodes"]))
+def file_nodes(spark, sf):
+    """File rows: size, non-blank line count (P3) and md5 of the decoded text (P10)."""
+    return G.file_nodes(FX.code_files(spark, sf)).select(*P, "path", "size_bytes", "line_count", "file_hash")
