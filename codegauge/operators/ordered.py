@@ -146,7 +146,9 @@ def sessionize(df: DataFrame, keys: list[str], ts: str, gap_seconds: int, tiebre
     row is found inside time buckets plus the last time of the previous non-empty bucket, and
     the session number is a two-level prefix sum, so a key with a third of all rows spreads out.
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    # microseconds since the epoch of the naive timestamp: no session time zone, no DST gaps
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                          F.col(ts).cast("timestamp_ntz"))
     d = df.withColumn("__us", us).withColumn("__b", F.floor(F.col("__us") / F.lit(bucket_seconds * 1_000_000)))
     order = [F.col("__us"), *[F.col(c) for c in tiebreak]]
     d = d.withColumn("__prev", F.lag("__us").over(_w(keys, F.col("__b")).orderBy(*order)))

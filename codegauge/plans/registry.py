@@ -13,7 +13,14 @@ ORACLE: dict[str, str] = {}
 def query(name: str, oracle: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with its oracle SQL (if any)."""
     def deco(fn):
-        QUERIES[name] = fn
+        import functools
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            from codegauge.session import tune
+            tune(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if oracle is not None:
             ORACLE[name] = oracle
         return fn

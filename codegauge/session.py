@@ -8,8 +8,17 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Defaults that matter at scale; every one can be overridden by the cluster's own conf.
-_DEFAULTS = {
+# Runtime SQL settings every query relies on (also applied to a session the caller built):
+# broadcast only what AQE has measured to be small, never on a planner estimate.
+RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16MB",
+}
+
+_DEFAULTS = {
+    **RUNTIME_CONF,
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -37,6 +46,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Apply :data:`RUNTIME_CONF` to a session (idempotent, cheap)."""
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 

@@ -43,6 +43,8 @@ def main():
     queries, oracle = load_all()
     names = names or list(queries)
     spark = get_session("local[8]", 8)
+    if os.environ.get("CG_TZ"):  # run the Spark side in another session time zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CG_TZ"])
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
