@@ -46,9 +46,11 @@ def code_rows(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 
 
 def code_lines(spark: SparkSession, sf_dir: str, key: str = "l_partkey") -> DataFrame:
-    """(file_id, lang, pos, line); ``key='l_suppkey'`` gives the long-file view."""
-    d = code_rows(spark, sf_dir, key)
-    return d.select("file_id", "lang", "pos", F.expr(S.RENDER_LINE).alias("line"))
+    """(file_id, lang, pos, line); ``key='l_suppkey'`` gives the long-file view (stored once)."""
+    def build():
+        return code_rows(spark, sf_dir, key).select("file_id", "lang", "pos", F.expr(S.RENDER_LINE).alias("line"))
+    return stored_table(spark, _fixture_key(sf_dir, "code_lines-v1", key, S.LANG_OF_KEY, S.KIND_OF_ROW,
+                                            S.RENDER_LINE), build)
 
 
 def code_lines_long(spark: SparkSession, sf_dir: str) -> DataFrame:
