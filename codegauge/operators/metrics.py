@@ -38,33 +38,58 @@ def with_line_features(lines: DataFrame) -> DataFrame:
              .withColumn("nest_step", nest_step.cast("int")))
 
 
-def size_and_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """line_count, lines_of_code, cyclomatic, function and class counts per file."""
+def _count_terms(lines: DataFrame) -> DataFrame:
+    """Per-line parts of the per-file sums (non-blank, code line, keyword and pattern counts)."""
     line, s = F.col("line"), py_strip("line")
     cc_terms = by_language("lang", R.CYCLOMATIC_KEYWORDS, lambda kws: count_any(line, kws), F.lit(0))
     fn_terms = by_language("lang", R.FUNCTION_PATTERNS, lambda kws: count_any(line, kws), F.lit(0))
     cls_terms = by_language("lang", R.CLASS_PATTERNS, lambda kws: count_any(line, kws), F.lit(0))
-    return lines.groupBy(*keys, "lang").agg(
-        F.count_if(s != "").cast("long").alias("line_count"),
-        F.count_if((s != "") & ~s.startswith("#")).cast("long").alias("lines_of_code"),
-        F.least(F.lit(R.CYCLOMATIC_CAP), F.lit(1) + F.sum(cc_terms)).cast("long").alias("cyclomatic"),
-        F.sum(fn_terms).cast("long").alias("function_count"),
-        F.sum(cls_terms).cast("long").alias("class_count"),
-    )
+    return (lines.withColumn("__nb", (s != "").cast("int"))
+                 .withColumn("__loc", ((s != "") & ~s.startswith("#")).cast("int"))
+                 .withColumn("__cc", cc_terms.cast("long"))
+                 .withColumn("__fn", fn_terms.cast("long"))
+                 .withColumn("__cls", cls_terms.cast("long")))
 
 
-def fold_metrics(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Cognitive complexity and maximum nesting depth per file (line-order folds)."""
-    d = with_line_features(lines).select(*keys, "pos", "cog_open", "cog_step", "nest_step")
-    d = clamped_scan(d, keys, "pos", {"cog_step": "cog", "nest_step": "nest"})
+def _count_aggs():
+    return [
+        F.sum("__nb").cast("long").alias("line_count"),
+        F.sum("__loc").cast("long").alias("lines_of_code"),
+        F.least(F.lit(R.CYCLOMATIC_CAP), F.lit(1) + F.sum("__cc")).cast("long").alias("cyclomatic"),
+        F.sum("__fn").cast("long").alias("function_count"),
+        F.sum("__cls").cast("long").alias("class_count"),
+    ]
+
+
+def size_and_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """line_count, lines_of_code, cyclomatic, function and class counts per file."""
+    return _count_terms(lines).groupBy(*keys, "lang").agg(*_count_aggs())
+
+
+def _fold_aggs():
     cog_level = F.col("cog_prev") + 1 - F.col("cog_floor")
     nest_level = F.col("nest_sum") - F.least(F.col("nest_floor"), F.col("nest_sum"))
-    return d.groupBy(*keys).agg(
+    return [
         F.least(F.lit(R.COGNITIVE_CAP),
-                F.coalesce(F.sum(F.when(F.col("cog_open"), cog_level)), F.lit(0))).cast("long")
-         .alias("cognitive"),
+                F.coalesce(F.sum(F.when(F.col("cog_open"), cog_level)), F.lit(0))).cast("long").alias("cognitive"),
         F.greatest(F.lit(0), F.max(nest_level)).cast("long").alias("max_nesting"),
-    )
+    ]
+
+
+def fold_metrics(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Cognitive complexity and maximum nesting depth per file (line-order folds)."""
+    d = with_line_features(lines).select(*keys, "pos", "cog_open", "cog_step", "nest_step")
+    d = clamped_scan(d, keys, "pos", {"cog_step": "cog", "nest_step": "nest"})
+    return d.groupBy(*keys).agg(*_fold_aggs())
+
+
+def line_metrics(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Sizes, counts and both folds in one pass: the count terms ride through the ordered scan
+    and are summed in the same per-file aggregate as the folds (one scan, one aggregate)."""
+    d = _count_terms(with_line_features(lines)).select(
+        *keys, "lang", "pos", "cog_open", "cog_step", "nest_step", "__nb", "__loc", "__cc", "__fn", "__cls")
+    d = clamped_scan(d, keys, "pos", {"cog_step": "cog", "nest_step": "nest"})
+    return d.groupBy(*keys, "lang").agg(*_count_aggs(), *_fold_aggs())
 
 
 def long_functions(lines: DataFrame, keys: list[str], block_size: int = BLOCK) -> DataFrame:
@@ -157,13 +182,12 @@ def file_metrics(lines: DataFrame, keys: list[str], long_fns: DataFrame | None =
     ``long_fns`` / ``dups`` may be passed when the caller also needs those rows, so they are
     planned once.
     """
-    counts = size_and_counts(lines, keys)
-    folds = fold_metrics(lines, keys)
+    base = line_metrics(lines, keys)
     long_fns = long_functions(lines, keys) if long_fns is None else long_fns
     dups = duplicate_blocks(lines, keys) if dups is None else dups
     lf = long_fns.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_long"))
     dup = dups.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_dup"))
-    m = (counts.join(folds, keys, "left").join(lf, keys, "left").join(dup, keys, "left")
+    m = (base.join(lf, keys, "left").join(dup, keys, "left")
                .withColumn("n_long", F.coalesce("n_long", F.lit(0)).cast("long"))
                .withColumn("n_dup", F.coalesce("n_dup", F.lit(0)).cast("long")))
     mi = maintainability_index(F.col("lines_of_code"), F.col("cyclomatic"), F.col("cognitive"),
