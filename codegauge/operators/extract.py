@@ -9,10 +9,16 @@ result is one row per entity or import. Other languages yield nothing (their fil
 from __future__ import annotations
 
 import re
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The batch function runs in Python workers; ship this module's code with it (by value) so that
+# executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The JavaScript/TypeScript patterns, in the order they are applied.
 JS_FUNCTION_PATTERNS = [
     r'function\s+(\w+)\s*\(',
