@@ -26,6 +26,8 @@ _DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # long sessions run many jobs: let the cleaner drop old shuffle data regularly
+    "spark.cleaner.periodicGC.interval": "2min",
 }
 
 
