@@ -102,17 +102,20 @@ def read_change_stream(spark: SparkSession, source: str, fmt: str = "parquet", m
 
 
 def stream_sessions(changes: DataFrame, gap: str = "10 minutes", watermark: str = "10 minutes") -> DataFrame:
-    """T2 + T5 as a stream: watermark on event time, session windows per project (append mode).
+    """T1 + F1 + T2 + T5 as a stream: moves expanded, monitor filter, watermark on event time,
+    session windows per project (append mode: a session is emitted once the watermark, the
+    latest event time minus the delay, has passed its end).
 
-    Event time is cast from TIMESTAMP_NTZ (how the tables load) to TIMESTAMP for the watermark.
+    Event time is cast from TIMESTAMP_NTZ (how the tables load) to TIMESTAMP for the watermark,
+    and the window bounds are cast back.
     """
-    d = changes.filter(should_monitor(F.col("path"))).withColumn("ets", F.col("ts").cast("timestamp"))
+    d = monitored(expand_moves(changes)).withColumn("ets", F.col("ts").cast("timestamp"))
     return (d.withWatermark("ets", watermark)
              .groupBy("project_id", F.session_window("ets", gap).alias("w"))
              .agg(F.count(F.lit(1)).cast("long").alias("n_events"),
                   F.min("event_id").alias("first_event"))
-             .select("project_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"),
-                     "n_events", "first_event"))
+             .select("project_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"),
+                     F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n_events", "first_event"))
 
 
 def run_session_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,

@@ -44,7 +44,7 @@ def test_stream_sessions_equal_batch_for_closed_sessions(spark):
     CH.run_session_stream(spark, f"{base}/src", f"{base}/out", f"{base}/ck", gap="600 seconds", watermark="10 minutes")
     streamed = {(r.project_id, r.session_start.replace(tzinfo=None), r.n_events)
                 for r in spark.read.parquet(f"{base}/out").collect()}
-    mon = ch.filter(CH.should_monitor(F.col("path")))
+    mon = CH.monitored(CH.expand_moves(ch))
     batch = CH.debounce_sessions(mon, 600).collect()
     last = mon.agg(F.max("ts")).first()[0]
     closed = {(r.project_id, r.session_start, r.n_events) for r in batch
