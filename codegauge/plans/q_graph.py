@@ -24,10 +24,12 @@ def build_graph(spark, sf):
     ents, imps = E.entities(ext), E.imports(ext)
     nodes = G.file_nodes(files)
     resolved = G.resolve_imports(imps, files.select(*P, "path"))
-    ie = G.import_edges(resolved, nodes)
+    # the edge tables are read by several joins of one query (direct, two-hop, counts): write them once
+    ie = materialize(G.import_edges(resolved, nodes), "import_edges")
     ce = G.contains_edges(ents)
+    edges = materialize(G.all_edges(ie, ce), "edges")
     return {"files": files, "nodes": nodes, "entities": ents, "imports": imps, "resolved": resolved,
-            "import_edges": ie, "contains_edges": ce, "edges": G.all_edges(ie, ce)}
+            "import_edges": ie, "contains_edges": ce, "edges": edges}
 
 
 # ---------------------------------------------------------------- DuckDB twins
