@@ -17,7 +17,7 @@ from codegauge.plans import q_changes, q_graph, q_project, q_scoring, q_snapshot
 from codegauge.plans.oracle_fixtures import register, with_views
 from codegauge.plans.registry import query
 from codegauge.plans.sqlgen import q
-from codegauge.session import checkpoint_dir
+from codegauge.session import checkpoint_dir, materialize
 from codegauge.sources import fixtures as FX
 from codegauge.sources.tables import table
 from codegauge.streaming import changes as CH
@@ -311,7 +311,8 @@ _DIST = ", ".join(f"CAST(count(*) FILTER (WHERE complexity_level = '{b}') AS BIG
 def summarize_project(spark, sf):
     """Statistics, complexity histogram and the ten riskiest files (a bounded list) per project."""
     g = q_graph.build_graph(spark, sf)
-    risk = G.risk_scores(g["nodes"], g["entities"], g["imports"])
+    # one row per file, read by the statistics, the histogram and the top-k: written once
+    risk = materialize(G.risk_scores(g["nodes"], g["entities"], g["imports"]), "risk")
     stats = G.project_statistics(risk, g["entities"], g["edges"], g["import_edges"])
     dist = G.complexity_distribution(risk)
     top = G.most_complex_files(risk)
