@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,23 +50,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def tune(spark: SparkSession) -> None:
-    """Apply :data:`RUNTIME_CONF` to a session (idempotent, cheap)."""
+    """Fill in :data:`RUNTIME_CONF` where the caller set nothing (idempotent, cheap)."""
     for k, v in RUNTIME_CONF.items():
-        if spark.conf.get(k, None) != v:
+        if not spark.conf._jconf.contains(k):
             spark.conf.set(k, v)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset (tests, a laptop)
-    do we pick a scratch folder of our own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master may leave it unset
+    (tests, a laptop): a scratch folder of one machine would lose rows on a real cluster, so
+    any other master without the setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master}")
         d = tempfile.mkdtemp(prefix="codegauge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
