@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import mixing, sentencepiece_codec, token_counts, topk
+from . import jaccard, mixing, sentencepiece_codec, token_counts, topk
 from .common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -32,14 +32,20 @@ def op8_topk(spark, sf_dir):
     return topk.top_k(v, v.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op9_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(documents(spark, sf_dir), k=3, num=90, den=100)
+
+
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_topk": op8_topk,
+    "op9_jaccard": op9_jaccard,
 }
 
 ORACLE = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
+    "op9_jaccard": jaccard.ORACLE_SQL,
 }
