@@ -89,14 +89,19 @@ _BYTE = by_splitmix(256, 11)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and the n + 1 word offsets of the texts.
+    """64-bit hashes of the words of all texts in order, and the n + 1 word offsets of the texts."""
+    return word_spans(data, offsets, lower)[:2]
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, word offsets of the texts, first byte, end byte) of the words.
 
     A word is a maximal run of bytes outside space and U+0009-U+000D inside one text; with ``lower``
     A-Z count as a-z. The hash is a polynomial in a random value for each byte, by prefix sums.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = ~SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -119,7 +124,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
         h = pre[ends] - pre[starts]
         h *= _power(inverse(), starts, n)
         h = mix64(h ^ (lens * np.uint64(0xC2B2AE3D27D4EB4F)))
-    return h, np.searchsorted(starts, offsets).astype(np.int64)
+    return h, np.searchsorted(starts, offsets).astype(np.int64), starts, ends
 
 
 _INV = pow(int(MULT), -1, 1 << 64)
@@ -155,31 +160,66 @@ def packed(values: list[np.ndarray]) -> pa.Array:
     return pa.array([v.tobytes() for v in values], pa.binary())
 
 
-def ask(keys: np.ndarray, shards: int, block: int, *vals: np.ndarray) -> pa.Table:
-    """One row (shard, block, keys, v0, v1, ...) for each shard that owns some of a block's sorted distinct keys."""
-    own = owner(keys, shards)
+def summed(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys, vals = keys[order], vals[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(vals, at) if len(at) else vals
+
+
+class Sums:
+    """Sums by key over a stream of arrays, in memory bounded by ``most`` entries; ``flush`` gives them out."""
+
+    def __init__(self, most: int = 3_000_000):
+        self.most, self.parts, self.size = most, [], 0
+
+    def add(self, keys: np.ndarray, vals: np.ndarray):
+        self.parts.append((keys, vals))
+        self.size += len(keys)
+        if self.size > self.most:
+            self.merge()
+
+    def merge(self):
+        if len(self.parts) > 1:
+            self.parts = [summed(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))]
+        self.size = len(self.parts[0][0]) if self.parts else 0
+
+    @property
+    def full(self) -> bool:
+        return self.size > self.most * 2 // 3
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray]:
+        self.merge()
+        out = summed(*self.parts[0]) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.parts, self.size = [], 0
+        return out
+
+
+def ask(keys: np.ndarray, own: np.ndarray, block: int, *vals: np.ndarray, kind: int = 0) -> pa.Table:
+    """One row (kind, shard, block, keys, v0, ...) for each shard in ``own``; keys lie in ascending order of their shard."""
     at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
     to = np.r_[at[1:], len(own)]
-    names, cols = ["shard", "block", "keys"], [pa.array(own[at], pa.int32()), pa.array(np.full(len(at), block), pa.int32()), packed([keys[i:j] for i, j in zip(at, to)])]
-    for k, v in enumerate(vals):
-        names.append(f"v{k}")
-        cols.append(packed([v[i:j] for i, j in zip(at, to)]))
-    return pa.table(dict(zip(names, cols)))
+    full = lambda x: pa.array(np.full(len(at), x), pa.int32())
+    cols = {"kind": full(kind), "shard": pa.array(own[at], pa.int32()), "block": full(block)}
+    for name, v in zip(["keys"] + [f"v{k}" for k in range(len(vals))], (keys, *vals)):
+        cols[name] = packed([v[i:j] for i, j in zip(at, to)])
+    return pa.table(cols)
 
 
 def asked(vals: int) -> str:
-    return "shard int, block int, keys binary" + "".join(f", v{k} binary" for k in range(vals))
+    return "kind int, shard int, block int, keys binary" + "".join(f", v{k} binary" for k in range(vals))
 
 
 class Shard:
     """The requests of one shard: all keys, the distinct ones, and the way back to each request."""
 
-    def __init__(self, table: pa.Table, types: list = ()):
+    def __init__(self, table: pa.Table, types: list = (), key=np.uint64):
         self.blocks = table["block"].to_pylist()
-        parts = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+        self.kind, self.shard = (table[c][0].as_py() if table.num_rows else 0 for c in ("kind", "shard"))
+        parts = [np.frombuffer(x, key) for x in table["keys"].to_pylist()]
         self.sizes = [len(x) for x in parts]
-        self.all = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.keys, self.inverse = np.unique(self.all, return_inverse=True)
+        self.keys, self.inverse = np.unique(np.concatenate(parts) if parts else np.zeros(0, key), return_inverse=True)
         self.vals = [np.concatenate([np.frombuffer(x, t) for x in table[f"v{k}"].to_pylist()]) for k, t in enumerate(types)]
 
     def per_key(self, ufunc, vals: np.ndarray, start) -> np.ndarray:
@@ -187,26 +227,29 @@ class Shard:
         ufunc.at(out, self.inverse, vals)
         return out
 
-    def reply(self, shard: int, *answers: np.ndarray) -> pa.Table:
-        """One row (shard, block, a0, a1, ...) per request, the answers in the order of its keys."""
+    def reply(self, *answers: np.ndarray) -> pa.Table:
+        """One row (kind, shard, block, a0, a1, ...) per request, the answers in the order of its keys."""
         cuts = np.cumsum(self.sizes)[:-1]
-        cols = {"shard": pa.array(np.full(len(self.blocks), shard), pa.int32()), "block": pa.array(self.blocks, pa.int32())}
+        full = lambda x: pa.array(np.full(len(self.blocks), x), pa.int32())
+        cols = {"kind": full(self.kind), "shard": full(self.shard), "block": pa.array(self.blocks, pa.int32())}
         for k, a in enumerate(answers):
-            cols[f"a{k}"] = packed(np.split(a[self.inverse], cuts))
+            cols[f"a{k}"] = packed(np.split(a[self.inverse], cuts) if self.sizes else [])
         return pa.table(cols)
 
 
 def answered(vals: int) -> str:
-    return "shard int, block int" + "".join(f", a{k} binary" for k in range(vals))
+    return "kind int, shard int, block int" + "".join(f", a{k} binary" for k in range(vals))
 
 
-def answers(table: pa.Table, types: list) -> list[np.ndarray]:
-    """A block's answers joined in the order of its sorted keys (shards ascend with the keys)."""
-    order = np.argsort(table["shard"].to_numpy(), kind="stable")
+def answers(table: pa.Table, types: list, kind: int = 0) -> list[np.ndarray]:
+    """A block's answers to its requests of one kind, in the order of its keys (shards ascend with them)."""
+    shard, kinds = table["shard"].to_numpy(), table["kind"].to_numpy()
+    order = np.flatnonzero(kinds == kind)
+    order = order[np.argsort(shard[order], kind="stable")]
     out = []
     for k, t in enumerate(types):
-        got = table[f"a{k}"].to_pylist()
-        out.append(np.concatenate([np.frombuffer(got[i], t) for i in order]) if len(order) else np.zeros(0, t))
+        col = table[f"a{k}"]
+        out.append(np.concatenate([np.frombuffer(col[int(i)].as_buffer(), t) for i in order]) if len(order) else np.zeros(0, t))
     return out
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shard, answered, answers, ask, asked, buffers, by_splitmix, in_blocks, mix64, n_blocks, slices, word_hashes, written
+from .common import Shard, answered, answers, ask, asked, buffers, by_splitmix, in_blocks, mix64, n_blocks, owner, slices, word_hashes, written
 from .components import components
 
 RATIO = 1.5
@@ -156,14 +156,14 @@ def _members(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
 
     def request(table: pa.Table) -> pa.Table:
         keys, low, high = tiles_of(table)
-        return ask(keys, shards, table["block"][0].as_py(), low, np.where(low == high, 0, 1).astype(np.uint8))
+        return ask(keys, owner(keys, shards), table["block"][0].as_py(), low, np.where(low == high, 0, 1).astype(np.uint8))
 
     def shard(table: pa.Table) -> pa.Table:
         s = Shard(table, [np.int64, np.uint8])
         low = s.per_key(np.minimum, s.vals[0], np.iinfo(np.int64).max)
         high = s.per_key(np.maximum, s.vals[0], np.iinfo(np.int64).min)
         two = s.per_key(np.maximum, s.vals[1], 0)
-        return s.reply(table["shard"][0].as_py(), ((low != high) | (two > 0)).astype(np.uint8))
+        return s.reply(((low != high) | (two > 0)).astype(np.uint8))
 
     def emit(table: pa.Table, reply: pa.Table) -> pa.Table:
         cols: list[list] = [[] for _ in range(7)]

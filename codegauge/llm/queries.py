@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, sentencepiece_codec, token_counts, topk
+from . import jaccard, lm_score, mixing, sentencepiece_codec, token_counts, topk
 from .common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -36,12 +36,17 @@ def op9_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(documents(spark, sf_dir), k=3, num=90, den=100)
 
 
+def op10_lm_score(spark, sf_dir):
+    return lm_score.lm_scores(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_topk": op8_topk,
     "op9_jaccard": op9_jaccard,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE = {
