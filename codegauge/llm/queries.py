@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard, lm_score, mixing, sentencepiece_codec, token_counts, topk
+from . import jaccard, lm_score, mixing, quality, sentencepiece_codec, token_counts, topk
 from .common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -40,8 +40,14 @@ def op10_lm_score(spark, sf_dir):
     return lm_score.lm_scores(documents(spark, sf_dir))
 
 
+def op4_quality(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality.quality(documents(spark, sf_dir), labels, keep=["doc_id", "lang"])
+
+
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_quality": op4_quality,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_topk": op8_topk,
