@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard, lm_score, mixing, quality, sentencepiece_codec, token_counts, topk
+from . import jaccard, lm_score, mixing, quality, sentencepiece_codec, suffix_dedup, token_counts, topk
 from .common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -15,6 +15,10 @@ def embeddings(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(suffix_dedup.repeated_spans(documents(spark, sf_dir)))
+
+
 def op3_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.digests(sentencepiece_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path(PIECES)))
 
@@ -46,6 +50,7 @@ def op4_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
     "op6_token_counts": op6_token_counts,
