@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard, lm_score, mixing, quality, sentencepiece_codec, suffix_dedup, token_counts, topk
+from . import chunk_dedup, jaccard, lattice, lm_score, mixing, quality, sentencepiece_codec, suffix_dedup, token_counts, topk
 from .common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -19,6 +19,14 @@ def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(suffix_dedup.repeated_spans(documents(spark, sf_dir)))
 
 
+def op2_lattice(spark, sf_dir):
+    return lattice.near_duplicates(embeddings(spark, sf_dir), threshold=0.9)
+
+
+def op5_chunk_dedup(spark, sf_dir):
+    return chunk_dedup.digests(chunk_dedup.repeated_chunks(documents(spark, sf_dir)))
+
+
 def op3_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.digests(sentencepiece_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path(PIECES)))
 
@@ -51,8 +59,10 @@ def op4_quality(spark, sf_dir):
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_lattice": op2_lattice,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
+    "op5_chunk_dedup": op5_chunk_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_topk": op8_topk,
