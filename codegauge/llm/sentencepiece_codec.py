@@ -112,6 +112,6 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of :func:`encode_decode` rows."""
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, n_tokens, ids_sha256, decoded_sha256 of :func:`encode_decode` rows."""
+    return encoded.select(*keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Shard, answers, ask, buffers, in_blocks, mix64, n_blocks, owner, packed
 from .suffix_sort import Suffixes, powers, prefix_hashes
@@ -136,8 +137,8 @@ def _memo_of(reply: pa.Table, types: list) -> list[np.ndarray]:
     return [np.frombuffer(reply[f"a{k}"][at].as_buffer(), t) for k, t in enumerate(types)]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, spans (start, end of the maximal removed runs, in bytes), kept (remaining bytes), kept_text of every row.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, keep: list[str] = ()) -> DataFrame:
+    """doc_id (and ``keep``), n_bytes, spans (start, end of the maximal removed runs, in bytes), kept (remaining bytes), kept_text of every row.
 
     A null text is empty. Strings that repeat inside one document only, or among rows of one doc_id, stay. A row with a null
     doc_id has no place in the order: it loses nothing and takes nothing from others. ``kept_text`` is the text without the
@@ -145,7 +146,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """
     blocks = n_blocks(docs)
     shards = blocks
-    grouped = in_blocks(docs, blocks, ["doc_id", "text"])
+    grouped = in_blocks(docs, blocks, ["doc_id", "text", *keep])
     empty = pa.table({c: pa.array([], pa.int32() if i < 3 else pa.binary()) for i, c in enumerate(("kind", "shard", "block", "keys", "v0", "v1", "v2"))})
 
     def ask_grams(t: pa.Table) -> pa.Table:
@@ -249,7 +250,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     def cut_out(t: pa.Table, reply: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return pa.table({c: pa.array([], k) for c, k in (("doc_id", t.schema.field("doc_id").type), ("n_bytes", pa.int64()), ("spans", SPANS), ("kept", pa.binary()), ("kept_text", pa.string()))})
+            return pa.table({c: pa.array([], k) for c, k in ([(c, t.schema.field(c).type) for c in ("doc_id", *keep)] + [("n_bytes", pa.int64()), ("spans", SPANS), ("kept", pa.binary()), ("kept_text", pa.string())])})
         b = Block(t, length, anchor, group=False)
         cut, look = (x.reshape(-1, w) for x, w in zip(_memo_of(reply, [np.int64, np.int64]), (2, 3)))
         masks = answers(reply, [np.uint64], SUFFIXES)[0]
@@ -276,14 +277,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             chars = np.flatnonzero((x & 0xC0) != 0x80)
             whole = np.logical_and.reduceat(gone, chars)
             texts.append(x[~np.repeat(whole, np.diff(np.r_[chars, len(x)]))].tobytes().decode())
-        return pa.table({"doc_id": b.table["doc_id"], "n_bytes": pa.array(np.diff(b.offsets), pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary()), "kept_text": pa.array(texts, pa.string())})
+        return pa.table({**{c: b.table[c] for c in ("doc_id", *keep)}, "n_bytes": pa.array(np.diff(b.offsets), pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary()), "kept_text": pa.array(texts, pa.string())})
 
     step = grouped.groupBy("block").applyInArrow(ask_grams, WANT).groupBy("kind", "shard").applyInArrow(answer_grams, GOT)
     step = grouped.groupBy("block").cogroup(step.groupBy("block")).applyInArrow(ask_regions, WANT).groupBy("kind", "shard").applyInArrow(answer_regions, GOT)
     step = grouped.groupBy("block").cogroup(step.groupBy("block")).applyInArrow(ask_suffixes, WANT).groupBy("kind", "shard").applyInArrow(answer_suffixes, GOT)
-    schema = docs.select("doc_id").schema.add("n_bytes", "long")
-    out = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, spans array<struct<start: long, end: long>>, kept binary, kept_text string"
-    return grouped.groupBy("block").cogroup(step.groupBy("block")).applyInArrow(cut_out, out)
+    span = T.StructType().add("start", "long").add("end", "long")
+    schema = docs.select("doc_id", *keep).schema.add("n_bytes", "long").add("spans", T.ArrayType(span)).add("kept", "binary").add("kept_text", "string")
+    return grouped.groupBy("block").cogroup(step.groupBy("block")).applyInArrow(cut_out, schema)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
