@@ -23,7 +23,7 @@ from .common import Shard, answered, answers, ask, asked, buffers, by_splitmix,
 from .components import components
 
 RATIO = 1.5
-MOST_BITS = 1024
+MOST_BITS = 8192
 CHUNK = 1024
 SLICE = 2 << 20
 
@@ -79,7 +79,7 @@ class Bands:
         return [band] + [band + 1] * (size * self.den >= self.num * self.edge(band + 1))
 
     def bits(self, size: int) -> int:
-        return min(MOST_BITS, max(64, 1 << (self.edge(self.of(size) + 1) - 1).bit_length()))
+        return min(MOST_BITS, max(64, 1 << (4 * self.edge(self.of(size) + 1) - 1).bit_length()))
 
 
 _PARTS: dict = {}
@@ -109,7 +109,7 @@ def bitmap(s: np.ndarray, width: int) -> bytes:
 
 
 def bitmap_bound(na, a: np.ndarray, nb, b: np.ndarray) -> np.ndarray:
-    """Upper bound of the overlap of sets with bitmaps ``a`` (one) and ``b`` (rows): each bit set on one
+    """Upper bound of the overlap of sets with the bitmap rows ``a`` and ``b`` (64-bit words): each bit set on one
     side only stands for at least one element that the other lacks."""
     only_a = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
     only_b = np.bitwise_count(~a & b).sum(axis=1, dtype=np.int64)
@@ -174,7 +174,7 @@ def _members(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             for i, s in _sets(table, k):
                 d1, d2 = _digest(s)
                 mine = tiles(s, bands) if len(s) and ids[i] is not None else shared[:0]
-                mine = mine[np.isin(mine, shared)] if len(shared) else mine[:0]
+                mine = mine[shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine] if len(shared) else mine[:0]
                 for c, v in zip(cols, (None, ids[i], len(s), d1, d2, bitmap(s, bands.bits(len(s))) if len(mine) else None, s.tobytes() if len(mine) else None)):
                     c.append(v)
                 for t in mine.astype(np.int64).tolist():
@@ -199,8 +199,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             for i, (na, nb) in enumerate(zip(rows["na"].to_pylist(), rows["nb"].to_pylist())):
                 if not reaches(min(na, nb), na, nb, num, den):
                     continue
-                a, b = (np.frombuffer(rows[f"bits{x}"][i].as_buffer(), np.uint8) for x in "ab")
-                if len(a) == len(b) and not reaches(bitmap_bound(na, a, nb, b[None])[0], na, nb, num, den):
+                a, b = (np.frombuffer(rows[f"bits{x}"][i].as_buffer(), np.uint64)[None] for x in "ab")
+                if a.shape == b.shape and not reaches(bitmap_bound(na, a, nb, b)[0], na, nb, num, den):
                     continue
                 a, b = (np.frombuffer(rows[f"items{x}"][i].as_buffer(), np.uint64) for x in "ab")
                 if reaches(len(np.intersect1d(a, b, assume_unique=True)), na, nb, num, den):
@@ -211,35 +211,69 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
+def _close_pairs(cell: np.ndarray, ids, comp, n, chunk, cross, bits: list, num: int, den: int):
+    """Pairs of rows of one cell (rows lie by cell) in different components whose sizes and bitmaps allow a link; in a
+    cell of two chunks only pairs across them. Rows are compared at distance 1, 2, ... for all cells at once."""
+    width = np.array([len(x) for x in bits])
+    at_of = np.cumsum(width) - width
+    words = np.frombuffer(b"".join(bits), np.uint64)
+    end = np.searchsorted(cell, cell, side="right")
+    out_a, out_b = [], []
+    rows, d = np.arange(len(cell)), 1
+    while True:
+        rows = rows[rows + d < end[rows]]
+        if not len(rows):
+            break
+        i, j = rows, rows + d
+        ok = (comp[i] != comp[j]) & (ids[i] != ids[j]) & reaches(np.minimum(n[i], n[j]), n[i], n[j], num, den) & (~cross[i] | (chunk[i] != chunk[j]))
+        i, j = i[ok], j[ok]
+        keep = np.ones(len(i), bool)
+        for w in np.unique(width[i]):
+            at = np.flatnonzero((width[i] == w) & (width[j] == w))
+            for lo in range(0, len(at), 4096):
+                part = at[lo:lo + 4096]
+                cols = np.arange(w // 8)
+                x, y = words[at_of[i[part], None] // 8 + cols], words[at_of[j[part], None] // 8 + cols]
+                keep[part] = reaches(bitmap_bound(n[i[part]], x, n[j[part]], y), n[i[part]], n[j[part]], num, den)
+        out_a.append(np.minimum(ids[i[keep]], ids[j[keep]]))
+        out_b.append(np.maximum(ids[i[keep]], ids[j[keep]]))
+        d += 1
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    pairs = np.unique(np.stack([cat(out_a), cat(out_b)], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of members of one tile in different components whose bitmaps allow a link.
 
-    members: tile, doc_id, component, n, bits, chunks (of its tile). Chunks of a large tile meet two by two, so no task
-    holds more than two of them."""
+    members: tile, doc_id, component, n, bits, chunks (of its tile). Chunks of a large tile meet two by two (a cell each), so no
+    task must hold more than two of them together."""
     chunk = F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     cells = members.withColumn("chunk", chunk).withColumn("other", other).select("tile", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "doc_id", "component", "n", "bits", "chunk")
 
-    def cell(table: pa.Table) -> pa.Table:
-        ids, comp, n, chunk = (table[c].to_numpy() for c in ("doc_id", "component", "n", "chunk"))
-        width = max(len(x) for x in table["bits"].to_pylist())
-        wide = np.array([len(x) == width for x in table["bits"].to_pylist()])
-        bits = np.stack([np.frombuffer(x, np.uint8) if len(x) == width else np.zeros(width, np.uint8) for x in table["bits"].to_pylist()])
-        same = table["lo"][0].as_py() == table["hi"][0].as_py()
-        a, b = [], []
-        for i in range(len(ids)):
-            ok = (comp != comp[i]) & (ids > ids[i]) & reaches(np.minimum(n, n[i]), n, n[i], num, den)
-            if not same:
-                ok &= chunk != chunk[i]
-            at = np.flatnonzero(ok)
-            if len(at):
-                bound = np.where(wide[at] & wide[i], bitmap_bound(n[i], bits[i], n[at], bits[at]), np.minimum(n[at], n[i]))
-                at = at[reaches(bound, n[at], n[i], num, den)]
-                a += [ids[i]] * len(at)
-                b += ids[at].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return cells.groupBy("tile", "lo", "hi").applyInArrow(cell, "a long, b long").distinct()
+    def scan(batches):
+        def pairs(t: pa.Table):
+            tile, lo, hi, ids, comp, n, _, chunk = (t.column(i) for i in range(8))
+            tile, lo, hi, ids, comp, n, chunk = (c.to_numpy() for c in (tile, lo, hi, ids, comp, n, chunk))
+            cell = np.cumsum(np.r_[False, (tile[1:] != tile[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            a, b = _close_pairs(cell, ids, comp, n, chunk, lo != hi, t.column(6).to_pylist(), num, den)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        waiting = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if waiting is None else pa.concat_tables([waiting, t]).combine_chunks()
+            key = [t.column(i).to_numpy() for i in range(3)]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            full = int(change[-1]) if len(change) else 0  # the last cell may go on in the next batch
+            if full:
+                yield pairs(t.slice(0, full))
+            waiting = t.slice(full)
+        if waiting is not None and waiting.num_rows:
+            yield pairs(waiting)
+
+    return cells.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi").mapInArrow(scan, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
