@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -75,6 +77,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, in one folder per application that is deleted when the
+    application's file system closes."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/codegauge-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df, name: str = "stage"):
     """Cut the lineage of a frame that several branches read: write it once as a table.
 
@@ -82,25 +93,36 @@ def materialize(df, name: str = "stage"):
     temp dir on a cluster), so it survives the loss of any executor, and is read back as
     Parquet: one job, columnar, splittable, with statistics for the planner.
     """
-    import uuid
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def stored_table(spark, key: str, build):
-    """A derived table written once under the checkpoint folder and reused by later jobs.
+def input_stamp(spark: SparkSession, path: str) -> str:
+    """Digest of the input's files (path, length, modification time): another one once the input has changed."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()
+
+
+_STORED: dict[tuple, str] = {}
 
-    ``key`` must identify the inputs and the derivation (e.g. input path + a hash of the
-    defining expressions). The table is complete only when the committer's ``_SUCCESS`` marker
-    exists, so an interrupted write is rebuilt rather than read.
+
+def stored_table(spark: SparkSession, inputs: list[str], key: str, build):
+    """A derived table that several queries of this application read, written once per state of its inputs.
+
+    The key holds the application and the files of ``inputs`` with their lengths and times, so nothing is reused from another
+    run, from other code, or after the input has changed.
     """
-    import hashlib
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stored/{hashlib.sha1(key.encode()).hexdigest()}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    full = (spark.sparkContext.applicationId, key, *[input_stamp(spark, i) for i in inputs])
+    if full not in _STORED:
+        path = scratch_dir(spark, "stored")
+        build().write.parquet(path)
+        _STORED[full] = path
+    return spark.read.parquet(_STORED[full])

@@ -19,9 +19,9 @@ _LINE_ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipda
                "l_extendedprice"]
 
 
-def _fixture_key(sf_dir: str, *parts: str) -> str:
-    import hashlib
-    return sf_dir.rstrip("/") + "|" + hashlib.sha1("|".join(parts).encode()).hexdigest()
+def _stored(spark: SparkSession, sf_dir: str, view: str, build) -> DataFrame:
+    """A view over lineitem that many queries read, written once per state of the table."""
+    return stored_table(spark, [f"{sf_dir.rstrip('/')}/lineitem.parquet"], view, build)
 
 
 def code_rows(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -42,15 +42,14 @@ def code_rows(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
         # pos = row_number - 1 per file; buckets of 2^14 order keys bound every window partition
         d = ordinal(d, ["file_id"], _LINE_ORDER, F.shiftright(F.col("l_orderkey"), 14), out="pos")
         return d.select("file_id", "lang", "pos", "n", "k")
-    return stored_table(spark, _fixture_key(sf_dir, "code_rows-v1", key, S.LANG_OF_KEY, S.KIND_OF_ROW), build)
+    return _stored(spark, sf_dir, f"code_rows {key}", build)
 
 
 def code_lines(spark: SparkSession, sf_dir: str, key: str = "l_partkey") -> DataFrame:
     """(file_id, lang, pos, line); ``key='l_suppkey'`` gives the long-file view (stored once)."""
     def build():
         return code_rows(spark, sf_dir, key).select("file_id", "lang", "pos", F.expr(S.RENDER_LINE).alias("line"))
-    return stored_table(spark, _fixture_key(sf_dir, "code_lines-v1", key, S.LANG_OF_KEY, S.KIND_OF_ROW,
-                                            S.RENDER_LINE), build)
+    return _stored(spark, sf_dir, f"code_lines {key}", build)
 
 
 def code_lines_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +83,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
         files = lines.groupBy("project_id", "path", "lang").agg(content.alias("content"))
         return files.withColumn("size_bytes", F.octet_length("content").cast("long"))
-    return stored_table(spark, _fixture_key(sf_dir, "code_files-v1", S.RENDER_LINE, S.RENDER_PY_FILE_LINE,
-                                            S.EXT_OF_LANG), build)
+    return _stored(spark, sf_dir, "code_files", build)
 
 
 def metrics_grid(spark: SparkSession, sf_dir: str, key_filter=None) -> DataFrame:
@@ -200,13 +198,13 @@ def tool_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str):
-    """two snapshots of file rows (project_id, path, file_hash, risk, mtime) and their entities.
+    """F9 (five projects share their paths): two snapshots of file rows (project_id, path, file_hash, risk, mtime) and their entities.
 
     A keeps parts whose key is not a multiple of 7, B those not a multiple of 5; in B the hash
     and mtime change when p_size > 25. Each file has two entities per snapshot.
     """
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    path = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".ts"))
+    path = F.concat(F.lit("src/p"), (F.col("p_partkey") - F.col("p_partkey") % 5).cast("string"), F.lit(".ts"))
     proj = (F.col("p_partkey") % 5).alias("project_id")
     big = F.col("p_size") > 25
     pa = p.filter(F.col("p_partkey") % 7 != 0)
@@ -250,12 +248,13 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numstat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``git diff --numstat`` rows as text (path, added, deleted); '-' marks binary."""
+    """``git diff --numstat`` rows as text (project_id, path, added, deleted); '-' marks binary."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
                                                  "l_returnflag")
     binary = F.col("l_returnflag") == "R"
     return li.select(
-        F.concat(F.lit("src/p"), F.col("l_partkey").cast("string"), F.lit(".ts")).alias("path"),
+        (F.col("l_partkey") % 5).alias("project_id"),
+        F.concat(F.lit("src/p"), (F.col("l_partkey") - F.col("l_partkey") % 5).cast("string"), F.lit(".ts")).alias("path"),
         F.col("l_orderkey").alias("commit_seq"),
         F.col("l_linenumber").cast("long").alias("line_no"),
         F.when(binary, "-").otherwise(F.col("l_quantity").cast("long").cast("string")).alias("added"),
