@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
 from codegauge.functions.text import py_strip
-from codegauge.operators.ordered import first_k
+from codegauge.operators.ordered import top_k
 
 P = ["project_id"]
 
@@ -58,11 +58,17 @@ def _parent(path: Column) -> Column:
 
 
 def _join_path(d: Column, rest: Column) -> Column:
-    j = F.when(d == ".", rest).otherwise(F.concat(d, F.lit("/"), rest))
-    j = F.regexp_replace(j, "/+", "/")
-    j = F.regexp_replace(j, r"(^|/)\.(/|$)", "$1")  # pathlib drops "." components
-    j = F.regexp_replace(j, r"(^|/)\.(/|$)", "$1")
-    return F.regexp_replace(j, r"(.)/$", "$1")
+    """``d / rest`` as segments: empty and "." segments vanish, ".." stays."""
+    return F.filter(F.split(F.concat(d, F.lit("/"), rest), "/"), lambda x: (x != "") & (x != "."))
+
+
+def _fold_parents(parts: Column) -> Column:
+    """Each ".." takes the folder before it along; one that has none (or stands after such a one) leaves the
+    tree and stays, so it matches nothing."""
+    def step(acc, x):
+        up = (x == "..") & (F.size(acc) > 0) & (F.coalesce(F.element_at(acc, -1), F.lit("..")) != "..")
+        return F.when(up, F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.array_append(acc, x))
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
 
 
 def resolve_imports(imports: DataFrame, listing: DataFrame, normalize: bool = False) -> DataFrame:
@@ -79,10 +85,8 @@ def resolve_imports(imports: DataFrame, listing: DataFrame, normalize: bool = Fa
     rest = (F.when(spec.startswith("./"), F.substring(spec, 3, 1 << 30))
              .when(spec.startswith("../"), spec)
              .otherwise(F.substring(spec, 2, 1 << 30)))
-    base = _join_path(_parent(F.col("path")), rest)
-    if normalize:
-        for _ in range(8):
-            base = F.regexp_replace(base, r"(^|/)[^/]+/\.\.(/|$)", "$1")
+    parts = _join_path(_parent(F.col("path")), rest)
+    base = F.array_join(_fold_parents(parts) if normalize else parts, "/")
     stem = F.regexp_replace(base, r"([^/])\.[^./]*$", "$1")
     exts = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("ext"))
                      for i, e in enumerate(R.GRAPH_LANGUAGES)])
@@ -138,9 +142,10 @@ def change_impact(files: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``indirect`` may include direct dependents and the target itself (cycles); the total adds
     the two set sizes, so overlaps count twice. The two-hop rows are the result relation
-    itself (distinct (target, indirect) pairs); edges are de-duplicated before the join.
+    itself (distinct (target, indirect) pairs); edges are de-duplicated before the join. Only import
+    edges lead to files, so the others are left out first.
     """
-    e = edges.select(*P, "src", "dst").distinct()
+    e = edges.filter(F.col("relation_type") == "imports").select(*P, "src", "dst").distinct()
     direct = e.select(*P, F.col("dst").alias("target"), F.col("src").alias("mid"))
     two = (direct.join(e.select(*P, F.col("dst").alias("mid"), F.col("src").alias("dep")), [*P, "mid"])
                  .select(*P, "target", "dep").distinct())
@@ -201,14 +206,14 @@ def project_statistics(risk: DataFrame, entities: DataFrame, edges: DataFrame, i
 def most_complex_files(risk: DataFrame, k: int = 10) -> DataFrame:
     """K1: top ``k`` files by risk (desc), path asc as the pinned tie-break, per project."""
     d = risk.withColumn("__neg", F.lit(10) - F.col("risk_tenths"))
-    top = first_k(d, P, ["__neg", "path"], None, k, out="rank")
+    top = top_k(d, P, ["__neg", "path"], k)
     return top.select(*P, F.col("rank").cast("long"), "path", "risk_score", "line_count")
 
 
 def high_risk_files(risk: DataFrame, k: int = 10) -> DataFrame:
     """files with risk > 0.7, first ``k`` by path per project."""
     d = risk.filter(F.col("risk_tenths") > 7)
-    top = first_k(d, P, ["path"], None, k, out="rank")
+    top = top_k(d, P, ["path"], k)
     return top.select(*P, F.col("rank").cast("long"), "path", "risk_score")
 
 
@@ -216,10 +221,7 @@ def search_entities(entities: DataFrame, query: str, limit: int | None = None) -
     """case-sensitive substring match on the name over distinct entity keys, with the total."""
     hit = entities.filter(F.col("name").contains(query))
     tot = hit.groupBy(*P).agg(F.count(F.lit(1)).cast("long").alias("total_found"))
-    out = hit.join(tot, P)
-    if limit is not None:
-        out = first_k(out, P, ["path", "name"], None, limit, out="rank")
-    return out
+    return (hit if limit is None else top_k(hit, P, ["path", "name"], limit)).join(tot, P)
 
 
 def file_context(risk: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from codegauge.functions import rules as R
 from codegauge.functions.text import (by_language, contains_any, count_any, ends_with_any,
                                       leading_ws, py_strip)
-from codegauge.operators.ordered import BLOCK, clamped_scan, first_k, next_marker, ordinal
+from codegauge.operators.ordered import BLOCK, clamped_scan, next_marker, ordinal, top_k
 from codegauge.session import materialize
 
 
@@ -119,16 +119,18 @@ def long_functions(lines: DataFrame, keys: list[str], block_size: int = BLOCK) -
                         .alias("label")))
 
 
-def duplicate_blocks(lines: DataFrame, keys: list[str], limit: int = R.DUPLICATE_LIMIT,
+def duplicate_blocks(lines: DataFrame, keys: list[str], limit: int | None = R.DUPLICATE_LIMIT,
                      block_size: int = BLOCK) -> DataFrame:
-    """First ``limit`` pairs of equal 3-line blocks per file, in (i, j) order, j >= i + 3.
+    """First ``limit`` pairs of equal 3-line blocks per file, in (i, j) order, j >= i + 3 (None: all pairs).
 
-    Lines are the stripped non-blank lines renumbered from 1. Instead of pairing every two
-    occurrences of a block (quadratic in a file of equal lines), occurrences of one block are
-    ranked and each is joined only to the next seven of its block: at most two of those can be
-    closer than three lines, so the first five partners of every occurrence are among them.
+    Lines are the stripped non-blank lines renumbered from 1, as 128-bit digests; a block is the digest of
+    its three. Only blocks that occur twice in a file are ranked. Instead of pairing every two
+    occurrences of a block (quadratic in a file of equal lines), each is joined to the next
+    ``limit + 2`` of its block: at most two of those can be closer than three lines, so the first
+    ``limit`` partners of every occurrence are among them.
     """
-    nb = (lines.select(*keys, "pos", py_strip("line").alias("s")).filter(F.col("s") != ""))
+    nb = lines.select(*keys, "pos", py_strip("line").alias("s")).filter(F.col("s") != "")
+    nb = nb.select(*keys, "pos", F.unhex(F.md5(F.col("s").cast("binary"))).alias("s"))
     nb = ordinal(nb, keys, ["pos"], F.floor(F.col("pos") / block_size), out="r", start=1).drop("pos")
     # shingle = lines r, r+1, r+2: a lead window inside blocks of r, and for the last two rows
     # of a block the first two rows of the next block (a join on 2/block_size of the rows)
@@ -143,20 +145,16 @@ def duplicate_blocks(lines: DataFrame, keys: list[str], limit: int = R.DUPLICATE
              .select(*keys, "r", "s", F.coalesce("s2", "n1").alias("s2"), F.col("n2").alias("s3")))
     sh = (sh.filter(off < block_size - 2).select(*keys, "r", "s", "s2", "s3").unionByName(fix)
             .filter(F.col("s3").isNotNull()))
-    sh = sh.withColumn("h", F.xxhash64("s", "s2", "s3"))
-    sh = materialize(ordinal(sh, [*keys, "h", "s", "s2", "s3"], ["r"], F.floor(F.col("r") / block_size),
-                             out="g", total="n_occ").filter(F.col("n_occ") > 1))
+    sh = materialize(sh.select(*keys, "r", F.unhex(F.md5(F.concat("s", "s2", "s3"))).alias("h")))
+    twice = sh.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("n_occ")).filter(F.col("n_occ") > 1)
+    sh = ordinal(sh.join(twice, [*keys, "h"]), [*keys, "h"], ["r"], F.floor(F.col("r") / block_size), out="g")
+    last = F.col("n_occ") - 1
+    upto = last if limit is None else F.least(F.col("g") + limit + 2, last)
     # only ranks that exist: an occurrence with no later occurrence yields no candidate
-    left = sh.filter(F.col("g") < F.col("n_occ") - 1).select(
-        *keys, "h", "s", "s2", "s3", "r",
-        F.explode(F.sequence(F.col("g") + 1, F.least(F.col("g") + 7, F.col("n_occ") - 1))).alias("g"))
-    right = sh.filter(F.col("g") > 0).select(*keys, "h", F.col("g"), F.col("r").alias("rj"),
-                                             F.col("s").alias("t"), F.col("s2").alias("t2"), F.col("s3").alias("t3"))
-    pairs = (left.join(right, [*keys, "h", "g"])
-                 .filter((F.col("s") == F.col("t")) & (F.col("s2") == F.col("t2"))
-                         & (F.col("s3") == F.col("t3")) & (F.col("rj") >= F.col("r") + 3))
-                 .select(*keys, "r", "rj"))
-    top = first_k(pairs, keys, ["r", "rj"], "r", limit, out="dup_rank")
+    left = sh.filter(F.col("g") < last).select(*keys, "h", "r", F.explode(F.sequence(F.col("g") + 1, upto)).alias("g"))
+    right = sh.filter(F.col("g") > 0).select(*keys, "h", "g", F.col("r").alias("rj"))
+    pairs = left.join(right, [*keys, "h", "g"]).filter(F.col("rj") >= F.col("r") + 3).select(*keys, "r", "rj")
+    top = top_k(pairs, keys, ["r", "rj"], limit, out="dup_rank")
     label = F.concat(F.lit("Lines "), F.col("r").cast("string"), F.lit("-"), (F.col("r") + 2).cast("string"),
                      F.lit(" duplicated at "), F.col("rj").cast("string"), F.lit("-"),
                      (F.col("rj") + 2).cast("string"))

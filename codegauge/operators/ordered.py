@@ -99,26 +99,14 @@ def next_marker(df: DataFrame, keys: list[str], pos: str, out: str = "next_pos",
              .drop(b, "__in", "__after"))
 
 
-def first_k(df: DataFrame, keys: list[str], order_cols: list, lead_pos: str | None, k: int,
-            out: str = "rank", levels=(12, 24)) -> DataFrame:
-    """Keep the first ``k`` rows per key in ``order_cols`` order and number them 1..k.
-
-    Rows are reduced level by level inside sub-groups of a key, keeping ``k`` per sub-group, so
-    no window partition holds a whole hot key. With ``lead_pos`` (a non-negative integer column,
-    non-decreasing in the order) the sub-groups are ranges ``lead_pos >> bits``; without it they
-    are hash buckets of the order columns (2**20, then 2**10 per key).
+def top_k(df: DataFrame, keys: list[str], order_cols: list, k: int | None, out: str = "rank") -> DataFrame:
+    """The first ``k`` rows per key in ``order_cols`` order, numbered from 1 (None: all rows).
+
+    The filter on the rank becomes a group limit below the exchange, so each map task sends at most
+    ``k`` rows of a key and a hot key is no hot task.
     """
-    d = df
-    if lead_pos is None:
-        d = d.withColumn("__h", F.pmod(F.xxhash64(*order_cols), F.lit(1 << 20)))
-        buckets = [F.col("__h"), F.shiftright(F.col("__h"), 10)]
-    else:
-        buckets = [F.shiftright(F.col(lead_pos).cast("long"), bits) for bits in levels]
-    for bucket in buckets:
-        d = (d.withColumn("__r", F.row_number().over(_w(keys, bucket).orderBy(*order_cols)))
-              .filter(F.col("__r") <= k).drop("__r"))
-    d = d.withColumn(out, F.row_number().over(_w(keys).orderBy(*order_cols))).filter(F.col(out) <= k)
-    return d.drop("__h") if lead_pos is None else d
+    d = df.withColumn(out, F.row_number().over(_w(keys).orderBy(*order_cols)))
+    return d if k is None else d.filter(F.col(out) <= k)
 
 
 def prefix_sum(df: DataFrame, keys: list[str], bucket: Column, order_cols: list, col: str, out: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
-from codegauge.operators.ordered import first_k
+from codegauge.operators.ordered import top_k
 
 CATEGORIES = ["maintainability", "reliability", "security", "performance", "style", "complexity"]
 
@@ -166,11 +166,11 @@ def priority_issues(findings: DataFrame, issues: DataFrame, keys: list[str]) ->
     ``findings`` must have ``ordinal`` (its report order); ``issues`` must have ``kind`` and ``seq``.
     """
     err = findings.filter(F.col("severity") == "error").select(*keys, "ordinal", "message", "category")
-    sec = first_k(err.filter(F.col("category") == "security"), keys, ["ordinal"], "ordinal", 3, out="r")
-    rel = first_k(err, keys, ["ordinal"], "ordinal", 2, out="r")
+    sec = top_k(err.filter(F.col("category") == "security"), keys, ["ordinal"], 3, out="r")
+    rel = top_k(err, keys, ["ordinal"], 2, out="r")
     iss = issues.filter((F.col("category") == "complexity") & (F.col("severity") == "error")) \
                 .withColumn("ordinal", F.col("kind") * F.lit(1 << 40) + F.col("seq"))
-    cpx = first_k(iss.select(*keys, "ordinal", "message"), keys, ["ordinal"], "ordinal", 2, out="r")
+    cpx = top_k(iss.select(*keys, "ordinal", "message"), keys, ["ordinal"], 2, out="r")
     parts = [sec.select(*keys, F.lit(0).alias("cls"), "r", F.concat(F.lit("\U0001F6A8 Security: "), "message").alias("label")),
              cpx.select(*keys, F.lit(1).alias("cls"), "r", F.concat(F.lit("⚡ Complexity: "), "message").alias("label")),
              rel.select(*keys, F.lit(2).alias("cls"), "r",

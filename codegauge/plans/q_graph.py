@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
@@ -17,19 +19,51 @@ from codegauge.sources import fixtures as FX
 P = ["project_id"]
 
 
+class Graph:
+    """The graph tables of the file view, each built when first read. The extraction output and the edges are written
+    once and shared, as several branches of a query read them."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    def __getitem__(self, name):
+        return getattr(self, name)
+
+    @cached_property
+    def files(self):
+        return FX.code_files(self.spark, self.sf).withColumn("lang", G.graph_language("path"))
+
+    @cached_property
+    def extracted(self):
+        return materialize(E.analyze_files(self.files), "extract")
+
+    @cached_property
+    def entities(self):
+        return E.entities(self.extracted)
+
+    @cached_property
+    def imports(self):
+        return E.imports(self.extracted)
+
+    @cached_property
+    def nodes(self):
+        return G.file_nodes(self.files)
+
+    @cached_property
+    def resolved(self):
+        return G.resolve_imports(self.imports, self.files.select(*P, "path"))
+
+    @cached_property
+    def import_edges(self):
+        return materialize(G.import_edges(self.resolved, self.nodes), "import_edges")
+
+    @cached_property
+    def edges(self):
+        return materialize(G.all_edges(self.import_edges, G.contains_edges(self.entities)), "edges")
+
+
 def build_graph(spark, sf):
-    """All graph tables of the file view; the extraction output is written once and shared."""
-    files = FX.code_files(spark, sf).withColumn("lang", G.graph_language("path"))
-    ext = materialize(E.analyze_files(files), "extract")
-    ents, imps = E.entities(ext), E.imports(ext)
-    nodes = G.file_nodes(files)
-    resolved = G.resolve_imports(imps, files.select(*P, "path"))
-    # the edge tables are read by several joins of one query (direct, two-hop, counts): write them once
-    ie = materialize(G.import_edges(resolved, nodes), "import_edges")
-    ce = G.contains_edges(ents)
-    edges = materialize(G.all_edges(ie, ce), "edges")
-    return {"files": files, "nodes": nodes, "entities": ents, "imports": imps, "resolved": resolved,
-            "import_edges": ie, "contains_edges": ce, "edges": edges}
+    return Graph(spark, sf)
 
 
 # ---------------------------------------------------------------- DuckDB twins
@@ -67,9 +101,7 @@ _EXTS = ", ".join(f"({i}, {q(e)})" for i, e in enumerate(R.GRAPH_LANGUAGES))
 _RESOLVE_SQL = f"""SELECT r.project_id, r.path, r.specifier, arg_min(f.path, e.rank) AS target
   FROM (SELECT DISTINCT project_id, path, specifier,
           regexp_replace(
-            regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-              CASE WHEN dir = '.' THEN rest ELSE dir || '/' || rest END, '/+', '/', 'g'),
-              '(^|/)\\.(/|$)', '\\1', 'g'), '(^|/)\\.(/|$)', '\\1', 'g'), '(.)/$', '\\1'),
+            array_to_string(list_filter(string_split(dir || '/' || rest, '/'), lambda x: x <> '' AND x <> '.'), '/'),
             '([^/])\\.[^./]*$', '\\1') AS stem
         FROM (SELECT *, CASE WHEN prefix(specifier, './') THEN substr(specifier, 3)
                              WHEN prefix(specifier, '../') THEN specifier ELSE substr(specifier, 2) END AS rest,
@@ -153,7 +185,7 @@ def dependents(spark, sf):
           FROM code_files f) t""", ["edges_all", "code_files"]))
 def change_impact(spark, sf):
     g = build_graph(spark, sf)
-    return G.change_impact(g["files"], g["edges"])
+    return G.change_impact(g["files"], g["import_edges"])
 
 
 def _risk(spark, sf):

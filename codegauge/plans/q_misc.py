@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
@@ -12,12 +10,12 @@ from codegauge.operators import graph as G
 from codegauge.operators import metrics as M
 from codegauge.operators import scoring as SC
 from codegauge.operators import snapshots as SN
-from codegauge.operators.ordered import first_k, ordinal
+from codegauge.operators.ordered import ordinal, top_k
 from codegauge.plans import q_changes, q_graph, q_project, q_scoring, q_snapshots  # noqa: F401  (shared views)
 from codegauge.plans.oracle_fixtures import register, with_views
 from codegauge.plans.registry import query
 from codegauge.plans.sqlgen import q
-from codegauge.session import checkpoint_dir, materialize
+from codegauge.session import materialize, scratch_dir
 from codegauge.sources import fixtures as FX
 from codegauge.sources.tables import table
 from codegauge.streaming import changes as CH
@@ -79,7 +77,7 @@ def json_report(spark, sf):
     s = q_scoring.grid_scores(spark, sf)
     cols = ["path", "total_score", "grade", "technical_debt_hours", "recommendations", "strengths",
             *SC.CATEGORIES]
-    out = f"{checkpoint_dir(spark).rstrip('/')}/reports/{uuid.uuid4().hex}"
+    out = scratch_dir(spark, "reports")
     s.select(F.to_json(F.struct(*cols)).alias("value")).write.text(out)
     schema = ("path STRING, total_score DOUBLE, grade STRING, technical_debt_hours DOUBLE, "
               "recommendations ARRAY<STRING>, strengths ARRAY<STRING>")
@@ -95,12 +93,12 @@ def json_report(spark, sf):
       SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path, name) AS rank FROM (
         SELECT project_id, path, name, max(line_number) % 9 AS usage_count FROM entities_all GROUP BY 1, 2, 3) a
       WHERE usage_count > 5) t WHERE rank <= 20""", ["entities_all"]))
-def core_entities(spark, sf):
-    """entities used more than 5 times, first 20 per project. The usage count is an input
+def core_entities(spark, sf, limit: int | None = 20):
+    """entities used more than 5 times, first ``limit`` per project (None: all). The usage count is an input
     column; the fixture gives it as line_number % 9 of the last definition."""
     g = q_graph.build_graph(spark, sf)
     e = G.last_entities(g["entities"]).withColumn("usage_count", F.col("line_number") % 9)
-    top = first_k(e.filter(F.col("usage_count") > 5), P, ["path", "name"], None, 20, out="rank")
+    top = top_k(e.filter(F.col("usage_count") > 5), P, ["path", "name"], limit, out="rank")
     return top.select(*P, F.col("rank").cast("long"), "path", "name", "usage_count")
 
 
@@ -164,14 +162,14 @@ def apply_deletes(spark, sf):
 
 @query("attach_commit_time", with_views("""SELECT b.project_id, b.path,
       coalesce(t.last_commit, make_timestamp(b.mtime * 1000000)) AS last_modified
-    FROM snap_b b LEFT JOIN (SELECT n.path, max(c.commit_time) AS last_commit FROM numstat n
-                             JOIN commits c ON c.seq = n.commit_seq GROUP BY n.path) t USING (path)""",
+    FROM snap_b b LEFT JOIN (SELECT n.project_id, n.path, max(c.commit_time) AS last_commit FROM numstat n
+                             JOIN commits c ON c.seq = n.commit_seq GROUP BY n.project_id, n.path) t USING (project_id, path)""",
     ["snap_b", "numstat", "commits"]))
 def attach_commit_time(spark, sf):
     """last_modified := time of the file's last commit (numstat rows joined to commits)."""
     _, b, _, _ = FX.snapshots(spark, sf)
     files = b.select(*P, "path", F.timestamp_seconds("mtime").cast("timestamp_ntz").alias("last_modified"))
-    fc = (FX.numstat(spark, sf).select("path", "commit_seq")
+    fc = (FX.numstat(spark, sf).select(*P, "path", "commit_seq")
             .join(FX.commits(spark, sf).select(F.col("seq").alias("commit_seq"), "commit_time"), "commit_seq"))
     return SN.attach_commit_time(files, fc).select(*P, "path", "last_modified")
 
@@ -265,9 +263,9 @@ def update_status(spark, sf):
 @query("limit_files", with_views("""SELECT project_id, CAST(rank AS BIGINT) AS rank, path FROM (
       SELECT project_id, path, row_number() OVER (PARTITION BY project_id ORDER BY path) AS rank FROM code_files) t
     WHERE rank <= 50""", ["code_files"]))
-def limit_files(spark, sf):
-    """K3: the first 50 files of every project in pinned path order (the scoring cap)."""
-    top = first_k(FX.code_files(spark, sf).select(*P, "path"), P, ["path"], None, 50, out="rank")
+def limit_files(spark, sf, limit: int | None = 50):
+    """K3: the first ``limit`` files of every project in pinned path order (the scoring cap; None: all)."""
+    top = top_k(FX.code_files(spark, sf).select(*P, "path"), P, ["path"], limit, out="rank")
     return top.select(*P, F.col("rank").cast("long"), "path")
 
 
@@ -366,7 +364,7 @@ IMPACT_ADVICE = {
 def impact_advice(spark, sf):
     """Advice strings for each file's impact level (one literal list per level)."""
     g = q_graph.build_graph(spark, sf)
-    ci = G.change_impact(g["files"], g["edges"])
+    ci = G.change_impact(g["files"], g["import_edges"])
     lvl = F.col("risk_level")
     advice = (F.when(lvl == "extreme", " | ".join(IMPACT_ADVICE["extreme"]))
                .when(lvl == "high", " | ".join(IMPACT_ADVICE["high"]))
