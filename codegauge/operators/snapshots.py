@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
+from codegauge.functions.text import py_strip
 
 
 # ------------------------------------------------------------------ branch naming
@@ -77,12 +78,14 @@ def refresh_plan(heads: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def upsert_branch_contexts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace the (project, branch) entries present in ``new``, keep the others."""
+    """Replace the (project, branch) entries present in ``new``, keep the others.
+
+    Of several new rows of one key the one with the greatest values (column by column) wins, so the result is fixed."""
     o = old.withColumn("__v", F.lit(0))
     n = new.withColumn("__v", F.lit(1))
     cols = [c for c in old.columns if c not in ("project_id", "branch")]
     u = o.unionByName(n)
-    last = u.groupBy("project_id", "branch").agg(F.max_by(F.struct(*cols), "__v").alias("c"))
+    last = u.groupBy("project_id", "branch").agg(F.max_by(F.struct(*cols), F.struct("__v", *cols)).alias("c"))
     return last.select("project_id", "branch", "c.*")
 
 
@@ -139,16 +142,16 @@ def change_summary(old: DataFrame, new: DataFrame, numstat: DataFrame, keys=("pr
     """Per file present in both: content changed?, lines changed (latest numstat row) and risk.
 
     ``numstat`` has text columns added/deleted ('-' counts as 0) and an order (commit_seq, line_no);
-    the latest row per path is picked with ``max_by``.
+    the latest row per file (``keys``: a path alone would mix projects) is picked with ``max_by``.
     """
     k = list(keys)
-    n = numstat.groupBy("path").agg(
+    n = numstat.groupBy(*k).agg(
         F.max_by(F.struct("added", "deleted"), F.struct("commit_seq", "line_no")).alias("ns"))
     to_int = lambda c: F.when(c == "-", F.lit(0)).otherwise(c.try_cast("long"))
-    n = n.select("path", (to_int(F.col("ns.added")) + to_int(F.col("ns.deleted"))).alias("numstat_lines"))
+    n = n.select(*k, (to_int(F.col("ns.added")) + to_int(F.col("ns.deleted"))).alias("numstat_lines"))
     d = (old.select(*k, F.col("file_hash").alias("old_hash"))
             .join(new.select(*k, F.col("file_hash").alias("new_hash")), k)
-            .join(n, "path", "left"))
+            .join(n, k, "left"))
     changed = ~F.col("old_hash").eqNullSafe(F.col("new_hash"))
     lines = F.when(changed, F.coalesce(F.col("numstat_lines"), F.lit(0)))
     risk = F.when(changed, F.when(lines > 100, "high").when(lines > 20, "medium").otherwise("low"))
@@ -156,10 +159,10 @@ def change_summary(old: DataFrame, new: DataFrame, numstat: DataFrame, keys=("pr
                     risk.alias("risk_level"))
 
 
-def attach_commit_time(files: DataFrame, file_commits: DataFrame) -> DataFrame:
+def attach_commit_time(files: DataFrame, file_commits: DataFrame, keys=("project_id", "path")) -> DataFrame:
     """last_modified := time of the file's last commit when one is known."""
-    last = file_commits.groupBy("path").agg(F.max("commit_time").alias("__t"))
-    return (files.join(last, "path", "left")
+    last = file_commits.groupBy(*keys).agg(F.max("commit_time").alias("__t"))
+    return (files.join(last, list(keys), "left")
                  .withColumn("last_modified", F.coalesce(F.col("__t"), F.col("last_modified"))).drop("__t"))
 
 
@@ -216,7 +219,7 @@ def storage_stats(projects: DataFrame, files: DataFrame, entities: DataFrame, ed
 def ingest_git_log(lines: DataFrame, text: str = "line") -> DataFrame:
     """``hash|epoch|author`` lines → commit columns; any other shape, or a non-integer time,
     gives no row. Time is UTC."""
-    parts = F.split(F.trim(F.col(text)), r"\|")
+    parts = F.split(py_strip(text), r"\|")
     epoch = parts[1].try_cast("long")
     ok = (F.size(parts) == 3) & epoch.isNotNull()
     return (lines.filter(ok)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from codegauge.operators import snapshots as SN
@@ -11,10 +9,10 @@ from codegauge.plans import shared_sql as S
 from codegauge.plans import q_graph  # noqa: F401  (graph views)
 from codegauge.plans.oracle_fixtures import register, with_views
 from codegauge.plans.registry import query
-from codegauge.session import checkpoint_dir
+from codegauge.session import scratch_dir
 from codegauge.sources import fixtures as FX
 
-_PART = "'src/p' || CAST(p_partkey AS STRING) || '.ts'"
+_PART = "'src/p' || CAST(p_partkey - p_partkey % 5 AS STRING) || '.ts'"  # the five projects share their paths
 register("snap_a", f"""SELECT p_partkey % 5 AS project_id, {_PART} AS path, md5(p_name) AS file_hash,
     p_size / 50.0 AS risk, 1700000000 + p_partkey AS mtime FROM part WHERE p_partkey % 7 <> 0""", [])
 register("snap_b", f"""SELECT p_partkey % 5 AS project_id, {_PART} AS path,
@@ -37,7 +35,7 @@ register("heads", """SELECT project_id, branch, commit_hash, commit_time, author
 register("stored_versions", """SELECT project_id, branch, branch || '#' || substr(commit_hash, 1, 8) AS version FROM (
     SELECT *, row_number() OVER (PARTITION BY project_id, branch ORDER BY commit_time DESC, seq DESC) AS r
     FROM commits WHERE seq % 4 <> 0 AND branch <> 'other' AND project_id % 3 <> 0) t WHERE r = 1""", ["commits"])
-register("numstat", """SELECT 'src/p' || CAST(l_partkey AS STRING) || '.ts' AS path, l_orderkey AS commit_seq,
+register("numstat", """SELECT l_partkey % 5 AS project_id, 'src/p' || CAST(l_partkey - l_partkey % 5 AS STRING) || '.ts' AS path, l_orderkey AS commit_seq,
     CAST(l_linenumber AS BIGINT) AS line_no,
     CASE WHEN l_returnflag = 'R' THEN '-' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS added,
     CASE WHEN l_returnflag = 'R' THEN '-' ELSE CAST(l_linenumber AS STRING) END AS deleted FROM lineitem""", [])
@@ -170,10 +168,10 @@ def storage_stats(spark, sf):
       CASE WHEN a.file_hash <> b.file_hash THEN CASE WHEN coalesce(n.lines, 0) > 100 THEN 'high'
            WHEN coalesce(n.lines, 0) > 20 THEN 'medium' ELSE 'low' END END AS risk_level
     FROM snap_a a JOIN snap_b b USING (project_id, path)
-    LEFT JOIN (SELECT path, (CASE WHEN added = '-' THEN 0 ELSE CAST(added AS BIGINT) END)
+    LEFT JOIN (SELECT project_id, path, (CASE WHEN added = '-' THEN 0 ELSE CAST(added AS BIGINT) END)
                            + (CASE WHEN deleted = '-' THEN 0 ELSE CAST(deleted AS BIGINT) END) AS lines
-               FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY commit_seq DESC, line_no DESC) AS r
-                     FROM numstat) t WHERE r = 1) n USING (path)""", ["snap_a", "snap_b", "numstat"]))
+               FROM (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY commit_seq DESC, line_no DESC) AS r
+                     FROM numstat) t WHERE r = 1) n USING (project_id, path)""", ["snap_a", "snap_b", "numstat"]))
 def change_summary(spark, sf):
     a, b, _, _ = FX.snapshots(spark, sf)
     return SN.change_summary(a, b, FX.numstat(spark, sf))
@@ -186,7 +184,7 @@ def change_summary(spark, sf):
 def snapshot_roundtrip(spark, sf):
     """Write two branches, then replace one (project, branch) partition, read back."""
     a, b, _, _ = FX.snapshots(spark, sf)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/snapshots/{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "snapshots")
     cols = ["path", "file_hash", "project_id", "branch"]
     SN.write_snapshot(a.withColumn("branch", F.lit("main")).select(*cols)
                       .unionByName(b.withColumn("branch", F.lit("dev")).select(*cols)), path)

@@ -57,13 +57,13 @@ def latest_change_per_path(expanded: DataFrame) -> DataFrame:
                     .select("project_id", "path", "c.*"))
 
 
-def debounce_sessions(changes: DataFrame, gap_seconds: int) -> DataFrame:
+def debounce_sessions(changes: DataFrame, gap_seconds: int, tiebreak: list[str] = ("event_id",)) -> DataFrame:
     """T2 (batch): project-wide sessions closed by ``gap`` seconds without an event.
 
     The session belongs to the project, not to the path. Returns one row per session with its
     first/last event time, end (last + gap), event and path counts.
     """
-    s = sessionize(changes, ["project_id"], "ts", gap_seconds, ["event_id"])
+    s = sessionize(changes, ["project_id"], "ts", gap_seconds, list(tiebreak))
     return s.groupBy("project_id", "session_no").agg(
         F.min("ts").alias("session_start"),
         (F.max("ts") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("session_end"),
