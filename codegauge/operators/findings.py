@@ -1,7 +1,7 @@
 """Linter findings: report ingestion, rule lookups, per-file finding counts.
 
 Reports arrive as text rows (one report per file and tool); they are parsed with ``from_json``
-(PERMISSIVE: malformed text gives null and no rows) or with ``split`` + ``regexp_extract`` for
+(malformed text, or more than one JSON value, gives no rows) or with ``split`` + ``regexp_extract`` for
 line-based output. Lookup tables are literal maps inside the expression, so no join is needed.
 """
 
@@ -59,19 +59,30 @@ def pyflakes_suggestion(msg: Column) -> Column:
 FINDING_COLUMNS = ["tool_name", "line", "col", "severity", "rule_id", "message", "category",
                    "suggestion", "auto_fixable"]
 
-_ESLINT_SCHEMA = ("ARRAY<STRUCT<messages: ARRAY<STRUCT<ruleId: STRING, severity: BIGINT, line: BIGINT, "
-                  "column: BIGINT, message: STRING, fix: STRING>>>>")
+_ESLINT_SCHEMA = "ARRAY<STRUCT<messages: ARRAY<STRING>>>"
+_ESLINT_MESSAGE = "STRUCT<ruleId: STRING, severity: BIGINT, line: BIGINT, column: BIGINT, message: STRING, fix: STRING>"
 _BANDIT_SCHEMA = ("STRUCT<results: ARRAY<STRUCT<issue_severity: STRING, issue_confidence: STRING, "
                   "line_number: BIGINT, col_offset: BIGINT, test_id: STRING, issue_text: STRING>>>")
 
 
+def whole_json(report: Column, opening: str) -> Column:
+    """The report if it is exactly one JSON value of the expected type (``[`` or ``{``), else null: text that is cut
+    off, has something after its end or is another type gives no findings."""
+    # with a second element behind it the array has two only if the report neither ends early nor closes the array
+    one = F.json_array_length(F.concat(F.lit("["), report, F.lit(",0]"))) == 2
+    return F.when(one & F.startswith(py_strip(report), F.lit(opening)), report)
+
+
 def ingest_eslint(reports: DataFrame, keys: list[str], report: str = "report") -> DataFrame:
-    """ESLint JSON → findings. The file path comes from the row, not from the report."""
-    parsed = reports.select(*keys, F.from_json(report, _ESLINT_SCHEMA, {"mode": "PERMISSIVE"}).alias("j"))
+    """ESLint JSON → findings. The file path comes from the row, not from the report.
+
+    A message without a ``ruleId`` has the rule ``unknown`` (and the category of no rule); one whose ``ruleId`` is null keeps null."""
+    parsed = reports.select(*keys, F.from_json(whole_json(F.col(report), "["), _ESLINT_SCHEMA, {"mode": "PERMISSIVE"}).alias("j"))
     files = parsed.select(*keys, F.posexplode("j").alias("fi", "f"))
-    msgs = files.select(*keys, "fi", F.posexplode("f.messages").alias("mi", "m"))
+    msgs = files.select(*keys, "fi", F.posexplode("f.messages").alias("mi", "__text"))
+    msgs = msgs.withColumn("m", F.from_json("__text", _ESLINT_MESSAGE))
     m = lambda c: F.col(f"m.{c}")
-    rule = m("ruleId")
+    rule = F.when(F.array_contains(F.json_object_keys("__text"), "ruleId"), m("ruleId")).otherwise(F.lit("unknown"))
     return msgs.select(
         *keys, "fi", "mi", F.lit("ESLint").alias("tool_name"),
         F.coalesce(m("line"), F.lit(1)).alias("line"), F.coalesce(m("column"), F.lit(1)).alias("col"),
@@ -85,7 +96,7 @@ def ingest_eslint(reports: DataFrame, keys: list[str], report: str = "report") -
 
 def ingest_bandit(reports: DataFrame, keys: list[str], report: str = "report") -> DataFrame:
     """Bandit JSON → findings; category is always security."""
-    parsed = reports.select(*keys, F.from_json(report, _BANDIT_SCHEMA, {"mode": "PERMISSIVE"}).alias("j"))
+    parsed = reports.select(*keys, F.from_json(whole_json(F.col(report), "{"), _BANDIT_SCHEMA, {"mode": "PERMISSIVE"}).alias("j"))
     res = parsed.select(*keys, F.posexplode("j.results").alias("mi", "r"))
     r = lambda c: F.col(f"r.{c}")
     sev = F.coalesce(r("issue_severity"), F.lit("LOW"))
