@@ -15,12 +15,20 @@ def test_eslint_bandit_pyflakes_ingest(spark):
     assert (rows[0].severity, rows[0].category, rows[0].auto_fixable, rows[0].line) == ("error", "security", True, 3)
     assert (rows[1].severity, rows[1].category, rows[1].rule_id, rows[1].line, rows[1].col) == ("warning", "general", None, 1, 1)
 
+    # cut off, followed by something, another type, no rule at all
+    broken = {"cut.js": eslint[:-1], "tail.js": eslint + " x", "two.js": eslint + eslint, "obj.js": '{"messages": []}', "num.js": "3", "empty.js": ""}
+    assert FD.ingest_eslint(spark.createDataFrame(list(broken.items()), "path STRING, report STRING"), ["path"]).count() == 0
+    bare = FD.ingest_eslint(spark.createDataFrame([("c.js", '[{"messages": [{"message": "m"}, {"ruleId": null}]}]')], "path STRING, report STRING"), ["path"])
+    assert [r.rule_id for r in bare.orderBy("mi").collect()] == ["unknown", None]
+
     bandit = json.dumps({"results": [
         {"issue_severity": "HIGH", "issue_confidence": "HIGH", "test_id": "B602", "line_number": 5, "issue_text": "t"},
         {"issue_severity": "HIGH", "issue_confidence": "MEDIUM", "test_id": "B101", "issue_text": "u"},
         {"issue_severity": "LOW", "issue_confidence": "HIGH", "test_id": "B103"}]})
     b = FD.ingest_bandit(spark.createDataFrame([("a.py", bandit)], "path STRING, report STRING"), ["path"])
     assert [r.severity for r in b.orderBy("mi").collect()] == ["error", "info", "warning"]
+    broken = {"cut.py": bandit[:-1], "tail.py": bandit + "]", "list.py": "[" + bandit + "]", "word.py": "null"}
+    assert FD.ingest_bandit(spark.createDataFrame(list(broken.items()), "path STRING, report STRING"), ["path"]).count() == 0
 
     pf = "a.py:1: 'os' imported but unused\na.py:x: bad line\na.py:7: redefinition of unused 'y'\n\nnonsense"
     p = FD.ingest_pyflakes(spark.createDataFrame([("a.py", pf)], "path STRING, report STRING"), ["path"])
@@ -59,9 +67,21 @@ def test_resolve_imports_rules(spark):
     assert norm["../b/y"] == "b/y.py"
 
 
+def test_dot_segments_without_a_pass_count(spark):
+    deep = "/".join("abcdefghi")
+    listing = spark.createDataFrame([(1, p) for p in ["top.ts", "x/y.ts", f"{deep}/z.ts", "b/y.py"]], "project_id LONG, path STRING")
+    imps = spark.createDataFrame([
+        (1, f"{deep}/m.js", 0, "../" * 9 + "top"), (1, f"{deep}/m.js", 1, "../" * 10 + "top"), (1, "x/m.js", 2, "./" * 7 + "y"),
+        (1, "m.js", 3, "../../b/y"), (1, "x/m.js", 4, "./q/../y"), (1, "x/m.js", 5, ".//y")], "project_id LONG, path STRING, seq LONG, specifier STRING")
+    got = {r.seq: r.target for r in G.resolve_imports(imps, listing, normalize=True).collect()}
+    assert got == {0: "top.ts", 2: "x/y.ts", 4: "x/y.ts", 5: "x/y.ts"}  # what leaves the tree matches nothing
+    assert {r.seq for r in G.resolve_imports(imps, listing).collect()} == {2, 5}  # ".." stays as written
+
+
 def test_change_impact_cycle_counts_twice(spark):
     files = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "project_id LONG, path STRING")
-    edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "a"), (1, "c", "a")], "project_id LONG, src STRING, dst STRING")
+    edges = spark.createDataFrame([(1, "a", "b", "imports"), (1, "b", "a", "imports"), (1, "c", "a", "imports"), (1, "a", "a:f", "contains")],
+                                  "project_id LONG, src STRING, dst STRING, relation_type STRING")
     got = {r.target: (r.direct_impact, r.indirect_impact, r.risk_level) for r in G.change_impact(files, edges).collect()}
     # a <- {b, c}; indirect = preds(b) ∪ preds(c) = {a}; b <- {a}; indirect = preds(a) = {b, c}
     assert got == {"a": (2, 1, "low"), "b": (1, 2, "low"), "c": (0, 0, "low")}

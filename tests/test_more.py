@@ -39,6 +39,25 @@ def test_git_log_and_numstat_ingest(spark):
     assert got == [(25, "medium"), (0, "low"), (110, "high"), (0, "low")]
 
 
+def test_changes_stay_in_their_project(spark):
+    """Two projects with the same path: each takes its own diff counts and commit times."""
+    files = spark.createDataFrame([(1, "a.py", "h1"), (2, "a.py", "h1")], "project_id LONG, path STRING, file_hash STRING")
+    later = spark.createDataFrame([(1, "a.py", "h2"), (2, "a.py", "h3")], "project_id LONG, path STRING, file_hash STRING")
+    stat = spark.createDataFrame([(1, "a.py", "400", "101", 1, 1), (2, "a.py", "3", "-", 1, 2), (2, "a.py", "9", "9", 0, 9)],
+                                 "project_id LONG, path STRING, added STRING, deleted STRING, commit_seq LONG, line_no LONG")
+    got = {r.project_id: (r.lines_changed, r.risk_level) for r in SN.change_summary(files, later, stat).collect()}
+    assert got == {1: (501, "high"), 2: (3, "low")}
+    t = lambda d: dt.datetime(2024, 1, d)
+    seen = spark.createDataFrame([(1, "a.py", t(1)), (2, "a.py", t(1))], "project_id LONG, path STRING, last_modified TIMESTAMP_NTZ")
+    done = spark.createDataFrame([(1, "a.py", t(5)), (1, "a.py", t(3))], "project_id LONG, path STRING, commit_time TIMESTAMP_NTZ")
+    assert {r.project_id: r.last_modified for r in SN.attach_commit_time(seen, done).collect()} == {1: t(5), 2: t(1)}
+
+
+def test_git_log_strips_carriage_returns(spark):
+    got = SN.ingest_git_log(spark.createDataFrame([("abc|1700000000|ann\r",)], "line STRING")).first()
+    assert got.author == "ann"
+
+
 def test_project_context_rules(spark):
     listing = [
         (1, "package.json", '{"version": "2.1.0", "dependencies": {"react": "1"}, "devDependencies": {"next": "1"}}'),
