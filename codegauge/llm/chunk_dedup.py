@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answered, answers, ask, asked, buffers, by_splitmix, in_blocks, n_blocks, owner, packed, slices
+from .common import Blocks, answered, answers, ask, asked, buffers, by_splitmix, n_blocks, owner, packed, slices
 
 SPAN = 32
 LEAST, MOST = 32, 512
@@ -103,7 +103,7 @@ def repeated_chunks(docs: DataFrame, least: int = LEAST, average: int = AVERAGE,
     spec = (least, average, most)
     blocks = n_blocks(docs)
     shards = blocks
-    grouped = in_blocks(docs, blocks, ["doc_id", "text"])
+    grouped = Blocks(docs, blocks, ["doc_id", "text"])
 
     def request(t: pa.Table) -> pa.Table:
         c = _Chunks(t, spec)
@@ -122,31 +122,30 @@ def repeated_chunks(docs: DataFrame, least: int = LEAST, average: int = AVERAGE,
 
     def cut_out(t: pa.Table, reply: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], [], []]
-        if t.num_rows:
-            c = _Chunks(t, spec)
-            first = answers(reply, [np.int64])[0] if reply.num_rows else np.zeros(0, np.int64)
-            again = np.ones(len(c.row), bool)
-            if len(c.row):
-                order = np.lexsort((c.lo, c.row, c.of))
-                again[order] = np.r_[False, (c.of[order][1:] == c.of[order][:-1]) & (c.row[order][1:] == c.row[order][:-1])]
-            gone = ((first[c.of] < c.doc) | again) & c.has_id[c.row] if len(c.row) else again
-            at = np.searchsorted(c.row, np.arange(t.num_rows + 1))
-            for d in range(t.num_rows):
-                i, j = at[d], at[d + 1]
-                g, size = gone[i:j], (c.hi - c.lo)[i:j]
-                cols[0].append(int(c.offsets[d + 1] - c.offsets[d]))
-                cols[1].append(int(j - i))
-                cols[2].append(int(size[g].sum()))
-                cols[3].append(int((g & ~np.r_[False, g[:-1]]).sum()))
-                cols[4].append(b"".join(c.data[a:b].tobytes() for a, b in zip(c.lo[i:j][~g].tolist(), c.hi[i:j][~g].tolist())).decode())
+        c = _Chunks(t, spec)
+        first = answers(reply, [np.int64])[0]
+        again = np.zeros(len(c.row), bool)
+        if len(c.row):
+            order = np.lexsort((c.lo, c.row, c.of))
+            again[order] = np.r_[False, (c.of[order][1:] == c.of[order][:-1]) & (c.row[order][1:] == c.row[order][:-1])]
+        gone = ((first[c.of] < c.doc) | again) & c.has_id[c.row]
+        at = np.searchsorted(c.row, np.arange(t.num_rows + 1))
+        for d in range(t.num_rows):
+            i, j = at[d], at[d + 1]
+            g, size = gone[i:j], (c.hi - c.lo)[i:j]
+            cols[0].append(int(c.offsets[d + 1] - c.offsets[d]))
+            cols[1].append(int(j - i))
+            cols[2].append(int(size[g].sum()))
+            cols[3].append(int((g & ~np.r_[False, g[:-1]]).sum()))
+            cols[4].append(b"".join(c.data[a:b].tobytes() for a, b in zip(c.lo[i:j][~g].tolist(), c.hi[i:j][~g].tolist())).decode())
         names = ("n_bytes", "n_chunks", "n_removed", "n_spans")
         return pa.table({"doc_id": t["doc_id"], **{n: pa.array(x, pa.int64()) for n, x in zip(names, cols)}, "kept_text": pa.array(cols[4], pa.string())})
 
-    replies = grouped.groupBy("block").applyInArrow(request, asked(2)).groupBy("shard").applyInArrow(shard, answered(1))
+    replies = grouped.each(request, asked(2)).groupBy("shard").applyInArrow(shard, answered(1))
     schema = docs.select("doc_id").schema
     for n in ("n_bytes", "n_chunks", "n_removed", "n_spans"):
         schema = schema.add(n, "long")
-    return grouped.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut_out, schema.add("kept_text", "string"))
+    return grouped.meet(replies, cut_out, schema.add("kept_text", "string"))
 
 
 def digests(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codegauge.session import scratch_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 8 << 20
 
@@ -37,10 +39,65 @@ def n_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES
     return max(1, -(-int(total) // block_bytes))
 
 
-def in_blocks(docs: DataFrame, blocks: int, cols: list[str], text: str = "text") -> DataFrame:
-    """``block`` and ``cols`` of every row; equal ``doc_id`` share a block, null ids spread by their text."""
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col("doc_id")))
-    return docs.select(F.pmod(key, F.lit(blocks)).cast("int").alias("block"), *[F.col(c) for c in cols])
+class Blocks:
+    """Documents shuffled into blocks once, as compressed Arrow pieces, for several steps over the same blocks.
+
+    Each scan task sorts its rows by block and packs the rows of a block into one binary (at most ``PACK_BYTES`` of texts at a
+    time are held), which takes well under the shuffle space of single rows. Equal ``doc_id`` share a block; null
+    ids spread by their text. A step gets its block as a table of ``cols`` and ``block``, in no fixed order of rows.
+    """
+
+    PACK_BYTES = 24 << 20
+
+    def __init__(self, docs: DataFrame, blocks: int, cols: list[str], text: str = "text"):
+        cols = [*dict.fromkeys(cols)]
+        most = self.PACK_BYTES
+        key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col("doc_id")))
+
+        def pack(batches):
+            held: dict[int, list] = {}
+            size = 0
+
+            def out():
+                for block, parts in sorted(held.items()):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_table(pa.Table.from_batches(parts).combine_chunks())
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
+                held.clear()
+
+            for b in batches:
+                of = b.column(0).to_numpy()
+                order = np.argsort(of, kind="stable")
+                for lo in range(0, len(order), 1000):  # few rows at a time, so that long texts are not all copied at once
+                    part = order[lo:lo + 1000]
+                    t = b.select(cols).take(pa.array(part))
+                    at = np.flatnonzero(np.r_[True, of[part][1:] != of[part][:-1]])
+                    for i, j in zip(at, np.r_[at[1:], len(part)]):
+                        held.setdefault(int(of[part[i]]), []).append(t.slice(i, j - i))
+                    size += t.nbytes
+                    if size > most:
+                        yield from out()
+                        size = 0
+            yield from out()
+
+        rows = docs.select(F.pmod(key, F.lit(blocks)).cast("int").alias("block"), *[F.col(c) for c in cols])
+        self.grouped = rows.mapInArrow(pack, "block int, packed binary")
+
+    @staticmethod
+    def _open(t: pa.Table) -> pa.Table:
+        docs = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in t["packed"]]).combine_chunks()
+        return docs.append_column("block", pa.array(np.full(docs.num_rows, t["block"][0].as_py()), pa.int32()))
+
+    def each(self, f, schema) -> DataFrame:
+        """``f(documents of a block)`` for every block."""
+        open_ = self._open
+        return self.grouped.groupBy("block").applyInArrow(lambda t: f(open_(t)), schema)
+
+    def meet(self, replies: DataFrame, f, schema) -> DataFrame:
+        """``f(documents of a block, its replies)`` for every block. Replies only go to blocks that asked."""
+        open_ = self._open
+        return self.grouped.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda t, reply: f(open_(t), reply), schema)
 
 
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,16 +310,8 @@ def answers(table: pa.Table, types: list, kind: int = 0) -> list[np.ndarray]:
     return out
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for an intermediate table under the cluster's shared checkpoint folder."""
-    import uuid
-
-    from codegauge.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write once to the shared folder and read back."""
-    path = scratch(df.sparkSession, name)
+    path = scratch_dir(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

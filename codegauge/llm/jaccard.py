@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shard, answered, answers, ask, asked, buffers, by_splitmix, in_blocks, mix64, n_blocks, owner, slices, word_hashes, written
+from .common import Blocks, Shard, answered, answers, ask, asked, buffers, by_splitmix, mix64, n_blocks, owner, slices, word_hashes, written
 from .components import components
 
 RATIO = 1.5
@@ -137,7 +137,7 @@ def _members(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
     per shared tile: tile, doc_id, d1."""
     blocks = n_blocks(docs)
     shards = blocks
-    grouped = in_blocks(docs, blocks, ["doc_id", "text"])
+    grouped = Blocks(docs, blocks, ["doc_id", "text"])
 
     def tiles_of(table: pa.Table):
         keys, first = [], []
@@ -183,9 +183,9 @@ def _members(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
         types = [pa.int64()] * 5 + [pa.binary()] * 2
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("tile", "doc_id", "n", "d1", "d2", "bits", "items"), cols, types)})
 
-    wants = grouped.groupBy("block").applyInArrow(request, asked(2))
+    wants = grouped.each(request, asked(2))
     replies = wants.groupBy("shard").applyInArrow(shard, answered(1))
-    return written(grouped.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(emit, "tile long, doc_id long, n long, d1 long, d2 long, bits binary, items binary"), "jaccard")
+    return written(grouped.meet(replies, emit, "tile long, doc_id long, n long, d1 long, d2 long, bits binary, items binary"), "jaccard")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

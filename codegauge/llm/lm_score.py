@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shard, Sums, answered, answers, ask, asked, buffers, by_splitmix, in_blocks, mix64, n_blocks, owner, slices, summed, word_hashes
+from .common import Blocks, Shard, Sums, answered, answers, ask, asked, buffers, by_splitmix, mix64, n_blocks, owner, slices, summed, word_hashes
 
 ORDER = 2
 WEIGHT = 0.3
@@ -147,7 +147,7 @@ def lm_scores(docs: DataFrame, held_out=None, order: int = ORDER) -> DataFrame:
     shards = blocks
     n, v, n1, n2 = word_statistics(docs.where(~held_out), shards)
     discount = n1 / (n1 + 2 * n2) if n1 else 0.5
-    grouped = in_blocks(docs.withColumn("__held", held_out), blocks, ["doc_id", "text", "__held"])
+    grouped = Blocks(docs.withColumn("__held", held_out), blocks, ["doc_id", "text", "__held"])
 
     def runs(t: pa.Table):
         data, offsets = buffers(t["text"])
@@ -205,5 +205,5 @@ def lm_scores(docs: DataFrame, held_out=None, order: int = ORDER) -> DataFrame:
         return pa.table({"doc_id": t["doc_id"], "held_out": t["__held"], "n_tokens": pa.array(counts, pa.int64()), "n_known": pa.array(hits, pa.int64()), "train_tokens": pa.array(np.full(len(counts), n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(model, pa.float64())})
 
     schema = docs.select("doc_id").schema.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
-    replies = grouped.groupBy("block").applyInArrow(request, asked(1)).groupBy("kind", "shard").applyInArrow(shard, answered(1))
-    return grouped.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
+    replies = grouped.each(request, asked(1)).groupBy("kind", "shard").applyInArrow(shard, answered(1))
+    return grouped.meet(replies, score, schema)

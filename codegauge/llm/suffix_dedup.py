@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shard, answers, ask, buffers, in_blocks, mix64, n_blocks, owner, packed
+from .common import Blocks, Shard, answers, ask, buffers, mix64, n_blocks, owner, packed
 from .suffix_sort import Suffixes, powers, prefix_hashes
 
 LENGTH = 50
@@ -146,8 +146,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """
     blocks = n_blocks(docs)
     shards = blocks
-    grouped = in_blocks(docs, blocks, ["doc_id", "text", *keep])
-    empty = pa.table({c: pa.array([], pa.int32() if i < 3 else pa.binary()) for i, c in enumerate(("kind", "shard", "block", "keys", "v0", "v1", "v2"))})
+    grouped = Blocks(docs, blocks, ["doc_id", "text", *keep])
 
     def ask_grams(t: pa.Table) -> pa.Table:
         b = Block(t, length, anchor)
@@ -160,8 +159,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         return s.reply((np.bincount(s.inverse, minlength=len(s.keys)) > 1).astype(np.uint8), np.zeros(len(s.keys), np.uint8))
 
     def ask_regions(t: pa.Table, reply: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return empty
         b = Block(t, length, anchor)
         open_ = b.shared() | (answers(reply, [np.uint8], GRAMS)[0] > 0)
         g = np.flatnonzero(open_[b.of_gram])
@@ -192,8 +189,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         return s.reply(least, np.where((low != high) | (most > 1), np.where(many > hot, 2, 1), 0).astype(np.uint8))
 
     def ask_suffixes(t: pa.Table, reply: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return empty
         b = Block(t, length, anchor)
         open_ = np.unpackbits(_memo_of(reply, [np.uint8])[0], count=len(b.grams)).astype(bool)
         g = np.flatnonzero(open_[b.of_gram])
@@ -249,8 +244,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         return pa.table({"kind": t["kind"], "shard": t["shard"], "block": t["block"], "a0": packed(np.split(masks, cuts)), "a1": pa.array([b""] * t.num_rows, pa.binary())})
 
     def cut_out(t: pa.Table, reply: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.table({c: pa.array([], k) for c, k in ([(c, t.schema.field(c).type) for c in ("doc_id", *keep)] + [("n_bytes", pa.int64()), ("spans", SPANS), ("kept", pa.binary()), ("kept_text", pa.string())])})
         b = Block(t, length, anchor, group=False)
         cut, look = (x.reshape(-1, w) for x, w in zip(_memo_of(reply, [np.int64, np.int64]), (2, 3)))
         masks = answers(reply, [np.uint64], SUFFIXES)[0]
@@ -279,12 +272,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             texts.append(x[~np.repeat(whole, np.diff(np.r_[chars, len(x)]))].tobytes().decode())
         return pa.table({**{c: b.table[c] for c in ("doc_id", *keep)}, "n_bytes": pa.array(np.diff(b.offsets), pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary()), "kept_text": pa.array(texts, pa.string())})
 
-    step = grouped.groupBy("block").applyInArrow(ask_grams, WANT).groupBy("kind", "shard").applyInArrow(answer_grams, GOT)
-    step = grouped.groupBy("block").cogroup(step.groupBy("block")).applyInArrow(ask_regions, WANT).groupBy("kind", "shard").applyInArrow(answer_regions, GOT)
-    step = grouped.groupBy("block").cogroup(step.groupBy("block")).applyInArrow(ask_suffixes, WANT).groupBy("kind", "shard").applyInArrow(answer_suffixes, GOT)
+    step = grouped.each(ask_grams, WANT).groupBy("kind", "shard").applyInArrow(answer_grams, GOT)
+    step = grouped.meet(step, ask_regions, WANT).groupBy("kind", "shard").applyInArrow(answer_regions, GOT)
+    step = grouped.meet(step, ask_suffixes, WANT).groupBy("kind", "shard").applyInArrow(answer_suffixes, GOT)
     span = T.StructType().add("start", "long").add("end", "long")
     schema = docs.select("doc_id", *keep).schema.add("n_bytes", "long").add("spans", T.ArrayType(span)).add("kept", "binary").add("kept_text", "string")
-    return grouped.groupBy("block").cogroup(step.groupBy("block")).applyInArrow(cut_out, schema)
+    return grouped.meet(step, cut_out, schema)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
