@@ -69,7 +69,8 @@ def _groups_of(x: np.ndarray, edges: np.ndarray, length: int, anchor: int):
         lo, hi, place = at[new], at[np.r_[new[1:], len(at)] - 1], place[new]
         region = (sums[hi + length] - sums[lo]) * down[lo]
         region = mix64(region ^ ((hi - lo) * 4096 + place - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    return lo, hi, gram[place], region, place
+    # anchors have small hashes by choice: mix once more, so that they spread over the shards
+    return lo, hi, mix64(gram[place] ^ np.uint64(0x7F4A7C15F39CC060)), region, place
 
 
 class Block:
