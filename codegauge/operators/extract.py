@@ -1,18 +1,16 @@
 """Entity and import extraction from file text.
 
-Python needs a real parser (stdlib ``ast``); JavaScript/TypeScript use regular expressions
-with the match offset for the line number. Both run in one ``mapInPandas`` pass over the file
-rows: Spark partitions the files, each task parses its own batch with Arrow transfer, and the
-result is one row per entity or import. Other languages yield nothing (their file row stays).
+Python needs a real parser (stdlib ``ast``): a ``mapInPandas`` pass in which each task parses its own
+batch of files. JavaScript/TypeScript are regular expressions, evaluated by Spark itself. The result is
+one row per entity or import; other languages yield nothing (their file row stays).
 """
 
 from __future__ import annotations
 
-import re
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The batch function runs in Python workers; ship this module's code with it (by value) so that
@@ -33,14 +31,6 @@ JS_IMPORT_PATTERNS = [
     r'require\(["\']([^"\']+)["\']\)',
 ]
 
-EXTRACT_SCHEMA = ("project_id LONG, path STRING, kind STRING, seq LONG, name STRING, entity_type STRING, "
-                  "line_number LONG, signature STRING, docstring STRING")
-
-_JS_FN = [re.compile(p) for p in JS_FUNCTION_PATTERNS]
-_JS_CLASS = re.compile(JS_CLASS_PATTERN)
-_JS_IMPORTS = [re.compile(p) for p in JS_IMPORT_PATTERNS]
-
-
 def _python_rows(content: str):
     import ast
     try:
@@ -60,47 +50,69 @@ def _python_rows(content: str):
                 yield ("import", node.module, None, None, None, None)
 
 
-def _js_rows(content: str):
-    def line_of(m):
-        return content.count("\n", 0, m.start()) + 1
-    for pat in _JS_FN:
-        for m in pat.finditer(content):
-            yield ("entity", m.group(1), "function", line_of(m), m.group(0), None)
-    for m in _JS_CLASS.finditer(content):
-        yield ("entity", m.group(1), "class", line_of(m), m.group(0), None)
-    for pat in _JS_IMPORTS:
-        for m in pat.finditer(content):
-            yield ("import", m.group(1), None, None, None, None)
-
-
 def _extract_batches(batches):
     import pandas as pd
     cols = ["project_id", "path", "kind", "seq", "name", "entity_type", "line_number", "signature", "docstring"]
     for pdf in batches:
         out = []
-        for pid, path, lang, content in zip(pdf["project_id"], pdf["path"], pdf["lang"], pdf["content"]):
-            if content is None:
-                continue
-            if lang == "python":
-                rows = _python_rows(content)
-            elif lang in ("javascript", "typescript"):
-                rows = _js_rows(content)
-            else:
-                continue
-            for seq, (kind, name, etype, line, sig, doc) in enumerate(rows):
+        for pid, path, content in zip(pdf["project_id"], pdf["path"], pdf["content"]):
+            for seq, row in enumerate(_python_rows(content)):
+                kind, name, etype, line, sig, doc = row
                 out.append((pid, path, kind, seq, name, etype, line, sig, doc))
         yield pd.DataFrame(out, columns=cols)
 
 
+def _newlines(text) -> F.Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def javascript_rows(files: DataFrame) -> DataFrame:
+    """One row per match of the patterns, without Python.
+
+    ``(?dU)`` gives the patterns the meaning that they have in Python's ``re`` ("." stops at a line feed only, word and space
+    classes are Unicode). The text between matches comes from ``split`` with the same pattern; running sums over the line
+    feeds in these gaps and in the matches give the line of each match in one pass over a file's matches. ``seq``
+    orders by pattern, then by place.
+    """
+    found = []
+    patterns = [*[("entity", "function", p) for p in JS_FUNCTION_PATTERNS], ("entity", "class", JS_CLASS_PATTERN),
+                *[("import", None, p) for p in JS_IMPORT_PATTERNS]]
+    for rank, (kind, etype, pattern) in enumerate(patterns):
+        rx = F.lit("(?dU)" + pattern)
+        gaps = F.transform(F.split(F.col("content"), "(?dU)" + pattern, -1), _newlines)
+        found.append(F.struct(
+            F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(etype).cast("string").alias("entity_type"),
+            F.regexp_extract_all("content", rx, F.lit(1)).alias("names"), F.regexp_extract_all("content", rx, F.lit(0)).alias("texts"),
+            gaps.alias("gaps")))
+    d = files.select("project_id", "path", F.explode(F.array(*found)).alias("f")).filter(F.size("f.names") > 0)
+    d = d.select("project_id", "path", "f.rank", "f.kind", "f.entity_type",
+                 F.posexplode(F.arrays_zip("f.names", "f.texts", "f.gaps")).alias("place", "h"))
+    d = d.select("project_id", "path", "rank", "kind", "entity_type", "place", F.col("h")["names"].alias("name"),
+                 F.col("h")["texts"].alias("text"), F.col("h")["gaps"].alias("gap"))
+    w = Window.partitionBy("project_id", "path", "rank").orderBy("place")
+    before = F.sum(_newlines(F.col("text"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("line", (1 + F.sum("gap").over(w) + F.coalesce(before, F.lit(0))).cast("long"))
+    d = d.filter(F.col("name").isNotNull())  # the gap after the last match has none
+    entity = F.col("kind") == "entity"
+    return d.select("project_id", "path", "kind", (F.shiftleft(F.col("rank").cast("long"), 40) + F.col("place")).alias("seq"),
+                    "name", "entity_type", F.when(entity, F.col("line")).alias("line_number"),
+                    F.when(entity, F.col("text")).alias("signature"), F.lit(None).cast("string").alias("docstring"))
+
+
 def analyze_files(files: DataFrame) -> DataFrame:
     """E5: one row per entity (``kind='entity'``) or import (``kind='import'``) of every file.
 
-    ``files`` has project_id, path, lang (graph language) and content. ``seq`` is the extraction
-    order inside the file (entities and imports share it), which decides "last definition wins".
+    ``files`` has project_id (any type), path, lang (graph language) and content. ``seq`` is the extraction
+    order inside the file (entities and imports share it), which decides "last definition wins". Files without
+    text give no rows.
     """
-    src = files.select(F.col("project_id").cast("long"), "path", "lang", "content") \
-               .filter(F.col("lang").isin("python", "javascript", "typescript"))
-    return src.mapInPandas(_extract_batches, EXTRACT_SCHEMA)
+    src = files.select("project_id", "path", "lang", "content").filter(F.col("content").isNotNull())
+    schema = src.select("project_id", "path").schema
+    for name, kind in (("kind", "string"), ("seq", "long"), ("name", "string"), ("entity_type", "string"),
+                       ("line_number", "long"), ("signature", "string"), ("docstring", "string")):
+        schema = schema.add(name, kind)
+    py = src.filter(F.col("lang") == "python").mapInPandas(_extract_batches, schema)
+    return py.unionByName(javascript_rows(src.filter(F.col("lang").isin("javascript", "typescript"))))
 
 
 def entities(extracted: DataFrame) -> DataFrame:
@@ -110,14 +122,3 @@ def entities(extracted: DataFrame) -> DataFrame:
 def imports(extracted: DataFrame) -> DataFrame:
     return (extracted.filter(F.col("kind") == "import")
                      .select("project_id", "path", "seq", F.col("name").alias("specifier")))
-
-
-def js_imports_native(files: DataFrame) -> DataFrame:
-    """E4 without Python: ``regexp_extract_all`` per pattern, concatenated in pattern order.
-
-    Java regex with ``(?dU)`` so ``.`` stops only at ``\\n`` and ``\\w``/``\\s`` are Unicode, as in
-    Python's ``re``.
-    """
-    arrs = [F.regexp_extract_all(F.col("content"), F.lit("(?dU)" + p), 1) for p in JS_IMPORT_PATTERNS]
-    return (files.filter(F.col("lang").isin("javascript", "typescript"))
-                 .select("project_id", "path", F.posexplode(F.concat(*arrs)).alias("seq", "specifier")))
