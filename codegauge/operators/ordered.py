@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codegauge.session import materialize
+
 BLOCK = 1 << 12
 
 
@@ -125,20 +127,40 @@ def prefix_sum(df: DataFrame, keys: list[str], bucket: Column, order_cols: list,
              .drop(b, "__ls", "__off"))
 
 
+def range_blocks(df: DataFrame, order_cols: list, out: str = "__blk") -> DataFrame:
+    """Rows with the number of their range partition in ``order_cols`` order, written once.
+
+    Spark samples the order to cut even ranges, so a key (or a single time) with a third of all rows is spread over
+    many blocks. Written, because the numbers must not change between two reads."""
+    return materialize(df.repartitionByRange(*order_cols).withColumn(out, F.spark_partition_id()), "ranges")
+
+
+def global_rank(df: DataFrame, order_cols: list, out: str = "rank", start: int = 1) -> DataFrame:
+    """``row_number() - 1 + start`` over all rows: numbered inside even ranges, plus the rows of the ranges before."""
+    d = range_blocks(df, order_cols)
+    d = d.withColumn("__rn", F.row_number().over(Window.partitionBy("__blk").orderBy(*order_cols)))
+    sizes = d.groupBy("__blk").agg(F.count(F.lit(1)).alias("__n"))  # one row per range
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__blk", F.coalesce(before, F.lit(0)).alias("__off"))
+    return (d.join(sizes, "__blk").withColumn(out, (F.col("__off") + F.col("__rn") - 1 + start).cast("long"))
+             .drop("__blk", "__rn", "__off"))
+
+
 def sessionize(df: DataFrame, keys: list[str], ts: str, gap_seconds: int, tiebreak: list[str],
-               bucket_seconds: int = 60, out: str = "session_no") -> DataFrame:
+               out: str = "session_no") -> DataFrame:
     """Gap sessions per key: a row opens a new session when its time is at least ``gap`` after the
     previous row's (in (ts, tiebreak) order). Adds ``out`` (1-based session number per key).
 
-    Unlike a session-window aggregate (which clusters a whole key in one task), the previous
-    row is found inside time buckets plus the last time of the previous non-empty bucket, and
-    the session number is a two-level prefix sum, so a key with a third of all rows spreads out.
+    Unlike a session-window aggregate (which clusters a whole key in one task), rows are range-partitioned by
+    (key, time): the previous row is found inside the range, or is the last one of the key in the ranges
+    before, and the session number is a two-level prefix sum. A project with a third of all events, even in
+    one minute, is spread over many tasks.
     """
     # microseconds since the epoch of the naive timestamp: no session time zone, no DST gaps
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                           F.col(ts).cast("timestamp_ntz"))
-    d = df.withColumn("__us", us).withColumn("__b", F.floor(F.col("__us") / F.lit(bucket_seconds * 1_000_000)))
     order = [F.col("__us"), *[F.col(c) for c in tiebreak]]
+    d = range_blocks(df.withColumn("__us", us), [*[F.col(k) for k in keys], *order], "__b")
     d = d.withColumn("__prev", F.lag("__us").over(_w(keys, F.col("__b")).orderBy(*order)))
     bl = d.groupBy(*keys, "__b").agg(F.max("__us").alias("__bmax"))
     bl = bl.withColumn("__pmax", F.lag("__bmax").over(_w(keys).orderBy("__b"))).drop("__bmax")

@@ -54,7 +54,7 @@ def project_context(listing: DataFrame) -> DataFrame:
 
     ``listing`` has project_id, path (relative to the project root) and content for marker files.
     One aggregate per project gathers the root-marker flags, the parsed package.json and the
-    lower-cased top-level directory set; the rules are then plain column expressions.
+    flags of the top-level directories asked for; the rules are then plain column expressions.
     """
     path, content = F.col("path"), F.col("content")
     pkg = package_json_fields(content)
@@ -67,13 +67,14 @@ def project_context(listing: DataFrame) -> DataFrame:
     names = ["package.json", "requirements.txt", "pyproject.toml", "pom.xml", "go.mod", "webpack.config.js",
              "vite.config.js", "vite.config.ts", "build.gradle", "Makefile", "yarn.lock", "package-lock.json",
              "pnpm-lock.yaml", "Pipfile"]
+    folders = ["packages", "apps", "src", "components", "views", "controllers", "models", "services", "repositories"]
     root_pkg = is_root & (path == "package.json")
     agg = listing.groupBy(*P).agg(
         *[has(n) for n in names],
         F.max(F.when(root_pkg & pkg["valid"], F.struct(pkg["deps"].alias("deps"), pkg["version"].alias("v"))))
          .alias("pkg"),
         F.max(F.when(is_root & (path == "pyproject.toml"), pyproject_version(content))).alias("py_version"),
-        F.collect_set(top).alias("dirs"),  # distinct top-level names only: bounded by the tree's breadth
+        *[F.coalesce(F.bool_or(top == n), F.lit(False)).alias("dir_" + n) for n in folders],
     )
     c = F.col
     deps = c("pkg.deps")
@@ -84,7 +85,7 @@ def project_context(listing: DataFrame) -> DataFrame:
                          .when(dep("express"), "express").otherwise("node"))
                   .when(c("has_requirements_txt") | c("has_pyproject_toml"), "python")
                   .when(c("has_pom_xml"), "spring").when(c("has_go_mod"), "go").otherwise("unknown"))
-    d = lambda n: F.array_contains(c("dirs"), n)
+    d = lambda n: c("dir_" + n)
     arch = (F.when(d("packages") | d("apps"), "monorepo").when(d("src") & (d("components") | d("views")), "spa")
              .when(d("controllers") & d("models") & d("views"), "mvc")
              .when(d("services") & d("repositories"), "layered").otherwise("unknown"))
