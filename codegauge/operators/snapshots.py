@@ -8,7 +8,7 @@ than a window over the key, so a key with very many rows is combined map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
@@ -52,18 +52,21 @@ def branch_heads(commits: DataFrame, keys=("project_id", "branch")) -> DataFrame
 
 
 def list_branches(commits: DataFrame) -> DataFrame:
-    """K2: branches with type, short hash, last commit time, author and the current-branch flag.
+    """K2: branches with type, short hash, last commit time, author and the current-branch flag, ranked.
 
-    The current branch of a project is the branch of its latest commit overall.
+    The current branch of a project is the branch of its latest commit overall. ``rank`` lists a project's branches by the
+    time of their last commit, newest first (ties by name).
     """
     heads = branch_heads(commits)
     cur = heads.groupBy("project_id").agg(
         F.max_by("branch", F.struct("commit_time", "seq")).alias("current_branch"))
+    newest = Window.partitionBy("project_id").orderBy(F.desc("last_commit_time"), "branch")
     return (heads.join(cur, "project_id")
                  .select("project_id", "branch", branch_type(F.col("branch")).alias("branch_type"),
                          F.substring("commit_hash", 1, 8).alias("last_commit"),
                          F.col("commit_time").alias("last_commit_time"), "author",
-                         (F.col("branch") == F.col("current_branch")).alias("is_current")))
+                         (F.col("branch") == F.col("current_branch")).alias("is_current"))
+                 .withColumn("rank", F.row_number().over(newest).cast("long")))
 
 
 def refresh_plan(heads: DataFrame, stored: DataFrame) -> DataFrame:
@@ -118,6 +121,19 @@ def snapshot_summary(cmp: DataFrame, keys=("project_id",)) -> DataFrame:
         F.count_if(s != "removed").cast("long").alias("total_b"))
 
 
+def snapshot_distributions(a: DataFrame, b: DataFrame, ea: DataFrame, eb: DataFrame, keys=("project_id",)) -> DataFrame:
+    """Files by complexity (of ``risk``), and distinct entities, of both snapshots side by side."""
+    risk, levels = F.col("risk"), ("low", "medium", "high", "extreme")
+    level = F.when(risk < 0.3, "low").when(risk < 0.6, "medium").when(risk < 0.8, "high").otherwise("extreme")
+
+    def one(files, entities, s):
+        d = files.withColumn("__l", level).groupBy(*keys).agg(*[F.count_if(F.col("__l") == x).cast("long").alias(f"{x}_{s}") for x in levels])
+        n = entities.select(*keys, "path", "name").distinct().groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias(f"entities_{s}"))
+        return d.join(n, list(keys), "full_outer")
+    out = one(a, ea, "a").join(one(b, eb, "b"), list(keys), "full_outer")
+    return out.fillna(0, [c for c in out.columns if c not in keys])
+
+
 def entity_diff(ea: DataFrame, eb: DataFrame, keys=("project_id",)) -> DataFrame:
     """Entity keys ``path:name`` added in B / removed from A."""
     k = [*keys, "path", "name"]
@@ -167,10 +183,22 @@ def attach_commit_time(files: DataFrame, file_commits: DataFrame, keys=("project
 
 
 # ------------------------------------------------------------------ persistence
-def write_snapshot(df: DataFrame, path: str, partition_cols=("project_id", "branch")) -> None:
-    """Replace only the partitions present in ``df`` (dynamic partition overwrite)."""
+def write_snapshot(df: DataFrame, path: str, partition_cols=("project_id", "branch"), replaced: list[tuple] = ()) -> None:
+    """Replace only the partitions present in ``df`` (dynamic partition overwrite).
+
+    ``replaced`` names the partitions that this snapshot stands for (values of ``partition_cols``); one of them without
+    rows in ``df``, as a project whose last file is gone, is emptied too.
+    """
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_cols).parquet(path))
+    sc = df.sparkSession.sparkContext
+    for values in replaced:
+        same = F.lit(True)
+        for c, v in zip(partition_cols, values):
+            same &= F.col(c) == v
+        if df.filter(same).isEmpty():
+            gone = sc._jvm.org.apache.hadoop.fs.Path("/".join([path, *[f"{c}={v}" for c, v in zip(partition_cols, values)]]))
+            gone.getFileSystem(sc._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def read_snapshot(spark, path: str, project_id=None, branch=None) -> DataFrame:

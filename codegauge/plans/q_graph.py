@@ -173,6 +173,11 @@ def dependents(spark, sf):
     return G.dependents(build_graph(spark, sf)["edges"])
 
 
+@query("dependencies", with_views("SELECT project_id, src AS node, dst AS dependency FROM edges_all", ["edges_all"]))
+def dependencies(spark, sf):
+    return G.dependencies(build_graph(spark, sf)["edges"])
+
+
 @query("change_impact", with_views("""SELECT project_id, target, direct_impact, indirect_impact,
       direct_impact + indirect_impact AS total_impact_files,
       CASE WHEN direct_impact + indirect_impact > 20 THEN 'extreme' WHEN direct_impact + indirect_impact > 10 THEN 'high'

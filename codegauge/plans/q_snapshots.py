@@ -74,6 +74,24 @@ def snapshot_summary(spark, sf):
     return SN.snapshot_summary(SN.compare_snapshots(a, b))
 
 
+_LEVELS = ["low", "medium", "high", "extreme"]
+
+
+def _side_sql(s: str) -> str:
+    level = "CASE WHEN risk < 0.3 THEN 'low' WHEN risk < 0.6 THEN 'medium' WHEN risk < 0.8 THEN 'high' ELSE 'extreme' END"
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE {level} = '{x}') AS BIGINT) AS {x}_{s}" for x in _LEVELS)
+    return f"""(SELECT * FROM (SELECT project_id, {counts} FROM snap_{s} GROUP BY 1) f FULL JOIN
+      (SELECT project_id, CAST(count(*) AS BIGINT) AS entities_{s} FROM (SELECT DISTINCT project_id, path, name FROM ent_{s}) t GROUP BY 1) e
+      USING (project_id)) {s}"""
+
+
+@query("snapshot_distributions", with_views(
+    "SELECT project_id, " + ", ".join(f"coalesce({x}_{s}, 0) AS {x}_{s}" for s in "ab" for x in [*_LEVELS, "entities"])
+    + f" FROM {_side_sql('a')} FULL JOIN {_side_sql('b')} USING (project_id)", ["snap_a", "snap_b", "ent_a", "ent_b"]))
+def snapshot_distributions(spark, sf):
+    return SN.snapshot_distributions(*FX.snapshots(spark, sf))
+
+
 @query("entity_diff", with_views("""SELECT project_id, path || ':' || name AS entity_key,
       CASE WHEN a.in_a IS NULL THEN 'added' ELSE 'removed' END AS change
     FROM (SELECT DISTINCT project_id, path, name, true AS in_a FROM ent_a) a
@@ -95,7 +113,8 @@ def detect_changes(spark, sf):
 
 @query("list_branches", with_views(f"""SELECT h.project_id, h.branch, {_BTYPE} AS branch_type,
       substr(h.commit_hash, 1, 8) AS last_commit, h.commit_time AS last_commit_time, h.author,
-      (h.branch = c.current_branch) AS is_current
+      (h.branch = c.current_branch) AS is_current,
+      CAST(row_number() OVER (PARTITION BY h.project_id ORDER BY h.commit_time DESC, h.branch) AS BIGINT) AS rank
     FROM heads h JOIN (SELECT project_id, branch AS current_branch FROM (
         SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY commit_time DESC, seq DESC) AS r FROM heads) t
         WHERE r = 1) c USING (project_id)""", ["heads"]))
@@ -192,8 +211,14 @@ def snapshot_roundtrip(spark, sf):
     return SN.read_snapshot(spark, path).select(F.col("project_id").cast("long"), "branch", "path", "file_hash")
 
 
-@query("rebuild_edges", with_views("SELECT project_id, src, dst FROM import_edges", ["import_edges"]))
+@query("rebuild_edges", with_views("""SELECT project_id, src, dst,
+      CASE WHEN occurrences % 2 = 0 THEN 'unknown' ELSE 'imports' END AS relation_type,
+      CASE WHEN occurrences % 3 = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS strength FROM import_edges""", ["import_edges"]))
 def rebuild_edges(spark, sf):
+    """J6 over stored edges some of which lack their relation (even occurrences) or strength (multiples of 3)."""
     from codegauge.plans.q_graph import build_graph
     g = build_graph(spark, sf)
-    return SN.rebuild_edges(g["edges"], g["files"]).select("project_id", "src", "dst")
+    n = F.col("occurrences")
+    e = (g["edges"].withColumn("relation_type", F.when(n % 2 != 0, F.col("relation_type")))
+                   .withColumn("strength", F.when(n % 3 != 0, F.col("strength"))))
+    return SN.rebuild_edges(e, g["files"]).select("project_id", "src", "dst", "relation_type", "strength")
