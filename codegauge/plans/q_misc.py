@@ -10,7 +10,7 @@ from codegauge.operators import graph as G
 from codegauge.operators import metrics as M
 from codegauge.operators import scoring as SC
 from codegauge.operators import snapshots as SN
-from codegauge.operators.ordered import ordinal, top_k
+from codegauge.operators.ordered import global_rank, top_k
 from codegauge.plans import q_changes, q_graph, q_project, q_scoring, q_snapshots  # noqa: F401  (shared views)
 from codegauge.plans.oracle_fixtures import register, with_views
 from codegauge.plans.registry import query
@@ -110,9 +110,7 @@ def active_projects(spark, sf):
     """active projects, newest access first."""
     act = SN.expire_projects(q_snapshots._last_access(spark, sf), F.lit(q_snapshots.CUTOFF).cast("timestamp_ntz"))
     act = act.filter("is_active")
-    # a global rank without a single-partition window: day buckets (descending) bound each partition
-    day = -F.unix_date(F.col("last_accessed").cast("date"))
-    ranked = ordinal(act, [], [F.col("last_accessed").desc(), F.col("project_id")], day, out="recency_rank", start=1)
+    ranked = global_rank(act, [F.col("last_accessed").desc(), F.col("project_id")], out="recency_rank")
     return ranked.select(*P, "last_accessed", "recency_rank")
 
 
@@ -143,6 +141,27 @@ def score_file(spark, sf):
                     "n_findings", "n_issues")
 
 
+@query("score_file_findings", with_views(f"""SELECT path, tool_name, line, col, severity, rule_id, message, category, suggestion, auto_fixable
+    FROM findings WHERE path = '{SCORE_FILE}'""", ["findings"]))
+def score_file_findings(spark, sf):
+    """the finding rows of that file."""
+    key = int(SCORE_FILE[1:])
+    finds = FX.findings(spark, sf, key_filter=(F.col("user_id") == key // 10) & (F.col("event_id") % 10 == key % 10))
+    return finds.select("path", *FD.FINDING_COLUMNS)
+
+
+@query("score_file_issues", with_views(f"""SELECT path, kind, severity, message FROM (
+      SELECT path, CAST(0 AS BIGINT) AS kind, 'warning' AS severity, 'Cyclomatic complexity is ' || CAST(cyclomatic AS STRING) || ' (threshold: 15)' AS message
+        FROM grid_scores WHERE cyclomatic > 15
+      UNION ALL SELECT path, 1, 'warning', 'Cognitive complexity is ' || CAST(cognitive AS STRING) || ' (threshold: 25)' FROM grid_scores WHERE cognitive > 25
+      UNION ALL SELECT path, 4, 'error', 'Low maintainability index: ' || printf('%.1f', maintainability_index) FROM grid_scores WHERE maintainability_index < 30) t
+    WHERE path = '{SCORE_FILE}'""", ["grid_scores"]))
+def score_file_issues(spark, sf):
+    """the issue rows of that file that its metrics give."""
+    grid = q_scoring.grid_metrics(spark, sf, key_filter=F.col("o_orderkey") == int(SCORE_FILE[1:]))
+    return M.quality_issues(grid, None, None, ["path"]).select("path", "kind", "severity", "message")
+
+
 # ------------------------------------------------------------------ J5, J13, J15
 @query("attach_entities", with_views("""SELECT project_id, path, name FROM ent_b e
     WHERE EXISTS (SELECT 1 FROM snap_a a WHERE a.project_id = e.project_id AND a.path = e.path)""", ["ent_b", "snap_a"]))
@@ -219,27 +238,33 @@ def check_rollup(spark, sf):
     return SN.check_rollup(snap.unionByName(fresh).unionByName(refresh))
 
 
+# What a touched file holds now (a derived text: an import, one to three functions, a class).
+_NOW = "'import m' || CAST(event_id % 40 AS STRING) || chr(10) || repeat('def g(a): return a' || chr(10), CAST(event_id % 3 + 1 AS INT)) || 'class K: pass'"
+
+
 @query("rescore_changed", with_views("""SELECT project_id, CAST(count(*) AS BIGINT) AS files_after,
-      CAST(count(*) FILTER (WHERE state = 'reanalysed') AS BIGINT) AS reanalysed,
-      CAST(coalesce(sum(r.line_count) FILTER (WHERE state = 'kept'), 0) AS BIGINT) AS kept_lines,
-      CAST(count(*) FILTER (WHERE state = 'kept' AND r.risk_tenths > 7) AS BIGINT) AS kept_high_risk
-    FROM (SELECT project_id, path, 'kept' AS state FROM code_files f
-            WHERE NOT EXISTS (SELECT 1 FROM latest_change l WHERE l.project_id = f.project_id AND l.path = f.path)
-          UNION ALL SELECT project_id, path, 'reanalysed' FROM latest_change WHERE change_type IN ('created', 'modified')) a
-    LEFT JOIN risk r USING (project_id, path) GROUP BY project_id""", ["code_files", "latest_change", "risk"]))
+      CAST(count(*) FILTER (WHERE state = 'reanalysed') AS BIGINT) AS reanalysed, CAST(sum(lines) AS BIGINT) AS lines_after,
+      CAST(sum(CASE WHEN state = 'reanalysed' THEN lines ELSE 0 END) AS BIGINT) AS lines_reanalysed,
+      CAST(sum(entities) AS BIGINT) AS entities_after, CAST(sum(imports) AS BIGINT) AS imports_after, CAST(sum(bytes) AS BIGINT) AS bytes_after,
+      CAST(count(*) FILTER (WHERE tenths > 7) AS BIGINT) AS high_risk_after
+    FROM (SELECT project_id, 'kept' AS state, line_count AS lines, n_entities AS entities, n_imports AS imports, size_bytes AS bytes, risk_tenths AS tenths FROM risk r
+            WHERE NOT EXISTS (SELECT 1 FROM latest_change l WHERE l.project_id = r.project_id AND l.path = r.path)
+          UNION ALL SELECT project_id, 'reanalysed', event_id % 3 + 3, event_id % 3 + 2, 1, strlen(""" + _NOW + """), 0
+            FROM latest_change WHERE change_type IN ('created', 'modified')) a
+    GROUP BY project_id""", ["latest_change", "risk"]))
 def rescore_changed(spark, sf):
-    """T4: statistics after applying the changes: kept files keep their risk, touched ones are re-analysed."""
+    """T3 + T4: statistics after the changes. Kept files keep their row; touched ones are extracted and rated from their new text."""
     g = q_graph.build_graph(spark, sf)
     risk = G.risk_scores(g["nodes"], g["entities"], g["imports"])
     latest = CH.latest_change_per_path(CH.monitored(CH.expand_moves(FX.file_changes(spark, sf))))
-    after = CH.apply_changes(g["files"].select(*P, "path"), latest)
-    d = after.join(risk.select(*P, "path", "line_count", "risk_tenths"), [*P, "path"], "left")
-    kept = F.col("state") == "kept"
+    current = latest.select(*P, "path", F.expr(_NOW).alias("content"))
+    d = CH.reanalyse(risk, latest, current)
+    new = F.col("state") == "reanalysed"
     return d.groupBy(*P).agg(
-        F.count(F.lit(1)).cast("long").alias("files_after"),
-        F.count_if(F.col("state") == "reanalysed").cast("long").alias("reanalysed"),
-        F.coalesce(F.sum(F.when(kept, F.col("line_count"))), F.lit(0)).cast("long").alias("kept_lines"),
-        F.count_if(kept & (F.col("risk_tenths") > 7)).cast("long").alias("kept_high_risk"))
+        F.count(F.lit(1)).cast("long").alias("files_after"), F.count_if(new).cast("long").alias("reanalysed"),
+        F.sum("line_count").cast("long").alias("lines_after"), F.sum(F.when(new, F.col("line_count")).otherwise(0)).cast("long").alias("lines_reanalysed"),
+        F.sum("n_entities").cast("long").alias("entities_after"), F.sum("n_imports").cast("long").alias("imports_after"),
+        F.sum("size_bytes").cast("long").alias("bytes_after"), F.count_if(F.col("risk_tenths") > 7).cast("long").alias("high_risk_after"))
 
 
 @query("update_status", with_views("""SELECT c.project_id, c.last_change, c.n_changes, c.n_paths,

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from codegauge.functions import rules as R
 from codegauge.operators import findings as FD
 from codegauge.operators import metrics as M
+from codegauge.operators.graph import metric_language
 from codegauge.operators import scoring as SC
 from codegauge.plans import q_findings, q_metrics  # noqa: F401  (their views are used here)
 from codegauge.plans.oracle_fixtures import register, with_views
 from codegauge.plans.registry import query
 from codegauge.session import materialize
 from codegauge.sources import fixtures as FX
+from codegauge.sources.tables import table
 
 W = R.ScoringWeights()
 
@@ -186,7 +188,15 @@ _PROJECT_SQL = ("SELECT project_id, CAST(count(*) AS BIGINT) AS files_evaluated,
                 + ", ".join(f"round(avg({c}), 6) AS avg_{c}" for c in _CATS) + ", "
                 + ", ".join(f"CAST(count(*) FILTER (WHERE grade = '{g}') AS BIGINT) AS n_grade_{g.replace('+', 'p')}"
                             for g in ["A+", "A", "B", "C", "D", "F"])
-                + ", CAST(0 AS BIGINT) AS files_skipped FROM flag_scores GROUP BY project_id")
+                + ", coalesce(max(k.n), 0) AS files_skipped FROM flag_scores LEFT JOIN (SELECT p_partkey % 5 AS project_id, CAST(count(*) AS BIGINT) AS n"
+                  " FROM part WHERE p_partkey % 9 < 2 GROUP BY 1) k USING (project_id) GROUP BY project_id")
+
+
+def header_files(spark, sf):
+    """C sources of the projects (project_id, path): .h and .hpp are listed, but have no metric language."""
+    k = F.col("p_partkey")
+    ext = F.when(k % 9 == 0, ".h").when(k % 9 == 1, ".hpp").otherwise(".c")
+    return table(spark, sf, "part").select((k % 5).alias("project_id"), F.concat(F.lit("inc/p"), k.cast("string"), ext).alias("path"))
 
 
 def project_scores_frame(spark, sf):
@@ -207,6 +217,7 @@ def project_scores_frame(spark, sf):
 @query("project_score", with_views(_PROJECT_SQL, ["flag_scores"]))
 def project_score(spark, sf):
     s = project_scores_frame(spark, sf)
-    out = SC.project_score(s, ["project_id"])
+    skipped = header_files(spark, sf).filter(metric_language("path").isNull())
+    out = SC.project_score(s, ["project_id"], skipped)
     return out.select("project_id", "files_evaluated", _r6("average_score"), *[_r6(f"avg_{c}") for c in _CATS],
                       *[f"n_grade_{g}" for g in ["Ap", "A", "B", "C", "D", "F"]], "files_skipped")

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
-from codegauge.operators.graph import suffix
+from codegauge.operators.extract import analyze_files, entities, imports
+from codegauge.operators.graph import file_nodes, graph_language, risk_scores, suffix
 from codegauge.operators.ordered import sessionize
+from codegauge.session import materialize
 
 CHANGE_SCHEMA = ("project_id LONG, path STRING, dest_path STRING, change_type STRING, ts TIMESTAMP_NTZ, "
                  "event_id LONG")
@@ -50,13 +52,19 @@ def monitored(expanded: DataFrame) -> DataFrame:
     return expanded.filter(should_monitor(F.col("path")))
 
 
-def latest_change_per_path(expanded: DataFrame) -> DataFrame:
-    """The last queued change of every path wins (ts, event id, sub order), via ``max_by``."""
+def _last(expanded: DataFrame, *extra: str) -> DataFrame:
+    """The row of every path that comes last by (ts, event id, sub order), with ``extra`` order columns."""
+    cols = ["change_type", "ts", "event_id", *extra]
     return (expanded.groupBy("project_id", "path")
-                    .agg(F.max_by(F.struct("change_type", "ts", "event_id"), F.struct("ts", "event_id", "sub")).alias("c"))
+                    .agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id", "sub")).alias("c"))
                     .select("project_id", "path", "c.*"))
 
 
+def latest_change_per_path(expanded: DataFrame) -> DataFrame:
+    """The last queued change of every path wins (ts, event id, sub order), via ``max_by``."""
+    return _last(expanded)
+
+
 def debounce_sessions(changes: DataFrame, gap_seconds: int, tiebreak: list[str] = ("event_id",)) -> DataFrame:
     """T2 (batch): project-wide sessions closed by ``gap`` seconds without an event.
 
@@ -92,6 +100,23 @@ def apply_changes(files: DataFrame, latest: DataFrame) -> DataFrame:
     return kept.unionByName(re)
 
 
+def reanalyse(risk: DataFrame, latest: DataFrame, current: DataFrame) -> DataFrame:
+    """File rows after the changes: ``risk`` rows of untouched files stay, deleted ones go, and created or modified
+    files are extracted and rated again from their ``current`` text (project_id, path, content). Only touched files are parsed.
+
+    Returns project_id, path, state, size_bytes, line_count, n_entities, n_imports, risk_tenths, risk_score, complexity_level.
+    """
+    cols = ["size_bytes", "line_count", "n_entities", "n_imports", "risk_tenths", "risk_score", "complexity_level"]
+    keys = ["project_id", "path"]
+    kept = risk.join(latest.select(*keys), keys, "left_anti").select(*keys, F.lit("kept").alias("state"), *cols)
+    live = latest.filter(F.col("change_type").isin("created", "modified")).select(*keys)
+    touched = current.join(live, keys, "left_semi").select(*keys, "content", F.octet_length("content").cast("long").alias("size_bytes"),
+                                                           graph_language("path").alias("lang"))
+    extracted = materialize(analyze_files(touched), "extract")
+    new = risk_scores(file_nodes(touched), entities(extracted), imports(extracted))
+    return kept.unionByName(new.select(*keys, F.lit("reanalysed").alias("state"), *cols))
+
+
 # ------------------------------------------------------------------ Structured Streaming
 def read_change_stream(spark: SparkSession, source: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
     """Append-only change rows as a stream (explicit schema; rewritten files are not re-read)."""
@@ -128,37 +153,81 @@ def run_session_stream(spark: SparkSession, source: str, sink: str, checkpoint:
     return q
 
 
-def run_apply_stream(spark: SparkSession, source: str, snapshot: str, checkpoint: str):
-    """T3 + T4 as a stream: every micro-batch applies its latest change per path to the snapshot.
+BUCKETS = 16
 
-    ``foreachBatch`` reads the current snapshot version, applies deletes (anti join) and
-    re-analysis marks (union), and writes a new version directory; the snapshot is never
-    overwritten while being read. The version list is the directory listing, newest last.
-    """
-    import uuid
 
-    def apply(batch: DataFrame, batch_id: int):
-        latest = latest_change_per_path(monitored(expand_moves(batch)))
-        cur = _current_version(spark, snapshot)
-        base = spark.read.parquet(cur) if cur else spark.createDataFrame([], "project_id LONG, path STRING, state STRING")
-        out = apply_changes(base, latest)
-        out.write.mode("overwrite").parquet(f"{snapshot.rstrip('/')}/v{batch_id:012d}-{uuid.uuid4().hex[:8]}")
+def run_apply_stream(spark: SparkSession, source: str, snapshot: str, checkpoint: str, max_files: int | None = None):
+    """T3 + T4 as a stream: every micro-batch merges its last change per path into the snapshot.
 
-    q = (read_change_stream(spark, source).writeStream.foreachBatch(apply)
+    The snapshot holds the last change of every path with its order (ts, event id, sub); deletions stay as tombstones, so a
+    late batch never overrides a newer change, however the stream is split. A batch rewrites only the (project, path
+    bucket) partitions that it touches, as a new version of them; a version counts once its ``_SUCCESS`` marker
+    exists, and a batch that runs again replaces its own version.
+    """
+    def apply(batch: DataFrame, batch_id: int):
+        bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+        new = _last(monitored(expand_moves(batch)), "sub").withColumn("bucket", bucket)
+        old = read_state(spark, snapshot, before=batch_id)
+        if old is not None:
+            touched = new.select("project_id", "bucket").distinct()
+            cols = new.columns
+            both = old.join(touched, ["project_id", "bucket"], "left_semi").select(*cols).unionByName(new)
+            new = _last(both, "sub").withColumn("bucket", bucket)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("project_id", "bucket").parquet(f"{snapshot.rstrip('/')}/version={batch_id:012d}")
+
+    q = (read_change_stream(spark, source, max_files=max_files).writeStream.foreachBatch(apply)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
-def _current_version(spark: SparkSession, snapshot: str) -> str | None:
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def _versions(spark: SparkSession, snapshot: str) -> list[int]:
+    """Complete versions, oldest first."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(snapshot)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
+    done = []
+    for name in _folders(spark, snapshot):
+        p = jvm.org.apache.hadoop.fs.Path(f"{snapshot.rstrip('/')}/{name}/_SUCCESS")
+        if name.startswith("version=") and p.getFileSystem(conf).exists(p):
+            done.append(int(name[8:]))
+    return done
+
+
+def read_state(spark: SparkSession, snapshot: str, before: int | None = None) -> DataFrame | None:
+    """The last change of every path (tombstones too): of each (project, bucket) the newest complete version."""
+    base = snapshot.rstrip("/")
+    paths = [f"{base}/version={v:012d}" for v in _versions(spark, snapshot) if before is None or v < before]
+    if not paths:
         return None
-    # only complete versions (the committer's _SUCCESS marker) are readable
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                   if s.isDirectory() and s.getPath().getName().startswith("v")
-                   and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return f"{snapshot.rstrip('/')}/{names[-1]}" if names else None
+    schema = "path STRING, change_type STRING, ts TIMESTAMP_NTZ, event_id LONG, sub INT, version LONG, project_id LONG, bucket INT"
+    rows = spark.read.schema(schema).option("basePath", base).parquet(*paths)
+    newest = rows.groupBy("project_id", "bucket").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["project_id", "bucket", "version"], "left_semi")
+
+
+def read_snapshot_files(spark: SparkSession, snapshot: str) -> DataFrame | None:
+    """Paths whose last change created or modified them."""
+    state = read_state(spark, snapshot)
+    return None if state is None else state.filter(F.col("change_type") != "deleted").select("project_id", "path")
+
+
+def vacuum_snapshot(spark: SparkSession, snapshot: str, keep: int = 2) -> int:
+    """Delete partitions that at least ``keep`` newer complete versions replace; returns how many."""
+    sc, base, seen, gone = spark.sparkContext, snapshot.rstrip("/"), {}, 0
+    for v in reversed(_versions(spark, snapshot)):
+        for project in _folders(spark, f"{base}/version={v:012d}"):
+            for bucket in _folders(spark, f"{base}/version={v:012d}/{project}"):
+                part = f"{project}/{bucket}"
+                seen[part] = seen.get(part, 0) + 1
+                if seen[part] > keep:
+                    p = sc._jvm.org.apache.hadoop.fs.Path(f"{base}/version={v:012d}/{part}")
+                    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+                    gone += 1
+    return gone

@@ -20,7 +20,7 @@ def test_sessionize_across_buckets_matches_loop(spark):
                 rows.append((proj, t, eid))
                 eid += 1
     df = spark.createDataFrame(rows, "project_id LONG, ts TIMESTAMP_NTZ, event_id LONG")
-    got = {r.event_id: r.session_no for r in sessionize(df, ["project_id"], "ts", 60, ["event_id"], bucket_seconds=7).collect()}
+    got = {r.event_id: r.session_no for r in sessionize(df, ["project_id"], "ts", 60, ["event_id"]).collect()}
     for proj in range(3):
         n, prev = 0, None
         for _, t, e in sorted(x for x in rows if x[0] == proj):
