@@ -225,7 +225,7 @@ def search_entities(entities: DataFrame, query: str, limit: int | None = None) -
 
 
 def file_context(risk: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per file with its entity, dependency, dependent and import counts.
+    """One row per file with its language, size, risk and its entity, dependency, dependent and import counts.
 
     Lists are kept as the normalised child tables (entities, edges) rather than collected into
     the file row, so a file with very many entities never becomes one huge row.
@@ -234,8 +234,8 @@ def file_context(risk: DataFrame, entities: DataFrame, edges: DataFrame) -> Data
         F.count(F.lit(1)).cast("long").alias("n_entities_distinct"))
     ns = edges.groupBy(*P, F.col("src").alias("path")).agg(F.count(F.lit(1)).cast("long").alias("n_dependencies"))
     nd = edges.groupBy(*P, F.col("dst").alias("path")).agg(F.count(F.lit(1)).cast("long").alias("n_dependents"))
-    d = (risk.select(*P, "path", "line_count", "n_imports", "risk_score")
+    d = (risk.select(*P, "path", "size_bytes", "line_count", "n_imports", "risk_score")
              .join(ne, [*P, "path"], "left").join(ns, [*P, "path"], "left").join(nd, [*P, "path"], "left")
              .fillna(0, ["n_entities_distinct", "n_dependencies", "n_dependents"]))
-    return d.select(*P, "path", "line_count", F.col("n_entities_distinct").alias("n_entities"), "n_dependencies",
-                    "n_dependents", "n_imports", "risk_score")
+    return d.select(*P, "path", graph_language("path").alias("language"), "size_bytes", "line_count",
+                    F.col("n_entities_distinct").alias("n_entities"), "n_dependencies", "n_dependents", "n_imports", "risk_score")

@@ -276,7 +276,9 @@ def main_language(spark, sf):
     return PR.main_language(files)
 
 
-@query("file_context", with_views("""SELECT r.project_id, r.path, r.line_count,
+@query("file_context", with_views("""SELECT r.project_id, r.path,
+      CASE WHEN suffix(r.path, '.py') THEN 'python' WHEN suffix(r.path, '.js') THEN 'javascript'
+           WHEN suffix(r.path, '.ts') THEN 'typescript' ELSE 'java' END AS language, r.size_bytes, r.line_count,
       CAST(coalesce(e.c, 0) AS BIGINT) AS n_entities, CAST(coalesce(s.c, 0) AS BIGINT) AS n_dependencies,
       CAST(coalesce(d.c, 0) AS BIGINT) AS n_dependents, r.n_imports, r.risk_score
     FROM risk r

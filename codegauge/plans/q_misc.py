@@ -347,6 +347,45 @@ def summarize_project(spark, sf):
                          "high_risk_files", "low", "medium", "high", "extreme", "top_files"))
 
 
+@query("project_overview", with_views("""SELECT p.project_id, p.total_files, m.main_language, b.n_branches, b.current_branch,
+      coalesce(c.n_changes, 0) AS n_changes, c.last_change, h.high_files, k.core_entities
+    FROM (SELECT project_id, CAST(count(*) AS BIGINT) AS total_files FROM risk GROUP BY 1) p
+    LEFT JOIN (SELECT project_id, language AS main_language FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, language) AS r
+               FROM (SELECT project_id, CASE WHEN suffix(path, '.py') THEN 'python' WHEN suffix(path, '.js') THEN 'javascript'
+                       WHEN suffix(path, '.ts') THEN 'typescript' ELSE 'java' END AS language, count(*) AS n FROM code_files GROUP BY 1, 2) t) u WHERE r = 1) m USING (project_id)
+    LEFT JOIN (SELECT project_id, CAST(count(*) AS BIGINT) AS n_branches, arg_max(branch, (commit_time, seq)) AS current_branch FROM heads GROUP BY 1) b USING (project_id)
+    LEFT JOIN (SELECT project_id, CAST(count(*) AS BIGINT) AS n_changes, max(ts) AS last_change FROM monitored GROUP BY 1) c USING (project_id)
+    LEFT JOIN (SELECT project_id, string_agg(path, ',' ORDER BY path) AS high_files FROM (
+               SELECT project_id, path, row_number() OVER (PARTITION BY project_id ORDER BY path) AS r FROM risk WHERE risk_tenths > 7) t WHERE r <= 10 GROUP BY 1) h USING (project_id)
+    LEFT JOIN (SELECT project_id, string_agg(path || ':' || name, ',' ORDER BY path, name) AS core_entities FROM (
+               SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path, name) AS r FROM (
+                 SELECT project_id, path, name, max(line_number) % 9 AS usage_count FROM entities_all GROUP BY 1, 2, 3) a WHERE usage_count > 5) t WHERE r <= 20 GROUP BY 1) k USING (project_id)""",
+    ["risk", "code_files", "heads", "monitored", "entities_all"]))
+def project_overview(spark, sf):
+    """E6 beside the statistics: main language, branches, update status, high-risk files (F3) and core entities (F4) per project.
+    The lists hold at most 10 and 20 items."""
+    from codegauge.operators import project as PR
+    g = q_graph.build_graph(spark, sf)
+    risk = materialize(G.risk_scores(g["nodes"], g["entities"], g["imports"]), "risk")
+    count = F.count(F.lit(1)).cast("long")
+
+    def listed(rows, item, out):
+        ordered = F.array_sort(F.collect_list(F.struct("rank", item.alias("item"))))
+        return rows.groupBy(*P).agg(F.array_join(F.transform(ordered, lambda x: x["item"]), ",").alias(out))
+
+    heads = SN.branch_heads(FX.commits(spark, sf))
+    branches = heads.groupBy(*P).agg(count.alias("n_branches"), F.max_by("branch", F.struct("commit_time", "seq")).alias("current_branch"))
+    seen = CH.monitored(CH.expand_moves(FX.file_changes(spark, sf))).groupBy(*P).agg(count.alias("n_changes"), F.max("ts").alias("last_change"))
+    used = G.last_entities(g["entities"]).filter(F.col("line_number") % 9 > 5)
+    core = listed(top_k(used, P, ["path", "name"], 20), F.concat_ws(":", "path", "name"), "core_entities")
+    high = listed(G.high_risk_files(risk), F.col("path"), "high_files")
+    out = risk.groupBy(*P).agg(count.alias("total_files"))
+    for d in (PR.main_language(g["files"].select(*P, "path")).select(*P, "main_language"), branches, seen, high, core):
+        out = out.join(d, P, "left")
+    return out.select(*P, "total_files", "main_language", "n_branches", "current_branch", F.coalesce("n_changes", F.lit(0)).cast("long").alias("n_changes"),
+                      "last_change", "high_files", "core_entities")
+
+
 ROOT = "/work/proj"
 
 

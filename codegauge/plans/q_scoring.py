@@ -172,6 +172,22 @@ def priority_issues(spark, sf):
     return SC.priority_issues(FX.findings(spark, sf), iss, ["path"])
 
 
+_PRIORITY_CPX_SQL = _PRIORITY_SQL.replace("        UNION ALL\n        SELECT path, 2 AS cls", """        UNION ALL
+        SELECT path, 1, 1, '⚡ Complexity: Cyclomatic complexity is ' || CAST(cyclomatic AS STRING) || ' (threshold: 15)'
+        FROM metrics_grid WHERE cyclomatic > 40
+        UNION ALL
+        SELECT path, 2 AS cls""", 1)
+
+
+@query("priority_issues_complexity", with_views(_PRIORITY_CPX_SQL, ["findings", "metrics_grid"]))
+def priority_issues_complexity(spark, sf):
+    """W5 with issues of another analyser, which rates a complexity above 40 as an error."""
+    g = FX.metrics_grid(spark, sf).filter(F.col("cyclomatic") > 40)
+    iss = g.select("path", F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("seq"), F.lit("error").alias("severity"), F.lit("complexity").alias("category"),
+                   F.concat(F.lit("Cyclomatic complexity is "), F.col("cyclomatic").cast("string"), F.lit(" (threshold: 15)")).alias("message"))
+    return SC.priority_issues(FX.findings(spark, sf), iss, ["path"])
+
+
 # ---------------------------------------------------------------- flagship: project score end to end
 _FLAG_IN = f"""SELECT fm.*, 'f' || CAST(fm.file_id AS STRING) AS path, fm.file_id % 5 AS project_id, fm.lang AS language,
       {', '.join(f'CAST(coalesce(c.{x}, 0) AS BIGINT) AS {x}' for x in _CNT)},
