@@ -13,7 +13,10 @@ input, so they grow in number and not in size.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,33 @@ def n_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES
     return max(1, -(-int(total) // block_bytes))
 
 
+_SENT: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this subpackage to the Python workers of the application, once, as one small archive in the shared folder;
+    executors then need no installed copy, wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SENT:
+        return
+    root, archive = Path(__file__).resolve().parent.parent, io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in [root / "__init__.py", root / "session.py", *sorted((root / "llm").glob("*.py"))]:
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    path = sc._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, "code") + "/codegauge_tasks.zip")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    sc.addPyFile(fs.makeQualified(path).toString())
+    _SENT.add(sc.applicationId)
+
+
+def _spare() -> None:
+    """Give Arrow's unused memory back, as a worker lives on after a block."""
+    pa.default_memory_pool().release_unused()
+
+
 class Blocks:
     """Documents shuffled into blocks once, as compressed Arrow pieces, for several steps over the same blocks.
 
@@ -47,9 +77,10 @@ class Blocks:
     ids spread by their text. A step gets its block as a table of ``cols`` and ``block``, in no fixed order of rows.
     """
 
-    PACK_BYTES = 24 << 20
+    PACK_BYTES = 16 << 20
 
     def __init__(self, docs: DataFrame, blocks: int, cols: list[str], text: str = "text"):
+        ship_code(docs.sparkSession)
         cols = [*dict.fromkeys(cols)]
         most = self.PACK_BYTES
         key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col("doc_id")))
@@ -91,20 +122,32 @@ class Blocks:
 
     def each(self, f, schema) -> DataFrame:
         """``f(documents of a block)`` for every block."""
-        open_ = self._open
-        return self.grouped.groupBy("block").applyInArrow(lambda t: f(open_(t)), schema)
+        open_, spare = self._open, _spare
+
+        def run(t):
+            out = f(open_(t))
+            spare()
+            return out
+        return self.grouped.groupBy("block").applyInArrow(run, schema)
 
     def meet(self, replies: DataFrame, f, schema) -> DataFrame:
         """``f(documents of a block, its replies)`` for every block. Replies only go to blocks that asked."""
-        open_ = self._open
-        return self.grouped.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda t, reply: f(open_(t), reply), schema)
+        open_, spare = self._open, _spare
+
+        def run(t, reply):
+            out = f(open_(t), reply)
+            spare()
+            return out
+        return self.grouped.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
 
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row and the n + 1 offsets; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
-    col = pc.fill_null(col.cast(pa.large_binary()), b"")
+    col = col.cast(pa.large_binary())
+    if col.null_count:
+        col = pc.fill_null(col, b"")
     _, off, data = col.buffers()
     if len(col) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -132,6 +175,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_BACK = [np.uint64(pow(c, -1, 1 << 64)) for c in (0xA0761D6478BD642F, 0xD6E8FEB86659FD93)]
+
+
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """The values that :func:`mix64` took to ``x``."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * _BACK[0]
+        x = (x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))) * _BACK[1]
+        return x ^ (x >> np.uint64(32))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (a plain sort: several times faster than ``np.unique`` on hashes)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+class Lookup:
+    """Places in an ascending array of evenly spread keys: a table over their leading bits, then a step or two. Several
+    times faster than binary search, which misses the cache at each halving."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, int(len(keys)).bit_length() + 2)
+        self.shift = np.uint64(max(0, (int(keys[-1]).bit_length() if len(keys) else 1) - bits))
+        lead = (keys >> self.shift).astype(np.int64)
+        self.start = np.r_[0, np.cumsum(np.bincount(lead))] if len(keys) else np.zeros(1, np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of ``wanted``, all of which must be among the keys."""
+        at = self.start[(wanted >> self.shift).astype(np.int64)]
+        miss = np.flatnonzero(self.keys[at] != wanted)
+        while len(miss):
+            at[miss] += 1
+            miss = miss[self.keys[at[miss]] != wanted[miss]]
+        return at
+
+
 def by_splitmix(n: int, seed: int) -> np.ndarray:
     """``n`` fixed random uint64 values from a seed."""
     with np.errstate(over="ignore"):
@@ -213,13 +294,22 @@ def owner(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
+LOW = np.uint64(0xFFFFFFFF)
+
+
+def short(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard in the high half, 32 bits of the key in the low: distinct keys of one shard rarely meet, and only the low half
+    has to travel."""
+    return owner(keys, shards).astype(np.uint64) << np.uint64(32) | (keys & LOW)
+
+
 def packed(values: list[np.ndarray]) -> pa.Array:
     return pa.array([v.tobytes() for v in values], pa.binary())
 
 
 def summed(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with the sums of their values."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, vals = keys[order], vals[order]
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return keys[at], np.add.reduceat(vals, at) if len(at) else vals
@@ -228,7 +318,7 @@ def summed(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Sums:
     """Sums by key over a stream of arrays, in memory bounded by ``most`` entries; ``flush`` gives them out."""
 
-    def __init__(self, most: int = 3_000_000):
+    def __init__(self, most: int = 2_000_000):
         self.most, self.parts, self.size = most, [], 0
 
     def add(self, keys: np.ndarray, vals: np.ndarray):
@@ -294,6 +384,17 @@ class Shard:
         return pa.table(cols)
 
 
+def least_of_digests(t: pa.Table, check) -> list[np.ndarray]:
+    """For each request of a shard: the smallest ``v1`` (long) of all requests with the same digest (``keys`` and ``v0`` together)."""
+    cat = lambda n, k: np.concatenate([np.frombuffer(x.as_buffer(), k) for x in t[n]])
+    key, low, doc = cat("keys", np.uint64), cat("v0", check), cat("v1", np.int64)
+    order = np.lexsort((doc, low, key))
+    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (low[order][1:] != low[order][:-1])]
+    out = np.empty(len(order), np.int64)
+    out[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return np.split(out, np.cumsum([len(x.as_buffer()) // 8 for x in t["keys"]])[:-1])
+
+
 def answered(vals: int) -> str:
     return "kind int, shard int, block int" + "".join(f", a{k} binary" for k in range(vals))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Blocks, Shard, Sums, answered, answers, ask, asked, buffers, by_splitmix, mix64, n_blocks, owner, slices, summed, word_hashes
+from .common import LOW, Blocks, Lookup, Shard, Sums, answered, answers, ask, asked, buffers, by_splitmix, mix64, n_blocks, owner, ship_code, short, slices, summed, word_hashes
 
 ORDER = 2
 WEIGHT = 0.3
@@ -27,9 +27,8 @@ BASE = 2.0
 PROBES = 3
 BITS_PER_ENTRY = 12
 LINE = 512
-SLICE = 2 << 20
+SLICE = 1 << 19
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
-LOW = np.uint64(0xFFFFFFFF)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -101,13 +100,9 @@ class Tokens:
             return mix64(sum((self.before(k) * seeds[k] for k in range(order)), np.uint64(0)))
 
 
-def _short(grams: np.ndarray, shards: int) -> np.ndarray:
-    """Shard in the high and 32 bits of the hash in the low half: distinct n-grams of a shard rarely meet."""
-    return owner(grams, shards).astype(np.uint64) << np.uint64(32) | (grams & LOW)
-
-
 def word_statistics(train: DataFrame, shards: int) -> tuple[int, int, int, int]:
     """(N, V, n1, n2) of the training tokens: all, distinct, seen once, seen twice. Four numbers reach the driver."""
+    ship_code(train.sparkSession)
 
     def scan(batches):
         sums = Sums()
@@ -161,7 +156,7 @@ def lm_scores(docs: DataFrame, held_out=None, order: int = ORDER) -> DataFrame:
         for tokens, train in runs(t):
             once = np.repeat(train, tokens.counts).astype(np.int64)
             for o in range(order):
-                sums[o].add(*summed(_short(tokens.grams(o + 1), shards) if o else tokens.keys, once))
+                sums[o].add(*summed(short(tokens.grams(o + 1), shards) if o else tokens.keys, once))
         return [s.flush() for s in sums]
 
     def request(t: pa.Table) -> pa.Table:
@@ -184,23 +179,22 @@ def lm_scores(docs: DataFrame, held_out=None, order: int = ORDER) -> DataFrame:
 
     def score(t: pa.Table, reply: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], []]
-        if t.num_rows:
-            asked_for = [k for k, _ in keys_of(t)]
-            known = [answers(reply, [np.int64])[0].astype(np.float64)] + [count_of(answers(reply, [np.uint8], o)[0].astype(np.int64)) for o in range(1, order)]
-            for tokens, _ in runs(t):
-                find = lambda o, k: known[o][np.searchsorted(asked_for[o], k)]
-                c = find(0, tokens.keys)
-                p = np.where(c > 0, c - discount, discount * v) / n if n else np.ones(len(c))
-                history, seen = find(0, tokens.before(1)), None
-                for o in range(1, order):
-                    seen = np.minimum(np.minimum(find(o, _short(tokens.grams(o + 1), shards)), history), c)
-                    p = np.where(history > 0, (1 - WEIGHT) * p + WEIGHT * seen / np.maximum(history, 1), p)
-                    history = np.r_[0.0, seen[:-1]] * (tokens.depth >= 1)
-                at = tokens.ends - tokens.counts + 1
-                cols[0].append(tokens.counts)
-                cols[1].append(np.add.reduceat((c > 0).astype(np.int64), at))
-                cols[2].append(np.add.reduceat(np.log10((c + 1) / (n + (v + 1))), at))
-                cols[3].append(np.add.reduceat(np.log10(p), at))
+        asked_for = [Lookup(k) for k, _ in keys_of(t)]
+        known = [answers(reply, [np.int64])[0].astype(np.float64)] + [count_of(answers(reply, [np.uint8], o)[0].astype(np.int64)) for o in range(1, order)]
+        for tokens, _ in runs(t):
+            find = lambda o, k: known[o][asked_for[o].find(k)]
+            c = find(0, tokens.keys)
+            p = np.where(c > 0, c - discount, discount * v) / n if n else np.ones(len(c))
+            history, seen = find(0, tokens.before(1)), None
+            for o in range(1, order):
+                seen = np.minimum(np.minimum(find(o, short(tokens.grams(o + 1), shards)), history), c)
+                p = np.where(history > 0, (1 - WEIGHT) * p + WEIGHT * seen / np.maximum(history, 1), p)
+                history = np.r_[0.0, seen[:-1]] * (tokens.depth >= 1)
+            at = tokens.ends - tokens.counts + 1
+            cols[0].append(tokens.counts)
+            cols[1].append(np.add.reduceat((c > 0).astype(np.int64), at))
+            cols[2].append(np.add.reduceat(np.log10((c + 1) / (n + (v + 1))), at))
+            cols[3].append(np.add.reduceat(np.log10(p), at))
         counts, hits, base, model = (np.concatenate(x) if x else np.zeros(0) for x in cols)
         return pa.table({"doc_id": t["doc_id"], "held_out": t["__held"], "n_tokens": pa.array(counts, pa.int64()), "n_known": pa.array(hits, pa.int64()), "train_tokens": pa.array(np.full(len(counts), n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(model, pa.float64())})
 
