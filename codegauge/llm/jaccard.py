@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Blocks, Shard, answered, answers, ask, asked, buffers, by_splitmix, mix64, n_blocks, owner, slices, word_hashes, written
+from .common import LOW, Blocks, Shard, answered, answers, ask, asked, buffers, by_splitmix, mix64, n_blocks, short, slices, word_hashes, written
 from .components import components
 
 RATIO = 1.5
 MOST_BITS = 8192
 CHUNK = 1024
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def ngram_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -108,7 +108,14 @@ def bitmap(s: np.ndarray, width: int) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def bitmap_bound(na, a: np.ndarray, nb, b: np.ndarray) -> np.ndarray:
+def folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmap rows of one width: the wider ones are folded (a bit's place is the low bits of the hash)."""
+    w = min(a.shape[1], b.shape[1])
+    fold = lambda x: x if x.shape[1] == w else np.bitwise_or.reduce(x.reshape(len(x), -1, w), axis=1)
+    return fold(a), fold(b)
+
+
+def bitmap_bound(na, a: np.ndarray, b: np.ndarray, nb) -> np.ndarray:
     """Upper bound of the overlap of sets with the bitmap rows ``a`` and ``b`` (64-bit words): each bit set on one
     side only stands for at least one element that the other lacks."""
     only_a = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
@@ -120,6 +127,13 @@ def reaches(overlap, na, nb, num: int, den: int):
     return den * overlap >= num * (na + nb - overlap)
 
 
+def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which values are in the ascending array."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         return int(mix64(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).astype(np.int64)), int(mix64(s + np.uint64(0x1234567)).sum(dtype=np.uint64).astype(np.int64))
@@ -140,75 +154,90 @@ def _members(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
     grouped = Blocks(docs, blocks, ["doc_id", "text"])
 
     def tiles_of(table: pa.Table):
+        """Distinct tiles of a block, a mark of the one set in each, and whether it holds more than one.
+
+        A tile travels as its shard and 32 bits; the mark is 32 bits of the set's digest mixed with the tile, so two sets that
+        agree by chance in one tile differ in the others that they share."""
         keys, first = [], []
         for _, s in _sets(table, k):
             if len(s):
                 t = tiles(s, bands)
                 keys.append(t)
-                first.append(np.full(len(t), _digest(s)[0], np.int64))
+                first.append(mix64(t ^ np.int64(_digest(s)[0]).astype(np.uint64)).astype(np.uint32))
         if not keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, first = np.concatenate(keys), np.concatenate(first)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        keys, first = short(np.concatenate(keys), shards), np.concatenate(first)
         order = np.lexsort((first, keys))
         keys, first = keys[order], first[order]
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[at], first[at], first[np.r_[at[1:], len(keys)] - 1]
+        return keys[at], first[at], (first[at] != first[np.r_[at[1:], len(keys)] - 1]).astype(np.uint8)
 
     def request(table: pa.Table) -> pa.Table:
-        keys, low, high = tiles_of(table)
-        return ask(keys, owner(keys, shards), table["block"][0].as_py(), low, np.where(low == high, 0, 1).astype(np.uint8))
+        keys, mark, two = tiles_of(table)
+        return ask((keys & LOW).astype(np.uint32), (keys >> np.uint64(32)).astype(np.int32), table["block"][0].as_py(), mark, two)
 
     def shard(table: pa.Table) -> pa.Table:
-        s = Shard(table, [np.int64, np.uint8])
-        low = s.per_key(np.minimum, s.vals[0], np.iinfo(np.int64).max)
-        high = s.per_key(np.maximum, s.vals[0], np.iinfo(np.int64).min)
+        s = Shard(table, [np.uint32, np.uint8], np.uint32)
+        low = s.per_key(np.minimum, s.vals[0], np.iinfo(np.uint32).max)
+        high = s.per_key(np.maximum, s.vals[0], 0)
         two = s.per_key(np.maximum, s.vals[1], 0)
         return s.reply(((low != high) | (two > 0)).astype(np.uint8))
 
     def emit(table: pa.Table, reply: pa.Table) -> pa.Table:
         cols: list[list] = [[] for _ in range(7)]
-        if table.num_rows:
-            keys, _, _ = tiles_of(table)
-            shared = keys[answers(reply, [np.uint8])[0] > 0]
-            ids = table["doc_id"].to_pylist()
-            for i, s in _sets(table, k):
-                d1, d2 = _digest(s)
-                mine = tiles(s, bands) if len(s) and ids[i] is not None else shared[:0]
-                mine = mine[shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine] if len(shared) else mine[:0]
-                for c, v in zip(cols, (None, ids[i], len(s), d1, d2, bitmap(s, bands.bits(len(s))) if len(mine) else None, s.tobytes() if len(mine) else None)):
+        keys, _, _ = tiles_of(table)
+        shared = keys[answers(reply, [np.uint8])[0] > 0]
+        ids = table["doc_id"].to_pylist()
+        for i, s in _sets(table, k):
+            d1, d2 = _digest(s)
+            mine = tiles(s, bands) if len(s) and ids[i] is not None else shared[:0]
+            mine = mine[_among(short(mine, shards), shared)]
+            for c, v in zip(cols, (None, ids[i], len(s), d1, d2, bitmap(s, bands.bits(len(s))) if len(mine) else None, s.view(np.int64) if len(mine) else None)):
+                c.append(v)
+            for t in mine.astype(np.int64).tolist():
+                for c, v in zip(cols, (t, ids[i], len(s), d1, d2, None, None)):
                     c.append(v)
-                for t in mine.astype(np.int64).tolist():
-                    for c, v in zip(cols, (t, ids[i], len(s), d1, d2, None, None)):
-                        c.append(v)
-        types = [pa.int64()] * 5 + [pa.binary()] * 2
+        types = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("tile", "doc_id", "n", "d1", "d2", "bits", "items"), cols, types)})
 
     wants = grouped.each(request, asked(2))
     replies = wants.groupBy("shard").applyInArrow(shard, answered(1))
-    return written(grouped.meet(replies, emit, "tile long, doc_id long, n long, d1 long, d2 long, bits binary, items binary"), "jaccard")
+    return written(grouped.meet(replies, emit, "tile long, doc_id long, n long, d1 long, d2 long, bits binary, items array<long>"), "jaccard")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold: sizes, then bitmaps, then the exact intersection."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"), F.col("items").alias(f"items{x}"))
+def _sides(pairs: DataFrame, sets: DataFrame, col: str) -> DataFrame:
+    """Pairs (a, b) with size and ``col`` of both sets."""
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col(col).alias(f"{col}{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", f"{col}a", f"{col}b")
 
+
+def _kept(pairs: DataFrame, test) -> DataFrame:
+    """The pairs of :func:`_sides` that ``test(na, nb, words a, words b)`` accepts."""
     def check(batches):
         for batch in batches:
-            rows = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            keep = []
-            for i, (na, nb) in enumerate(zip(rows["na"].to_pylist(), rows["nb"].to_pylist())):
-                if not reaches(min(na, nb), na, nb, num, den):
-                    continue
-                a, b = (np.frombuffer(rows[f"bits{x}"][i].as_buffer(), np.uint64)[None] for x in "ab")
-                if a.shape == b.shape and not reaches(bitmap_bound(na, a, nb, b)[0], na, nb, num, den):
-                    continue
-                a, b = (np.frombuffer(rows[f"items{x}"][i].as_buffer(), np.uint64) for x in "ab")
-                if reaches(len(np.intersect1d(a, b, assume_unique=True)), na, nb, num, den):
-                    keep.append(i)
+            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            x, y = batch.column(4), batch.column(5)
+            keep = [i for i in range(batch.num_rows) if test(na[i], nb[i], np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64))]
             take = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([rows["a"].take(take), rows["b"].take(take)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
+    return pairs.mapInArrow(check, "a long, b long")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and bitmaps allow a link. Written: only these bring their sets along."""
+    def test(na, nb, a, b):
+        if not reaches(min(na, nb), na, nb, num, den):
+            return False
+        return reaches(bitmap_bound(na, *folded(a[None], b[None]), nb)[0], na, nb, num, den)
+    return written(_kept(_sides(pairs, sets, "bits"), test), "possible")
+
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sets reach the threshold, by the exact intersection of their sorted arrays. Spark intersects
+    them itself, so no batch of large sets stands in a Python worker."""
+    both = _sides(pairs, sets, "items")
+    overlap = F.size(F.array_intersect("itemsa", "itemsb"))
+    return both.where(reaches(overlap, F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
 
 def _close_pairs(cell: np.ndarray, ids, comp, n, chunk, cross, bits: list, num: int, den: int):
@@ -228,13 +257,12 @@ def _close_pairs(cell: np.ndarray, ids, comp, n, chunk, cross, bits: list, num:
         ok = (comp[i] != comp[j]) & (ids[i] != ids[j]) & reaches(np.minimum(n[i], n[j]), n[i], n[j], num, den) & (~cross[i] | (chunk[i] != chunk[j]))
         i, j = i[ok], j[ok]
         keep = np.ones(len(i), bool)
-        for w in np.unique(width[i]):
-            at = np.flatnonzero((width[i] == w) & (width[j] == w))
+        for wi, wj in set(zip(width[i].tolist(), width[j].tolist())):
+            at = np.flatnonzero((width[i] == wi) & (width[j] == wj))
             for lo in range(0, len(at), 4096):
                 part = at[lo:lo + 4096]
-                cols = np.arange(w // 8)
-                x, y = words[at_of[i[part], None] // 8 + cols], words[at_of[j[part], None] // 8 + cols]
-                keep[part] = reaches(bitmap_bound(n[i[part]], x, n[j[part]], y), n[i[part]], n[j[part]], num, den)
+                x, y = words[at_of[i[part], None] // 8 + np.arange(wi // 8)], words[at_of[j[part], None] // 8 + np.arange(wj // 8)]
+                keep[part] = reaches(bitmap_bound(n[i[part]], *folded(x, y), n[j[part]]), n[i[part]], n[j[part]], num, den)
         out_a.append(np.minimum(ids[i[keep]], ids[j[keep]]))
         out_b.append(np.maximum(ids[i[keep]], ids[j[keep]]))
         d += 1
@@ -292,12 +320,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     sets = rows.where("items is not null").select("doc_id", "n", "bits", "items")
     centre = members.groupBy("tile").agg(F.min("doc_id").alias("b"))
     stars = members.join(centre, "tile").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    links = written(_verify(stars, sets, num, den), "links")
+    links = written(_verified(_possible(stars, sets, num, den), sets, num, den), "links")
     first = components(links)
     labelled = members.join(first, F.col("doc_id") == F.col("node"), "left").select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("tile", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
     crossing = labelled.join(mixed, "tile").join(sets.select("doc_id", "n", "bits"), "doc_id")
-    more = _verify(_cross_pairs(crossing, num, den), sets, num, den)
+    more = _verified(written(_cross_pairs(crossing, num, den), "possible"), sets, num, den)
     final = components(links.union(more))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"))
     named = classes.join(final, F.col("least") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "least").alias("class"))

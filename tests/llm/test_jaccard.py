@@ -80,9 +80,9 @@ def test_tiles_and_bounds_lose_nothing():
             b[r.choice(len(a), r.integers(0, 1 + len(a) // 12), replace=False)] = r.integers(0, 2**63, 1).astype(np.uint64)[0]
             b = np.unique(np.r_[b, r.integers(0, 2**63, r.integers(0, 1 + n // 25)).astype(np.uint64)])
             o = len(np.intersect1d(a, b))
-            w = min(bands.bits(len(a)), bands.bits(len(b)))
-            bits = [np.frombuffer(J.bitmap(x, w), np.uint64)[None] for x in (a, b)]
-            assert J.bitmap_bound(len(a), bits[0], len(b), bits[1])[0] >= o
+            for wa, wb in ((64, 64), (256, 64), (64, 1024)):
+                x, y = (np.frombuffer(J.bitmap(v, w), np.uint64)[None] for v, w in ((a, wa), (b, wb)))
+                assert J.bitmap_bound(len(a), *J.folded(x, y), len(b))[0] >= o
             if J.reaches(o, len(a), len(b), 90, 100):
                 assert len(np.intersect1d(J.tiles(a, bands), J.tiles(b, bands)))
 
