@@ -138,6 +138,29 @@ DEVELOP_BRANCHES = ["develop", "dev"]
 BRANCH_PREFIXES = [("feature/", "feature"), ("hotfix/", "hotfix"), ("release/", "release")]
 
 
+# Sentences of the reports ({} stands for the measured value).
+RECOMMEND_CYCLOMATIC = "Reduce cyclomatic complexity from {} to ≤10 by extracting functions"
+RECOMMEND_COGNITIVE = "Simplify logic to reduce cognitive complexity from {} to ≤15"
+RECOMMEND_LONG = "Break down {} long functions into smaller, focused functions"
+RECOMMEND_DUPLICATES = "Extract common code patterns into reusable functions to eliminate duplication"
+RECOMMEND_SECURITY = "Address {} security issues detected by static analysis"
+STRENGTH_CATEGORY = "Excellent {}"
+STRENGTH_COMPLEXITY = "Low complexity - easy to understand"
+STRENGTH_NESTING = "Minimal nesting - clean structure"
+STRENGTH_FUNCTIONS = "Well-sized functions"
+STRENGTH_DUPLICATES = "No code duplication"
+ISSUE_CYCLOMATIC = "Cyclomatic complexity is {} (threshold: 15)"
+ISSUE_COGNITIVE = "Cognitive complexity is {} (threshold: 25)"
+ISSUE_LONG = "Long function detected: {}"
+ISSUE_DUPLICATE = "Duplicated code: {}"
+ISSUE_INDEX = "Low maintainability index: {}"
+ADVICE_CYCLOMATIC = "Consider breaking down large functions into smaller ones"
+ADVICE_COGNITIVE = "Reduce nesting depth and simplify logic flow"
+ADVICE_LONG = "Consider extracting smaller functions for better readability"
+ADVICE_DUPLICATE = "Extract common code into reusable functions"
+ADVICE_INDEX = "Refactor to improve code structure and reduce complexity"
+
+
 @dataclass(frozen=True)
 class ScoringWeights:
     """Weights of the 0-100 quality score (defaults are the fixed values)."""

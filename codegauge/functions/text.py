@@ -79,3 +79,11 @@ def by_language(lang, table: dict, builder, default) -> Column:
 def normalise_newlines(c) -> Column:
     """Universal-newline reading: CRLF and lone CR become LF."""
     return F.regexp_replace(col_(c), "\\r\\n?", "\n")
+
+
+def filled(sentence: str, value=None) -> Column:
+    """A report sentence as a column, with ``value`` (a column) in the place of ``{}``."""
+    if value is None:
+        return F.lit(sentence)
+    before, after = sentence.split("{}")
+    return F.concat(F.lit(before), value.cast("string"), F.lit(after))

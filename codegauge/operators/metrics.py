@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
 from codegauge.functions.text import (by_language, contains_any, count_any, ends_with_any,
-                                      leading_ws, py_strip)
+                                      filled, leading_ws, py_strip)
 from codegauge.operators.ordered import BLOCK, clamped_scan, next_marker, ordinal, top_k
 from codegauge.session import materialize
 
@@ -206,33 +206,26 @@ def quality_issues(metrics: DataFrame, long_fns: DataFrame | None, dups: DataFra
     cc = (base.filter(F.col("cyclomatic") > 15)
               .select(*keys, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"),
                       F.lit("warning").alias("severity"), F.lit("complexity").alias("category"),
-                      F.concat(F.lit("Cyclomatic complexity is "), F.col("cyclomatic").cast("string"),
-                               F.lit(" (threshold: 15)")).alias("message"),
-                      F.lit("Consider breaking down large functions into smaller ones").alias("suggestion")))
+                      filled(R.ISSUE_CYCLOMATIC, F.col("cyclomatic")).alias("message"), F.lit(R.ADVICE_CYCLOMATIC).alias("suggestion")))
     cg = (base.filter(F.col("cognitive") > 25)
               .select(*keys, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("seq"),
                       F.lit("warning").alias("severity"), F.lit("complexity").alias("category"),
-                      F.concat(F.lit("Cognitive complexity is "), F.col("cognitive").cast("string"),
-                               F.lit(" (threshold: 25)")).alias("message"),
-                      F.lit("Reduce nesting depth and simplify logic flow").alias("suggestion")))
+                      filled(R.ISSUE_COGNITIVE, F.col("cognitive")).alias("message"), F.lit(R.ADVICE_COGNITIVE).alias("suggestion")))
     parts = [cc, cg]
     if long_fns is not None:
         parts.append(long_fns.select(*keys, F.lit(2).alias("kind"), F.col("start_pos").alias("seq"),
                          F.lit("info").alias("severity"), F.lit("style").alias("category"),
-                         F.concat(F.lit("Long function detected: "), F.col("label")).alias("message"),
-                         F.lit("Consider extracting smaller functions for better readability").alias("suggestion")))
+                         filled(R.ISSUE_LONG, F.col("label")).alias("message"), F.lit(R.ADVICE_LONG).alias("suggestion")))
     if dups is not None:
         parts.append(dups.select(*keys, F.lit(3).alias("kind"), F.col("dup_rank").alias("seq"),
                      F.lit("warning").alias("severity"), F.lit("style").alias("category"),
-                     F.concat(F.lit("Duplicated code: "), F.col("label")).alias("message"),
-                     F.lit("Extract common code into reusable functions").alias("suggestion")))
+                     filled(R.ISSUE_DUPLICATE, F.col("label")).alias("message"), F.lit(R.ADVICE_DUPLICATE).alias("suggestion")))
     # one decimal, rounded half-even on the exact binary value (DecimalFormat), as printf in C/Python
     mi_text = F.format_number(F.col("maintainability_index"), 1)
     mi = (base.filter(F.col("maintainability_index") < 30)
               .select(*keys, F.lit(4).alias("kind"), F.lit(0).cast("long").alias("seq"),
                       F.lit("error").alias("severity"), F.lit("maintainability").alias("category"),
-                      F.concat(F.lit("Low maintainability index: "), mi_text).alias("message"),
-                      F.lit("Refactor to improve code structure and reduce complexity").alias("suggestion")))
+                      filled(R.ISSUE_INDEX, mi_text).alias("message"), F.lit(R.ADVICE_INDEX).alias("suggestion")))
     parts.append(mi)
     out = parts[0]
     for p_ in parts[1:]:

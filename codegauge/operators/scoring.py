@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
+from codegauge.functions.text import filled
 from codegauge.operators.ordered import top_k
 
 CATEGORIES = ["maintainability", "reliability", "security", "performance", "style", "complexity"]
@@ -98,17 +99,12 @@ def total_and_grade(df: DataFrame, w: R.ScoringWeights = R.ScoringWeights()) ->
 def recommendations(df: DataFrame) -> Column:
     """Ordered advice (at most five) as an array column."""
     col = F.col
-    s = lambda c: c.cast("string")
     items = F.array(
-        F.when(col("cyclomatic") > 15, F.concat(F.lit("Reduce cyclomatic complexity from "), s(col("cyclomatic")),
-                                                 F.lit(" to ≤10 by extracting functions"))),
-        F.when(col("cognitive") > 25, F.concat(F.lit("Simplify logic to reduce cognitive complexity from "),
-                                                s(col("cognitive")), F.lit(" to ≤15"))),
-        F.when(col("n_long") > 0, F.concat(F.lit("Break down "), s(col("n_long")),
-                                            F.lit(" long functions into smaller, focused functions"))),
-        F.when(col("n_dup") > 0, F.lit("Extract common code patterns into reusable functions to eliminate duplication")),
-        F.when(col("n_security") > 0, F.concat(F.lit("Address "), s(col("n_security")),
-                                                F.lit(" security issues detected by static analysis"))),
+        F.when(col("cyclomatic") > 15, filled(R.RECOMMEND_CYCLOMATIC, col("cyclomatic"))),
+        F.when(col("cognitive") > 25, filled(R.RECOMMEND_COGNITIVE, col("cognitive"))),
+        F.when(col("n_long") > 0, filled(R.RECOMMEND_LONG, col("n_long"))),
+        F.when(col("n_dup") > 0, filled(R.RECOMMEND_DUPLICATES)),
+        F.when(col("n_security") > 0, filled(R.RECOMMEND_SECURITY, col("n_security"))),
     )
     return F.slice(F.array_compact(items), 1, 5)
 
@@ -116,11 +112,11 @@ def recommendations(df: DataFrame) -> Column:
 def strengths(df: DataFrame) -> Column:
     """Categories scoring at least 85, then the structural strengths."""
     col = F.col
-    items = [F.when(col(c) >= 85, F.lit(f"Excellent {c}")) for c in CATEGORIES]
-    items += [F.when(col("cyclomatic") <= 5, F.lit("Low complexity - easy to understand")),
-              F.when(col("max_nesting") <= 2, F.lit("Minimal nesting - clean structure")),
-              F.when(col("n_long") == 0, F.lit("Well-sized functions")),
-              F.when(col("n_dup") == 0, F.lit("No code duplication"))]
+    items = [F.when(col(c) >= 85, filled(R.STRENGTH_CATEGORY, F.lit(c))) for c in CATEGORIES]
+    items += [F.when(col("cyclomatic") <= 5, filled(R.STRENGTH_COMPLEXITY)),
+              F.when(col("max_nesting") <= 2, filled(R.STRENGTH_NESTING)),
+              F.when(col("n_long") == 0, filled(R.STRENGTH_FUNCTIONS)),
+              F.when(col("n_dup") == 0, filled(R.STRENGTH_DUPLICATES))]
     return F.array_compact(F.array(*items))
 
 

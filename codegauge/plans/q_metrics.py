@@ -8,7 +8,7 @@ from codegauge.functions import rules as R
 from codegauge.operators import metrics as M
 from codegauge.plans.oracle_fixtures import register, with_views
 from codegauge.plans.registry import query
-from codegauge.plans.sqlgen import by_lang, cnt_any, contains_any, ends_any, in_list, lstrip, q, strip
+from codegauge.plans.sqlgen import by_lang, cnt_any, contains_any, ends_any, in_list, lstrip, q, strip, sql_filled
 from codegauge.session import materialize
 from codegauge.sources import fixtures as FX
 
@@ -95,13 +95,12 @@ def _fm(v: str) -> str:
 
 def _issues(v: str) -> str:
     return f"""SELECT file_id, CAST(0 AS BIGINT) AS kind, CAST(0 AS BIGINT) AS seq, 'warning' AS severity, 'complexity' AS category,
-        'Cyclomatic complexity is ' || CAST(cyclomatic AS STRING) || ' (threshold: 15)' AS message FROM {v}_fm WHERE cyclomatic > 15
-      UNION ALL SELECT file_id, 1, 0, 'warning', 'complexity',
-        'Cognitive complexity is ' || CAST(cognitive AS STRING) || ' (threshold: 25)' FROM {v}_fm WHERE cognitive > 25
-      UNION ALL SELECT file_id, 2, start_pos, 'info', 'style', 'Long function detected: ' || label FROM {v}_lf
-      UNION ALL SELECT file_id, 3, dup_rank, 'warning', 'style', 'Duplicated code: ' || label FROM {v}_dups
+        {sql_filled(R.ISSUE_CYCLOMATIC, "cyclomatic")} AS message FROM {v}_fm WHERE cyclomatic > 15
+      UNION ALL SELECT file_id, 1, 0, 'warning', 'complexity', {sql_filled(R.ISSUE_COGNITIVE, "cognitive")} FROM {v}_fm WHERE cognitive > 25
+      UNION ALL SELECT file_id, 2, start_pos, 'info', 'style', {sql_filled(R.ISSUE_LONG, "label")} FROM {v}_lf
+      UNION ALL SELECT file_id, 3, dup_rank, 'warning', 'style', {sql_filled(R.ISSUE_DUPLICATE, "label")} FROM {v}_dups
       UNION ALL SELECT file_id, 4, 0, 'error', 'maintainability',
-        'Low maintainability index: ' || format('{{:.1f}}', maintainability_index) FROM {v}_fm WHERE maintainability_index < 30"""
+        {sql_filled(R.ISSUE_INDEX, "format('{:.1f}', maintainability_index)")} FROM {v}_fm WHERE maintainability_index < 30"""
 
 
 for _v in ["code_lines", "code_lines_long"]:

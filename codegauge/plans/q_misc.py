@@ -14,7 +14,7 @@ from codegauge.operators.ordered import global_rank, top_k
 from codegauge.plans import q_changes, q_graph, q_project, q_scoring, q_snapshots  # noqa: F401  (shared views)
 from codegauge.plans.oracle_fixtures import register, with_views
 from codegauge.plans.registry import query
-from codegauge.plans.sqlgen import q
+from codegauge.plans.sqlgen import q, sql_filled
 from codegauge.session import materialize, scratch_dir
 from codegauge.sources import fixtures as FX
 from codegauge.sources.tables import table
@@ -151,10 +151,10 @@ def score_file_findings(spark, sf):
 
 
 @query("score_file_issues", with_views(f"""SELECT path, kind, severity, message FROM (
-      SELECT path, CAST(0 AS BIGINT) AS kind, 'warning' AS severity, 'Cyclomatic complexity is ' || CAST(cyclomatic AS STRING) || ' (threshold: 15)' AS message
+      SELECT path, CAST(0 AS BIGINT) AS kind, 'warning' AS severity, {sql_filled(R.ISSUE_CYCLOMATIC, 'cyclomatic')} AS message
         FROM grid_scores WHERE cyclomatic > 15
-      UNION ALL SELECT path, 1, 'warning', 'Cognitive complexity is ' || CAST(cognitive AS STRING) || ' (threshold: 25)' FROM grid_scores WHERE cognitive > 25
-      UNION ALL SELECT path, 4, 'error', 'Low maintainability index: ' || printf('%.1f', maintainability_index) FROM grid_scores WHERE maintainability_index < 30) t
+      UNION ALL SELECT path, 1, 'warning', {sql_filled(R.ISSUE_COGNITIVE, 'cognitive')} FROM grid_scores WHERE cognitive > 25
+      UNION ALL SELECT path, 4, 'error', {sql_filled(R.ISSUE_INDEX, "printf('%.1f', maintainability_index)")} FROM grid_scores WHERE maintainability_index < 30) t
     WHERE path = '{SCORE_FILE}'""", ["grid_scores"]))
 def score_file_issues(spark, sf):
     """the issue rows of that file that its metrics give."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
+from codegauge.functions.text import filled
 from codegauge.operators import findings as FD
 from codegauge.operators import metrics as M
 from codegauge.operators.graph import metric_language
@@ -13,6 +14,7 @@ from codegauge.plans import q_findings, q_metrics  # noqa: F401  (their views ar
 from codegauge.plans.oracle_fixtures import register, with_views
 from codegauge.plans.registry import query
 from codegauge.session import materialize
+from codegauge.plans.sqlgen import sql_filled
 from codegauge.sources import fixtures as FX
 from codegauge.sources.tables import table
 
@@ -61,17 +63,14 @@ def score_sql(src: str) -> str:
            f"+ (CASE WHEN function_count = 0 OR n_long = 0 OR function_count > 5 THEN {_d(2)} ELSE {_d(0)} END)")
     grade = ("CASE WHEN total_score >= 95 THEN 'A+' WHEN total_score >= 90 THEN 'A' WHEN total_score >= 80 THEN 'B' "
              "WHEN total_score >= 70 THEN 'C' WHEN total_score >= 60 THEN 'D' ELSE 'F' END")
-    recs = ("list_filter([CASE WHEN cyclomatic > 15 THEN 'Reduce cyclomatic complexity from ' || CAST(cyclomatic AS STRING) || ' to ≤10 by extracting functions' END, "
-            "CASE WHEN cognitive > 25 THEN 'Simplify logic to reduce cognitive complexity from ' || CAST(cognitive AS STRING) || ' to ≤15' END, "
-            "CASE WHEN n_long > 0 THEN 'Break down ' || CAST(n_long AS STRING) || ' long functions into smaller, focused functions' END, "
-            "CASE WHEN n_dup > 0 THEN 'Extract common code patterns into reusable functions to eliminate duplication' END, "
-            "CASE WHEN n_security > 0 THEN 'Address ' || CAST(n_security AS STRING) || ' security issues detected by static analysis' END], lambda x: x IS NOT NULL)")
+    recs = "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {sql_filled(text, value)} END" for cond, text, value in (
+        ("cyclomatic > 15", R.RECOMMEND_CYCLOMATIC, "cyclomatic"), ("cognitive > 25", R.RECOMMEND_COGNITIVE, "cognitive"),
+        ("n_long > 0", R.RECOMMEND_LONG, "n_long"), ("n_dup > 0", R.RECOMMEND_DUPLICATES, None),
+        ("n_security > 0", R.RECOMMEND_SECURITY, "n_security"))) + "], lambda x: x IS NOT NULL)"
     cats = ["maintainability", "reliability", "security", "performance", "style", "complexity"]
-    strs = ("list_filter([" + ", ".join(f"CASE WHEN {c} >= 85 THEN 'Excellent {c}' END" for c in cats)
-            + ", CASE WHEN cyclomatic <= 5 THEN 'Low complexity - easy to understand' END"
-            + ", CASE WHEN max_nesting <= 2 THEN 'Minimal nesting - clean structure' END"
-            + ", CASE WHEN n_long = 0 THEN 'Well-sized functions' END"
-            + ", CASE WHEN n_dup = 0 THEN 'No code duplication' END], lambda x: x IS NOT NULL)")
+    strs = "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {sql_filled(text)} END" for cond, text in (
+        *[(f"{c} >= 85", R.STRENGTH_CATEGORY.format(c)) for c in cats], ("cyclomatic <= 5", R.STRENGTH_COMPLEXITY),
+        ("max_nesting <= 2", R.STRENGTH_NESTING), ("n_long = 0", R.STRENGTH_FUNCTIONS), ("n_dup = 0", R.STRENGTH_DUPLICATES))) + "], lambda x: x IS NOT NULL)"
     return f"""SELECT *, {grade} AS grade, technical_debt_minutes / {_d(60)} AS technical_debt_hours,
         {recs} AS recommendations, {strs} AS strengths
       FROM (SELECT *, {_clamp(adj)} AS total_score
@@ -173,7 +172,7 @@ def priority_issues(spark, sf):
 
 
 _PRIORITY_CPX_SQL = _PRIORITY_SQL.replace("        UNION ALL\n        SELECT path, 2 AS cls", """        UNION ALL
-        SELECT path, 1, 1, '⚡ Complexity: Cyclomatic complexity is ' || CAST(cyclomatic AS STRING) || ' (threshold: 15)'
+        SELECT path, 1, 1, '⚡ Complexity: ' || """ + sql_filled(R.ISSUE_CYCLOMATIC, "cyclomatic") + """
         FROM metrics_grid WHERE cyclomatic > 40
         UNION ALL
         SELECT path, 2 AS cls""", 1)
@@ -184,7 +183,7 @@ def priority_issues_complexity(spark, sf):
     """W5 with issues of another analyser, which rates a complexity above 40 as an error."""
     g = FX.metrics_grid(spark, sf).filter(F.col("cyclomatic") > 40)
     iss = g.select("path", F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("seq"), F.lit("error").alias("severity"), F.lit("complexity").alias("category"),
-                   F.concat(F.lit("Cyclomatic complexity is "), F.col("cyclomatic").cast("string"), F.lit(" (threshold: 15)")).alias("message"))
+                   filled(R.ISSUE_CYCLOMATIC, F.col("cyclomatic")).alias("message"))
     return SC.priority_issues(FX.findings(spark, sf), iss, ["path"])
 
 

@@ -77,3 +77,11 @@ def pyflakes_category(m: str) -> str:
 def pyflakes_suggestion(m: str) -> str:
     parts = " ".join(f"WHEN strpos({m}, {q(f)}) > 0 THEN {q(t)}" for f, t in R.PYFLAKES_SUGGESTIONS)
     return f"(CASE {parts} ELSE NULL END)"
+
+
+def sql_filled(sentence: str, value: str | None = None) -> str:
+    """SQL text of a report sentence, with ``value`` (SQL text) in the place of ``{}``."""
+    if value is None:
+        return q(sentence)
+    before, after = sentence.split("{}")
+    return f"{q(before)} || CAST({value} AS STRING) || {q(after)}"
