@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Blocks, answered, answers, ask, asked, buffers, by_splitmix, n_blocks, owner, packed, slices
+from .common import Blocks, answered, answers, ask, asked, buffers, by_splitmix, least_of_digests, n_blocks, owner, packed, slices
 
 SPAN = 32
 LEAST, MOST = 32, 512
@@ -111,14 +111,7 @@ def repeated_chunks(docs: DataFrame, least: int = LEAST, average: int = AVERAGE,
         return ask(keys, owner(keys, shards), t["block"][0].as_py(), c.check[c.lead], c.least)
 
     def shard(t: pa.Table) -> pa.Table:
-        cat = lambda n, k: np.concatenate([np.frombuffer(x.as_buffer(), k) for x in t[n]])
-        key, check, doc = cat("keys", np.uint64), cat("v0", np.uint64), cat("v1", np.int64)
-        order = np.lexsort((doc, check, key))
-        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])]
-        out = np.empty(len(order), np.int64)
-        out[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        ends = np.cumsum([len(x.as_buffer()) // 8 for x in t["keys"]])[:-1]
-        return pa.table({"kind": t["kind"], "shard": t["shard"], "block": t["block"], "a0": packed(np.split(out, ends))})
+        return pa.table({"kind": t["kind"], "shard": t["shard"], "block": t["block"], "a0": packed(least_of_digests(t, np.uint64))})
 
     def cut_out(t: pa.Table, reply: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], [], []]

@@ -4,8 +4,8 @@ A suffix array of the whole corpus is sorted where it matters only. Every window
 ``ANCHOR``-byte gram with the smallest hash, so equal windows pick equal grams. Runs of windows with one anchor form a group;
 its region is the bytes of all its windows.
 
-1. Blocks ask the shards which of their grams also occur in another block (8 bytes a gram); grams in one document only end here.
-2. Equal regions are equal groups: shards answer the smallest doc_id of each region and gram. A group whose region starts in a
+1. Blocks ask the shards which of their grams also occur in another block (4 bytes a gram); grams in one document only end here.
+2. Equal regions (by a 96-bit digest of their bytes) are equal groups: shards answer the smallest doc_id of each region and gram. A group whose region starts in a
    smaller document goes as a whole. The rest is the edges of repeated passages: groups first of their region whose gram
    has several regions.
 3. The regions of those groups, once each, go to the gram's shard. Their suffixes (one for each window) are sorted by
@@ -20,6 +20,8 @@ The documents are shuffled into blocks once; each step's requests and answers ar
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Blocks, Shard, answers, ask, buffers, mix64, n_blocks, owner, packed
+from .common import LOW, Blocks, Shard, answers, ask, buffers, distinct, least_of_digests, mix64, n_blocks, owner, packed, short
 from .suffix_sort import Suffixes, powers, prefix_hashes
 
 LENGTH = 50
@@ -41,7 +43,7 @@ BITS = 18 + 2
 
 
 def _groups_of(x: np.ndarray, edges: np.ndarray, length: int, anchor: int):
-    """(lo, hi, gram, region, anchor place) of the window groups of a piece; ``edges`` are text starts inside it."""
+    """(lo, hi, gram, anchor place) of the window groups of a piece; ``edges`` are text starts inside it."""
     windows = len(x) - length + 1
     if windows <= 0:
         return None
@@ -67,10 +69,8 @@ def _groups_of(x: np.ndarray, edges: np.ndarray, length: int, anchor: int):
         place = (least[at] & np.uint64((1 << BITS) - 1)).astype(np.int64)
         new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (np.diff(at) > 1)])
         lo, hi, place = at[new], at[np.r_[new[1:], len(at)] - 1], place[new]
-        region = (sums[hi + length] - sums[lo]) * down[lo]
-        region = mix64(region ^ ((hi - lo) * 4096 + place - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     # anchors have small hashes by choice: mix once more, so that they spread over the shards
-    return lo, hi, mix64(gram[place] ^ np.uint64(0x7F4A7C15F39CC060)), region, place
+    return lo, hi, mix64(gram[place] ^ np.uint64(0x7F4A7C15F39CC060)), place
 
 
 class Block:
@@ -89,7 +89,7 @@ class Block:
             return
         found = [g for g in self._pieces(anchor)]
         cat = lambda k, t: np.concatenate([g[k] for g in found]).astype(t) if found else np.zeros(0, t)
-        self.lo, self.hi, self.gram, self.region, self.place = cat(0, np.int64), cat(1, np.int64), cat(2, np.uint64), cat(3, np.uint64), cat(4, np.int64)
+        self.lo, self.hi, self.gram, self.place = cat(0, np.int64), cat(1, np.int64), cat(2, np.uint64), cat(3, np.int64)
         self.doc = self.ids[np.searchsorted(self.offsets, self.lo, side="right") - 1] if len(self.lo) else np.zeros(0, np.int64)
         self.grams, self.of_gram = np.unique(self.gram, return_inverse=True)
 
@@ -102,9 +102,17 @@ class Block:
                 end = min(off[j], start + PIECE + self.length - 1) if j == i + 1 else off[j]
                 got = _groups_of(self.data[start:end], off[i + 1:j] - start, self.length, anchor)
                 if got is not None:
-                    yield got[0] + start, got[1] + start, got[2], got[3], got[4] + start
+                    yield got[0] + start, got[1] + start, got[2], got[3] + start
             i = j
 
+    def regions(self, groups: np.ndarray) -> np.ndarray:
+        """Digests of the regions of some groups: (key, check) as two uint64, 96 bits in all."""
+        if not len(groups):
+            return np.zeros((0, 2), np.uint64)
+        view = memoryview(np.ascontiguousarray(self.data)).cast("B")
+        raw = b"".join(hashlib.blake2b(view[a:z], digest_size=12).digest() + b"\0\0\0\0" for a, z in zip(self.lo[groups].tolist(), (self.hi[groups] + self.length).tolist()))
+        return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+
     def shared(self) -> np.ndarray:
         """Grams that occur in several documents of this block."""
         low = np.full(len(self.grams), np.iinfo(np.int64).max)
@@ -151,39 +159,41 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     def ask_grams(t: pa.Table) -> pa.Table:
         b = Block(t, length, anchor)
-        return pa.concat_tables([_want(ask(b.grams, owner(b.grams, shards), b.number, kind=GRAMS)), _memo(b.number, np.zeros(0))])
+        keys = distinct(short(b.grams, shards))
+        return pa.concat_tables([_want(ask((keys & LOW).astype(np.uint32), (keys >> np.uint64(32)).astype(np.int32), b.number, kind=GRAMS)), _memo(b.number, np.zeros(0))])
 
     def answer_grams(t: pa.Table) -> pa.Table:
         if t["kind"][0].as_py() == MEMO:
             return _pass(t)
-        s = Shard(t)
+        s = Shard(t, key=np.uint32)
         return s.reply((np.bincount(s.inverse, minlength=len(s.keys)) > 1).astype(np.uint8), np.zeros(len(s.keys), np.uint8))
 
     def ask_regions(t: pa.Table, reply: pa.Table) -> pa.Table:
         b = Block(t, length, anchor)
-        open_ = b.shared() | (answers(reply, [np.uint8], GRAMS)[0] > 0)
+        at = short(b.grams, shards)
+        open_ = b.shared() | (answers(reply, [np.uint8], GRAMS)[0][np.searchsorted(distinct(at), at)] > 0)
         g = np.flatnonzero(open_[b.of_gram])
-        regions, first, of = np.unique(b.region[g], return_index=True, return_inverse=True)
+        region = b.regions(g)
+        regions, first, of = np.unique(region, axis=0, return_index=True, return_inverse=True)
         least = np.full(len(regions), np.iinfo(np.int64).max)
         np.minimum.at(least, of, b.doc[g])
         grams, of = np.unique(b.gram[g], return_inverse=True)
         low = np.full(len(grams), np.iinfo(np.int64).max)
         np.minimum.at(low, of, b.doc[g])
         some = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(some, of, b.region[g])
+        np.minimum.at(some, of, region[:, 0])
         several = np.bincount(of[first], minlength=len(grams)).astype(np.uint32)
-        return pa.concat_tables([_want(ask(regions, owner(regions, shards), b.number, least, kind=REGIONS)),
+        return pa.concat_tables([_want(ask(regions[:, 0], owner(regions[:, 0], shards), b.number, regions[:, 1].astype(np.uint32), least, kind=REGIONS)),
                                  _want(ask(grams, owner(grams, shards), b.number, low, some, several, kind=ANCHORS)), _memo(b.number, np.packbits(open_))])
 
     def answer_regions(t: pa.Table) -> pa.Table:
         kind = t["kind"][0].as_py()
         if kind == MEMO:
             return _pass(t)
-        s = Shard(t, [np.int64])
-        least = s.per_key(np.minimum, s.vals[0], np.iinfo(np.int64).max)
         if kind == REGIONS:
-            return s.reply(least, np.zeros(len(least), np.uint8))
+            return pa.table({"kind": t["kind"], "shard": t["shard"], "block": t["block"], "a0": packed(least_of_digests(t, np.uint32)), "a1": pa.array([b""] * t.num_rows, pa.binary())})
         s = Shard(t, [np.int64, np.uint64, np.uint32])
+        least = s.per_key(np.minimum, s.vals[0], np.iinfo(np.int64).max)
         low, high = s.per_key(np.minimum, s.vals[1], np.iinfo(np.uint64).max), s.per_key(np.maximum, s.vals[1], 0)
         many = s.per_key(np.add, s.vals[2].astype(np.int64), 0)
         most = s.per_key(np.maximum, s.vals[2], 0)
@@ -193,16 +203,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         b = Block(t, length, anchor)
         open_ = np.unpackbits(_memo_of(reply, [np.uint8])[0], count=len(b.grams)).astype(bool)
         g = np.flatnonzero(open_[b.of_gram])
-        regions, of_region = np.unique(b.region[g], return_inverse=True)
+        _, of_region = np.unique(b.regions(g), axis=0, return_inverse=True)
         grams, of_gram = np.unique(b.gram[g], return_inverse=True)
-        least = answers(reply, [np.int64, np.uint8], REGIONS)[0][of_region]
+        least = answers(reply, [np.int64], REGIONS)[0][of_region]
         gram_least, state = (x[of_gram] for x in answers(reply, [np.int64, np.uint8], ANCHORS))
         doc = b.doc[g]
         gone = g[least < doc]
         edge = (least == doc) & (state > 0)
         cold, hot_ = g[edge & (state == 1)], g[edge & (state == 2)]
+        cold_region = of_region[edge & (state == 1)]
         # one record for each region, and for each distinct window of a hot gram
-        _, first, rec = np.unique(b.region[cold], return_index=True, return_inverse=True)
+        _, first, rec = np.unique(cold_region, return_index=True, return_inverse=True)
         one = cold[first]
         lo, hi = b.lo[one], b.hi[one]
         keys, docs_, shift = b.gram[one], b.doc[one], (b.place - b.lo)[one]
