@@ -303,8 +303,31 @@ def short(keys: np.ndarray, shards: int) -> np.ndarray:
     return owner(keys, shards).astype(np.uint64) << np.uint64(32) | (keys & LOW)
 
 
-def packed(values: list[np.ndarray]) -> pa.Array:
-    return pa.array([v.tobytes() for v in values], pa.binary())
+def squeeze(v: np.ndarray, ascending: bool = False) -> bytes:
+    """An integer array for the shuffle: differences of ascending keys, byte plane by byte plane, by zstd."""
+    if ascending and len(v):
+        v = np.r_[v[:1], np.diff(v)]
+    planes = np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
+    return len(v).to_bytes(4, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if len(v) else b"")
+
+
+def unsqueeze(raw, kind, ascending: bool = False) -> np.ndarray:
+    """What :func:`squeeze` took."""
+    raw, kind = memoryview(raw), np.dtype(kind)
+    n = int.from_bytes(raw[:4], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(raw[4:], n * kind.itemsize, codec="zstd"), np.uint8)
+    v = np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).reshape(n)
+    return np.cumsum(v, dtype=kind) if ascending else v
+
+
+def packed(values: list[np.ndarray], ascending: bool = False) -> pa.Array:
+    return pa.array([squeeze(v, ascending) for v in values], pa.binary())
+
+
+def unpacked(col, kind, ascending: bool = False) -> list[np.ndarray]:
+    return [unsqueeze(x.as_buffer(), kind, ascending) for x in col]
 
 
 def summed(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,7 +373,7 @@ def ask(keys: np.ndarray, own: np.ndarray, block: int, *vals: np.ndarray, kind:
     full = lambda x: pa.array(np.full(len(at), x), pa.int32())
     cols = {"kind": full(kind), "shard": pa.array(own[at], pa.int32()), "block": full(block)}
     for name, v in zip(["keys"] + [f"v{k}" for k in range(len(vals))], (keys, *vals)):
-        cols[name] = packed([v[i:j] for i, j in zip(at, to)])
+        cols[name] = packed([v[i:j] for i, j in zip(at, to)], name == "keys")
     return pa.table(cols)
 
 
@@ -364,10 +387,10 @@ class Shard:
     def __init__(self, table: pa.Table, types: list = (), key=np.uint64):
         self.blocks = table["block"].to_pylist()
         self.kind, self.shard = (table[c][0].as_py() if table.num_rows else 0 for c in ("kind", "shard"))
-        parts = [np.frombuffer(x, key) for x in table["keys"].to_pylist()]
+        parts = unpacked(table["keys"], key, True)
         self.sizes = [len(x) for x in parts]
         self.keys, self.inverse = np.unique(np.concatenate(parts) if parts else np.zeros(0, key), return_inverse=True)
-        self.vals = [np.concatenate([np.frombuffer(x, t) for x in table[f"v{k}"].to_pylist()]) for k, t in enumerate(types)]
+        self.vals = [np.concatenate(unpacked(table[f"v{k}"], t)) for k, t in enumerate(types)]
 
     def per_key(self, ufunc, vals: np.ndarray, start) -> np.ndarray:
         out = np.full(len(self.keys), start, vals.dtype)
@@ -386,13 +409,13 @@ class Shard:
 
 def least_of_digests(t: pa.Table, check) -> list[np.ndarray]:
     """For each request of a shard: the smallest ``v1`` (long) of all requests with the same digest (``keys`` and ``v0`` together)."""
-    cat = lambda n, k: np.concatenate([np.frombuffer(x.as_buffer(), k) for x in t[n]])
-    key, low, doc = cat("keys", np.uint64), cat("v0", check), cat("v1", np.int64)
+    parts = unpacked(t["keys"], np.uint64, True)
+    key, low, doc = np.concatenate(parts), np.concatenate(unpacked(t["v0"], check)), np.concatenate(unpacked(t["v1"], np.int64))
     order = np.lexsort((doc, low, key))
     new = np.r_[True, (key[order][1:] != key[order][:-1]) | (low[order][1:] != low[order][:-1])]
     out = np.empty(len(order), np.int64)
     out[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    return np.split(out, np.cumsum([len(x.as_buffer()) // 8 for x in t["keys"]])[:-1])
+    return np.split(out, np.cumsum([len(x) for x in parts])[:-1])
 
 
 def answered(vals: int) -> str:
@@ -407,7 +430,7 @@ def answers(table: pa.Table, types: list, kind: int = 0) -> list[np.ndarray]:
     out = []
     for k, t in enumerate(types):
         col = table[f"a{k}"]
-        out.append(np.concatenate([np.frombuffer(col[int(i)].as_buffer(), t) for i in order]) if len(order) else np.zeros(0, t))
+        out.append(np.concatenate([unsqueeze(col[int(i)].as_buffer(), t) for i in order]) if len(order) else np.zeros(0, t))
     return out
 
 

@@ -5,10 +5,10 @@
    (band, part, content of the part): linked sets always share one. A set near the top of its band
    also enters the tiles of the next.
 2. *Only shared tiles matter.* Each block of documents asks the tiles' shards which of its tiles hold two
-   different sets; only documents in such tiles go on, with their bitmap and sorted array, once each.
+   different sets; only documents in such tiles go on, with their bitmap, once each.
 3. *Stars first.* Every member of a tile is compared with the tile's smallest document, and the links give
    first components. Then, in tiles that still span several components, members of different components meet in
-   chunks: the bitmaps' bit counts bound the overlap from above, and only survivors are intersected. Pairs already
+   chunks: the bitmaps' bit counts bound the overlap from above, and only survivors form their sorted arrays and are intersected. Pairs already
    connected are never formed, so a group of thousands of near copies costs a star, not all its pairs.
 """
 
@@ -147,8 +147,7 @@ def _sets(table: pa.Table, k: int):
 
 
 def _members(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """Per document (tile null): doc_id, n, d1, d2, and bits and sorted set if it shares a tile with another set;
-    per shared tile: tile, doc_id, d1."""
+    """Per document (tile null): doc_id, n, d1, d2, and bits if it shares a tile with another set; per shared tile: tile, doc_id, d1."""
     blocks = n_blocks(docs)
     shards = blocks
     grouped = Blocks(docs, blocks, ["doc_id", "text"])
@@ -184,7 +183,7 @@ def _members(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
         return s.reply(((low != high) | (two > 0)).astype(np.uint8))
 
     def emit(table: pa.Table, reply: pa.Table) -> pa.Table:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(6)]
         keys, _, _ = tiles_of(table)
         shared = keys[answers(reply, [np.uint8])[0] > 0]
         ids = table["doc_id"].to_pylist()
@@ -192,17 +191,17 @@ def _members(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             d1, d2 = _digest(s)
             mine = tiles(s, bands) if len(s) and ids[i] is not None else shared[:0]
             mine = mine[_among(short(mine, shards), shared)]
-            for c, v in zip(cols, (None, ids[i], len(s), d1, d2, bitmap(s, bands.bits(len(s))) if len(mine) else None, s.view(np.int64) if len(mine) else None)):
+            for c, v in zip(cols, (None, ids[i], len(s), d1, d2, bitmap(s, bands.bits(len(s))) if len(mine) else None)):
                 c.append(v)
             for t in mine.astype(np.int64).tolist():
-                for c, v in zip(cols, (t, ids[i], len(s), d1, d2, None, None)):
+                for c, v in zip(cols, (t, ids[i], len(s), d1, d2, None)):
                     c.append(v)
-        types = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("tile", "doc_id", "n", "d1", "d2", "bits", "items"), cols, types)})
+        types = [pa.int64()] * 5 + [pa.binary()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("tile", "doc_id", "n", "d1", "d2", "bits"), cols, types)})
 
     wants = grouped.each(request, asked(2))
     replies = wants.groupBy("shard").applyInArrow(shard, answered(1))
-    return written(grouped.meet(replies, emit, "tile long, doc_id long, n long, d1 long, d2 long, bits binary, items array<long>"), "jaccard")
+    return written(grouped.meet(replies, emit, "tile long, doc_id long, n long, d1 long, d2 long, bits binary"), "jaccard")
 
 
 def _sides(pairs: DataFrame, sets: DataFrame, col: str) -> DataFrame:
@@ -224,7 +223,7 @@ def _kept(pairs: DataFrame, test) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sizes and bitmaps allow a link. Written: only these bring their sets along."""
+    """The pairs whose sizes and bitmaps allow a link. Written: only their documents' sets are formed."""
     def test(na, nb, a, b):
         if not reaches(min(na, nb), na, nb, num, den):
             return False
@@ -232,10 +231,26 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return written(_kept(_sides(pairs, sets, "bits"), test), "possible")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _arrays(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, items (sorted array) of the documents in ``pairs``, formed again from their texts: few documents reach a
+    possible pair, and all others' sets need not be kept. Spark broadcasts the ids only if their table is small."""
+    ids = written(pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct(), "ids")
+
+    def scan(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for lo in range(0, t.num_rows, 256):
+                part = t.slice(lo, 256)
+                sets = [s for _, s in _sets(part, k)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "items"])
+
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(scan, "doc_id long, n long, items array<long>")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs whose sets reach the threshold, by the exact intersection of their sorted arrays. Spark intersects
     them itself, so no batch of large sets stands in a Python worker."""
-    both = _sides(pairs, sets, "items")
+    both = _sides(pairs, _arrays(docs, pairs, k), "items")
     overlap = F.size(F.array_intersect("itemsa", "itemsb"))
     return both.where(reaches(overlap, F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
@@ -317,15 +332,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     table = _members(docs, k, bands)
     rows = table.where("tile is null")
     members = written(table.where("tile is not null").groupBy("tile", "d1").agg(F.min("doc_id").alias("doc_id")).select("tile", "doc_id"), "tiles")
-    sets = rows.where("items is not null").select("doc_id", "n", "bits", "items")
+    sets = rows.where("bits is not null").select("doc_id", "n", "bits")
     centre = members.groupBy("tile").agg(F.min("doc_id").alias("b"))
     stars = members.join(centre, "tile").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    links = written(_verified(_possible(stars, sets, num, den), sets, num, den), "links")
+    links = written(_verified(docs, _possible(stars, sets, num, den), k, num, den), "links")
     first = components(links)
     labelled = members.join(first, F.col("doc_id") == F.col("node"), "left").select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("tile", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    crossing = labelled.join(mixed, "tile").join(sets.select("doc_id", "n", "bits"), "doc_id")
-    more = _verified(written(_cross_pairs(crossing, num, den), "possible"), sets, num, den)
+    crossing = labelled.join(mixed, "tile").join(sets, "doc_id")
+    more = _verified(docs, written(_cross_pairs(crossing, num, den), "possible"), k, num, den)
     final = components(links.union(more))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"))
     named = classes.join(final, F.col("least") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "least").alias("class"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOW, Blocks, Shard, answers, ask, buffers, distinct, least_of_digests, mix64, n_blocks, owner, packed, short
+from .common import LOW, Blocks, Shard, answers, ask, buffers, distinct, least_of_digests, mix64, n_blocks, owner, packed, short, unpacked
 from .suffix_sort import Suffixes, powers, prefix_hashes
 
 LENGTH = 50
@@ -206,7 +206,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         _, of_region = np.unique(b.regions(g), axis=0, return_inverse=True)
         grams, of_gram = np.unique(b.gram[g], return_inverse=True)
         least = answers(reply, [np.int64], REGIONS)[0][of_region]
-        gram_least, state = (x[of_gram] for x in answers(reply, [np.int64, np.uint8], ANCHORS))
+        state = answers(reply, [np.int64, np.uint8], ANCHORS)[1][of_gram]
         doc = b.doc[g]
         gone = g[least < doc]
         edge = (least == doc) & (state > 0)
@@ -240,8 +240,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         full = lambda x: pa.array(np.full(len(at), x), pa.int32())
         shape = np.stack([size, shift], axis=1).astype(np.uint8) if len(size) else np.zeros((0, 2), np.uint8)
         text = [b"".join(b.data[x:x + n].tobytes() for x, n in zip(lo[i:j].tolist(), size[i:j].tolist())) for i, j in zip(at, to)]
-        wants = pa.table({"kind": full(SUFFIXES), "shard": pa.array(own[at], pa.int32()), "block": full(b.number), "keys": packed([keys[i:j] for i, j in zip(at, to)]),
-                          "v0": packed([docs_[i:j] for i, j in zip(at, to)]), "v1": packed([shape[i:j] for i, j in zip(at, to)]), "v2": pa.array(text, pa.binary())})
+        wants = pa.table({"kind": full(SUFFIXES), "shard": pa.array(own[at], pa.int32()), "block": full(b.number), "keys": packed([keys[i:j] for i, j in zip(at, to)], True),
+                          "v0": packed([docs_[i:j] for i, j in zip(at, to)]), "v1": packed([shape[i:j].view(np.uint16).reshape(-1) for i, j in zip(at, to)]), "v2": pa.array(text, pa.binary())})
         cut = np.concatenate([np.stack([b.lo[gone], b.hi[gone]], axis=1), np.stack([late, late], axis=1)]).astype(np.int64)
         look = np.concatenate([np.stack([b.lo[cold], b.hi[cold], back[rec]], axis=1), np.stack([wlo, wlo, back[len(one) + wrec]], axis=1)]).astype(np.int64)
         return pa.concat_tables([wants, _memo(b.number, cut, look)])
@@ -249,10 +249,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     def answer_suffixes(t: pa.Table) -> pa.Table:
         if t["kind"][0].as_py() == MEMO:
             return _pass(t)
-        cat = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t[c]])
-        keys, doc, shape, data = cat("keys", np.uint64), cat("v0", np.int64), cat("v1", np.uint8).reshape(-1, 2), cat("v2", np.uint8)
+        parts = unpacked(t["keys"], np.uint64, True)
+        keys, doc = np.concatenate(parts), np.concatenate(unpacked(t["v0"], np.int64))
+        shape = np.concatenate(unpacked(t["v1"], np.uint16)).view(np.uint8).reshape(-1, 2)
+        data = np.frombuffer(b"".join(x.as_py() for x in t["v2"]), np.uint8)
         masks = repeated_windows(keys, doc, shape[:, 0].astype(np.int64), shape[:, 1].astype(np.int64), data, length)
-        cuts = np.cumsum([len(x.as_buffer()) // 8 for x in t["keys"]])[:-1]
+        cuts = np.cumsum([len(x) for x in parts])[:-1]
         return pa.table({"kind": t["kind"], "shard": t["shard"], "block": t["block"], "a0": packed(np.split(masks, cuts)), "a1": pa.array([b""] * t.num_rows, pa.binary())})
 
     def cut_out(t: pa.Table, reply: pa.Table) -> pa.Table:
