@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_splitmix, mix64, written
+from .common import by_splitmix, mix64, ship_code, written
 from .components import components
 from .topk import usable
 
@@ -130,6 +130,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = TA
     components, and rows with a null vec_id, link with nothing (the latter: null component, not kept); vectors of different
     lengths never link. Rows that share a vec_id are one node, each counting as a link. No rows give no rows.
     """
+    ship_code(vectors.sparkSession)
     spec = (tables, scale, probes)
     ok = usable(vectors).where(F.exists("embedding", lambda x: x != 0))
     classes = written(ok.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("times")).select("id", "times", "embedding"), "vectors")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import ship_code
+
 DIM_BLOCK = 8
 CHUNK = 2048
 EXACT = 2.0 ** 52
@@ -79,6 +81,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
     smallest vector. No query or no candidates give no rows. Scores are exact 64-bit integers (sums beyond
     2**52 are added as Python integers).
     """
+    ship_code(vectors.sparkSession)
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n_c, n_q = vectors.count(), queries.count()
     cb, qb = max(1, -(-n_c // candidate_block)), max(1, -(-n_q // query_block))
