@@ -1,10 +1,6 @@
-import pytest
-
+"""Inputs shared by the tests of the training-data operators; tests import the fixtures that they use."""
 
-@pytest.fixture(scope="session")
-def spark():
-    from codegauge.session import get_session
-    return get_session("local[4]", 4, app_name="codegauge-llm-tests")
+import pytest
 
 
 SF = "/root/testdata/sf0.001"

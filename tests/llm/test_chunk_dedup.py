@@ -1,7 +1,7 @@
 import hashlib
 
 import numpy as np
-from conftest import SF
+from llm_cases import SF, none, odd  # noqa: F401
 
 from codegauge.llm import chunk_dedup as C
 from codegauge.llm.common import documents

@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import SF
+from llm_cases import SF, none, odd  # noqa: F401
 from pyspark.sql import functions as F
 
 from codegauge.llm import jaccard as J

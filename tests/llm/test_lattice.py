@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import SF
+from llm_cases import SF  # noqa: F401
 from pyspark.sql import functions as F
 
 from codegauge.llm import lattice as L

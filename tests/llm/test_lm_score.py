@@ -4,7 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from conftest import SF
+from llm_cases import SF, none, odd  # noqa: F401
 
 from codegauge.llm import lm_score as L
 from codegauge.llm.common import documents, mix64

@@ -1,7 +1,7 @@
 import hashlib
 
 import sentencepiece
-from conftest import SF
+from llm_cases import SF, none, odd  # noqa: F401
 from pyspark.sql import functions as F
 from test_jaccard import brute as components
 from test_suffix_dedup import brute as cut_brute

@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from conftest import SF
+from llm_cases import SF, none, odd  # noqa: F401
 
 from codegauge.llm import queries as Q
 from codegauge.llm import suffix_dedup as S

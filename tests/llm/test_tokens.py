@@ -4,7 +4,7 @@ import random
 import public_tokenizers
 import pytest
 import sentencepiece
-from conftest import ODD, SF
+from llm_cases import ODD, SF, none, odd  # noqa: F401
 
 from codegauge.llm import queries as Q
 from codegauge.llm import sentencepiece_codec as SC
