@@ -50,18 +50,22 @@ def units(text: str) -> list[str]:
 
 
 class UnitCache(dict):
-    """unit -> result of ``make(unit)``; bounded: it empties itself when full, and skips long units."""
+    """unit -> result of ``make(unit)``, bounded by two generations: when the young one is full it becomes the old one, from which
+    units still in use come back. Long units are not kept."""
 
-    MOST, LONG = 300_000, 64
+    MOST, LONG = 150_000, 64
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, unit):
-        out = self.make(unit)
+        out = self.old.get(unit)
+        if out is None:
+            out = self.make(unit)
         if len(unit) <= self.LONG:
             if len(self) >= self.MOST:
+                self.old = dict(self)
                 self.clear()
             self[unit] = out
         return out

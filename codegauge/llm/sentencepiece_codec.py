@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship_code
 from .pieces import BYTE, CONTROL, SPACE, UNKNOWN, UnitCache, Vocabulary, model_bytes, per_worker, units
 
 
@@ -22,17 +23,19 @@ class Codec:
     pair test is worked out once by merging the pair's text, and kept. The ids are then read backwards.
     """
 
-    PAIRS = 1_000_000
+    PAIRS = 400_000
 
     def __init__(self, model: bytes):
         import ahocorasick
         self.v = Vocabulary(model)
         self.machine = ahocorasick.Automaton()
-        for piece in self.v.ids:
+        self.whole = {}
+        for piece, i in self.v.ids.items():
             if self.merged(piece) == [piece]:
-                self.machine.add_word(piece, piece)
+                self.machine.add_word(piece, (i, len(piece)))
+                self.whole[piece] = (i,)
         self.machine.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.units = UnitCache(self.encode_unit)
         self.bytes_of = [b"" if t in (CONTROL,) else b" \xe2\x81\x87 " if t == UNKNOWN else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, t in zip(self.v.pieces, self.v.types)]
 
@@ -47,40 +50,47 @@ class Codec:
             part[i:i + 2] = [part[i] + part[i + 1]]
         return part
 
-    def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= self.PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether the text of two tokens merges into just these two."""
+        if len(self.pairs) >= self.PAIRS:
+            self.pairs.clear()
+        a, b = self.v.pieces[left], self.v.pieces[right]
+        known = self.pairs[left << 20 | right] = self.merged(a + b) == [a, b]
         return known
 
     def encode_unit(self, unit: str) -> tuple[int, ...]:
-        ids, n = self.v.ids, len(unit)
-        if unit in ids and n <= 16 and self.merged(unit) == [unit]:
-            return (ids[unit],)
-        last: list = [None] * (n + 1)
-        for end, piece in self.machine.iter(unit):
+        if unit in self.whole:
+            return self.whole[unit]
+        n, known, pairs = len(unit), self.v.ids, self.pairs
+        last = [-1] * (n + 1)  # last token of each prefix; -1 after a character outside the vocabulary
+        for end, (piece, size) in self.machine.iter(unit):
             end += 1
-            start = end - len(piece)
-            if last[end] is None and (start == 0 or self.joins(last, unit, start, piece)):
-                last[end] = piece
+            if last[end] >= 0:
+                continue
+            start = end - size
+            if start:
+                before = last[start]
+                if before >= 0:
+                    fits = pairs.get(before << 20 | piece)
+                    if fits is None:
+                        fits = self.compatible(before, piece)
+                    if not fits:
+                        continue
+                elif unit[start - 1] in known:
+                    continue
+            last[end] = piece
         out: list[int] = []
         at = n
         while at:
             piece = last[at]
-            if piece is None:  # a character outside the vocabulary stands alone, as bytes
+            if piece < 0:  # a character outside the vocabulary stands alone, as bytes
                 out += reversed(self.v.fallback(unit[at - 1]))
                 at -= 1
             else:
-                out.append(ids[piece])
-                at -= len(piece)
-        return tuple(reversed(out))
-
-    def joins(self, last: list, unit: str, start: int, piece: str) -> bool:
-        before = last[start]
-        return unit[start - 1] not in self.v.ids if before is None else self.compatible(before, piece)
+                out.append(piece)
+                at -= len(self.v.pieces[piece])
+        out.reverse()
+        return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self.units.__getitem__, units(text)))) if text else []
@@ -98,6 +108,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
     Null and empty texts have no ids and decode to ''. Texts are processed whole and each on its own;
     repeated rows come out repeated, an empty table gives no rows.
     """
+    ship_code(docs.sparkSession)
     model = model_bytes(model_path)
     schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
