@@ -13,6 +13,7 @@ input, so they grow in number and not in size.
 
 from __future__ import annotations
 
+import ctypes
 import io
 import zipfile
 from collections.abc import Iterator
@@ -65,8 +66,11 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def _spare() -> None:
-    """Give Arrow's unused memory back, as a worker lives on after a block."""
+    """Give unused memory back to the system, Arrow's and the C heap's, as a worker lives on after a block."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 class Blocks:
@@ -82,7 +86,7 @@ class Blocks:
     def __init__(self, docs: DataFrame, blocks: int, cols: list[str], text: str = "text"):
         ship_code(docs.sparkSession)
         cols = [*dict.fromkeys(cols)]
-        most = self.PACK_BYTES
+        most, spare = self.PACK_BYTES, _spare
         key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col("doc_id")))
 
         def pack(batches):
@@ -111,6 +115,7 @@ class Blocks:
                         yield from out()
                         size = 0
             yield from out()
+            spare()
 
         rows = docs.select(F.pmod(key, F.lit(blocks)).cast("int").alias("block"), *[F.col(c) for c in cols])
         self.grouped = rows.mapInArrow(pack, "block int, packed binary")
