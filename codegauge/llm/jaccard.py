@@ -1,7 +1,7 @@
 """Exact Jaccard join on word n-grams: size-banded tiles, bitmap bounds, sorted-array intersection.
 
 1. *Tiles.* Sets are banded by size. Two sets that reach the threshold differ in at most d elements, d
-   fixed by the band; their elements are dealt into d + 1 parts by hash, so at least one part is equal. A tile is
+   fixed by the band; their elements are dealt into d + 1 parts (and a tenth more) by hash, so at least one part is equal. A tile is
    (band, part, content of the part): linked sets always share one. A set near the top of its band
    also enters the tiles of the next.
 2. *Only shared tiles matter.* Each block of documents asks the tiles' shards which of its tiles hold two
@@ -71,8 +71,11 @@ class Bands:
                 return band
             band, e = band + 1, e2
 
-    def parts(self, band: int) -> int:
-        return 2 * (self.edge(band + 1) - 1) * (self.den - self.num) // (self.den + self.num) + 1
+    def parts(self, band: int) -> tuple[int, int]:
+        """(parts, spare): linked sets of the band agree in ``spare`` + 1 parts or more."""
+        least = 2 * (self.edge(band + 1) - 1) * (self.den - self.num) // (self.den + self.num) + 1
+        spare = -(-least // 10)
+        return least + spare, spare
 
     def enters(self, size: int) -> list[int]:
         band = self.of(size)
@@ -86,19 +89,23 @@ _PARTS: dict = {}
 
 
 def tiles(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Tile keys of one set."""
+    """Tile keys of one set: its parts that are not empty. Linked sets agree in more than ``spare`` parts, so unless both
+    have more than ``spare`` empty parts they agree in one that is not; only sets with so many enter the tiles of empty parts too."""
     key = (bands.num, bands.den, len(s))
     if key not in _PARTS:
         if len(_PARTS) > 100_000:
             _PARTS.clear()
-        _PARTS[key] = [(b, bands.parts(b)) for b in bands.enters(len(s))]
+        _PARTS[key] = [(b, *bands.parts(b)) for b in bands.enters(len(s))]
     out = []
     with np.errstate(over="ignore"):
         spread = mix64(s + np.uint64(0x51ED27))
-        for band, parts in _PARTS[key]:
+        for band, parts, spare in _PARTS[key]:
             content = np.zeros(parts, np.uint64)
-            np.add.at(content, (s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), spread)
-            out.append(mix64(mix64(content) + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32))))
+            part = ((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            np.add.at(content, part, spread)
+            keys = mix64(mix64(content) + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
+            full = np.bincount(part, minlength=parts) > 0
+            out.append(keys[full] if parts - full.sum() <= spare else keys)
     return np.concatenate(out)
 
 
