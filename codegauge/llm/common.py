@@ -65,7 +65,7 @@ def ship_code(spark: SparkSession) -> None:
     _SENT.add(sc.applicationId)
 
 
-def _spare() -> None:
+def spare_memory() -> None:
     """Give unused memory back to the system, Arrow's and the C heap's, as a worker lives on after a block."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
@@ -86,7 +86,7 @@ class Blocks:
     def __init__(self, docs: DataFrame, blocks: int, cols: list[str], text: str = "text"):
         ship_code(docs.sparkSession)
         cols = [*dict.fromkeys(cols)]
-        most, spare = self.PACK_BYTES, _spare
+        most, spare = self.PACK_BYTES, spare_memory
         key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col("doc_id")))
 
         def pack(batches):
@@ -127,7 +127,7 @@ class Blocks:
 
     def each(self, f, schema) -> DataFrame:
         """``f(documents of a block)`` for every block."""
-        open_, spare = self._open, _spare
+        open_, spare = self._open, spare_memory
 
         def run(t):
             out = f(open_(t))
@@ -137,7 +137,7 @@ class Blocks:
 
     def meet(self, replies: DataFrame, f, schema) -> DataFrame:
         """``f(documents of a block, its replies)`` for every block. Replies only go to blocks that asked."""
-        open_, spare = self._open, _spare
+        open_, spare = self._open, spare_memory
 
         def run(t, reply):
             out = f(open_(t), reply)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOW, Blocks, Shard, answers, ask, buffers, distinct, least_of_digests, mix64, n_blocks, owner, packed, short, unpacked
+from .common import LOW, Blocks, Shard, answers, ask, buffers, distinct, least_of_digests, mix64, n_blocks, owner, packed, short, spare_memory, unpacked
 from .suffix_sort import Suffixes, powers, prefix_hashes
 
 LENGTH = 50
@@ -254,6 +254,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         shape = np.concatenate(unpacked(t["v1"], np.uint16)).view(np.uint8).reshape(-1, 2)
         data = np.frombuffer(b"".join(x.as_py() for x in t["v2"]), np.uint8)
         masks = repeated_windows(keys, doc, shape[:, 0].astype(np.int64), shape[:, 1].astype(np.int64), data, length)
+        del doc, shape, data
+        spare_memory()
         cuts = np.cumsum([len(x) for x in parts])[:-1]
         return pa.table({"kind": t["kind"], "shard": t["shard"], "block": t["block"], "a0": packed(np.split(masks, cuts)), "a1": pa.array([b""] * t.num_rows, pa.binary())})
 
@@ -269,7 +271,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 hit = look[(masks[look[:, 2]] >> np.uint64(j) & np.uint64(1)).astype(bool), 0] + j
                 np.add.at(depth, hit, 1)
                 np.add.at(depth, hit + length, -1)
-        removed = np.cumsum(depth[:-1]) > 0
+        np.cumsum(depth, out=depth)
+        removed = depth[:-1] > 0
+        del depth
         spans, kept, texts = [], [], []
         for i, j in zip(b.offsets[:-1], b.offsets[1:]):
             x, gone = b.data[i:j], removed[i:j]
