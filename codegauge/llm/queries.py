@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, jaccard, lattice, lm_score, mixing, quality, sentencepiece_codec, suffix_dedup, token_counts, topk
+from . import chunk_dedup, jaccard, lattice, lm_score, merkle, mixing, quality, sentencepiece_codec, suffix_dedup, token_counts, topk
 from .common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -57,6 +57,10 @@ def op4_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir), labels, keep=["doc_id", "lang"])
 
 
+def op11_merkle(spark, sf_dir):
+    return merkle.audit(merkle.manifest(merkle.tampered(documents(spark, sf_dir)), keep=("now",)))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lattice": op2_lattice,
@@ -68,10 +72,12 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_jaccard": op9_jaccard,
     "op10_lm_score": op10_lm_score,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLE = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
     "op9_jaccard": jaccard.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
 }
