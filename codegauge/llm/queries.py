@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, jaccard, lattice, lm_score, merkle, mixing, quality, sentencepiece_codec, suffix_dedup, token_counts, topk
+from . import chunk_dedup, jaccard, lattice, lm_score, merkle, mixing, quality, sentencepiece_codec, suffix_dedup, token_counts, topk, warc
 from .common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -61,6 +61,12 @@ def op11_merkle(spark, sf_dir):
     return merkle.audit(merkle.manifest(merkle.tampered(documents(spark, sf_dir)), keep=("now",)))
 
 
+def op12_warc(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    index = warc.write_archives(pages, warc.archive_folder(spark), least=0)
+    return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lattice": op2_lattice,
@@ -73,6 +79,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_lm_score": op10_lm_score,
     "op11_merkle": op11_merkle,
+    "op12_warc": op12_warc,
 }
 
 ORACLE = {
@@ -80,4 +87,5 @@ ORACLE = {
     "op8_topk": topk.ORACLE_SQL,
     "op9_jaccard": jaccard.ORACLE_SQL,
     "op11_merkle": merkle.ORACLE_SQL,
+    "op12_warc": warc.ORACLE_SQL,
 }
