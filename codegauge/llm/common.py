@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codegauge.session import scratch_dir
@@ -444,3 +445,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def placed(rows: DataFrame, group: str, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with their place ``at`` (from 0) in their group, ordered by ``keys``, and the group's size ``n``. The group is not null.
+
+    Ranges of (group, keys) are cut by Spark's sampling, rows equal in all of these by their number in the input, so one group or one
+    key may hold any share of the rows. Written once, as the ranges must not change between two reads."""
+    cut = rows.withColumn("__row", F.monotonically_increasing_id())
+    cut = written(cut.repartitionByRange(group, *keys, "__row").withColumn("__part", F.spark_partition_id()), name)
+    order = W.partitionBy(group, "__part").orderBy(*keys, "__row")
+    sizes = cut.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))  # one row per range and group
+    whole = W.partitionBy(group)
+    before = F.sum("__n").over(whole.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(group, "__part", F.coalesce(before, F.lit(0)).alias("__off"), F.sum("__n").over(whole).alias("n"))
+    out = cut.withColumn("__rn", F.row_number().over(order)).join(sizes, [group, "__part"])
+    return out.withColumn("at", (F.col("__off") + F.col("__rn") - 1).cast("long")).withColumn("n", F.col("n").cast("long")).drop("__row", "__part", "__off", "__rn")

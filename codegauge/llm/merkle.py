@@ -21,11 +21,10 @@ from heapq import heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from .common import ship_code, written
+from .common import placed, ship_code, written
 
 ARITY, LEVELS = 8, 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -144,22 +143,6 @@ def _grow(nodes: DataFrame, arity: int, levels: int, name: str) -> tuple[list[Da
     return rounds[:-1] or [nodes], rounds[-1].select("tree", "digest")
 
 
-def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with their place ``at`` in their tree, ordered by ``keys``, and the tree's size ``n``.
-
-    Ranges of (tree, keys) are cut by Spark's sampling, rows equal in all of these by their number in the input, so one tree or one
-    id may hold any share of the rows. Written once, as the ranges must not change between two reads."""
-    cut = rows.withColumn("__row", F.monotonically_increasing_id())
-    cut = written(cut.repartitionByRange("tree", *keys, "__row").withColumn("__part", F.spark_partition_id()), "merkle-leaves")
-    order = W.partitionBy("tree", "__part").orderBy(*keys, "__row")
-    sizes = cut.groupBy("tree", "__part").agg(F.count(F.lit(1)).alias("__n"))  # one row per range and tree
-    whole = W.partitionBy("tree")
-    before = F.sum("__n").over(whole.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select("tree", "__part", F.coalesce(before, F.lit(0)).alias("__off"), F.sum("__n").over(whole).alias("n"))
-    placed = cut.withColumn("__rn", F.row_number().over(order)).join(sizes, ["tree", "__part"])
-    return placed.withColumn("at", (F.col("__off") + F.col("__rn") - 1).cast("long")).withColumn("n", F.col("n").cast("long")).drop("__row", "__part", "__off", "__rn")
-
-
 def manifest(leaves: DataFrame, order: str = "doc_id", tree: str = "lang", leaf: str = "leaf", keep: tuple = (), arity: int = ARITY, levels: int = LEVELS) -> DataFrame:
     """``order``, ``leaf``, ``keep``, subroot, root and proof of every row of ``leaves``.
 
@@ -172,9 +155,9 @@ def manifest(leaves: DataFrame, order: str = "doc_id", tree: str = "lang", leaf:
     cols = [*dict.fromkeys([order, leaf, *keep])]
     rows = leaves.select(name.alias("tree"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)], F.col(leaf).alias("digest"))
     held = [f"k{i}" for i in range(len(cols))]
-    base = written(_placed(rows, ["k0", "digest"]), "merkle-placed")
+    base = written(placed(rows, "tree", ["k0", "digest"], "merkle-leaves"), "merkle-placed")
     rounds, tops = _grow(base, arity, levels, "merkle-tree")
-    subs = written(_placed(tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["name"]), "merkle-subroots")
+    subs = written(placed(tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), "tree", ["name"], "merkle-tops"), "merkle-subroots")
     over, root = _grow(subs, arity, levels, "merkle-root")
 
     got = root.select("tree", F.lit(0).cast("long").alias("at"), F.col("digest").alias("subroot"), F.col("digest").alias("root"), F.expr(f"cast(array() as {PROOF})").alias("proof"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, jaccard, lattice, lm_score, merkle, mixing, quality, sentencepiece_codec, suffix_dedup, token_counts, topk, warc
+from . import chunk_dedup, collocations, jaccard, lattice, lm_score, merkle, mixing, quality, sentencepiece_codec, suffix_dedup, token_counts, topk, warc
 from .common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -67,6 +67,10 @@ def op12_warc(spark, sf_dir):
     return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir), least=100, longest=5, top=2000)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lattice": op2_lattice,
@@ -80,6 +84,7 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
     "op11_merkle": op11_merkle,
     "op12_warc": op12_warc,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE = {
@@ -88,4 +93,5 @@ ORACLE = {
     "op9_jaccard": jaccard.ORACLE_SQL,
     "op11_merkle": merkle.ORACLE_SQL,
     "op12_warc": warc.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }
