@@ -18,10 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codegauge.operators.ordered import top_k
-
 from .common import Blocks, mix64, n_blocks, packed, placed, summed, unpacked, unsqueeze, squeeze, written
 
 TILE, DENSE = 1024, 4
@@ -298,7 +297,10 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, absorb: in
     inner = (cut.where((F.col("k") == F.col("words") - 1) & (F.col("words") > 2) & (share >= F.col("l") * absorb)).select("lang", F.col("first").alias("phrase"))
              .union(cut.where((F.col("k") == 1) & (F.col("words") > 2) & (share >= F.col("r") * absorb)).select("lang", F.col("rest").alias("phrase"))).distinct())
     left = scored.join(inner, ["lang", "phrase"], "left_anti").select("lang", "phrase", "a", "c.l", "c.r", "n", "c.score")
-    ranked = top_k(left.withColumn("__s", -F.col("score")).withColumn("__a", -F.col("a")), ["lang"], ["__s", "__a", "phrase"], top)
+    best = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = left.withColumn("rank", F.row_number().over(best))
+    if top is not None:
+        ranked = ranked.where(F.col("rank") <= top)  # Spark cuts every task to the first rows of a language before the shuffle
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", *[F.col(c).cast("long").alias(c) for c in ("a", "l", "r", "n", "score")])
 
 
