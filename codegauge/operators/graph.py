@@ -71,15 +71,10 @@ def _fold_parents(parts: Column) -> Column:
     return F.aggregate(parts, F.array().cast("array<string>"), step)
 
 
-def resolve_imports(imports: DataFrame, listing: DataFrame, normalize: bool = False) -> DataFrame:
-    """Relative specifiers → existing paths, trying the 12 suffixes in their fixed order.
+def import_stems(imports: DataFrame, normalize: bool = False) -> DataFrame:
+    """The relative imports (project_id, path, seq, specifier) with ``stem``: the path they mean without its suffix.
 
-    The specifier's suffix is replaced (not appended). ``..`` segments are kept as written, so
-    they only match a listing that spells them out, unless ``normalize=True`` collapses them.
-    The 12 candidates per import come from exploding a literal array (no join with a table);
-    the existence test is an equi join on (project_id, path) with the listing — a hot target
-    path is split by AQE's skew-join handling. Returns (project_id, path, seq, specifier, target).
-    """
+    The specifier's suffix is left out. ``..`` segments are kept as written unless ``normalize=True`` collapses them."""
     spec = F.col("specifier")
     rel = imports.filter(spec.startswith("."))
     rest = (F.when(spec.startswith("./"), F.substring(spec, 3, 1 << 30))
@@ -88,16 +83,42 @@ def resolve_imports(imports: DataFrame, listing: DataFrame, normalize: bool = Fa
     parts = _join_path(_parent(F.col("path")), rest)
     base = F.array_join(_fold_parents(parts) if normalize else parts, "/")
     stem = F.regexp_replace(base, r"([^/])\.[^./]*$", "$1")
+    return rel.select(*P, "path", "seq", "specifier", stem.alias("stem"))
+
+
+def resolve_imports(imports: DataFrame, listing: DataFrame, normalize: bool = False) -> DataFrame:
+    """Relative specifiers → existing paths, trying the 12 suffixes in their fixed order.
+
+    The specifier's suffix is replaced (not appended). ``..`` segments are kept as written, so
+    they only match a listing that spells them out, unless ``normalize=True`` collapses them.
+    The 12 candidates per import come from exploding a literal array (no join with a table);
+    the existence test is an equi join on (project_id, path) with the listing — a hot target
+    path is split by AQE's skew-join handling. Returns (project_id, path, seq, specifier, target).
+    """
     exts = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("ext"))
                      for i, e in enumerate(R.GRAPH_LANGUAGES)])
-    cand = rel.select(*P, "path", "seq", "specifier", F.explode(exts).alias("c")).select(
+    cand = import_stems(imports, normalize).select(*P, "path", "seq", "specifier", "stem", F.explode(exts).alias("c")).select(
         *P, "path", "seq", "specifier", F.col("c.rank").alias("rank"),
-        F.concat(stem, F.col("c.ext")).alias("target"))
+        F.concat("stem", F.col("c.ext")).alias("target"))
     hit = cand.join(listing.select(*P, F.col("path").alias("target")).distinct(), [*P, "target"], "left_semi")
     return (hit.groupBy(*P, "path", "seq", "specifier")
                .agg(F.min_by("target", "rank").alias("target")))
 
 
+def path_stem(path: Column) -> Column:
+    """The path without its last suffix; the whole path where its last part has no dot."""
+    stem = F.regexp_extract(path, r"^(.*)[.][^./]*$", 1)
+    return F.when(path.rlike(r"[.][^./]*$"), stem).otherwise(path)
+
+
+def best_targets(listing: DataFrame) -> DataFrame:
+    """(project_id, stem, target): of the files that share a stem the one that an import of the stem means (fixed suffix order)."""
+    order = F.create_map(*[x for i, e in enumerate(R.GRAPH_LANGUAGES) for x in (F.lit(e), F.lit(i))])
+    last = F.try_element_at(order, F.regexp_extract("path", r"([.][^./]*)$", 1))
+    d = listing.select(*P, "path", path_stem(F.col("path")).alias("stem"), last.alias("rank")).filter("rank IS NOT NULL")
+    return d.groupBy(*P, "stem").agg(F.min_by("path", "rank").alias("target"))
+
+
 def import_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
     """Keep a resolved target only if it is an analysed file; one edge per (src, dst).
 

@@ -113,3 +113,15 @@ LISTING_CONTENT = f"""CASE WHEN kind = 0 THEN CASE WHEN p_size % 11 = 0 THEN '{{
                 || '":"^1.0.0"}},"devDependencies":{{"jest":"1"}}}}' END
          WHEN kind = 2 THEN '[project]' || chr(10) || 'name = "x"' || chr(10) || 'version = "0.' || CAST(p_size AS STRING) || '"'
          ELSE '' END"""
+
+# Changes of the file view (FIXTURES F13): condition, kind, hours after the start, event number, path, destination, text.
+_MORE = ("content || chr(10) || CASE WHEN lang = 'python' THEN 'import m' || CAST(id % 40 AS STRING) WHEN lang = 'java' THEN '// x' "
+         "ELSE 'import x from \"./p' || CAST((id * 7) % 200 AS STRING) || '\"' END")
+TREE_CHANGES = [
+    ("TRUE", "created", "id % 7", 0),
+    ("src AND id % 3 = 0", "modified", "10 + id % 5", 1, "path", "CAST(NULL AS STRING)", _MORE),
+    ("src AND id % 7 = 3", "deleted", "20 + id % 3", 2, "path", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)"),
+    ("src AND id % 11 = 5", "moved", "15", 3, "path", "'src/p' || CAST(id AS STRING) || '.jsx'"),
+    ("src AND id % 4 = 2 AND id % 3 = 1", "created", "12", 4, "'src/p' || CAST(id AS STRING) || '.py'", "CAST(NULL AS STRING)", "'import os'"),
+    ("id % 13 = 2", "modified", "id % 7 - 1", 5, "path", "CAST(NULL AS STRING)", "'stale'"),
+]

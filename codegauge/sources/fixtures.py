@@ -272,3 +272,27 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = d.groupBy("project_id", "kind").agg(F.min("p_partkey").alias("__first"))
     d = d.join(firsts, ["project_id", "kind"]).withColumn("first_of_kind", F.col("p_partkey") == F.col("__first"))
     return d.select("project_id", F.expr(S.LISTING_PATH).alias("path"), F.expr(S.LISTING_CONTENT).alias("content"))
+
+
+TREE_T0 = "2024-05-01 00:00:00"
+
+
+def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """change rows with texts over the file view (project_id, path, dest_path, change_type, ts, event_id, content).
+
+    Every file is created; then, by its number, some are modified with one more import, deleted, moved to another suffix, joined by a file
+    of the same stem with a better suffix, or named by an older change that comes late.
+    """
+    f = code_files(spark, sf_dir).select("project_id", "path", "lang", "content", F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("id"),
+                                         F.col("path").startswith("src/").alias("src"))
+    own = F.when(F.col("src"), 0).otherwise(8)
+
+    def change(when, kind, hours, k, path="path", dest="CAST(NULL AS STRING)", content="content"):
+        ts = F.lit(TREE_T0).cast("timestamp_ntz") + F.make_dt_interval(hours=F.expr(hours).cast("int"))
+        return f.where(when).select("project_id", F.expr(path).alias("path"), F.expr(dest).alias("dest_path"), F.lit(kind).alias("change_type"), ts.alias("ts"),
+                                    (F.col("id") * 16 + own + k).alias("event_id"), F.expr(content).alias("content"))
+    out = None
+    for row in S.TREE_CHANGES:
+        part = change(*row)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -35,16 +35,17 @@ def should_monitor(path: Column) -> Column:
 def expand_moves(changes: DataFrame) -> DataFrame:
     """A move becomes a deletion of the source then a creation of the destination.
 
-    ``sub`` orders the two halves of one event (deletion first).
+    ``sub`` orders the two halves of one event (deletion first). Further columns of the change go along with both.
     """
+    more = [c for c in changes.columns if c not in ("project_id", "path", "dest_path", "change_type", "ts", "event_id")]
     moved = F.col("change_type") == "moved"
     items = F.when(moved, F.array(
         F.struct(F.col("path").alias("p"), F.lit("deleted").alias("t"), F.lit(0).alias("sub")),
         F.struct(F.col("dest_path").alias("p"), F.lit("created").alias("t"), F.lit(1).alias("sub")),
     )).otherwise(F.array(F.struct(F.col("path").alias("p"), F.col("change_type").alias("t"), F.lit(0).alias("sub"))))
-    d = changes.select("project_id", "ts", "event_id", F.explode(items).alias("x"))
+    d = changes.select("project_id", "ts", "event_id", *more, F.explode(items).alias("x"))
     return d.select("project_id", F.col("x.p").alias("path"), F.col("x.t").alias("change_type"), "ts",
-                    "event_id", F.col("x.sub").alias("sub"))
+                    "event_id", F.col("x.sub").alias("sub"), *more)
 
 
 def monitored(expanded: DataFrame) -> DataFrame:
@@ -153,27 +154,19 @@ def run_session_stream(spark: SparkSession, source: str, sink: str, checkpoint:
     return q
 
 
-BUCKETS = 16
+STATE_SCHEMA = "project_id LONG, path STRING, change_type STRING, ts TIMESTAMP_NTZ, event_id LONG, sub INT, batch LONG"
 
 
 def run_apply_stream(spark: SparkSession, source: str, snapshot: str, checkpoint: str, max_files: int | None = None):
-    """T3 + T4 as a stream: every micro-batch merges its last change per path into the snapshot.
+    """T3 as a stream: every micro-batch adds its last change per path to an append-only table.
 
-    The snapshot holds the last change of every path with its order (ts, event id, sub); deletions stay as tombstones, so a
-    late batch never overrides a newer change, however the stream is split. A batch rewrites only the (project, path
-    bucket) partitions that it touches, as a new version of them; a version counts once its ``_SUCCESS`` marker
-    exists, and a batch that runs again replaces its own version.
+    A batch is one partition of that table, so a batch that runs again replaces its own rows. The state is the last change of
+    every path by (ts, event id, sub) over the table (:func:`read_state`); deletions stay as rows, so a late batch never overrides
+    a newer change, however the stream is split.
     """
     def apply(batch: DataFrame, batch_id: int):
-        bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
-        new = _last(monitored(expand_moves(batch)), "sub").withColumn("bucket", bucket)
-        old = read_state(spark, snapshot, before=batch_id)
-        if old is not None:
-            touched = new.select("project_id", "bucket").distinct()
-            cols = new.columns
-            both = old.join(touched, ["project_id", "bucket"], "left_semi").select(*cols).unionByName(new)
-            new = _last(both, "sub").withColumn("bucket", bucket)
-        new.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("project_id", "bucket").parquet(f"{snapshot.rstrip('/')}/version={batch_id:012d}")
+        new = _last(monitored(expand_moves(batch)), "sub").withColumn("batch", F.lit(batch_id).cast("long"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(snapshot)
 
     q = (read_change_stream(spark, source, max_files=max_files).writeStream.foreachBatch(apply)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -181,53 +174,11 @@ def run_apply_stream(spark: SparkSession, source: str, snapshot: str, checkpoint
     return q
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+def read_state(spark: SparkSession, snapshot: str) -> DataFrame:
+    """The last change of every path (deletions too) over all batches."""
+    return _last(spark.read.schema(STATE_SCHEMA).parquet(snapshot), "sub")
 
 
-def _versions(spark: SparkSession, snapshot: str) -> list[int]:
-    """Complete versions, oldest first."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    done = []
-    for name in _folders(spark, snapshot):
-        p = jvm.org.apache.hadoop.fs.Path(f"{snapshot.rstrip('/')}/{name}/_SUCCESS")
-        if name.startswith("version=") and p.getFileSystem(conf).exists(p):
-            done.append(int(name[8:]))
-    return done
-
-
-def read_state(spark: SparkSession, snapshot: str, before: int | None = None) -> DataFrame | None:
-    """The last change of every path (tombstones too): of each (project, bucket) the newest complete version."""
-    base = snapshot.rstrip("/")
-    paths = [f"{base}/version={v:012d}" for v in _versions(spark, snapshot) if before is None or v < before]
-    if not paths:
-        return None
-    schema = "path STRING, change_type STRING, ts TIMESTAMP_NTZ, event_id LONG, sub INT, version LONG, project_id LONG, bucket INT"
-    rows = spark.read.schema(schema).option("basePath", base).parquet(*paths)
-    newest = rows.groupBy("project_id", "bucket").agg(F.max("version").alias("version"))
-    return rows.join(newest, ["project_id", "bucket", "version"], "left_semi")
-
-
-def read_snapshot_files(spark: SparkSession, snapshot: str) -> DataFrame | None:
+def read_snapshot_files(spark: SparkSession, snapshot: str) -> DataFrame:
     """Paths whose last change created or modified them."""
-    state = read_state(spark, snapshot)
-    return None if state is None else state.filter(F.col("change_type") != "deleted").select("project_id", "path")
-
-
-def vacuum_snapshot(spark: SparkSession, snapshot: str, keep: int = 2) -> int:
-    """Delete partitions that at least ``keep`` newer complete versions replace; returns how many."""
-    sc, base, seen, gone = spark.sparkContext, snapshot.rstrip("/"), {}, 0
-    for v in reversed(_versions(spark, snapshot)):
-        for project in _folders(spark, f"{base}/version={v:012d}"):
-            for bucket in _folders(spark, f"{base}/version={v:012d}/{project}"):
-                part = f"{project}/{bucket}"
-                seen[part] = seen.get(part, 0) + 1
-                if seen[part] > keep:
-                    p = sc._jvm.org.apache.hadoop.fs.Path(f"{base}/version={v:012d}/{part}")
-                    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-                    gone += 1
-    return gone
+    return read_state(spark, snapshot).filter(F.col("change_type") != "deleted").select("project_id", "path")

@@ -61,13 +61,11 @@ def test_apply_stream_equals_batch(spark):
     base = f"{checkpoint_dir(spark)}/test-apply-{uuid.uuid4().hex}"
     ch.repartition(5, "event_id").write.parquet(f"{base}/src")  # batches in no order of time
     CH.run_apply_stream(spark, f"{base}/src", f"{base}/snap", f"{base}/ck", max_files=1)
-    assert len(CH._versions(spark, f"{base}/snap")) >= 4
+    assert spark.read.parquet(f"{base}/snap").select("batch").distinct().count() >= 4
     streamed = sorted((r.project_id, r.path) for r in CH.read_snapshot_files(spark, f"{base}/snap").collect())
     latest = CH.latest_change_per_path(CH.monitored(CH.expand_moves(ch)))
     empty = spark.createDataFrame([], "project_id LONG, path STRING")
     assert streamed == sorted((r.project_id, r.path) for r in CH.apply_changes(empty, latest).collect())
-    assert CH.vacuum_snapshot(spark, f"{base}/snap", keep=1) > 0
-    assert streamed == sorted((r.project_id, r.path) for r in CH.read_snapshot_files(spark, f"{base}/snap").collect())
 
 
 def test_late_batch_does_not_override(spark):
