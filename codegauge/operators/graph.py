@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from codegauge.functions import rules as R
 from codegauge.functions.text import py_strip
-from codegauge.operators.ordered import top_k
+from codegauge.operators.ordered import global_rank, top_k
+from codegauge.session import materialize
 
 P = ["project_id"]
 
@@ -158,22 +159,48 @@ def impact_level(n: Column) -> Column:
     return F.when(n > 20, "extreme").when(n > 10, "high").when(n > 5, "medium").otherwise("low")
 
 
-def change_impact(files: DataFrame, edges: DataFrame) -> DataFrame:
+HUB_PAIRS = 1 << 16
+
+
+def two_hop_counts(e: DataFrame, hub_pairs: int = HUB_PAIRS) -> DataFrame:
+    """(project_id, target, indirect_impact): for every node the number of distinct predecessors of its predecessors.
+
+    ``e`` holds distinct edges (project_id, src, dst). A middle node with in- and out-degree i and o makes i x o pairs; up to ``hub_pairs`` the pairs are
+    formed and made distinct. A hub above that is joined by sets: its predecessors, numbered densely, are bitmaps of 32,768 nodes each, every
+    target of the hub takes these few rows, and the union of a target's bitmaps (with its other pairs) is counted bit by bit.
+    """
+    direct = e.select(*P, F.col("dst").alias("target"), F.col("src").alias("mid"))
+    before = e.select(*P, F.col("dst").alias("mid"), F.col("src").alias("dep"))
+    n_in = before.groupBy(*P, "mid").agg(F.count(F.lit(1)).alias("n_in"))
+    n_out = direct.groupBy(*P, "mid").agg(F.count(F.lit(1)).alias("n_out"))
+    hubs = materialize(n_in.join(n_out, [*P, "mid"]).filter(F.col("n_in") * F.col("n_out") > hub_pairs).select(*P, "mid"), "hubs")
+    count = F.count(F.lit(1)).cast("long").alias("indirect_impact")
+    if hubs.isEmpty():
+        return direct.join(before, [*P, "mid"]).select(*P, "target", "dep").distinct().groupBy(*P, "target").agg(count)
+    light = direct.join(hubs, [*P, "mid"], "left_anti").join(before, [*P, "mid"]).select(*P, "target", "dep").distinct()
+    numbered = materialize(global_rank(e.select(*P, F.col("src").alias("dep")).distinct(), [*P, "dep"], out="n", start=0), "nodes")
+    bits = lambda rows, *keys: rows.join(numbered, [*P, "dep"]).groupBy(*P, *keys, F.bitmap_bucket_number("n").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
+    of_hubs = direct.join(hubs, [*P, "mid"], "left_semi")
+    sets = of_hubs.join(bits(before.join(hubs, [*P, "mid"], "left_semi"), "mid"), [*P, "mid"]).select(*P, "target", "part", "bits")
+    fed = of_hubs.select(*P, "target").distinct()
+    rest = bits(light.join(fed, [*P, "target"], "left_semi"), "target").select(*P, "target", "part", "bits")
+    whole = sets.unionByName(rest).groupBy(*P, "target", "part").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    counted = whole.groupBy(*P, "target").agg(F.sum("n").cast("long").alias("indirect_impact"))
+    return counted.unionByName(light.join(fed, [*P, "target"], "left_anti").groupBy(*P, "target").agg(count))
+
+
+def change_impact(files: DataFrame, edges: DataFrame, hub_pairs: int = HUB_PAIRS) -> DataFrame:
     """J8 for every file in one job: direct dependents, the union of their dependents, total.
 
     ``indirect`` may include direct dependents and the target itself (cycles); the total adds
-    the two set sizes, so overlaps count twice. The two-hop rows are the result relation
-    itself (distinct (target, indirect) pairs); edges are de-duplicated before the join. Only import
-    edges lead to files, so the others are left out first.
+    the two set sizes, so overlaps count twice. Edges are de-duplicated first; only import edges lead to files, so the
+    others are left out. Hubs are joined as sets (:func:`two_hop_counts`).
     """
     e = edges.filter(F.col("relation_type") == "imports").select(*P, "src", "dst").distinct()
-    direct = e.select(*P, F.col("dst").alias("target"), F.col("src").alias("mid"))
-    two = (direct.join(e.select(*P, F.col("dst").alias("mid"), F.col("src").alias("dep")), [*P, "mid"])
-                 .select(*P, "target", "dep").distinct())
-    nd = direct.groupBy(*P, "target").agg(F.count(F.lit(1)).cast("long").alias("direct_impact"))
-    ni = two.groupBy(*P, "target").agg(F.count(F.lit(1)).cast("long").alias("indirect_impact"))
+    nd = e.groupBy(*P, F.col("dst").alias("target")).agg(F.count(F.lit(1)).cast("long").alias("direct_impact"))
     out = (files.select(*P, F.col("path").alias("target"))
-                .join(nd, [*P, "target"], "left").join(ni, [*P, "target"], "left")
+                .join(nd, [*P, "target"], "left").join(two_hop_counts(e, hub_pairs), [*P, "target"], "left")
                 .fillna(0, ["direct_impact", "indirect_impact"]))
     total = F.col("direct_impact") + F.col("indirect_impact")
     return out.withColumn("total_impact_files", total).withColumn("risk_level", impact_level(total))
