@@ -187,18 +187,18 @@ def write_snapshot(df: DataFrame, path: str, partition_cols=("project_id", "bran
     """Replace only the partitions present in ``df`` (dynamic partition overwrite).
 
     ``replaced`` names the partitions that this snapshot stands for (values of ``partition_cols``); one of them without
-    rows in ``df``, as a project whose last file is gone, is emptied too.
+    rows in ``df``, as a project whose last file is gone, is emptied too (found by one anti join, before anything is written).
     """
+    spark = df.sparkSession
+    gone = []
+    if replaced:
+        named = spark.createDataFrame([tuple(v) for v in replaced], df.select(*partition_cols).schema)
+        gone = named.join(df.select(*partition_cols).distinct(), list(partition_cols), "left_anti").collect()  # some of the names given
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_cols).parquet(path))
-    sc = df.sparkSession.sparkContext
-    for values in replaced:
-        same = F.lit(True)
-        for c, v in zip(partition_cols, values):
-            same &= F.col(c) == v
-        if df.filter(same).isEmpty():
-            gone = sc._jvm.org.apache.hadoop.fs.Path("/".join([path, *[f"{c}={v}" for c, v in zip(partition_cols, values)]]))
-            gone.getFileSystem(sc._jsc.hadoopConfiguration()).delete(gone, True)
+    for values in gone:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([path, *[f"{c}={values[c]}" for c in partition_cols]]))
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_snapshot(spark, path: str, project_id=None, branch=None) -> DataFrame:

@@ -222,3 +222,56 @@ def rebuild_edges(spark, sf):
     e = (g["edges"].withColumn("relation_type", F.when(n % 2 != 0, F.col("relation_type")))
                    .withColumn("strength", F.when(n % 3 != 0, F.col("strength"))))
     return SN.rebuild_edges(e, g["files"]).select("project_id", "src", "dst", "relation_type", "strength")
+
+
+# ------------------------------------------------------------------ S10/S11: whole snapshots
+PROJECT_ROOT = "/work/proj"
+register("full_files", """SELECT f.project_id, f.path, r.size_bytes, r.line_count, md5(f.content) AS file_hash, r.risk_score, r.complexity_level
+    FROM code_files f JOIN risk r USING (project_id, path) WHERE f.project_id <> 2 AND (f.project_id <> 1 OR prefix(f.path, 'lib/'))""", ["code_files", "risk"])
+_CTX_COLS = ["framework", "main_language", "architecture", "build_system", "package_manager", "version"]
+
+
+def _full_sql() -> str:
+    from codegauge.plans.q_project import _CTX
+    context = " || '|' || ".join([f"'{PROJECT_ROOT}/' || CAST(c.project_id AS STRING)", f"md5('{PROJECT_ROOT}/' || CAST(c.project_id AS STRING))",
+                                  f"md5('{PROJECT_ROOT}/' || CAST(c.project_id AS STRING) || '#main')", *[f"c.{x}" for x in _CTX_COLS],
+                                  *[f"CAST(coalesce(t.{x}, 0) AS STRING)" for x in ("n", "l", *_LEVELS)]])
+    levels = ", ".join(f"count(*) FILTER (WHERE complexity_level = '{x}') AS {x}" for x in _LEVELS)
+    return f"""SELECT c.project_id, 'context' AS kind, '' AS item, {context} AS detail FROM ({_CTX}) c
+        LEFT JOIN (SELECT project_id, count(*) AS n, CAST(sum(line_count) AS BIGINT) AS l, {levels} FROM full_files GROUP BY 1) t USING (project_id)
+      UNION ALL SELECT project_id, 'file', path, CAST(size_bytes AS STRING) || '|' || CAST(line_count AS STRING) || '|' || file_hash || '|' || CAST(CAST(round(risk_score * 10) AS BIGINT) AS STRING) FROM full_files
+      UNION ALL SELECT project_id, 'entity', path || ':' || name, CAST(n AS STRING) FROM (SELECT project_id, path, name, max(line_number) AS n FROM entities_all GROUP BY 1, 2, 3) e
+        WHERE (project_id, path) IN (SELECT project_id, path FROM full_files)
+      UNION ALL SELECT project_id, 'edge', src || '>' || dst, CASE WHEN occurrences % 2 = 0 THEN 'unknown' ELSE 'imports' END || '|' || CASE WHEN occurrences % 3 = 0 THEN '10' ELSE '8' END FROM import_edges
+        WHERE (project_id, src) IN (SELECT project_id, path FROM full_files) AND (project_id, dst) IN (SELECT project_id, path FROM full_files)"""
+
+
+@query("snapshot_full", with_views(_full_sql(), ["listing", "full_files", "entities_all", "import_edges"]))
+def snapshot_full(spark, sf):
+    """S10/S11 (J5, J6, P33): context, files, entities and edges of all projects saved as one table, then project 1 saved again with only its
+    ``lib`` files (but all entities and edges) and project 2 without any file, then everything loaded. Some edges are stored without
+    their relation (even occurrences) or strength (multiples of 3)."""
+    from codegauge.operators import graph as G
+    from codegauge.operators import project as PR
+    from codegauge.operators import snapshot_store as ST
+    from codegauge.plans.q_graph import build_graph
+    g = build_graph(spark, sf)
+    branch = F.lit("main").alias("branch")
+    risk = G.risk_scores(g["nodes"], g["entities"], g["imports"]).withColumn("branch", branch)
+    entities = G.last_entities(g["entities"]).withColumn("branch", branch)
+    n = F.col("occurrences")
+    edges = (g["import_edges"].withColumn("relation_type", F.when(n % 2 != 0, F.col("relation_type")))
+                              .withColumn("strength", F.when(n % 3 != 0, F.col("strength"))).withColumn("branch", branch))
+    about = PR.project_context(FX.listing(spark, sf)).withColumn("branch", branch)
+    root = F.concat(F.lit(PROJECT_ROOT + "/"), F.col("project_id").cast("string"))
+    path = scratch_dir(spark, "snapshots")
+    for part, files in ((about, risk), (about.filter("project_id IN (1, 2)"), risk.filter("project_id = 1 AND path LIKE 'lib/%'"))):
+        ST.save(path, ST.context_rows(part, files, root), files, entities, edges)
+    s = ST.load(spark, path, branch="main")
+    text = lambda *cols: F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols])
+    ten = lambda c: F.round(F.col(c) * 10).cast("long")
+    row = lambda kind, item, detail: s[kind].select("project_id", F.lit(kind).alias("kind"), item.alias("item"), detail.alias("detail"))
+    out = row("context", F.lit(""), text(*["project_root", "project_key", "branch_key", *_CTX_COLS, "total_files", "total_lines", *_LEVELS]))
+    out = out.unionByName(row("file", F.col("path"), text("size_bytes", "line_count", "file_hash", ten("risk_score"))))
+    out = out.unionByName(row("entity", F.concat_ws(":", "path", "name"), F.col("line_number").cast("string")))
+    return out.unionByName(row("edge", F.concat_ws(">", "src", "dst"), text("relation_type", ten("strength"))))

@@ -145,9 +145,9 @@ def stream_sessions(changes: DataFrame, gap: str = "10 minutes", watermark: str
 
 
 def run_session_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                       gap: str = "10 minutes", watermark: str = "10 minutes"):
+                       gap: str = "10 minutes", watermark: str = "10 minutes", max_files: int | None = None):
     """Run T2 over all available input once (``availableNow``) into a Parquet sink; returns when done."""
-    q = (stream_sessions(read_change_stream(spark, source), gap, watermark)
+    q = (stream_sessions(read_change_stream(spark, source, max_files=max_files), gap, watermark)
          .writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
