@@ -29,5 +29,5 @@ def query(name: str, oracle: str | None = None):
 
 def load_all():
     """Import every query module so that the registry is filled."""
-    from codegauge.plans import q_metrics, q_findings, q_scoring, q_graph, q_snapshots, q_changes, q_project, q_misc  # noqa: F401
+    from codegauge.plans import q_metrics, q_findings, q_scoring, q_graph, q_snapshots, q_changes, q_project, q_misc, q_files  # noqa: F401
     return QUERIES, ORACLE

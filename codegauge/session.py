@@ -126,3 +126,13 @@ def stored_table(spark: SparkSession, inputs: list[str], key: str, build):
         build().write.parquet(path)
         _STORED[full] = path
     return spark.read.parquet(_STORED[full])
+
+
+def stored_folder(spark: SparkSession, inputs: list[str], key: str, build) -> str:
+    """A folder that several queries of this application read, made once per state of its inputs by ``build(folder)``."""
+    full = (spark.sparkContext.applicationId, key, *[input_stamp(spark, i) for i in inputs])
+    if full not in _STORED:
+        path = scratch_dir(spark, "folder")
+        build(path)
+        _STORED[full] = path
+    return _STORED[full]

@@ -1,7 +1,7 @@
 """Source trees as tables (S1-S3, P10, P11): scan, decode, split into lines.
 
-``binaryFile`` lists and reads files in parallel. ``pathGlobFilter`` keeps other suffixes out of the listing, so their
-bytes are never read; the exact suffix and ignored-directory rules are column predicates on the path.
+Folders are listed by tasks, and files are read by tasks in portions of some MB (:mod:`codegauge.sources.trees`). The suffix and
+ignored-directory rules work on the listing, so the bytes of other files are never read.
 """
 
 from __future__ import annotations
@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from codegauge.functions import rules as R
 from codegauge.functions.text import normalise_newlines
 from codegauge.operators.graph import suffix
+from codegauge.session import materialize
+from codegauge.sources.trees import list_tree, read_files
 
 
-def _glob(suffixes) -> str:
-    """A glob for names with one of the suffixes, in either case."""
-    both = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in sorted(suffixes)]
-    return "*{" + ",".join(both) + "}"
+def source_listing(spark: SparkSession, root: str, scoring: bool = False) -> DataFrame:
+    """(path, uri, size_bytes, mtime) of the source files below ``root``; no file is opened."""
+    if scoring:
+        files = list_tree(spark, root)
+        return files.filter(F.lower(suffix(F.col("path"))).isin(*R.SCORING_EXTENSIONS))
+    files = list_tree(spark, root, tuple(R.IGNORED_DIRS))
+    ignored = F.element_at(F.split("path", "/"), -1).isin(*R.IGNORED_DIRS)  # a file may have such a name as well
+    return files.filter(suffix(F.col("path")).isin(*R.GRAPH_LANGUAGES) & ~ignored)
 
 
 def scan_source_files(spark: SparkSession, root: str, project_id=None, scoring: bool = False,
@@ -26,29 +32,34 @@ def scan_source_files(spark: SparkSession, root: str, project_id=None, scoring:
 
     The graph scan keeps the 12 graph extensions (case-sensitive) and drops paths with an
     ignored directory part (tested on the path relative to ``root``). The scoring scan uses the
-    lower-cased suffix and ignores no directory. ``max_files`` keeps the first files by path
-    (pinned order) — the documented cap of the analysis, off by default.
+    lower-cased suffix and ignores no directory. ``max_files`` is the documented cap of the analysis, off by default: the first files by
+    path (pinned order) that decode as UTF-8 (:func:`first_decodable`).
     """
     root = root.rstrip("/")
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-               .option("pathGlobFilter", _glob(R.SCORING_EXTENSIONS if scoring else R.GRAPH_LANGUAGES)).load(root)
-               .select(F.col("path").alias("uri"), F.col("content").alias("raw"),
-                       F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")))
-    rel = F.regexp_replace(F.col("uri"), r"^(file:)?/*\Q" + root.lstrip("/") + r"\E/", "")
-    df = df.withColumn("path", rel)
-    sfx = suffix(F.col("path"))
-    if scoring:
-        keep = F.lower(sfx).isin(*R.SCORING_EXTENSIONS)
-    else:
-        parts = F.split(F.col("path"), "/")
-        keep = sfx.isin(*R.GRAPH_LANGUAGES) & ~F.arrays_overlap(parts, F.array(*[F.lit(d) for d in R.IGNORED_DIRS]))
-    df = df.filter(keep)
-    if max_files is not None:
-        df = df.orderBy("path").limit(max_files)
+    listing = source_listing(spark, root, scoring)
+    df = read_files(listing) if max_files is None else first_decodable(listing, max_files)
     pid = F.lit(project_id) if project_id is not None else F.md5(F.lit(root))
     return df.select(pid.alias("project_id"), "path", "raw", "size_bytes", "mtime")
 
 
+def first_decodable(listing: DataFrame, max_files: int) -> DataFrame:
+    """K3: the first ``max_files`` files by path that decode; files that do not decode use up nothing.
+
+    Ranked files are read a few at a time, as many as are still missing, until enough have decoded or none is left; no other file is opened.
+    What was read is kept as a table."""
+    out, found, after = None, 0, None
+    while found < max_files:
+        more = listing if after is None else listing.filter(F.col("path") > after)
+        ranked = materialize(more.orderBy("path").limit(max_files - found), "ranked")
+        last = ranked.agg(F.max("path")).first()[0]
+        if last is None:
+            break
+        good = materialize(read_files(ranked).filter(F.is_valid_utf8(F.col("raw").cast("string"))), "decoded")
+        out = good if out is None else out.unionByName(good)
+        found, after = found + good.count(), last
+    return read_files(listing.filter(F.lit(False))) if out is None else out
+
+
 def decode_source(files: DataFrame) -> DataFrame:
     """S3 + P10 + P11: strict UTF-8 text with universal newlines; undecodable files are dropped.
 
