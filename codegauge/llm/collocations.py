@@ -5,13 +5,15 @@ tiles of ``TILE`` x ``TILE`` cells. The tiles of the most frequent numbers are d
 (``numpy.bincount``). All other tiles are sparse: sorted coordinates with counts (COO), dealt to shards by their tile. Pairs that are frequent are numbered
 in turn by falling frequency, and a phrase of k words is the pair of its first k - 1 words and its last word, and so on up to the longest phrase.
 
-Documents are dealt to blocks once. A block counts its own cells first and sends each tile once; sums of tiles run over ``FAN`` blocks at a time,
-as a tree, so the most frequent tile is no hot task however many blocks there are. The numbers of frequent pairs return to the blocks by the same
-tiles. A word or pair below the threshold gets no number, and no phrase holds it.
+Texts stay where the scan reads them: each task cuts its documents into blocks of some MB and writes them as sequences of numbers of the block's own
+words, which is all that later steps read. A block counts its own cells first and sends each tile once; sums of tiles run over ``FAN`` blocks at a
+time, as a tree, so the most frequent tile is no hot task however many blocks there are. The numbers of frequent words and pairs return to the blocks
+by the same shards and tiles. A word or pair below the threshold gets no number, and no phrase holds it.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Blocks, mix64, n_blocks, packed, placed, summed, unpacked, unsqueeze, squeeze, written
+from .common import BLOCK_BYTES, Stages, mix64, packed, placed, ship_code, spare_memory, squeeze, summed, unpacked, unsqueeze, written
 
 TILE, DENSE = 1024, 4
 FAN, FAN_SPARSE = 64, 4096
@@ -29,8 +31,10 @@ SLICE = 1 << 20
 SEPARATORS = b".,;:!?\x0A\x0B\x0C\x0D"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + SEPARATORS, b"abcdefghijklmnopqrstuvwxyz" + b"." * len(SEPARATORS))
 
-ASKED = "lang string, part int, block int, keys binary, counts binary"
-STATE = "lang string, block int, words binary, prev binary"
+TEXTS = "lang string, block long, words binary, counts binary, tokens binary, total long"
+WORDS = "lang string, shard int, block long, words binary, counts binary, places binary"
+ASKED = "lang string, part int, block long, keys binary, counts binary"
+STATE = "lang string, block long, words binary, prev binary"
 
 
 # ------------------------------------------------------------------ inside a block
@@ -45,17 +49,12 @@ def tokens(texts: list[bytes]):
         at = end
 
 
-def _by_lang(t: pa.Table) -> dict[str, list[bytes]]:
-    """Texts by language, as bytes; null texts are empty."""
-    out: dict[str, list[bytes]] = {}
-    for lang, text in zip(t["lang"].to_pylist(), pc.fill_null(t["text"].cast(pa.large_binary()), b"").to_pylist()):
-        out.setdefault(lang, []).append(text)
-    return out
+def _pack_words(words: list[bytes]) -> bytes:
+    return zlib.compress(b"\n".join(words), 3)
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        return -1
+def _unpack_words(raw) -> list[bytes]:
+    return zlib.decompress(raw).split(b"\n")
 
 
 def neighbours(prev: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
@@ -112,39 +111,119 @@ def cells(key: np.ndarray, tile: int, dense: int, shards: int):
 
 
 # ------------------------------------------------------------------ steps
-def _words(blocks: Blocks) -> DataFrame:
-    """Each block's distinct words with their counts, by language."""
-    def count(t: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], []]
-        for lang, texts in _by_lang(t).items():
-            seen: Counter = Counter()
-            for part in tokens(texts):
-                seen.update(part)
-            seen.pop(b".", None)
-            cols[0] += [lang] * len(seen)
-            cols[1] += seen.keys()
-            cols[2] += seen.values()
-        n = len(cols[0])
-        return pa.table({"block": pa.array(np.full(n, t["block"][0].as_py()), pa.int32()), "lang": pa.array(cols[0], pa.string()), "word": pa.array(cols[1], pa.binary()).cast(pa.string()), "n": pa.array(cols[2], pa.int64())})
-    return blocks.each(count, "block int, lang string, word string, n long")
-
-
-def _encoded(blocks: Blocks, numbers: DataFrame) -> DataFrame:
-    """Each block's texts as word numbers, by language; -1 for other words and between pieces."""
-    def encode(t: pa.Table, known: pa.Table) -> pa.Table:
-        ids: dict[str, _Numbers] = {}
-        for lang, word, i in zip(known["lang"].to_pylist(), known["word"].cast(pa.binary()).to_pylist(), known["id"].to_pylist()):
-            ids.setdefault(lang, _Numbers())[word] = i
+def _texts(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks of the scan's tasks, a row for each language: its distinct words with counts, and its texts as numbers of these words (-1 between pieces)."""
+    ship_code(docs.sparkSession)
+    spare = spare_memory
+
+    def encode(batches):
+        held: dict[str, list[bytes]] = {}
+        size = chunk = 0
+
+        def out():
+            nonlocal chunk
+            for lang, texts in held.items():
+                seen, ids, parts = Counter(), {b".": -1}, []
+                for part in tokens(texts):
+                    for word in part:
+                        if word not in ids:
+                            ids[word] = len(ids) - 1
+                    seen.update(part)
+                    parts.append(np.fromiter(map(ids.__getitem__, part), np.int32, len(part)))
+                seen.pop(b".", None)
+                del ids[b"."]
+                if ids:
+                    counts = np.fromiter(map(seen.__getitem__, ids), np.int64, len(ids))
+                    yield pa.RecordBatch.from_pydict({"lang": [lang], "block": [part_id * (1 << 32) + chunk], "words": [_pack_words(list(ids))], "counts": [squeeze(counts)],
+                                                      "tokens": [squeeze(np.concatenate(parts))], "total": [int(counts.sum())]}, schema)
+            held.clear()
+            chunk += 1
+
+        schema = pa.schema([("lang", pa.string()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("total", pa.int64())])
+        part_id = 0
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                few = b.slice(k, 500)
+                part_id = few["part"][0].as_py()
+                for lang, text in zip(few["lang"].to_pylist(), pc.fill_null(few["text"].cast(pa.large_binary()), b"").to_pylist()):
+                    held.setdefault(lang, []).append(text)
+                    size += len(text)
+                    if size > block_bytes:
+                        yield from out()
+                        size = 0
+        yield from out()
+        spare()
+    rows = docs.select(F.spark_partition_id().alias("part"), F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text"))
+    return rows.mapInArrow(encode, TEXTS)
+
+
+def _words(texts: DataFrame, shards: int) -> DataFrame:
+    """Each block's words by shard, with their counts and their numbers in the block."""
+    def deal(batches):
+        for b in batches:
+            for lang, block, words, counts in zip(b["lang"].to_pylist(), b["block"].to_pylist(), b["words"], b["counts"]):
+                words, counts = _unpack_words(words.as_buffer()), unsqueeze(counts.as_buffer(), np.int64)
+                of = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % shards
+                order = np.argsort(of, kind="stable").astype(np.int32)
+                of = of[order]
+                at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                rows = [order[i:j] for i, j in zip(at, [*at[1:], len(of)])]
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * n, pa.string()), pa.array(of[at].astype(np.int32)), pa.array([block] * n, pa.int64()), pa.array([_pack_words([words[i] for i in r]) for r in rows], pa.binary()),
+                     packed([counts[r] for r in rows]), packed(rows, True)], ["lang", "shard", "block", "words", "counts", "places"])
+    return texts.select("lang", "block", "words", "counts").mapInArrow(deal, WORDS)
+
+
+def _frequent_words(words: DataFrame, least: int) -> DataFrame:
+    """lang, shard, word, count of the words with at least ``least`` occurrences."""
+    def add(t: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = {}
+        for some, counts in zip(t["words"], unpacked(t["counts"], np.int64)):
+            for w, n in zip(_unpack_words(some.as_buffer()), counts.tolist()):
+                total[w] = total.get(w, 0) + n
+        total = {w: n for w, n in total.items() if n >= least}
+        return pa.table({"lang": pa.array([t["lang"][0].as_py()] * len(total), pa.string()), "shard": pa.array([t["shard"][0].as_py()] * len(total), pa.int32()),
+                         "word": pa.array(list(total), pa.binary()).cast(pa.string()), "count": pa.array(list(total.values()), pa.int64())})
+    return words.drop("places").groupBy("lang", "shard").applyInArrow(add, "lang string, shard int, word string, count long")
+
+
+def _encoded(texts: DataFrame, words: DataFrame, level: DataFrame) -> DataFrame:
+    """The blocks' texts as numbers of frequent words; -1 for other words and between pieces."""
+    def reply(ask: pa.Table, known: pa.Table) -> pa.Table:
+        ids = dict(zip(known["word"].cast(pa.binary()).to_pylist(), known["id"].to_pylist()))
+        out: list[list] = [[], [], [], []]
+        for lang, block, some, places in zip(ask["lang"].to_pylist(), ask["block"].to_pylist(), ask["words"], unpacked(ask["places"], np.int32, True)) if ids else ():
+            mine = np.array([ids.get(w, -1) for w in _unpack_words(some.as_buffer())], np.int32)
+            hit = mine >= 0
+            if hit.any():
+                for c, v in zip(out, (lang, block, places[hit], mine[hit])):
+                    c.append(v)
+        return pa.table({"lang": pa.array(out[0], pa.string()), "block": pa.array(out[1], pa.int64()), "places": packed(out[2], True), "ids": packed(out[3])})
+
+    def encode(t: pa.Table, replies: pa.Table) -> pa.Table:
+        known: dict[str, list] = {}
+        for lang, places, ids in zip(replies["lang"].to_pylist(), unpacked(replies["places"], np.int32, True), unpacked(replies["ids"], np.int32)):
+            known.setdefault(lang, []).append((places, ids))
         langs, out = [], []
-        for lang, texts in _by_lang(t).items():
-            if lang in ids:
-                get = ids[lang].__getitem__
-                parts = [np.fromiter(map(get, p), np.int32, len(p)) for p in tokens(texts)]
+        for lang, text in zip(t["lang"].to_pylist(), unpacked(t["tokens"], np.int32)):
+            if lang in known:
+                number = np.full(int(text.max()) + 2, -1, np.int32)  # the last entry is what -1 finds
+                for places, ids in known[lang]:
+                    number[places] = ids
                 langs.append(lang)
-                out.append(squeeze(np.concatenate(parts)))
-        body = pa.array(out, pa.binary())
-        return pa.table({"lang": pa.array(langs, pa.string()), "block": pa.array(np.full(len(langs), t["block"][0].as_py()), pa.int32()), "words": body, "prev": body})
-    return blocks.meet(numbers, encode, STATE)
+                out.append(squeeze(number[text]))
+        n = len(langs)
+        return pa.table({"lang": pa.array(langs, pa.string()), "block": pa.array([t["block"][0].as_py()] * n if n else [], pa.int64()), "words": pa.array(out, pa.binary()), "prev": pa.array([b""] * n, pa.binary())})
+
+    replies = words.drop("counts").groupBy("lang", "shard").cogroup(level.select("lang", "shard", "word", "id").groupBy("lang", "shard")).applyInArrow(reply, "lang string, block long, places binary, ids binary")
+    return texts.select("lang", "block", "tokens").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(encode, STATE)
+
+
+def _state(words, prev) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a text's words, and of the phrases that begin with them (nothing stored: of the words themselves)."""
+    words, prev = unsqueeze(words.as_buffer(), np.int32), prev.as_buffer()
+    return words, unsqueeze(prev, np.int32) if len(prev) else words
 
 
 def _asked(state: DataFrame, k: int, tile: int, dense: int, shards: int) -> DataFrame:
@@ -152,11 +231,11 @@ def _asked(state: DataFrame, k: int, tile: int, dense: int, shards: int) -> Data
     def ask(batches):
         for b in batches:
             for lang, block, words, prev in zip(b["lang"].to_pylist(), b["block"].to_pylist(), b["words"], b["prev"]):
-                words, prev = unsqueeze(words.as_buffer(), np.int32), unsqueeze(prev.as_buffer(), np.int32)
+                words, prev = _state(words, prev)
                 parts = list(cells(_key(prev, words, neighbours(prev, words, k), k), tile, dense, shards))
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), pa.array([p[0] for p in parts], pa.int32()), pa.array([block] * n, pa.int32()), packed([p[1] for p in parts], True), packed([p[2] for p in parts])],
+                    [pa.array([lang] * n, pa.string()), pa.array([p[0] for p in parts], pa.int32()), pa.array([block] * n, pa.int64()), packed([p[1] for p in parts], True), packed([p[2] for p in parts])],
                     ["lang", "part", "block", "keys", "counts"])
     return state.mapInArrow(ask, ASKED)
 
@@ -179,10 +258,18 @@ def _frequent(asked: DataFrame, blocks: int, tile: int, dense: int, least: int)
                          "left": pa.array((keys >> np.uint64(32)).astype(np.int64)), "right": pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), "count": pa.array(counts[keep])})
 
     while blocks > FAN:
-        fan = F.when(F.col("part") < dense * dense, FAN).otherwise(FAN_SPARSE)
-        asked = asked.withColumn("fold", F.floor(F.col("block") / fan).cast("int")).groupBy("lang", "part", "fold").applyInArrow(some, ASKED)
         blocks = -(-blocks // FAN)
-    return asked.withColumn("fold", F.lit(0)).groupBy("lang", "part").applyInArrow(last, "lang string, part int, left long, right long, count long")
+        asked = asked.withColumn("fold", _fold(blocks, dense)).groupBy("lang", "part", "fold").applyInArrow(some, ASKED)
+    return asked.groupBy("lang", "part").applyInArrow(last, "lang string, part int, left long, right long, count long")
+
+
+def _folds(blocks: int, dense: int):
+    """How many folds ``blocks`` groups of ``FAN`` blocks make: one each for dense tiles, one for ``FAN_SPARSE // FAN`` of them for sparse ones."""
+    return F.when(F.col("part") < dense * dense, blocks).otherwise(-(-blocks // max(1, FAN_SPARSE // FAN)))
+
+
+def _fold(blocks: int, dense: int):
+    return F.pmod(F.xxhash64("block"), _folds(blocks, dense)).cast("long")
 
 
 def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -192,9 +279,6 @@ def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 
 def _next(state: DataFrame, asked: DataFrame, level: DataFrame, blocks: int, k: int, dense: int) -> DataFrame:
     """The state with the numbers of the frequent phrases of k words at their first words; words outside all of them lose theirs."""
-    def fold(block):
-        return F.when(F.col("part") < dense * dense, F.floor(block / FAN)).otherwise(F.floor(block / FAN_SPARSE)).cast("int")
-
     def reply(ask: pa.Table, known: pa.Table) -> pa.Table:
         keys = known["left"].to_numpy().astype(np.uint64) << np.uint64(32) | known["right"].to_numpy().astype(np.uint64)
         order = np.argsort(keys)
@@ -206,16 +290,17 @@ def _next(state: DataFrame, asked: DataFrame, level: DataFrame, blocks: int, k:
             if hit.any():
                 for c, v in zip(out, (lang, block, mine[hit], ids[at[hit]])):
                     c.append(v)
-        return pa.table({"lang": pa.array(out[0], pa.string()), "block": pa.array(out[1], pa.int32()), "keys": packed(out[2], True), "ids": packed(out[3])})
+        return pa.table({"lang": pa.array(out[0], pa.string()), "block": pa.array(out[1], pa.int64()), "keys": packed(out[2], True), "ids": packed(out[3])})
 
     def step(old: pa.Table, replies: pa.Table) -> pa.Table:
         found: dict[str, list] = {}
         for lang, keys, ids in zip(replies["lang"].to_pylist(), unpacked(replies["keys"], np.uint64, True), unpacked(replies["ids"], np.int32)):
             found.setdefault(lang, []).append((keys, ids))
         out: list[list] = [[], [], []]
-        for lang, words, prev in zip(old["lang"].to_pylist(), unpacked(old["words"], np.int32), unpacked(old["prev"], np.int32)):
+        for lang, words, prev in zip(old["lang"].to_pylist(), old["words"], old["prev"]):
             if lang not in found:
                 continue
+            words, prev = _state(words, prev)
             keys, ids = (np.concatenate(x) for x in zip(*found[lang]))
             order = np.argsort(keys)
             keys, ids = keys[order], ids[order]
@@ -230,35 +315,35 @@ def _next(state: DataFrame, asked: DataFrame, level: DataFrame, blocks: int, k:
             for c, v in zip(out, (lang, squeeze(np.where(inside, words, np.int32(-1))), squeeze(new))):
                 c.append(v)
         n = len(out[0])
-        return pa.table({"lang": pa.array(out[0], pa.string()), "block": pa.array(np.full(n, old["block"][0].as_py() if old.num_rows else 0), pa.int32()), "words": pa.array(out[1], pa.binary()), "prev": pa.array(out[2], pa.binary())})
+        return pa.table({"lang": pa.array(out[0], pa.string()), "block": pa.array([old["block"][0].as_py()] * n if n else [], pa.int64()), "words": pa.array(out[1], pa.binary()), "prev": pa.array(out[2], pa.binary())})
 
-    folds = F.when(F.col("part") < dense * dense, -(-blocks // FAN)).otherwise(-(-blocks // FAN_SPARSE))
-    known = level.withColumn("fold", F.explode(F.sequence(F.lit(0), folds.cast("int") - 1))).select("lang", "part", "fold", "left", "right", "id")
+    groups = -(-blocks // FAN)
+    known = level.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), _folds(groups, dense).cast("long") - 1))).select("lang", "part", "fold", "left", "right", "id")
     group = ["lang", "part", "fold"]
-    replies = asked.withColumn("fold", fold(F.col("block"))).groupBy(*group).cogroup(known.groupBy(*group)).applyInArrow(reply, "lang string, block int, keys binary, ids binary")
+    replies = asked.drop("counts").withColumn("fold", _fold(groups, dense)).groupBy(*group).cogroup(known.groupBy(*group)).applyInArrow(reply, "lang string, block long, keys binary, ids binary")
     return state.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(step, STATE)
 
 
-def phrases(docs: DataFrame, least: int = 100, longest: int = 5, tile: int = TILE, dense: int = DENSE, block_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+def phrases(docs: DataFrame, least: int = 100, longest: int = 5, tile: int = TILE, dense: int = DENSE, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): lang, phrase, words, count and ``before`` of every phrase of 1 to ``longest`` words with at least ``least`` occurrences, and lang, n.
 
     ``before`` lists the counts of the phrase's first 1, 2, ... words; ``n`` counts all words of a language. Words are case-folded over A-Z and split at
     space and tab inside pieces, which end at ``.,;:!?`` and line breaks. A null language is ``und``, a null text empty. Counts are over whole texts;
     repeated rows count each time; ids play no part. No rows, or no word, give no rows.
     """
-    n = n_blocks(docs, block_bytes=block_bytes) if block_bytes else n_blocks(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("doc_id"), F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text"))
-    blocks = Blocks(rows, n, ["lang", "text"])
-    words = written(_words(blocks), "phrases-words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    level = words.groupBy("lang", "word").agg(F.sum("n").alias("count")).where(F.col("count") >= least)
-    level = _numbered(level, ["word"], "phrases-1")
-    numbers = words.select("block", "lang", "word").join(level.select("lang", "word", "id"), ["lang", "word"])
+    held = Stages(docs.sparkSession)
+    texts = held.write(_texts(docs, block_bytes), "phrases-texts")
+    n = max(1, texts.select("block").distinct().count())
+    shards = -(-n // 4)
+    totals = written(texts.groupBy("lang").agg(F.sum("total").alias("n")), "phrases-totals")
+    words = _words(texts, shards)
+    level = _numbered(_frequent_words(words, least), ["word"], "phrases-1")
     one = level.select("lang", "id", F.col("word").alias("phrase"), F.lit(1).alias("words"), "count", F.array().cast("array<bigint>").alias("before"))
     found, of = [one], one
-    state = written(_encoded(blocks, numbers), "phrases-state-1")
+    state = held.write(_encoded(texts, words, level), "phrases-state-1")
+    held.drop("phrases-texts")
     for k in range(2, longest + 1):
-        asked = written(_asked(state, k, tile, dense, n), f"phrases-cells-{k}")
+        asked = held.write(_asked(state, k, tile, dense, n), f"phrases-cells-{k}")
         level = _numbered(_frequent(asked, n, tile, dense, least), ["left", "right"], f"phrases-{k}")
         if level.isEmpty():
             break
@@ -268,7 +353,9 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, tile: int = TIL
         of = written(of.select("lang", "id", F.concat_ws(" ", "__p", "__w").alias("phrase"), F.lit(k).alias("words"), "count", "before"), f"phrases-found-{k}")
         found.append(of)
         if k < longest:
-            state = written(_next(state, asked, level, n, k, dense), f"phrases-state-{k}")
+            state = held.write(_next(state, asked, level, n, k, dense), f"phrases-state-{k}")
+            held.drop(f"phrases-state-{k - 1}", f"phrases-cells-{k}")
+    held.drop(*held.paths)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -440,6 +440,23 @@ def answers(table: pa.Table, types: list, kind: int = 0) -> list[np.ndarray]:
     return out
 
 
+class Stages:
+    """Tables that a job of many steps writes for its next steps, deleted once the steps that read them are done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = path = scratch_dir(self.spark, f"llm-{name}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write once to the shared folder and read back."""
     path = scratch_dir(df.sparkSession, f"llm-{name}")
