@@ -460,3 +460,41 @@ def language_maps(spark, sf):
 def file_nodes(spark, sf):
     """File rows: size, non-blank line count (P3) and md5 of the decoded text (P10)."""
     return G.file_nodes(FX.code_files(spark, sf)).select(*P, "path", "size_bytes", "line_count", "file_hash")
+
+
+# ------------------------------------------------------------------ J9 as rows, E6 in one report row
+@query("file_context_rows", with_views("""SELECT r.project_id, r.path, 'file' AS kind, '' AS item,
+      CASE WHEN suffix(r.path, '.py') THEN 'python' WHEN suffix(r.path, '.js') THEN 'javascript' WHEN suffix(r.path, '.ts') THEN 'typescript' ELSE 'java' END
+        || '|' || CAST(r.size_bytes AS STRING) || '|' || CAST(r.line_count AS STRING) || '|' || CAST(CAST(round(r.risk_score * 10) AS BIGINT) AS STRING) || '|'
+        || coalesce(strftime(t.last_commit, '%Y-%m-%d %H:%M:%S'), '') AS detail
+    FROM risk r LEFT JOIN (SELECT n.project_id, n.path, max(c.commit_time) AS last_commit FROM numstat n JOIN commits c ON c.seq = n.commit_seq GROUP BY 1, 2) t USING (project_id, path)
+    UNION ALL SELECT project_id, path, 'entity', name, arg_max(entity_type, line_number) || '|' || CAST(max(line_number) AS STRING) FROM entities_all GROUP BY project_id, path, name
+    UNION ALL SELECT project_id, src, 'dependency', dst, 'imports' FROM import_edges
+    UNION ALL SELECT project_id, dst, 'dependent', src, 'imports' FROM import_edges
+    UNION ALL SELECT project_id, path, 'import', specifier, CAST(count(*) AS STRING) FROM imports_all GROUP BY project_id, path, specifier""",
+    ["risk", "numstat", "commits", "entities_all", "import_edges", "imports_all"]))
+def file_context_rows(spark, sf):
+    """The context of every file as rows: the file itself (with the time of its last commit, J15), its entities, dependencies, dependents and imports,
+    read from tables bucketed by file without a shuffle."""
+    from codegauge.operators.context_store import ContextStore
+    g = q_graph.build_graph(spark, sf)
+    risk = G.risk_scores(g["nodes"], g["entities"], g["imports"]).withColumn("last_modified", F.lit(None).cast("timestamp_ntz"))
+    times = (FX.numstat(spark, sf).select(*P, "path", "commit_seq")
+               .join(FX.commits(spark, sf).select(F.col("seq").alias("commit_seq"), "commit_time"), "commit_seq"))
+    files = SN.attach_commit_time(risk, times)
+    return ContextStore(spark).save(files, G.last_entities(g["entities"]), g["import_edges"], g["imports"]).rows()
+
+
+def _report_sql() -> str:
+    from codegauge.plans.registry import ORACLE
+    return f"""SELECT a.*, b.n_branches, b.current_branch, b.n_changes, b.last_change, b.high_files, b.core_entities,
+      c.framework, c.architecture, c.build_system, c.package_manager, c.version
+    FROM ({ORACLE['summarize_project']}) a JOIN ({ORACLE['project_overview']}) b USING (project_id) LEFT JOIN ({ORACLE['project_context']}) c USING (project_id)"""
+
+
+@query("project_report", _report_sql())
+def project_report(spark, sf):
+    """E6 in one row per project: statistics, histogram and riskiest files, branches, update status, high-risk files and core entities, and the context."""
+    from codegauge.plans.q_project import project_context
+    about = project_context(spark, sf).drop("main_language")
+    return summarize_project(spark, sf).join(project_overview(spark, sf).drop("total_files", "main_language"), P).join(about, P, "left")

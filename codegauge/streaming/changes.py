@@ -48,6 +48,30 @@ def expand_moves(changes: DataFrame) -> DataFrame:
                     "event_id", F.col("x.sub").alias("sub"), *more)
 
 
+EVENT_SCHEMA = CHANGE_SCHEMA + ", is_directory BOOLEAN"
+
+
+def file_events(events: DataFrame) -> DataFrame:
+    """The changes of files among ``events`` (:data:`EVENT_SCHEMA`): directory events are ignored; an unknown flag means a file."""
+    return events.filter(~F.coalesce("is_directory", F.lit(False))).drop("is_directory")
+
+
+def folder_moves(events: DataFrame, files: DataFrame) -> DataFrame:
+    """The optional other reading of a moved folder: a move of every file below it, at the folder's time and event id.
+
+    ``files`` (project_id, path) are those that exist before. A file meets the moves of its own folders only: its ancestors are exploded (as many as
+    its path is deep) and joined by equality, so no file is compared with folders elsewhere."""
+    moves = events.filter(F.coalesce("is_directory", F.lit(False)) & (F.col("change_type") == "moved") & F.col("dest_path").isNotNull())
+    moves = moves.select("project_id", F.rtrim(F.col("path"), F.lit("/")).alias("folder"), F.rtrim(F.col("dest_path"), F.lit("/")).alias("to"), "ts", "event_id")
+    parts = F.split("path", "/")
+    depth = F.size(parts) - 1
+    up = F.when(depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    below = files.select("project_id", "path", F.explode(up).alias("folder"))
+    d = moves.join(below, ["project_id", "folder"])
+    dest = F.concat("to", F.substring(F.col("path"), F.length("folder") + 1, F.length("path")))
+    return d.select("project_id", "path", dest.alias("dest_path"), F.lit("moved").alias("change_type"), "ts", "event_id")
+
+
 def monitored(expanded: DataFrame) -> DataFrame:
     """Keep the expanded changes whose path passes the monitor filter (both halves of a move)."""
     return expanded.filter(should_monitor(F.col("path")))
@@ -119,12 +143,13 @@ def reanalyse(risk: DataFrame, latest: DataFrame, current: DataFrame) -> DataFra
 
 
 # ------------------------------------------------------------------ Structured Streaming
-def read_change_stream(spark: SparkSession, source: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
-    """Append-only change rows as a stream (explicit schema; rewritten files are not re-read)."""
-    r = spark.readStream.format(fmt).schema(CHANGE_SCHEMA)
+def read_change_stream(spark: SparkSession, source: str, fmt: str = "parquet", max_files: int | None = None, directories: bool = False) -> DataFrame:
+    """Append-only change rows as a stream (explicit schema; rewritten files are not re-read). Sources with ``directories`` carry
+    the flag ``is_directory``; their directory events are ignored."""
+    r = spark.readStream.format(fmt).schema(EVENT_SCHEMA if directories else CHANGE_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.load(source)
+    return file_events(r.load(source)) if directories else r.load(source)
 
 
 def stream_sessions(changes: DataFrame, gap: str = "10 minutes", watermark: str = "10 minutes") -> DataFrame:
