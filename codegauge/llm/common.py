@@ -79,12 +79,12 @@ class Blocks:
 
     Each scan task sorts its rows by block and packs the rows of a block into one binary (at most ``PACK_BYTES`` of texts at a
     time are held), which takes well under the shuffle space of single rows. Equal ``doc_id`` share a block; null
-    ids spread by their text. A step gets its block as a table of ``cols`` and ``block``, in no fixed order of rows.
+    ids spread by their text; ``level`` sets how hard the packing works. A step gets its block as a table of ``cols`` and ``block``, in no fixed order of rows.
     """
 
     PACK_BYTES = 16 << 20
 
-    def __init__(self, docs: DataFrame, blocks: int, cols: list[str], text: str = "text"):
+    def __init__(self, docs: DataFrame, blocks: int, cols: list[str], text: str = "text", level: int | None = None):
         ship_code(docs.sparkSession)
         cols = [*dict.fromkeys(cols)]
         most, spare = self.PACK_BYTES, spare_memory
@@ -97,7 +97,7 @@ class Blocks:
             def out():
                 for block, parts in sorted(held.items()):
                     sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level) if level else "zstd")) as w:
                         w.write_table(pa.Table.from_batches(parts).combine_chunks())
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
                 held.clear()

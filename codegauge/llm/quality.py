@@ -138,7 +138,7 @@ def log_likelihood(docs: DataFrame, model: KneserNey, trained: list[int], keep:
     """``keep`` columns, code (of the model used), n_bytes and bits (minus log2 probability of the text) of every row."""
     blocks = n_blocks(docs, block_bytes=12 << 20)
     shards = n_blocks(docs)
-    grouped = Blocks(docs.withColumn("__code", _used(_code(F.col("lang")), trained)), blocks, ["doc_id", "text", "__code", *keep])
+    grouped = Blocks(docs.withColumn("__code", _used(_code(F.col("lang")), trained)), blocks, ["doc_id", "text", "__code", *keep], level=6)
 
     def grams_of(t: pa.Table) -> np.ndarray:
         """The block's distinct n-grams, mixed: in the order of their shards."""
@@ -152,23 +152,34 @@ def log_likelihood(docs: DataFrame, model: KneserNey, trained: list[int], keep:
         return distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
     def request(t: pa.Table) -> pa.Table:
-        keys = grams_of(t)
-        return ask(keys, owner(keys, shards), t["block"][0].as_py())
+        keys, own = by_shard(grams_of(t))
+        return ask(keys, own, t["block"][0].as_py())
+
+    def by_shard(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams behind mixed keys, in ascending order of each shard, and their shards: the differences of plain n-grams pack well."""
+        own, raw = owner(keys, shards), unmix64(keys)
+        at = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)]
+        for i, j in zip(at[:-1], at[1:]):
+            raw[i:j].sort()
+        return raw, own
 
     def once(t: pa.Table) -> pa.Table:
         s = Shard(t)
-        return pa.table({"shard": pa.array(np.full(len(s.keys), s.shard), pa.int32()), "key": pa.array(unmix64(s.keys).astype(np.int64))})
+        return pa.table({"shard": pa.array(np.full(len(s.keys), s.shard), pa.int32()), "key": pa.array(s.keys.astype(np.int64))})
 
     def lookup(want: pa.Table, have: pa.Table) -> pa.Table:
         s = Shard(want)
-        keys = mix64(have["key"].to_numpy().astype(np.uint64))
+        keys = have["key"].to_numpy().astype(np.uint64)
         order = np.argsort(keys)
-        return s.reply(have["p"].to_numpy()[order][np.searchsorted(keys, s.keys, sorter=order)] if len(s.keys) else np.zeros(0))
+        bits = -np.log2(have["p"].to_numpy())[order][np.searchsorted(keys, s.keys, sorter=order)] if len(s.keys) else np.zeros(0)
+        return s.reply(bits.astype(np.float32))  # bits keep their precision where p is next to 1
 
     def add_up(t: pa.Table, reply: pa.Table) -> pa.Table:
         out, sizes = [], []
-        keys = Lookup(grams_of(t))
-        bits = -np.log2(answers(reply, [np.float64])[0])
+        mixed = grams_of(t)
+        keys = Lookup(mixed)
+        bits = np.empty(len(mixed))
+        bits[keys.find(mix64(by_shard(mixed)[0]))] = answers(reply, [np.float32])[0]  # in the order of the mixed keys
         for _, _, size, k in _keys(t, t["__code"].to_numpy()):
             total = np.r_[0.0, np.cumsum(bits[keys.find(k)])] if len(k) else np.zeros(1)
             ends = np.cumsum(size)
