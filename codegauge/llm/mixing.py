@@ -56,25 +56,30 @@ def mix_sources(docs: DataFrame, size: F.Column | None = None, cycle: tuple[int,
     floor(r) whole repetitions of each document and one more of the documents that come first in a
     seeded hash order, up to the point nearest to the target (within half a document); so no document
     is taken more than ceil(max_epochs) times. Documents without words get copies like the others but
-    add nothing. Running sums are two-level: sums for each (source, leading hash digits), then
-    inside those buckets, so a source with a third of all rows spreads over 16**3 groups.
+    add nothing. The order (source, hash, size, text and ``keep`` columns) is cut into even ranges by Spark, and
+    running sums are two-level: over the ranges of a source, then inside a range. So neither a source nor an
+    id (null, say) with a third of all rows is one group, and the groups grow in number, not in size.
 
     Null sources are one source, the last; null texts have size 0; a null doc_id is hashed as
-    'null'. Repeated rows are rows of their own. An empty table gives no rows. Reruns agree.
+    'null'. Rows that share an id follow by size and text, so reruns agree whatever the order of the input. Repeated rows are
+    rows of their own. An empty table gives no rows.
     """
     size = word_count(F.col("text")) if size is None else size
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = written(docs.select("doc_id", "source", size.alias("size"), key.alias("at"), *[F.col(c) for c in keep]), "mix")
+    kept = [F.col(c) for c in keep]
+    tie = F.xxhash64("text", *kept) if "text" in docs.columns else F.xxhash64(F.lit(0), *kept)
+    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("at"), tie.alias("tie"), F.monotonically_increasing_id().alias("row"), *kept)
+    order = ["at", "size", "tie", "row"]  # only equal rows are told apart by their number in the input
+    rows = written(rows.repartitionByRange("source", *order).withColumn("part", F.spark_partition_id()), "mix")
     sources = written(source_weights(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cycle), "sources")
     total = (sources.agg(F.sum("source_size")).first()[0] or 0) * share
     filled = water_fill(sources, total, max_epochs)
-    bucket = F.substring("at", 1, BUCKET_DIGITS)
-    sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"))
-    before = F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    sums = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    before = F.sum("part_size").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.withColumn("before", F.coalesce(before, F.lit(0)))
-    plan = sums.alias("s").join(filled.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source"))).select("s.source", "bucket", "before", "source_size", "weight", "target")
-    d = rows.withColumn("bucket", bucket).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))
-    inside = F.sum("size").over(W.partitionBy("d.source", "d.bucket").orderBy("at", "size").rowsBetween(W.unboundedPreceding, -1))
+    plan = sums.alias("s").join(filled.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source"))).select("s.source", "part", "before", "source_size", "weight", "target")
+    d = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.part") == F.col("p.part")))
+    inside = F.sum("size").over(W.partitionBy("d.source", "d.part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     d = d.select("doc_id", "d.source", "size", "source_size", "weight", "target", whole.alias("whole"), (F.col("before") + F.coalesce(inside, F.lit(0))).alias("start"), *[F.col(f"d.{c}") for c in keep])
     more = (2 * F.col("start") + F.col("size")).cast("double") <= 2.0 * (F.col("target") - F.col("whole") * F.col("source_size"))
