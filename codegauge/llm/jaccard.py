@@ -26,6 +26,7 @@ RATIO = 1.5
 MOST_BITS = 8192
 CHUNK = 1024
 SLICE = 1 << 19
+PAIRED = 4
 
 
 def ngram_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -72,8 +73,11 @@ class Bands:
             band, e = band + 1, e2
 
     def parts(self, band: int) -> tuple[int, int]:
-        """(parts, spare): linked sets of the band agree in ``spare`` + 1 parts or more."""
+        """(parts, spare): linked sets of the band agree in ``spare`` + 1 parts or more. Where linked sets can only be equal
+        there is one part, the whole set: its tile holds equal sets alone."""
         least = 2 * (self.edge(band + 1) - 1) * (self.den - self.num) // (self.den + self.num) + 1
+        if least == 1:
+            return 1, 0
         spare = -(-least // 10)
         return least + spare, spare
 
@@ -90,7 +94,9 @@ _PARTS: dict = {}
 
 def tiles(s: np.ndarray, bands: Bands) -> np.ndarray:
     """Tile keys of one set: its parts that are not empty. Linked sets agree in more than ``spare`` parts, so unless both
-    have more than ``spare`` empty parts they agree in one that is not; only sets with so many enter the tiles of empty parts too."""
+    have more than ``spare`` empty parts they agree in one that is not; only sets with so many enter the tiles of empty parts too.
+    Where there are few parts (at most ``PAIRED``) a tile is a pair of parts, as linked sets agree in two at least: half a short text, which many may
+    share, does not make a tile."""
     key = (bands.num, bands.den, len(s))
     if key not in _PARTS:
         if len(_PARTS) > 100_000:
@@ -105,7 +111,11 @@ def tiles(s: np.ndarray, bands: Bands) -> np.ndarray:
             np.add.at(content, part, spread)
             keys = mix64(mix64(content) + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
             full = np.bincount(part, minlength=parts) > 0
-            out.append(keys[full] if parts - full.sum() <= spare else keys)
+            all_ = parts - full.sum() > spare
+            if 1 < parts <= PAIRED:
+                i, j = np.triu_indices(parts, 1)
+                keys, full = mix64(keys[i] + mix64(keys[j] ^ np.uint64(0x2545F491))), full[i] | full[j]
+            out.append(keys if all_ else keys[full])
     return np.concatenate(out)
 
 

@@ -92,3 +92,20 @@ def test_sql(spark):
     duckdb.sql(f"create or replace view documents as select * from '{SF}/documents.parquet'")
     want = duckdb.sql(f"select doc_id, n_shingles, component_id from ({Q.ORACLE['op9_jaccard']})").fetchall()
     assert sorted(map(tuple, Q.QUERIES["op9_jaccard"](spark, SF).collect())) == sorted(want)
+
+
+def test_short_texts_with_a_common_half_share_no_tile():
+    """Sets that can only be equal, and sets of which one part of three is the same."""
+    bands = J.Bands(90, 100)
+    words = lambda n, i: " ".join([f"c{x}" for x in range(n // 2)] + [f"d{x}-{i}" for x in range(n - n // 2)])
+    for n in (4, 8, 14):
+        texts = [words(n, i).encode() for i in range(400)]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+        keys = np.concatenate([np.unique(J.tiles(s, bands)) for s in J.ngram_sets(data, offsets, 3)])
+        assert np.unique(keys, return_counts=True)[1].max() <= 40  # pairs of parts agree by chance only
+
+
+def test_many_short_texts_with_a_common_half(spark):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("zeta yota x d"), (F.col("id") % 15000).cast("string")).alias("text"))
+    got = J.jaccard_components(docs)
+    assert got.where("component_id <> doc_id % 15000").count() == 0
