@@ -37,8 +37,8 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, average: int = AVERAGE, most: int = MOST) -> list[list[int]]:
-    """End places of the chunks of each text. A chunk has ``least`` to ``most`` bytes (the last may be shorter) and ends
-    between characters; a forced end at ``most`` moves back to one."""
+    """End places of the chunks of each text. A chunk has ``least`` to ``most`` bytes and ends between characters; a forced end at ``most`` moves
+    back to one. A rest of fewer than ``least`` bytes belongs to the chunk before it (a text of fewer is one chunk), as so short an ending is shared by chance."""
     h = gear(data)
     last = np.ones(len(data), bool)
     last[:-1] = (data[1:] & 0xC0) != 0x80
@@ -54,9 +54,11 @@ def cuts(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, average: int
                 while not last[at - 1]:
                     at -= 1
                 ends.append(at)
-            if c - at >= least or c == z and c > at:
+            if c - at >= least or c == z and c > at and not ends:
                 ends.append(c)
                 at = c
+        if at < z:
+            ends[-1] = z
         out.append(ends)
     return out
 

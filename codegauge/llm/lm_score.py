@@ -1,15 +1,16 @@
 """Language-model scoring with a log-frequency Bloom filter of word n-gram counts.
 
 Counts of n-grams are quantised to powers of ``BASE`` and held in a log-frequency Bloom filter: an n-gram of level q
-is entered as (n-gram, 1) ... (n-gram, q); a count is read back by probing levels upwards until one is missing, so
-errors only ever read too high. A filter of all n-grams grows with the corpus, so it is not broadcast whole: it is
+is entered as (n-gram, 1) ... (n-gram, q); a level is read back by probing upwards until one is missing, so the filter's
+errors only ever read too high; a level counts as its lowest count. A filter of all n-grams grows with the corpus, so it is not broadcast whole: it is
 cut by n-gram hash into shards of bounded size, and each shard goes to the one worker that answers for it. Blocks of
 documents send every distinct n-gram once to its shard, with its training count; the shard adds the counts, enters
 them into its part of the filter, forgets them, and answers by membership probes.
 
 The model mixes orders with fixed weights: p_n(w | h) = (1 - WEIGHT) p_(n-1)(w | h') + WEIGHT c(hw) / c(h) where c(h) > 0,
 else p_(n-1). Order 1 is absolutely discounted, p_1(w) = (c(w) - D) / N, and an unseen token takes the discounted mass
-D V / N as one unknown token, D = n1 / (n1 + 2 n2) from the numbers of tokens seen once and twice.
+D V / N as one unknown token, D = n1 / (n1 + 2 n2) from the numbers of tokens seen once and twice. Without errors of the filter the
+probabilities after a history sum to at most 1: order 1 sums to 1, and what rounding a count down takes is given to no word.
 """
 
 from __future__ import annotations
@@ -37,9 +38,8 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 
 def count_of(levels: np.ndarray) -> np.ndarray:
-    """Middle of the counts of a level; level 0 is 0."""
-    q = np.maximum(levels, 1).astype(np.float64)
-    return np.where(levels > 0, (BASE ** (q - 1) + np.maximum(BASE ** (q - 1), np.ceil(BASE ** q) - 1)) / 2, 0.0)
+    """Lower end of the counts of a level; level 0 is 0. Counts read never exceed the true ones, so the shares of a history never sum to more than 1."""
+    return np.where(levels > 0, np.ceil(BASE ** (np.maximum(levels, 1).astype(np.float64) - 1) - 1e-9), 0.0)
 
 
 class Filter:

@@ -23,7 +23,9 @@ def slow_cuts(b, least=C.LEAST, average=C.AVERAGE, most=C.MOST):
         if h < 2**32 // average and i + 1 - at >= least and not cont(i + 1):
             ends.append(i + 1)
             at = i + 1
-    return ends + [len(b)] * (at < len(b))
+    if at < len(b):
+        return ends[:-1] + [len(b)] if ends and len(b) - at < least else ends + [len(b)]
+    return ends
 
 
 def brute(rows):
@@ -77,3 +79,18 @@ def test_repeated_passage_is_caught(spark):
     rows = [(i, f"{words(40)} {passage} {words(30)}") for i in range(20)] + [(100 + i, words(100)) for i in range(20)]
     got = {x.doc_id: x for x in C.repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i].n_removed >= 32 for i in range(1, 20)) and all(got[i].n_removed == 0 for i in [0, *range(100, 120)])
+
+
+def test_short_ending_belongs_to_the_chunk_before():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        b = bytes(r.integers(97, 123, int(r.integers(1, 900))).astype(np.uint8))
+        ends = C.cuts(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0]
+        assert ends == slow_cuts(b) and ends[-1] == len(b)
+        assert all(z - a >= C.LEAST for a, z in zip([0, *ends], ends)) or len(ends) == 1
+
+
+def test_shared_ending_alone_is_kept(spark):
+    body = lambda seed: "".join(chr(97 + x) for x in np.random.default_rng(seed).integers(0, 26, 700))
+    docs = spark.createDataFrame([(i, body(i) + " the end") for i in range(40)], "doc_id long, text string")
+    assert all(r.n_removed == 0 for r in C.repeated_chunks(docs).collect())

@@ -86,3 +86,24 @@ def test_filter_never_reads_low():
     assert (read >= L.level(counts)).all() and (read == L.level(counts)).mean() > 0.95
     other = np.setdiff1d(mix64(r.integers(0, 2**62, 20000).astype(np.uint64)), keys)
     assert (f.read(other) > 0).mean() < 0.04
+
+
+def test_probabilities_after_a_history_sum_to_at_most_one():
+    """Over all known words and the unknown one, for every history of a small text, with the quantised counts of an error-free filter."""
+    text = [w for t in ("a b a b a c a b d", "b a b a a a a a c", "c c c a b", "a") for w in tokens(t)]
+    n, counts = len(text), Counter(text)
+    v, ones, twos = len(counts), sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    disc = ones / (ones + 2 * twos) if ones else 0.5
+    pairs = Counter(zip(["", *text], text))
+    read = {k: float(L.count_of(L.level(np.array([c])))[0]) for k, c in pairs.items()}
+    assert all(read[k] <= c < L.BASE * read[k] for k, c in pairs.items())
+    first = {w: (c - disc) / n for w, c in counts.items()} | {"?": disc * v / n}
+    assert abs(sum(first.values()) - 1) < 1e-12
+    for h, c in counts.items():
+        total = sum((1 - L.WEIGHT) * p + L.WEIGHT * min(read.get((h, w), 0), c) / c for w, p in first.items())
+        assert 1 - L.WEIGHT - 1e-9 <= total <= 1 + 1e-9
+
+
+def test_levels_are_read_at_their_lower_end():
+    c = np.array([0, 1, 2, 3, 4, 7, 8, 1000, 1 << 40])
+    assert L.count_of(L.level(c)).tolist() == [0, 1, 2, 2, 4, 4, 8, 512, 1 << 40]
