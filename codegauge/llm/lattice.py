@@ -168,10 +168,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = TA
                 u = unit_rows([vecs[x] for x in at])
                 for x, v in zip(at, u):
                     units[x] = v
-                ok_ = (u @ u.T >= threshold) & (home[at][:, None] | home[at][None, :])
+                ok_ = (u @ u.T >= threshold - 1e-9) & (home[at][:, None] | home[at][None, :])
                 if lo[a] != hi[a]:
                     ok_ &= chunk_[at][:, None] != chunk_[at][None, :]
                 i, j = np.nonzero(np.triu(ok_, 1))
+                # a pair meets in several cells: it is decided by one sum in one order, not by the product of whichever block it stands in
+                sure = np.concatenate([np.zeros(0, bool), *[(u[i[x:x + 20_000]] * u[j[x:x + 20_000]]).sum(axis=1) >= threshold for x in range(0, len(i), 20_000)]])
+                i, j = i[sure], j[sure]
                 pair_i.append(at[i])
                 pair_j.append(at[j])
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
@@ -210,7 +213,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = TA
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     of_class = classes.join(counts, "id", "left").join(comps, F.col("id") == F.col("node"), "left").select(F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = ok.select("vec_id", "embedding").join(of_class, F.col("embedding") == F.col("e")).select("vec_id", "n_links", "component_id")
+    # rows find their class by vector and salt, so the rows of one vector spread over all tasks; a class is repeated only for the salts that its rows have
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("salt")
+    rows = ok.select("vec_id", "embedding", salt)
+    spread = rows.select("embedding", "salt").distinct().join(of_class, F.col("embedding") == F.col("e")).select("embedding", "salt", "n_links", "component_id")
+    linked = rows.join(spread, ["embedding", "salt"]).select("vec_id", "n_links", "component_id")
     alone = vectors.select("vec_id", "embedding", F.coalesce(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False)).alias("fit")).where("not fit")
     out = linked.union(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import ship_code, written
 
 DIM_BLOCK = 8
 CHUNK = 2048
@@ -21,8 +21,9 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad)
 
 
-def scan_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Best ``k`` candidates of one block for each query row: (query ids, candidate ids, scores).
+def scan_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, floors: list | None = None) -> tuple[list, list, list]:
+    """Best ``k`` candidates of one block for each query row: (query ids, candidate ids, scores). With ``floors`` (None: unknown), scores that k
+    candidates elsewhere reach, candidates below are left out.
 
     The candidates lie in vertical layout (dimension by row). For a query the dimensions are visited
     by falling size of its components, a block at a time. After each block a candidate survives only
@@ -48,7 +49,8 @@ def scan_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
             alive = lo + np.flatnonzero(c_ids[lo:lo + CHUNK] != q_ids[row])
             score = np.zeros(len(alive), kind)
             mass = total[alive].copy()
-            floor = best_s.min() if len(best_s) >= k else None
+            known = [x for x in (best_s.min() if len(best_s) >= k else None, floors[row] if floors else None) if x is not None]
+            floor = max(known) if known else None
             for d in range(0, dims, DIM_BLOCK):
                 part = order[d:d + DIM_BLOCK]
                 score = score + v[part] @ cols[np.ix_(part, alive)]
@@ -60,6 +62,9 @@ def scan_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
                 alive, score, mass = alive[stay], score[stay], mass[stay]
                 if not len(alive):
                     break
+            if floor is not None:
+                stay = score >= floor
+                alive, score = alive[stay], score[stay]
             best_s = np.concatenate([best_s, score])
             best_c = np.concatenate([best_c, c_ids[alive]])
             if len(best_s) > k:
@@ -71,32 +76,44 @@ def scan_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
     return out_q, out_c, out_s
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int = 512, candidate_block: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int = 2048, candidate_block: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` highest inner products of each query, ties to the smaller vec_id.
 
     Both inputs have (vec_id, v array<long>). The query set meets the rows in a grid of blocks:
     a query block and a candidate block form one task with bounded memory, returning at most ``k`` rows a
-    query; a window for each query merges them. A query never meets its own vec_id; vectors of different
+    query; a window for each query merges them. The first candidate block, a hash sample, is searched before the others: the k-th
+    best score found there goes along with the query as the floor under which the other blocks prune from their first dimensions on.
+    A query never meets its own vec_id; vectors of different
     lengths do not meet. Repeated vec_ids are separate candidates; a repeated query id stands once, with its
     smallest vector. No query or no candidates give no rows. Scores are exact 64-bit integers (sums beyond
     2**52 are added as Python integers).
     """
     ship_code(vectors.sparkSession)
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = written(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "top-queries")
     n_c, n_q = vectors.count(), queries.count()
     cb, qb = max(1, -(-n_c // candidate_block)), max(1, -(-n_q // query_block))
     spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = queries.select("vec_id", "v", F.size("v").alias("dim"), spread(qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
     right = vectors.select("vec_id", "v", F.size("v").alias("dim"), spread(cb).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    grid = ["dim", "qb", "cb"]
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        got = scan_block(a["vec_id"].to_numpy(np.int64), np.stack(a["v"].to_numpy()), b["vec_id"].to_numpy(np.int64), np.stack(b["v"].to_numpy()), k)
+        floors = [None if pd.isna(x) else int(x) for x in a["floor"].astype("object")]
+        got = scan_block(a["vec_id"].to_numpy(np.int64), np.stack(a["v"].to_numpy()), b["vec_id"].to_numpy(np.int64), np.stack(b["v"].to_numpy()), k, floors)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got)))
 
-    grid = ["dim", "qb", "cb"]
-    best = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(cell, "query_id long, vec_id long, score long")
+    def search(asked: DataFrame, first: int, last: int) -> DataFrame:
+        """The queries, with their floors as text (a double would round them), in candidate blocks ``first`` to ``last``."""
+        left = asked.select("vec_id", "v", F.col("floor").cast("string").alias("floor"), F.size("v").alias("dim"), spread(qb).alias("qb"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("cb"))
+        mine = right.where(F.col("cb").between(first, last))
+        return left.groupBy(*grid).cogroup(mine.groupBy(*grid)).applyInPandas(cell, "query_id long, vec_id long, score long")
+
+    best = search(queries.withColumn("floor", F.lit(None).cast("long")), 0, 0)
+    if cb > 1:
+        best = written(best, "top-first")
+        floors = best.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "floor")
+        best = best.union(search(queries.join(floors, "vec_id", "left"), 1, cb - 1))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -77,6 +77,17 @@ def test_bounds_prune_without_loss():
         assert got[2][i * 10:i * 10 + 10] == sorted(want[i], reverse=True)[:10]
 
 
+def test_floors_keep_ties_and_drop_the_rest():
+    c = np.array([[1, 0], [2, 0], [2, 0], [3, 0], [0, 5]])
+    q = np.array([[10, 0]])
+    got = topk.scan_block(np.array([-1]), q, np.arange(5), c, 2, [20])
+    assert sorted(zip(got[1], got[2])) == [(1, 20), (3, 30)]
+    assert topk.scan_block(np.array([-1]), q, np.arange(5), c, 2, [31])[1] == []
+    big = 2 ** 60
+    far = topk.scan_block(np.array([-1]), np.array([[1, 1]]), np.arange(2), np.array([[big, 1], [big, 0]]), 1, [big + 1])
+    assert far[1:] == ([0], [big + 1])
+
+
 @pytest.mark.parametrize("name", ["op7_mixing", "op8_topk"])
 def test_sql(spark, name):
     c = duckdb.connect()
