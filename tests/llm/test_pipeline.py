@@ -63,4 +63,25 @@ def test_odd_rows_and_clashing_names(spark, odd, none, tmp_path):
 def test_registered():
     import __spark_entry__ as e
     assert e.queries()["pipeline"] is P.run and "pipeline" not in e.oracle_sql()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in e.queries() if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in e.queries() if k.startswith("op")}
+
+
+def mixed(spark, order, tmp_path, name):
+    """Null and shared ids, equal sizes, under one order of the input."""
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, F.lit(7)).alias("doc_id"), F.concat(F.lit("one two w"), F.col("id").cast("string")).alias("text"),
+                                   F.lit("en").alias("lang"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"))
+    return reread(spark, rows.orderBy(order).coalesce(1), tmp_path, name)
+
+
+def test_mix_agrees_under_any_order(spark, tmp_path):
+    one, two = (sorted(r.text for r in M(spark, mixed(spark, o, tmp_path, n), SF).collect()) for o, n in ((F.col("id").desc(), "a"), (F.xxhash64("id"), "b")))
+    assert one == two and len(one) > len(set(one))
+
+
+def test_shared_ids_lose_no_unlinked_text(spark, tmp_path):
+    texts = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "alpha beta gamma delta epsilon zeta", "red green blue white black grey", None, ""]
+    rows = [(5, t, "en", "s", k) for k, t in enumerate(texts)] + [(9, texts[1], "en", "s", 10), (1, texts[3], "en", "s", 11), (None, texts[0], "en", "s", 12), (None, texts[0], "en", "s", 13)]
+    docs = reread(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, extra int"), tmp_path, "d")
+    got = sorted(((r.doc_id or -1, r.text or "") for r in J(spark, docs, SF).collect()))
+    # equal texts of id 5 are one; 'one two' stays under 9, 'red green' under 1: smaller than the numbers of shared ids; null ids stay
+    assert got == sorted([(5, texts[0]), (9, texts[1]), (1, texts[3]), (5, ""), (5, ""), (-1, texts[0]), (-1, texts[0])])
