@@ -3,7 +3,7 @@
 Two queries read the same changes. One finds where a project's sessions begin and end (``session_window``, merged inside each task
 before the shuffle, so a hot project sends a few rows per task). The other keeps, per project and path, the *chains* of changes that lie less than the gap
 apart: a chain is always inside one session, whatever other paths do. It is a ``transformWithState`` processor over (project, salt) keys, the
-salt being a hash of the path, with a map state per path and one event-time timer per key; a chain leaves the state once the watermark has passed its
+salt being a hash of the path, with a map state over groups of paths and one event-time timer per key; a chain leaves the state once the watermark has passed its
 end. :func:`session_changes` then gives every closed session the last change of each of its paths, by one ordered pass.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import sys
+from zlib import crc32
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -23,7 +24,7 @@ from codegauge.streaming.changes import expand_moves, monitored, read_change_str
 # the processor runs in Python workers: its code travels with it
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SALTS = 16
+SALTS, CELLS = 16, 64
 CHAIN = "project_id LONG, path STRING, start_us LONG, last_us LONG, event_id LONG, sub INT, change_type STRING"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,14 +42,17 @@ def merge_chains(chains: list, gap: int) -> list:
 
 
 class PathChains(StatefulProcessor):
-    """State of one (project, salt): the open chains of each path, and when the earliest of them may end."""
+    """State of one (project, salt): the open chains of each path, and when the earliest of them may end.
+
+    The paths are dealt over ``CELLS`` entries of the map state by a hash; an entry holds the chains of all its paths. So a batch reads and writes
+    an entry once for all its rows, and calls of the state store do not grow with rows or paths."""
 
     def __init__(self, gap_us: int):
         self.gap = gap_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.paths = handle.getMapState("paths", "path STRING", "chains STRING")
+        self.cells = handle.getMapState("cells", "cell INT", "chains STRING")
         self.next = handle.getValueState("next", "at_ms LONG")
 
     def _due_ms(self, chain) -> int:
@@ -66,33 +70,48 @@ class PathChains(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         new: dict = {}
         for r in rows:
-            new.setdefault(r.path, []).append([r.us, r.us, r.event_id, r.sub, r.change_type])
-        for path, chains in new.items():
-            held = self.paths.getValue((path,))
-            merged = merge_chains(chains + (json.loads(held[0]) if held else []), self.gap)
-            self.paths.updateValue((path,), (json.dumps(merged),))
-            self._wake(min(map(self._due_ms, merged)))
+            path, change_type, us, event_id, sub = r[2:7]
+            new.setdefault(crc32(path.encode()) % CELLS, {}).setdefault(path, []).append([us, us, event_id, sub, change_type])
+        wake = None
+        for cell, paths in new.items():
+            held = self.cells.getValue((cell,))
+            open_ = json.loads(held[0]) if held else {}
+            for path, chains in paths.items():
+                merged = merge_chains(chains + open_.get(path, []), self.gap)
+                open_[path] = merged
+                due = min(map(self._due_ms, merged))
+                wake = due if wake is None else min(wake, due)
+            self.cells.updateValue((cell,), (json.dumps(open_),))
+        if wake is not None:
+            self._wake(wake)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now, wake = timerValues.getCurrentWatermarkInMs(), None
         self.next.clear()
         changed = []
-        for (path,), (text,) in self.paths.iterator():
-            chains = json.loads(text)
-            left = [c for c in chains if self._due_ms(c) > now]
-            if len(left) < len(chains):
-                changed.append((path, left))
-                for c in chains:
-                    if self._due_ms(c) <= now:
-                        yield Row(project_id=key[0], path=path, start_us=c[0], last_us=c[1], event_id=c[2], sub=c[3], change_type=c[4])
-            for c in left:
-                wake = self._due_ms(c) if wake is None else min(wake, self._due_ms(c))
-        for path, left in changed:
-            if left:
-                self.paths.updateValue((path,), (json.dumps(left),))
+        for (cell,), (text,) in self.cells.iterator():
+            open_, ended = json.loads(text), False
+            for path, chains in list(open_.items()):
+                left = [c for c in chains if self._due_ms(c) > now]
+                if len(left) < len(chains):
+                    ended = True
+                    for c in chains:
+                        if self._due_ms(c) <= now:
+                            yield Row(project_id=key[0], path=path, start_us=c[0], last_us=c[1], event_id=c[2], sub=c[3], change_type=c[4])
+                    if left:
+                        open_[path] = left
+                    else:
+                        del open_[path]
+                for c in left:
+                    wake = self._due_ms(c) if wake is None else min(wake, self._due_ms(c))
+            if ended:
+                changed.append((cell, json.dumps(open_) if open_ else None))
+        for cell, text in changed:
+            if text:
+                self.cells.updateValue((cell,), (text,))
             else:
-                self.paths.removeKey((path,))
+                self.cells.removeKey((cell,))
         if wake is not None:
             self._wake(wake)
 
