@@ -14,6 +14,8 @@ input, so they grow in number and not in size.
 from __future__ import annotations
 
 import ctypes
+import gc
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
@@ -74,6 +76,27 @@ def spare_memory() -> None:
         trim(0)
 
 
+_WORKER: dict = {}
+
+
+def per_worker(kind, model: bytes):
+    """One ``kind(model)`` for each Python worker, kept from task to task until :func:`let_go`."""
+    key = (kind.__name__, hashlib.md5(model).digest())
+    if key not in _WORKER:
+        let_go()
+        _WORKER[key] = kind(model)
+    return _WORKER[key]
+
+
+def let_go() -> None:
+    """As a task begins: drop what other operators kept in this worker (100 MB and more) and give back what they freed, as all
+    operators of an application share the workers."""
+    if _WORKER:
+        _WORKER.clear()
+        gc.collect()
+    spare_memory()
+
+
 class Blocks:
     """Documents shuffled into blocks once, as compressed Arrow pieces, for several steps over the same blocks.
 
@@ -87,12 +110,13 @@ class Blocks:
     def __init__(self, docs: DataFrame, blocks: int, cols: list[str], text: str = "text", level: int | None = None):
         ship_code(docs.sparkSession)
         cols = [*dict.fromkeys(cols)]
-        most, spare = self.PACK_BYTES, spare_memory
+        most, begin, spare = self.PACK_BYTES, let_go, spare_memory
         key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col("doc_id")))
 
         def pack(batches):
             held: dict[int, list] = {}
             size = 0
+            begin()
 
             def out():
                 for block, parts in sorted(held.items()):
@@ -128,9 +152,10 @@ class Blocks:
 
     def each(self, f, schema) -> DataFrame:
         """``f(documents of a block)`` for every block."""
-        open_, spare = self._open, spare_memory
+        open_, begin, spare = self._open, let_go, spare_memory
 
         def run(t):
+            begin()
             out = f(open_(t))
             spare()
             return out
@@ -138,9 +163,10 @@ class Blocks:
 
     def meet(self, replies: DataFrame, f, schema) -> DataFrame:
         """``f(documents of a block, its replies)`` for every block. Replies only go to blocks that asked."""
-        open_, spare = self._open, spare_memory
+        open_, begin, spare = self._open, let_go, spare_memory
 
         def run(t, reply):
+            begin()
             out = f(open_(t), reply)
             spare()
             return out
@@ -207,11 +233,15 @@ class Lookup:
         bits = max(1, int(len(keys)).bit_length() + 2)
         self.shift = np.uint64(max(0, (int(keys[-1]).bit_length() if len(keys) else 1) - bits))
         lead = (keys >> self.shift).astype(np.int64)
-        self.start = np.r_[0, np.cumsum(np.bincount(lead))] if len(keys) else np.zeros(1, np.int64)
+        at = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]]) if len(keys) else lead
+        kind = np.int32 if len(keys) < 1 << 31 else np.int64  # there are several times as many leading bits as keys
+        self.start = np.zeros(int(lead[-1]) + 2 if len(keys) else 1, kind)
+        self.start[lead[at] + 1] = np.diff(np.r_[at, len(keys)])
+        np.cumsum(self.start, dtype=kind, out=self.start)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Places of ``wanted``, all of which must be among the keys."""
-        at = self.start[(wanted >> self.shift).astype(np.int64)]
+        at = self.start[(wanted >> self.shift).astype(np.int64)].astype(np.int64)
         miss = np.flatnonzero(self.keys[at] != wanted)
         while len(miss):
             at[miss] += 1

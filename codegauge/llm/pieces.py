@@ -1,4 +1,4 @@
-"""SentencePiece BPE models: vocabulary, text units, and a per-worker cache of encoded units."""
+"""SentencePiece BPE models: vocabulary, text units, and a cache of encoded units."""
 
 from __future__ import annotations
 
@@ -69,15 +69,3 @@ class UnitCache(dict):
                 self.clear()
             self[unit] = out
         return out
-
-
-_WORKER: dict = {}
-
-
-def per_worker(kind, model: bytes):
-    """One ``kind(model)`` for each Python worker, kept from task to task."""
-    import hashlib
-    key = (kind.__name__, hashlib.md5(model).digest())
-    if key not in _WORKER:
-        _WORKER[key] = kind(model)
-    return _WORKER[key]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Blocks, Lookup, Shard, Sums, answered, answers, ask, asked, buffers, distinct, mix64, n_blocks, owner, ship_code, slices, unmix64, written
+from .common import Blocks, Lookup, Shard, Sums, answered, answers, ask, asked, buffers, distinct, let_go, mix64, n_blocks, owner, ship_code, slices, unmix64, written
 
 ORDER = 5
 MAX_TRUSTED = 200_000
@@ -69,6 +69,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
 
     def scan(batches):
         sums = Sums()
+        let_go()
 
         def out():
             keys, vals = sums.flush()
@@ -164,10 +165,12 @@ def log_likelihood(docs: DataFrame, model: KneserNey, trained: list[int], keep:
         return raw, own
 
     def once(t: pa.Table) -> pa.Table:
+        let_go()
         s = Shard(t)
         return pa.table({"shard": pa.array(np.full(len(s.keys), s.shard), pa.int32()), "key": pa.array(s.keys.astype(np.int64))})
 
     def lookup(want: pa.Table, have: pa.Table) -> pa.Table:
+        let_go()
         s = Shard(want)
         keys = have["key"].to_numpy().astype(np.uint64)
         order = np.argsort(keys)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship_code
-from .pieces import BYTE, CONTROL, SPACE, UNKNOWN, UnitCache, Vocabulary, model_bytes, per_worker, units
+from .common import per_worker, ship_code
+from .pieces import BYTE, CONTROL, SPACE, UNKNOWN, UnitCache, Vocabulary, model_bytes, units
 
 
 class Codec:

@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code
-from .pieces import UnitCache, Vocabulary, model_bytes, per_worker, units
+from .common import per_worker, ship_code
+from .pieces import UnitCache, Vocabulary, model_bytes, units
 
 
 class Counter:
