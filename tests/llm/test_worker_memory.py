@@ -1,6 +1,7 @@
 """What a Python worker keeps from one operator to the next, and what a block's lookup takes."""
 
 import tracemalloc
+import weakref
 
 import numpy as np
 import public_tokenizers
@@ -17,31 +18,31 @@ from codegauge.llm.common import Blocks, Lookup, by_splitmix, distinct
 PATH = public_tokenizers.path(Q.PIECES)
 
 
-def counter():
-    """A function that counts the tokenizers its process holds; workers can't import this file, so it brings all it needs along."""
-    def held(t=None):
-        import gc
-        n = sum(type(x).__name__ in ("Codec", "Counter") and type(x).__module__.startswith("codegauge.llm") for x in gc.get_objects())
-        return n if t is None else pa.table({"n": pa.array([n], pa.int64())})
-    return held
-
-
 def test_blocks_let_go_of_tokenizers(spark):
     docs = spark.createDataFrame([r[:3] for r in ODD] * 4, "doc_id long, text string, lang string").repartition(8)
     blocks = Blocks(docs, 8, ["doc_id", "text"])
+
+    def count(t):
+        """The tokenizers that the worker holds; it can't import this file."""
+        import gc
+        n = sum(type(x).__name__ in ("Codec", "Counter") and type(x).__module__.startswith("codegauge.llm") for x in gc.get_objects())
+        return pa.table({"n": pa.array([n], pa.int64())})
+
     for fill in (lambda: SC.encode_decode(docs, PATH), lambda: TC.token_counts(docs, PATH)):
         fill().collect()
-        assert [r.n for r in blocks.each(counter(), "n long").collect() if r.n] == []
+        assert [r.n for r in blocks.each(count, "n long").collect() if r.n] == []
 
 
 @pytest.mark.parametrize("kind", [SC.Codec, TC.Counter])
 def test_one_tokenizer_until_let_go(kind):
-    model, held = pieces.model_bytes(PATH), counter()
+    model = pieces.model_bytes(PATH)
     one = common.per_worker(kind, model)
-    assert common.per_worker(kind, model) is one and held() == 1
+    assert common.per_worker(kind, model) is one
+    kept = weakref.ref(one)
     del one
+    assert kept() is not None
     common.let_go()
-    assert held() == 0
+    assert kept() is None
 
 
 def test_lookup_is_small():
