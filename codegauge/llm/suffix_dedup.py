@@ -35,11 +35,12 @@ from .suffix_sort import Suffixes, powers, prefix_hashes
 LENGTH = 50
 ANCHOR = 24
 HOT = 4096
-PIECE = 1 << 18
+PIECE = 1 << 16
+DIGESTS = 1 << 15
 GRAMS, REGIONS, ANCHORS, SUFFIXES, MEMO = range(5)
 WANT = "kind int, shard int, block int, keys binary, v0 binary, v1 binary, v2 binary"
 GOT = "kind int, shard int, block int, a0 binary, a1 binary"
-BITS = 18 + 2
+BITS = 16 + 2
 
 
 def _groups_of(x: np.ndarray, edges: np.ndarray, length: int, anchor: int):
@@ -87,11 +88,15 @@ class Block:
         self.length = length
         if not group:
             return
-        found = [g for g in self._pieces(anchor)]
-        cat = lambda k, t: np.concatenate([g[k] for g in found]).astype(t) if found else np.zeros(0, t)
-        self.lo, self.hi, self.gram, self.place = cat(0, np.int64), cat(1, np.int64), cat(2, np.uint64), cat(3, np.int64)
+        found = [[], [], [], []]
+        for g in self._pieces(anchor):  # places in a block fit 4 bytes, as Arrow's own offsets do
+            for held, x, t in zip(found, g, (np.int32, np.int32, np.uint64, np.int32)):
+                held.append(x.astype(t, copy=False))
+        cat = lambda t: np.concatenate([np.zeros(0, t), *found.pop(0)])
+        self.lo, self.hi, self.gram, self.place = (cat(t) for t in (np.int32, np.int32, np.uint64, np.int32))
         self.doc = self.ids[np.searchsorted(self.offsets, self.lo, side="right") - 1] if len(self.lo) else np.zeros(0, np.int64)
-        self.grams, self.of_gram = np.unique(self.gram, return_inverse=True)
+        self.grams, of_gram = np.unique(self.gram, return_inverse=True)
+        self.of_gram = of_gram.astype(np.int32)
 
     def _pieces(self, anchor: int):
         n, off = int(self.has_id.sum()), self.offsets  # null ids sort last and take no part
@@ -110,8 +115,12 @@ class Block:
         if not len(groups):
             return np.zeros((0, 2), np.uint64)
         view = memoryview(np.ascontiguousarray(self.data)).cast("B")
-        raw = b"".join(hashlib.blake2b(view[a:z], digest_size=12).digest() + b"\0\0\0\0" for a, z in zip(self.lo[groups].tolist(), (self.hi[groups] + self.length).tolist()))
-        return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+        out = np.empty((len(groups), 2), np.uint64)
+        for i in range(0, len(groups), DIGESTS):
+            part = groups[i:i + DIGESTS]
+            raw = b"".join(hashlib.blake2b(view[a:z], digest_size=12).digest() + b"\0\0\0\0" for a, z in zip(self.lo[part].tolist(), (self.hi[part] + self.length).tolist()))
+            out[i:i + DIGESTS] = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+        return out
 
     def shared(self) -> np.ndarray:
         """Grams that occur in several documents of this block."""
@@ -158,8 +167,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     grouped = Blocks(docs, blocks, ["doc_id", "text", *keep])
 
     def ask_grams(t: pa.Table) -> pa.Table:
-        b = Block(t, length, anchor)
-        keys = distinct(short(b.grams, shards))
+        b = Block(t, length, anchor, group=False)  # where the grams stand isn't asked yet
+        keys = distinct(np.concatenate([np.zeros(0, np.uint64), *(distinct(short(g[2], shards)) for g in b._pieces(anchor))]))
         return pa.concat_tables([_want(ask((keys & LOW).astype(np.uint32), (keys >> np.uint64(32)).astype(np.int32), b.number, kind=GRAMS)), _memo(b.number, np.zeros(0))])
 
     def answer_grams(t: pa.Table) -> pa.Table:
