@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import per_worker, ship_code
-from .pieces import BYTE, CONTROL, SPACE, UNKNOWN, UnitCache, Vocabulary, model_bytes, units
+from .pieces import BYTE, CONTROL, SPACE, UNKNOWN, UnitCache, Vocabulary, model_bytes, plain_units
 
 
 class Codec:
@@ -23,21 +23,25 @@ class Codec:
     pair test is worked out once by merging the pair's text, and kept. The ids are then read backwards.
     """
 
-    PAIRS = 400_000
+    PAIRS, UNITS = 400_000, 250_000
 
     def __init__(self, model: bytes):
         import ahocorasick
         self.v = Vocabulary(model)
         self.machine = ahocorasick.Automaton()
         self.whole = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(len(self.v.pieces))]
         for piece, i in self.v.ids.items():
-            if self.merged(piece) == [piece]:
-                self.machine.add_word(piece, (i, len(piece)))
-                self.whole[piece] = (i,)
+            if " " not in piece and self.merged(piece) == [piece]:  # a space in a text is never that of a piece
+                plain = piece.replace(SPACE, " ")
+                self.machine.add_word(plain, (i, len(piece)))
+                self.whole[plain] = self.raw[i]
         self.machine.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.units = UnitCache(self.encode_unit)
+        self.units = UnitCache(self.encode_unit, self.UNITS)
         self.bytes_of = [b"" if t in (CONTROL,) else b" \xe2\x81\x87 " if t == UNKNOWN else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, t in zip(self.v.pieces, self.v.types)]
+        first = [x[p.startswith(SPACE):] for x, p in zip(self.bytes_of, self.v.pieces)]  # a text's first space is not its own
+        self.spelled = pa.array(self.bytes_of + first, pa.binary())
 
     def merged(self, text: str) -> list[str]:
         """Tokens of a short text by the merge rule itself: the best-scored pair first, the leftmost of equals."""
@@ -58,10 +62,11 @@ class Codec:
         known = self.pairs[left << 20 | right] = self.merged(a + b) == [a, b]
         return known
 
-    def encode_unit(self, unit: str) -> tuple[int, ...]:
+    def encode_unit(self, unit: str) -> bytes:
+        """The ids of a unit, 4 bytes each, least first."""
         if unit in self.whole:
             return self.whole[unit]
-        n, known, pairs = len(unit), self.v.ids, self.pairs
+        n, known, pairs = len(unit), self.whole, self.pairs
         last = [-1] * (n + 1)  # last token of each prefix; -1 after a character outside the vocabulary
         for end, (piece, size) in self.machine.iter(unit):
             end += 1
@@ -79,21 +84,39 @@ class Codec:
                 elif unit[start - 1] in known:
                     continue
             last[end] = piece
-        out: list[int] = []
+        out: list[bytes] = []
         at = n
         while at:
             piece = last[at]
             if piece < 0:  # a character outside the vocabulary stands alone, as bytes
-                out += reversed(self.v.fallback(unit[at - 1]))
+                out += [self.raw[i] for i in reversed(self.v.fallback(unit[at - 1]))]
                 at -= 1
             else:
-                out.append(piece)
+                out.append(self.raw[piece])
                 at -= len(self.v.pieces[piece])
         out.reverse()
-        return tuple(out)
+        return b"".join(out)
+
+    def encode_raw(self, text: str | None) -> bytes:
+        return b"".join(map(self.units.__getitem__, plain_units(text))) if text else b""
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.units.__getitem__, units(text)))) if text else []
+        return np.frombuffer(self.encode_raw(text), "<i4").tolist()
+
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        raw = [self.encode_raw(t) for t in texts]
+        ends = np.cumsum([0, *map(len, raw)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32()))
+
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """:meth:`decode` of every list."""
+        flat, ends = ids.values.to_numpy().copy(), ids.offsets.to_numpy()
+        flat[ends[:-1][np.diff(ends) > 0]] += len(self.bytes_of)
+        raw = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.spelled.take(pa.array(flat))), b"")
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -117,8 +140,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                ids = [codec.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())], [*keep, "ids", "decoded"])
+                ids = codec.encode_all(part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, codec.decode_all(ids)], [*keep, "ids", "decoded"])
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
