@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOW, Blocks, Shard, answers, ask, buffers, distinct, least_of_digests, mix64, n_blocks, owner, packed, short, spare_memory, unpacked
+from .common import LOW, Blocks, Shard, answers, ask, buffers, distinct, least_of_digests, mix64, n_blocks, owner, packed, short, spare_memory, squeeze, unpacked, unsqueeze
 from .suffix_sort import Suffixes, powers, prefix_hashes
 
 LENGTH = 50
@@ -94,9 +94,8 @@ class Block:
                 held.append(x.astype(t, copy=False))
         cat = lambda t: np.concatenate([np.zeros(0, t), *found.pop(0)])
         self.lo, self.hi, self.gram, self.place = (cat(t) for t in (np.int32, np.int32, np.uint64, np.int32))
-        self.doc = self.ids[np.searchsorted(self.offsets, self.lo, side="right") - 1] if len(self.lo) else np.zeros(0, np.int64)
-        self.grams, of_gram = np.unique(self.gram, return_inverse=True)
-        self.of_gram = of_gram.astype(np.int32)
+        self.doc = np.repeat(self.ids, np.diff(np.searchsorted(self.lo, self.offsets)))  # groups ascend, and none crosses a text
+        self.grams, self.of_gram = ranked(self.gram)
 
     def _pieces(self, anchor: int):
         n, off = int(self.has_id.sum()), self.offsets  # null ids sort last and take no part
@@ -122,6 +121,11 @@ class Block:
             out[i:i + DIGESTS] = np.frombuffer(raw, np.uint64).reshape(-1, 2)
         return out
 
+    def open(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of the grams marked, and the place of each one's gram among these."""
+        g = np.flatnonzero(grams[self.of_gram])
+        return g, (np.cumsum(grams) - 1)[self.of_gram[g]]
+
     def shared(self) -> np.ndarray:
         """Grams that occur in several documents of this block."""
         low = np.full(len(self.grams), np.iinfo(np.int64).max)
@@ -131,6 +135,30 @@ class Block:
         return low < high
 
 
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the place of each element among them."""
+    order = np.argsort(x)
+    new = np.r_[True, x[order][1:] != x[order][:-1]] if len(x) else np.zeros(0, bool)
+    of = np.empty(len(x), np.int32)
+    of[order] = np.cumsum(new) - 1
+    return x[order[new]], of
+
+
+def ranked_pairs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`ranked` for rows of two values, and the first element of each."""
+    order = np.argsort(x[:, 0])
+    key, low = x[order, 0], x[order, 1]
+    same = key[1:] == key[:-1]
+    if (low[1:][same] < low[:-1][same]).any():  # equal keys with several checks: hardly ever
+        order = np.lexsort((x[:, 1], x[:, 0]))
+        key, low = x[order, 0], x[order, 1]
+        same = key[1:] == key[:-1]
+    at = np.flatnonzero(np.r_[True, ~(same & (low[1:] == low[:-1]))]) if len(x) else np.zeros(0, np.int64)
+    of = np.empty(len(x), np.int32)
+    of[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(x)]))
+    return np.stack([key[at], low[at]], axis=1), order[at], of
+
+
 def _want(table: pa.Table) -> pa.Table:
     """Fill up the value columns that a request does not use."""
     for k in range(3):
@@ -179,21 +207,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     def ask_regions(t: pa.Table, reply: pa.Table) -> pa.Table:
         b = Block(t, length, anchor)
-        at = short(b.grams, shards)
-        open_ = b.shared() | (answers(reply, [np.uint8], GRAMS)[0][np.searchsorted(distinct(at), at)] > 0)
-        g = np.flatnonzero(open_[b.of_gram])
+        at = ranked(short(b.grams, shards))[1]
+        open_ = b.shared() | (answers(reply, [np.uint8], GRAMS)[0][at] > 0)
+        g, of = b.open(open_)
         region = b.regions(g)
-        regions, first, of = np.unique(region, axis=0, return_index=True, return_inverse=True)
+        regions, first, of_region = ranked_pairs(region)
         least = np.full(len(regions), np.iinfo(np.int64).max)
-        np.minimum.at(least, of, b.doc[g])
-        grams, of = np.unique(b.gram[g], return_inverse=True)
+        np.minimum.at(least, of_region, b.doc[g])
+        grams = b.grams[open_]
         low = np.full(len(grams), np.iinfo(np.int64).max)
         np.minimum.at(low, of, b.doc[g])
         some = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
         np.minimum.at(some, of, region[:, 0])
         several = np.bincount(of[first], minlength=len(grams)).astype(np.uint32)
         return pa.concat_tables([_want(ask(regions[:, 0], owner(regions[:, 0], shards), b.number, regions[:, 1].astype(np.uint32), least, kind=REGIONS)),
-                                 _want(ask(grams, owner(grams, shards), b.number, low, some, several, kind=ANCHORS)), _memo(b.number, np.packbits(open_))])
+                                 _want(ask(grams, owner(grams, shards), b.number, low, some, several, kind=ANCHORS)),
+                                 _memo(b.number, np.packbits(open_), np.frombuffer(squeeze(of_region), np.uint8))])
 
     def answer_regions(t: pa.Table) -> pa.Table:
         kind = t["kind"][0].as_py()
@@ -210,10 +239,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     def ask_suffixes(t: pa.Table, reply: pa.Table) -> pa.Table:
         b = Block(t, length, anchor)
-        open_ = np.unpackbits(_memo_of(reply, [np.uint8])[0], count=len(b.grams)).astype(bool)
-        g = np.flatnonzero(open_[b.of_gram])
-        _, of_region = np.unique(b.regions(g), axis=0, return_inverse=True)
-        grams, of_gram = np.unique(b.gram[g], return_inverse=True)
+        open_, of_region = _memo_of(reply, [np.uint8, np.uint8])
+        open_, of_region = np.unpackbits(open_, count=len(b.grams)).astype(bool), unsqueeze(of_region, np.int32)
+        g, of_gram = b.open(open_)
         least = answers(reply, [np.int64], REGIONS)[0][of_region]
         state = answers(reply, [np.int64, np.uint8], ANCHORS)[1][of_gram]
         doc = b.doc[g]
@@ -283,21 +311,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         np.cumsum(depth, out=depth)
         removed = depth[:-1] > 0
         del depth
-        spans, kept, texts = [], [], []
-        for i, j in zip(b.offsets[:-1], b.offsets[1:]):
-            x, gone = b.data[i:j], removed[i:j]
-            if not gone.any():
-                spans.append([])
-                kept.append(x.tobytes())
-                texts.append(kept[-1].decode())
-                continue
-            edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-            spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edges[::2], edges[1::2])])
-            kept.append(x[~gone].tobytes())
-            chars = np.flatnonzero((x & 0xC0) != 0x80)
-            whole = np.logical_and.reduceat(gone, chars)
-            texts.append(x[~np.repeat(whole, np.diff(np.r_[chars, len(x)]))].tobytes().decode())
-        return pa.table({**{c: b.table[c] for c in ("doc_id", *keep)}, "n_bytes": pa.array(np.diff(b.offsets), pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary()), "kept_text": pa.array(texts, pa.string())})
+        # all texts at once; a run ends with its text
+        held = np.diff(b.offsets) > 0
+        first = np.zeros(len(removed) + 1, bool)
+        first[b.offsets] = True
+        start = np.flatnonzero(removed & (first[:-1] | ~np.r_[False, removed[:-1]]))
+        end = np.flatnonzero(removed & (first[1:] | ~np.r_[removed[1:], False])) + 1
+        runs = np.searchsorted(start, b.offsets)
+        shift = np.repeat(b.offsets[:-1], np.diff(runs))
+        spans = pa.ListArray.from_arrays(pa.array(runs, pa.int32()), pa.StructArray.from_arrays([pa.array(start - shift, pa.int64()), pa.array(end - shift, pa.int64())], ["start", "end"]))
+
+        def texts(stay: np.ndarray, kind) -> pa.Array:
+            size = np.zeros(len(b.offsets), np.int64)
+            if held.any():
+                size[1:][held] = np.add.reduceat(stay, b.offsets[:-1][held], dtype=np.int64)
+            return pa.Array.from_buffers(kind, len(held), [None, pa.py_buffer(np.cumsum(size)), pa.py_buffer(b.data[stay])])
+
+        stay = ~removed
+        kept = texts(stay, pa.large_binary()).cast(pa.binary())
+        inside = ((b.data & 0xC0) == 0x80) & ~first[:-1]  # not the first byte of a character, which has four at most
+        if inside.any():
+            for _ in range(3):
+                stay[1:] |= stay[:-1] & inside[1:]
+            for _ in range(3):
+                stay[:-1] |= stay[1:] & inside[1:]
+        return pa.table({**{c: b.table[c] for c in ("doc_id", *keep)}, "n_bytes": pa.array(np.diff(b.offsets), pa.int64()), "spans": spans.cast(SPANS), "kept": kept, "kept_text": texts(stay, pa.large_string()).cast(pa.string())})
 
     step = grouped.each(ask_grams, WANT).groupBy("kind", "shard").applyInArrow(answer_grams, GOT)
     step = grouped.meet(step, ask_regions, WANT).groupBy("kind", "shard").applyInArrow(answer_regions, GOT)

@@ -52,10 +52,13 @@ class Suffixes:
         differ = np.flatnonzero(self.hashes(a, self.depth) != self.hashes(b, self.depth))
         a, b = a[differ], b[differ]
         low, high = np.zeros(len(a), np.int64), np.full(len(a), self.depth, np.int64)  # equal to low, unequal at high
-        while len(a) and (high - low).max() > 1:
-            mid = (low + high) >> 1
-            same = self.hashes(a, mid) == self.hashes(b, mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid)
+        with np.errstate(over="ignore"):
+            # what a hash takes at the start of a suffix is read once, not at each halving
+            before_a, before_b, down_a, down_b = self.sums[a], self.sums[b], self.down[a], self.down[b]
+            while len(a) and (high - low).max() > 1:
+                mid = (low + high) >> 1
+                same = (self.sums[a + mid] - before_a) * down_a == (self.sums[b + mid] - before_b) * down_b
+                low, high = np.where(same, mid, low), np.where(same, high, mid)
         out[differ] = low
         return out
 
@@ -69,13 +72,27 @@ class Suffixes:
     def sort(self, segment: np.ndarray) -> np.ndarray:
         """Order of the suffixes that sorts each segment (ascending, contiguous ids) by suffix.
 
+        Suffixes of a segment whose hashes agree stand together, so only the first of each is sorted and the others follow
+        it: a passage that many documents share costs one suffix, whatever their number.
+        """
+        if not len(self.starts):
+            return np.arange(0)
+        heads = self.hashes(self.starts, self.depth)
+        by = np.lexsort((heads, segment))
+        new = np.flatnonzero(np.r_[True, (heads[by][1:] != heads[by][:-1]) | (segment[by][1:] != segment[by][:-1])])
+        size = np.diff(np.r_[new, len(by)])
+        order = self._merged(self.starts[by[new]], segment[by[new]])
+        size, lead = size[order], new[order]
+        return by[np.repeat(lead - np.cumsum(size) + size, size) + np.arange(len(by))]
+
+    def _merged(self, starts: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """:meth:`sort` of suffixes at ``starts`` that differ.
+
         All runs of all segments double together: each element's place in the merged run is its place in its own run plus
         its rank in the sibling run, found by binary search with suffix comparisons.
         """
-        n = len(self.starts)
+        n = len(starts)
         order = np.arange(n)
-        if not n:
-            return order
         first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
         size = np.diff(np.r_[first, n])
         lo_of, size_of = np.repeat(first, size), np.repeat(size, size)
@@ -90,14 +107,14 @@ class Suffixes:
             sib_lo = np.where(right, pair, pair + run)
             sib_hi = np.minimum(sib_lo + run, seg)
             sib_lo = np.minimum(sib_lo, sib_hi)
-            own = self.starts[order[act]]
+            own = starts[order[act]]
             a, b = sib_lo.copy(), sib_hi.copy()
             while True:
                 todo = np.flatnonzero(a < b)
                 if not len(todo):
                     break
                 mid = (a[todo] + b[todo]) >> 1
-                other = self.starts[order[lo[todo] + mid]]
+                other = starts[order[lo[todo] + mid]]
                 # a sibling element counts as before: strictly for left elements, or equal for right ones (stable)
                 counts = self.before(other, own[todo], right[todo])
                 a[todo] = np.where(counts, mid + 1, a[todo])

@@ -74,6 +74,20 @@ def test_characters_cut_in_half(spark):
     assert [(r.spans, bytes(r.kept), r.kept_text) for r in got][1] == ([(0, 50)], b"\xa3", "ã") and got[0].kept_text == rows[0][1]
 
 
+def test_runs_end_with_their_text(spark, monkeypatch):
+    """All texts of a block are cut at once: runs that touch across texts, empty texts and characters of four bytes stay apart."""
+    import codegauge.llm.suffix_dedup as m
+    monkeypatch.setattr(m, "n_blocks", lambda *a, **k: 1)
+    p = "".join("\U0001F600éa€"[i * i % 4] for i in range(40))
+    rows = [(1, p), (2, p), (3, ""), (4, None), (5, "z" + p), (6, p[1:] + "y"), (7, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in S.repeated_spans(docs).collect()}
+    n = len(p.encode())
+    assert {d: [tuple(x) for x in r.spans] for d, r in got.items()} == {1: [], 2: [(0, n)], 3: [], 4: [], 5: [(1, n + 1)], 6: [(0, n - 4)], 7: []}
+    assert {d: r.kept_text for d, r in got.items()} == {1: p, 2: "", 3: "", 4: "", 5: "z", 6: "y", 7: "short"}
+    assert run(docs) == brute(rows)
+
+
 def test_long_document_in_pieces(spark, monkeypatch):
     import codegauge.llm.suffix_dedup as m
     r = np.random.default_rng(3)
@@ -104,6 +118,19 @@ def test_suffix_sort_equals_sorted():
     assert all((run[i] == run[i + 1]) == (segment[order[i]] == segment[order[i + 1]] and head(order[i]) == head(order[i + 1])) for i in range(2999))
 
 
+def test_equal_suffixes_are_sorted_once(monkeypatch):
+    """A passage that 2,000 documents share costs the comparisons of one suffix."""
+    compared = []
+    before = Suffixes.before
+    monkeypatch.setattr(Suffixes, "before", lambda self, a, b, or_equal: compared.append(len(a)) or before(self, a, b, or_equal))
+    data = np.frombuffer(b"the same words again " * 2000 + b"other words " * 4, np.uint8)
+    starts = np.r_[np.arange(2000) * 21, 42000, 42012]
+    s = Suffixes(data, starts, 20)
+    order = s.sort(np.zeros(2002, int))
+    assert order.tolist() == [2000, 2001, *range(2000)] and sum(compared) < 10
+    assert s.equal_runs(order, np.zeros(2002, int)).tolist() == [0, 0] + [1] * 2000
+
+
 def test_collisions_are_verified(monkeypatch):
     """With a useless hash every comparison says equal; the byte check must still part them."""
     data = np.frombuffer(b"abcdefgh" * 3 + b"abcdxfgh", np.uint8)
