@@ -342,7 +342,9 @@ def short(keys: np.ndarray, shards: int) -> np.ndarray:
 def squeeze(v: np.ndarray, ascending: bool = False) -> bytes:
     """An integer array for the shuffle: differences of ascending keys, byte plane by byte plane, by zstd."""
     if ascending and len(v):
-        v = np.r_[v[:1], np.diff(v)]
+        step = v.copy()
+        np.subtract(v[1:], v[:-1], out=step[1:])
+        v = step
     planes = np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
     return len(v).to_bytes(4, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if len(v) else b"")
 

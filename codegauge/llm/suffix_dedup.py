@@ -20,7 +20,7 @@ The documents are shuffled into blocks once; each step's requests and answers ar
 
 from __future__ import annotations
 
-import hashlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -117,8 +117,9 @@ class Block:
         out = np.empty((len(groups), 2), np.uint64)
         for i in range(0, len(groups), DIGESTS):
             part = groups[i:i + DIGESTS]
-            raw = b"".join(hashlib.blake2b(view[a:z], digest_size=12).digest() + b"\0\0\0\0" for a, z in zip(self.lo[part].tolist(), (self.hi[part] + self.length).tolist()))
+            raw = b"".join([blake2b(view[a:z], digest_size=16).digest() for a, z in zip(self.lo[part].tolist(), (self.hi[part] + self.length).tolist())])
             out[i:i + DIGESTS] = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+        out[:, 1] &= LOW
         return out
 
     def open(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +184,11 @@ def _memo_of(reply: pa.Table, types: list) -> list[np.ndarray]:
     return [np.frombuffer(reply[f"a{k}"][at].as_buffer(), t) for k, t in enumerate(types)]
 
 
+def n_shards(blocks: int) -> int:
+    """How many shards answer ``blocks`` blocks: every pair of the two costs some messages, whatever is in them, so many blocks have fewer shards."""
+    return max(min(blocks, 32), blocks // 4)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, keep: list[str] = ()) -> DataFrame:
     """doc_id (and ``keep``), n_bytes, spans (start, end of the maximal removed runs, in bytes), kept (remaining bytes), kept_text of every row.
 
@@ -191,12 +197,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     characters all of whose bytes were removed. Texts shorter than ``length`` are untouched; no rows give no rows.
     """
     blocks = n_blocks(docs)
-    shards = blocks
+    few = n_shards(blocks)
     grouped = Blocks(docs, blocks, ["doc_id", "text", *keep])
 
     def ask_grams(t: pa.Table) -> pa.Table:
         b = Block(t, length, anchor, group=False)  # where the grams stand isn't asked yet
-        keys = distinct(np.concatenate([np.zeros(0, np.uint64), *(distinct(short(g[2], shards)) for g in b._pieces(anchor))]))
+        keys = distinct(np.concatenate([np.zeros(0, np.uint64), *(distinct(short(g[2], few)) for g in b._pieces(anchor))]))
         return pa.concat_tables([_want(ask((keys & LOW).astype(np.uint32), (keys >> np.uint64(32)).astype(np.int32), b.number, kind=GRAMS)), _memo(b.number, np.zeros(0))])
 
     def answer_grams(t: pa.Table) -> pa.Table:
@@ -207,7 +213,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     def ask_regions(t: pa.Table, reply: pa.Table) -> pa.Table:
         b = Block(t, length, anchor)
-        at = ranked(short(b.grams, shards))[1]
+        at = ranked(short(b.grams, few))[1]
         open_ = b.shared() | (answers(reply, [np.uint8], GRAMS)[0][at] > 0)
         g, of = b.open(open_)
         region = b.regions(g)
@@ -220,8 +226,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         some = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
         np.minimum.at(some, of, region[:, 0])
         several = np.bincount(of[first], minlength=len(grams)).astype(np.uint32)
-        return pa.concat_tables([_want(ask(regions[:, 0], owner(regions[:, 0], shards), b.number, regions[:, 1].astype(np.uint32), least, kind=REGIONS)),
-                                 _want(ask(grams, owner(grams, shards), b.number, low, some, several, kind=ANCHORS)),
+        return pa.concat_tables([_want(ask(regions[:, 0], owner(regions[:, 0], few), b.number, regions[:, 1].astype(np.uint32), least, kind=REGIONS)),
+                                 _want(ask(grams, owner(grams, few), b.number, low, some, several, kind=ANCHORS)),
                                  _memo(b.number, np.packbits(open_), np.frombuffer(squeeze(of_region), np.uint8))])
 
     def answer_regions(t: pa.Table) -> pa.Table:
@@ -266,7 +272,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         late = wlo[wdoc > wdoc[lead][wrec]]  # the same window stands in a smaller document of this block
         lo, hi = np.r_[lo, wlo[lead]], np.r_[hi, wlo[lead]]
         keys, docs_, shift = np.r_[keys, whash[lead]], np.r_[docs_, wdoc[lead]], np.r_[shift, np.full(len(lead), 255)]
-        own = owner(keys, shards)
+        own = owner(keys, few)
         order = np.lexsort((keys, own))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
@@ -290,7 +296,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         keys, doc = np.concatenate(parts), np.concatenate(unpacked(t["v0"], np.int64))
         shape = np.concatenate(unpacked(t["v1"], np.uint16)).view(np.uint8).reshape(-1, 2)
         data = np.frombuffer(b"".join(x.as_py() for x in t["v2"]), np.uint8)
-        masks = repeated_windows(keys, doc, shape[:, 0].astype(np.int64), shape[:, 1].astype(np.int64), data, length)
+        size, masks = shape[:, 0].astype(np.int64), np.zeros(len(keys), np.uint64)
+        text = np.r_[0, np.cumsum(size)]
+        # a part of the keys at a time, as suffixes take far more room than their texts; keys ascend in each request
+        part = owner(keys, blocks)
+        run = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (keys[1:] < keys[:-1])])
+        to = np.r_[run[1:], len(keys)]
+        for p in distinct(part):
+            runs = [(i, j) for i, j in zip(run[part[run] == p].tolist(), to[part[run] == p].tolist())]
+            at = np.concatenate([np.arange(i, j) for i, j in runs])
+            mine = np.concatenate([data[text[i]:text[j]] for i, j in runs])
+            masks[at] = repeated_windows(keys[at], doc[at], size[at], shape[at, 1].astype(np.int64), mine, length)
         del doc, shape, data
         spare_memory()
         cuts = np.cumsum([len(x) for x in parts])[:-1]

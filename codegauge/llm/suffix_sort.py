@@ -9,6 +9,7 @@ from .common import MULT, by_splitmix, inverse
 
 _BYTE = by_splitmix(256, 23)
 _POWERS: dict[str, np.ndarray] = {}
+PAIRS = 1 << 14  # pairs compared at a time, so that what a halving makes stays in the cache
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +51,13 @@ class Suffixes:
         prefix with equal hashes."""
         out = np.full(len(a), self.depth, np.int64)
         differ = np.flatnonzero(self.hashes(a, self.depth) != self.hashes(b, self.depth))
-        a, b = a[differ], b[differ]
+        for i in range(0, len(differ), PAIRS):
+            at = differ[i:i + PAIRS]
+            out[at] = self._common(a[at], b[at])
+        return out
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`common` of suffixes whose hashes differ."""
         low, high = np.zeros(len(a), np.int64), np.full(len(a), self.depth, np.int64)  # equal to low, unequal at high
         with np.errstate(over="ignore"):
             # what a hash takes at the start of a suffix is read once, not at each halving
@@ -59,8 +66,7 @@ class Suffixes:
                 mid = (low + high) >> 1
                 same = (self.sums[a + mid] - before_a) * down_a == (self.sums[b + mid] - before_b) * down_b
                 low, high = np.where(same, mid, low), np.where(same, high, mid)
-        out[differ] = low
-        return out
+        return low
 
     def before(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether suffix ``a`` sorts before ``b`` (or equal, where asked)."""

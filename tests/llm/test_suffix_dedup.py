@@ -68,6 +68,18 @@ def test_shared_passages(spark, monkeypatch, hot):
     assert run(docs, hot=hot) == brute(rows)
 
 
+def test_many_blocks_have_fewer_shards(spark, monkeypatch):
+    """A shard of many blocks sorts its suffixes part by part; the pairs of blocks and shards grow a quarter as fast as the blocks' square."""
+    import codegauge.llm.suffix_dedup as m
+    assert [m.n_shards(n) for n in (1, 20, 64, 1200)] == [1, 20, 32, 300]
+    monkeypatch.setattr(m, "n_blocks", lambda *a, **k: 90)
+    monkeypatch.setattr(m, "n_shards", lambda blocks: 2)
+    r = np.random.default_rng(4)
+    passages = ["".join(r.choice(list("abc "), 70)) for _ in range(60)]
+    rows = [(i, "".join(r.choice(list("abc "), r.integers(0, 30)).tolist() + [passages[j][r.integers(0, 12):] for j in r.integers(0, 60, 3)])) for i in range(150)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_characters_cut_in_half(spark):
     rows = [(1, "q" * 49 + "é"), (2, "q" * 49 + "ã")]  # equal up to the first byte of the last character
     got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
